@@ -30,6 +30,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,
+    "op8_neardup": op8_neardup,
     "op10_packing": op10_packing,
 }
 
