@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.suffixes import repeated_spans
+
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    n = F.octet_length("text").cast("long")
+    return found.select("doc_id", n.alias("n_bytes"), (n - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adaptlm.llm.mixing import mix
 
@@ -45,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +47,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def keyed(df: DataFrame, *columns: str, key: str = "rid") -> DataFrame:
     """The named columns alone (clashing extra columns go) and a row key that is unique, so repeated ids and null ids stay apart."""
     return df.select(*(F.col(c) for c in columns), F.monotonically_increasing_id().alias(key))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget the shuffle files of plans that are done, so that their disk is free for the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
