@@ -26,6 +26,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adaptlm.llm.rules import quality_rules
 
@@ -55,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
+    "op3_neighbours": op3_neighbours,
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,
     "op8_neardup": op8_neardup,
