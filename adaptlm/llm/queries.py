@@ -32,6 +32,14 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.quality import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adaptlm.llm.rules import quality_rules
 
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
     "op3_neighbours": op3_neighbours,
+    "op4_quality": op4_quality,
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,
     "op8_neardup": op8_neardup,

@@ -39,26 +39,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)), offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word, and the n + 1 offsets of each text's words."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length in bytes of every word, and the n + 1 offsets of each text's words."""
     space = SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
     starts_of_texts = offsets[:-1][offsets[:-1] < len(data)]
     first[starts_of_texts] = ~space[starts_of_texts]
     start = np.flatnonzero(first)
-    counts = np.searchsorted(start, offsets).astype(np.int64)
+    filled = np.concatenate([[0], np.cumsum(~space)])
+    length = np.diff(filled[start], append=filled[-1])
+    return start, length, np.searchsorted(start, offsets).astype(np.int64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, and the n + 1 offsets of each text's words."""
+    start, length, counts = word_bounds(data, offsets)
     if not len(start):
         return np.empty(0, np.uint64), counts
-    inside = np.flatnonzero(~space)
-    word = np.cumsum(first[inside]) - 1
-    place = (inside - start[word]).astype(np.int64)
-    letters = LOWER[data[inside]] if lower else data[inside]
-    value = _PLACES[((place & 63) << 8) | letters]
+    begin = np.cumsum(length) - length
+    place = np.arange(length.sum()) - np.repeat(begin, length)
+    letters = data[place + np.repeat(start, length)]
+    value = _PLACES[((place & 63) << 8) | (LOWER[letters] if lower else letters)]
     far = place > 63
     if far.any():
         value[far] = mixed(value[far] + (place[far] >> 6).astype(np.uint64) * _GOLD)
-    return mixed(np.add.reduceat(value, np.searchsorted(inside, start))), counts
+    return mixed(np.add.reduceat(value, begin)), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
