@@ -58,6 +58,12 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.blocks import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,
     "op8_neardup": op8_neardup,
+    "op9_blocks": op9_blocks,
     "op10_packing": op10_packing,
 }
 
