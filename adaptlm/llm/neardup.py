@@ -101,6 +101,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Row keys that are sent to every executor at most (8 bytes each); more of them are joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -137,8 +141,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
         pairs = written(pairs, "pairs")
         if not pairs.take(1):
             break
-        ends = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        texts = rows.join(ends, "rid", "left_semi").select("rid", "text")
+        ends = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "ends")
+        texts = rows.join(F.broadcast(ends) if ends.count() <= MOST_SENT else ends, "rid", "left_semi").select("rid", "text")
         found = written(confirmed(pairs, texts, width, percent), "links")
         links = found if links is None else links.unionByName(found)
         these = pairs.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"))
