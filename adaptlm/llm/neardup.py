@@ -106,7 +106,7 @@ MOST_SENT = 1_000_000
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """Per row of docs (doc_id, text): rid, doc_id, n_shingles, component_id, kept, root (a row key that the component shares).
 
     Words are lower-cased (A-Z) runs without white space; a text with fewer than width
     words is one shingle; one without words or a null text links with nothing and is its
@@ -149,12 +149,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
         tried = these if tried is None else tried.unionByName(these)
         roots = written(components(links, "a", "b"), "roots")
     if roots is None:
-        labels = sets.select("fp1", "fp2", F.col("doc_id").alias("component"))
+        labels = sets.select("fp1", "fp2", F.col("doc_id").alias("component"), F.col("rid").alias("root"))
     else:
         rooted = sets.join(roots, F.col("rid") == F.col("node"), "left").select("fp1", "fp2", "doc_id", F.coalesce("root", "rid").alias("root"))
         least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
-        labels = rooted.join(least, "root").select("fp1", "fp2", "component")
+        labels = rooted.join(least, "root").select("fp1", "fp2", "component", "root")
     labels = written(labels.withColumnsRenamed({"fp1": "l1", "fp2": "l2"}), "labels")
     joined = facts.drop("bands").join(labels, (F.col("fp1") == F.col("l1")) & (F.col("fp2") == F.col("l2")) & (F.col("n_shingles") > 0), "left")
     own = F.coalesce(F.col("component"), F.col("doc_id"))
-    return joined.select("rid", "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return joined.select("rid", "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), F.coalesce("root", "rid").alias("root"))
+
+
+def one_of_each(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
+    """The rows of docs of which each component keeps one: that with the smallest doc_id (null last), then the earliest."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    first = near_duplicates(docs, **options).groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.rid").alias("rid"))
+    return keyed(docs, *columns).join(written(first, "survivors"), "rid", "left_semi").select(*columns)

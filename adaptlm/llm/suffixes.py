@@ -253,8 +253,8 @@ def window_hash(data: np.ndarray, length: int, lane: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Per row of docs (doc_id, text): rid, doc_id, text, spans (start, end in bytes of the maximal runs to remove), kept (binary).
+def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text): rid, doc_id, text, spans (start, end in bytes of the maximal runs to remove), kept (binary), and the columns in carry.
 
     A byte goes if a string of `length` bytes covers it that starts anywhere else too, in
     its own document or another; overlaps count, as do all copies, the first included. Null
@@ -263,7 +263,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     once and must give its rows in the same order each time, as files and written tables do.
     """
     spark = docs.sparkSession
-    rows = keyed(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "doc_id", "text").select("rid", "doc_id", "text")
+    all_rows = keyed(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry), "doc_id", "text", *carry)
+    rows = all_rows.select("rid", "doc_id", "text")
     parts = members(rows, length)
     # 1. different contexts, with the number of their places
     distinct = parts.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("many"), F.max("twice").alias("twice"), F.min(F.struct("rid", "lo", "n")).alias("at"))
@@ -306,7 +307,22 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
                     flat = _ranges(np.flatnonzero(gone))
                     spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
                     kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if flat else data)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["rid", "doc_id", "text", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary()), *part.columns[4:]], names=["rid", "doc_id", "text", "spans", "kept", *carry])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.join(each, "rid", "left").select("rid", "doc_id", "text", "cover").mapInArrow(run, f"rid long, doc_id {kind}, text string, spans array<struct<start:long,end:long>>, kept binary")
+    kinds = dict(all_rows.dtypes)
+    schema = f"rid long, doc_id {kinds['doc_id']}, text string, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return all_rows.join(each, "rid", "left").select("rid", "doc_id", "text", "cover", *carry).mapInArrow(run, schema)
+
+
+def deduplicated(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), length: int = 200) -> DataFrame:
+    """docs without the repeated spans: the same rows, text what is left of it (a character that a span cuts goes too), n_chars its length."""
+    left = repeated_spans(docs, length, tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(0, "kept", pa.array([x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()], pa.string()))
+
+    rest = [c for c in left.columns if c not in ("rid", "text", "spans", "kept")]
+    kinds = dict(left.dtypes)
+    text = left.select("kept", *rest).mapInArrow(run, "kept string" + "".join(f", `{c}` {kinds[c]}" for c in rest))
+    return text.select(*(F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
