@@ -35,11 +35,12 @@ def with_digests(pages: DataFrame, min_bytes: int) -> DataFrame:
     """
     rows = keyed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")), "page_id", "url", "payload")
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    # digests are compared without payloads: a payload that very many pages have stays where its pages are
     narrow = rows.where(F.col("payload_bytes") >= min_bytes).select("rid", "page_id", "payload_digest")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("rid"))
     first = narrow.groupBy(F.col("payload_digest").alias("f_digest")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f_digest", F.col("first.page_id").alias("first_page"), F.col("first.rid").alias("first_rid"))
-    joined = rows.join(first, (F.col("payload_digest") == F.col("f_digest")) & (F.col("payload_bytes") >= min_bytes), "left")
-    return joined.withColumn("revisit", F.coalesce(F.col("first_rid") != F.col("rid"), F.lit(False)))
+    again = narrow.join(first, F.col("payload_digest") == F.col("f_digest")).where("rid <> first_rid").select(F.col("rid").alias("again"), "first_page", "first_rid")
+    return rows.join(written(again, "revisits"), F.col("rid") == F.col("again"), "left").withColumn("revisit", F.col("again").isNotNull())
 
 
 def record() -> Column:
@@ -188,7 +189,7 @@ def read_records(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[str, object] = {}
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 out = []
                 for archive, offset, length in zip(*(part.column(i).to_pylist() for i in range(3))):
                     if archive not in files:
