@@ -10,7 +10,7 @@
    are sorted again as a string while they are ambiguous and short of `length`,
    the other suffixes are merged in, and neighbours' prefixes are compared.
    Names with more contexts than one task should take are split: their windows are
-   dealt out by a 128-bit hash of the whole window, counted before the shuffle.
+   dealt out by a 128-bit hash of the whole window, each once from every batch of contexts.
 3. Repeating windows go back to every document that holds the context.
 
 The array is thus the corpus's, in parts that need not see each other: windows with
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ GRAM = 32
 SYMBOLS = 1 << 20
 #: Contexts of one name in one suffix array.
 MOST_CONTEXTS = 200
+#: Windows of such names that one task counts at once, about.
+WINDOWS = 200_000
 _ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _BYTES = mixed(np.arange(512, dtype=np.uint64) + np.uint64(4711))
 
@@ -217,25 +220,95 @@ def _sorted_contexts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("name", "c1", "c2", "bytes").repartition("name").sortWithinPartitions("name").mapInArrow(run, "name long, c1 long, c2 long, ranges array<int>")
 
 
+def _counted(w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, in order, and how often each is there."""
+    order = np.lexsort((w2, w1))
+    w1, w2 = w1[order], w2[order]
+    first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])) if len(w1) else np.empty(0, np.int64)
+    return w1[first], w2[first], np.diff(first, append=len(w1))
+
+
+def _holds(w1: np.ndarray, w2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Which pairs are among the distinct pairs s1, s2."""
+    n = len(w1)
+    order = np.lexsort((np.concatenate([np.zeros(len(s1), bool), np.ones(n, bool)]), np.concatenate([s2, w2]), np.concatenate([s1, w1])))
+    a, b = np.concatenate([s1, w1])[order], np.concatenate([s2, w2])[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]  # a pair of the set comes first among its equals
+    out = np.empty(len(a), bool)
+    out[order] = head < len(s1)
+    return out[len(s1) :]
+
+
 def _dealt_windows(texts: DataFrame, length: int) -> DataFrame:
-    """As _sorted_contexts(), for names with very many contexts: windows meet by their own hash, in any task."""
+    """As _sorted_contexts(), for names with very many contexts: windows meet by their own hash, in any task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Contexts are packed to batches. A batch sends each different window once, in packs by
+    hash, and gets back the packs of those that repeat; what very many contexts share is thus counted in batches first.
+    """
+    names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, base = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                out = []
-                for name, c1, c2, data in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    n = len(data) - length + 1
-                    lanes = [window_hash(np.frombuffer(data, np.uint8), length, k).view(np.int64) for k in (0, 1)]
-                    out.append((*lanes, np.full(n, name, np.int64), np.full(n, c1, np.int64), np.full(n, c2, np.int64), np.arange(n, dtype=np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["w1", "w2", "name", "c1", "c2", "at"])
-
-    windows = texts.select("name", "c1", "c2", "bytes").mapInArrow(run, "w1 long, w2 long, name long, c1 long, c2 long, at int")
-    windows = written(windows, "windows")
-    twice = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2"), "repeating-windows")
-    hits = windows.join(twice, ["w1", "w2"]).groupBy("name", "c1", "c2").agg(F.collect_list("at").alias("hits"))
-    return hits.select("name", "c1", "c2", F.flatten(F.transform("hits", lambda i: F.array(i, i + 1))).alias("ranges"))
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                if part.num_rows:
+                    ends = pa.array([0, part.num_rows], pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, part.column(i).cast(k)) for i, k in enumerate(names)]
+                    yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *lists], names=["batch", "name", "c1", "c2", "bytes"])
+                    n += 1
+
+    schema = "batch long, name array<long>, c1 array<long>, c2 array<long>, bytes array<binary>"
+    packed = written(texts.select("name", "c1", "c2", "bytes").mapInArrow(gather, schema), "context-batches")
+    windows = packed.select(F.sum(F.aggregate("bytes", F.lit(0).cast("long"), lambda a, x: a + F.length(x) - (length - 1))).alias("n")).first().n or 0
+    buckets = max(1, -(-windows // WINDOWS))
+
+    def lanes(data: bytes) -> list[np.ndarray]:
+        return [window_hash(np.frombuffer(data, np.uint8), length, k).view(np.int64) for k in (0, 1)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w1, w2, k = _counted(*(np.concatenate(x) for x in zip(*map(lanes, contexts))))
+                to = w1.view(np.uint64) % np.uint64(buckets)
+                out = [(int(b), number, np.stack([w1[to == b], w2[to == b], k[to == b] > 1]).astype("<i8").tobytes()) for b in np.unique(to)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "batch", "pack"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+
+        def answer() -> pa.RecordBatch:
+            packs = [np.frombuffer(p, "<i8").reshape(3, -1) for _, p in held]
+            w1, w2, more = np.concatenate(packs, 1)
+            s1, s2, k = _counted(w1, w2)
+            several = _holds(s1, s2, *_counted(w1[more > 0], w2[more > 0])[:2]) | (k > 1)
+            s1, s2 = s1[several], s2[several]
+            hits = [(n, x[:2, _holds(x[0], x[1], s1, s2)]) for (n, _), x in zip(held, packs)]
+            hits = [(n, np.ascontiguousarray(x).tobytes()) for n, x in hits if x.size]
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.binary())], names=["batch", "hits"])
+
+        for batch in batches:
+            for bucket, number, pack in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and bucket != last:
+                    yield answer()
+                    held = []
+                held.append((number, pack))
+                last = bucket
+        if held:
+            yield answer()
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *ids, contexts, hits in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                s1, s2 = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in hits], 1)
+                out = [(*x, r) for *x, data in zip(*ids, contexts) if (r := _ranges(np.flatnonzero(_holds(*lanes(data), s1, s2))))]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["name", "c1", "c2", "ranges"])
+
+    sent = packed.select("batch", "bytes").mapInArrow(send, "bucket long, batch long, pack binary")
+    hits = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "batch long, hits binary")
+    hits = written(hits.groupBy("batch").agg(F.collect_list("hits").alias("hits")), "repeating-windows")  # a pack for each bucket at most
+    return packed.join(hits, "batch").select("name", "c1", "c2", "bytes", "hits").mapInArrow(resolve, "name long, c1 long, c2 long, ranges array<int>")
 
 
 def window_hash(data: np.ndarray, length: int, lane: int) -> np.ndarray:
