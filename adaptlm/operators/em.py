@@ -38,13 +38,13 @@ def em_weights(target: Column, components: Column, priors: Column, iterations: i
         # expected counts of a term by component are its count times weight * probability / mixture
         per = F.transform(terms, lambda t: F.when(F.get(share, t) > 0, F.get(target, t) / F.get(share, t)).otherwise(0.0))
         like = _total(F.transform(terms, lambda t: F.when(F.get(share, t) > 0, F.get(target, t) * F.ln(F.get(share, t))).otherwise(0.0)))
-        done = (state["steps"] > 0) & (F.abs(like - state["likelihood"]) < F.abs(like + state["likelihood"]) * tolerance)
+        done = (state["steps"] >= iterations) | (state["steps"] > 0) & (F.abs(like - state["likelihood"]) < F.abs(like + state["likelihood"]) * tolerance)
         parts = F.zip_with(state["weights"], components, lambda a, c: F.struct(a.alias("a"), c.alias("c")))
         gained = _let(per, lambda per: F.zip_with(parts, priors, lambda x, prior: prior + x["a"] * _total(F.zip_with(per, x["c"], lambda p, q: p * q))))
-        return _let(gained, lambda g: _let(_total(g), lambda whole: F.struct(F.transform(g, lambda v: v / whole).alias("weights"), like.alias("likelihood"), (state["steps"] + 1).alias("steps"), done.alias("done"))))
+        return _let(gained, lambda g: _let(_total(g), lambda whole: F.struct(F.when(done, state["weights"]).otherwise(F.transform(g, lambda v: v / whole)).alias("weights"), like.alias("likelihood"), (state["steps"] + F.when(done, 0).otherwise(1)).alias("steps"), done.alias("done"))))
 
     start = F.struct(even.alias("weights"), F.lit(0.0).alias("likelihood"), F.lit(0).alias("steps"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: F.struct(s["weights"].alias("weights"), s["likelihood"].alias("likelihood"), s["steps"].alias("steps")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(iterations)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)), lambda s: F.struct(s["weights"].alias("weights"), s["likelihood"].alias("likelihood"), s["steps"].alias("steps")))
 
 
 def mixing_weights(rows: DataFrame, key: str, iterations: int = 20) -> DataFrame:

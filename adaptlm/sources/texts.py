@@ -47,7 +47,7 @@ def imported_searches(log: DataFrame, user: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.sum((F.col("kind") == "query").cast("int")).over(w)
     began = F.last(F.when(F.col("kind") == "query", F.col("ts")), ignorenulls=True).over(w)
-    return log.withColumn("user_id", F.lit(user)).withColumn("search_id", F.concat_ws(".", began.cast("string"), n.cast("string"))).where(began.isNotNull())
+    return log.withColumn("user_id", F.lit(user)).withColumn("search_id", F.when(began.isNotNull(), F.concat_ws(".", began.cast("string"), n.cast("string")))).where("search_id is not null")
 
 
 def links(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
