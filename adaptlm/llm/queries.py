@@ -84,4 +84,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_W = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_rules": rf"""
+WITH x AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_W}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_W}')) AS ls FROM x),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS k FROM w, unnest(range(1, len(ws) - 3)) u(i)),
+dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM dup, range(5) r(j) GROUP BY rid),
+line AS (SELECT rid, host, l, len(regexp_extract_all(l, '{_W}')) AS n, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM w, unnest(ls) u(l)),
+lim AS (SELECT host, greatest(20, count(*) * 0.01) AS lim FROM x GROUP BY host),
+freq AS (SELECT host, norm, count(DISTINCT rid) AS n FROM line GROUP BY 1, 2),
+common AS (SELECT f.host, f.norm FROM freq f JOIN lim l ON f.host IS NOT DISTINCT FROM l.host WHERE f.n > l.lim),
+lost AS (SELECT rid, sum(n) AS gone FROM line l JOIN common c ON l.norm = c.norm AND l.host IS NOT DISTINCT FROM c.host GROUP BY rid),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+(len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0) AS gone FROM w LEFT JOIN cov USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - gone >= 10 AND gone <= 0.5 * n_words AS kept FROM m""",
+    "op7_warc": """
+WITH x AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT rid, page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM x),
+f AS (SELECT *, first_value(rid) OVER w AS first_rid, first_value(page_id) OVER w AS first_page FROM d WINDOW w AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id NULLS LAST, rid))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND rid <> first_rid THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND rid <> first_rid THEN first_page END AS refers_to FROM f""",
+}
