@@ -49,13 +49,16 @@ class Encoder:
     A single space between two characters that are not white space always starts a new
     pre-token of a byte-level BPE, so the text can be cut there; words seen
     before come from a bounded cache, others from a rank table where the vocabulary
-    lists its merges in order of ids, else from the tokenizer itself.
+    lists its merges in order of ids, else from the tokenizer itself. ordinary: the
+    strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = ordinary
+        self.ordinary = ordinary
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
         self.rare = re.compile("[\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]").search
@@ -92,7 +95,7 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.byte_level or any(x in text for x in self.special):
+        if not self.byte_level or not self.ordinary and any(x in text for x in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         words = text.split(" ") if self._even(text) else self.cut(text)
         head = self._ids(words.pop(0))
@@ -103,10 +106,10 @@ class Encoder:
         return head + b"".join(found)
 
 
-@functools.lru_cache(1)
-def encoder(path: str) -> Encoder:
+@functools.lru_cache(2)
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for all tasks of a worker process: its cache stays warm."""
-    return Encoder(path)
+    return Encoder(path, ordinary)
 
 
 class Schedule:

@@ -40,6 +40,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from adaptlm.llm.separators import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adaptlm.llm.rules import quality_rules
 
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_neighbours": op3_neighbours,
     "op4_quality": op4_quality,
+    "op5_separators": op5_separators,
     "op6_rules": op6_rules,
     "op7_warc": op7_warc,
     "op8_neardup": op8_neardup,

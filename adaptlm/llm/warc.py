@@ -67,7 +67,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 100) -> None:
     rows.write.option("compression", "gzip").option("lineSep", END).text(path)
 
 
-def _open(uri: str):
+def open_path(uri: str):
+    """The file system and path of a URI."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else re.sub(r"^file:/*", "file:///", uri))
@@ -134,7 +135,7 @@ def field(head: bytes, name: str) -> str | None:
 
 def normalise_file(source: str, target: str) -> Iterator[tuple[int, int, str, str]]:
     """Rewrite one archive with a member for each record; gives (offset, length, record id, type). The file appears under its name when whole."""
-    (fs_in, path_in), (fs_out, path_out) = _open(source), _open(target)
+    (fs_in, path_in), (fs_out, path_out) = open_path(source), open_path(target)
     fs_out.create_dir(path_out.rpartition("/")[0], recursive=True)
     part, at = f"{path_out}.{uuid.uuid4().hex}.part", 0
     with fs_in.open_input_stream(path_in, compression=None) as stream, fs_out.open_output_stream(part, compression=None) as out:
@@ -195,7 +196,7 @@ def read_records(index: DataFrame) -> DataFrame:
                     if archive not in files:
                         for f in files.values():
                             f.close()
-                        fs, path = _open(archive)
+                        fs, path = open_path(archive)
                         files = {archive: fs.open_input_file(path)}
                     f = files[archive]
                     f.seek(offset)

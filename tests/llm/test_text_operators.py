@@ -238,3 +238,31 @@ def test_pair_interaction_is_learned():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = quality.fit(x, y)
     assert (0, 1) in m.pairs and ((m.score(x) > 0.5) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_separator_scan(spark, tmp_path, block):
+    from adaptlm.llm import separators
+
+    rng = np.random.default_rng(2)
+    want = set()
+    for f, end in (("a", True), ("b", False), ("c", True)):
+        lengths = [int(x) for x in rng.integers(0, 12, 9)] if f != "c" else [0, 0]
+        ids = np.concatenate([np.append(rng.integers(0, 5, n), 9) for n in lengths] + ([] if end else [rng.integers(0, 5, 4)])).astype("<u2")
+        (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
+        want |= {(f"{f}.bin", i, n, True) for i, n in enumerate(lengths)} | (set() if end else {(f"{f}.bin", len(lengths), 4, False)})
+    (tmp_path / "empty.bin").write_bytes(b"")
+    got = separators.scan(spark, f"file://{tmp_path}", 9, 2, block).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    from adaptlm.llm import separators
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = True
+    want = collections.Counter((r[0], len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in awkward_rows())
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(documents(spark), TOKENIZER, 50256).collect()) == want
+    assert separators.token_counts(documents(spark, []), TOKENIZER, 50256).count() == 0
