@@ -153,3 +153,18 @@ def count_value(text: Column) -> Column:
 def sql_literal(text: Column) -> Column:
     """Text with quotes and backslashes doubled; prefer bound arguments."""
     return F.regexp_replace(text, r"(['\"\\])", "$1$1")
+
+
+#: Result-page addresses of search services by name, with the text and start (or page number) to fill in.
+RESULT_PAGES = {"bing": "http://www.bing.com/search?q=%s&first=%d", "aol": "http://search.aol.com/aol/search?q=%s&page=%d"}
+
+
+def result_page_url(engine: str, text: Column, start: Column, size: int = 10) -> Column:
+    """The address of the result page that begins at start: by rank, or by page number for aol."""
+    at = start if engine != "aol" else F.floor((start - 1) / size).cast("int") + 1
+    return F.format_string(RESULT_PAGES[engine], url_encode(text), at)
+
+
+def search_link(prefix: str, text: Column) -> Column:
+    """A link to another service's results."""
+    return F.concat(F.lit(prefix), url_encode(text))

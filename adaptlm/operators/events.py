@@ -95,3 +95,10 @@ def forced_runs(rows: DataFrame, marks: DataFrame, user: str, ts: str, gap_s: in
 def session_windows(events: DataFrame, user: str, ts: str, gap: str = "30 minutes") -> DataFrame:
     """user, first, last, n of windows that a gap above the given one ends; also on streams."""
     return events.groupBy(user, F.session_window(ts, gap)).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")).drop("session_window")
+
+
+def date_headers(rows: DataFrame, user: str, ts: str, *order: str) -> DataFrame:
+    """rows with shown: the date where it differs from that of the row before, else null."""
+    w = Window.partitionBy(user).orderBy(ts, *order)
+    day = F.to_date(ts)
+    return rows.withColumn("shown", F.when(~day.eqNullSafe(F.lag(day).over(w)), day))

@@ -61,3 +61,9 @@ def covered(results: DataFrame, key: str, start: int, count: int) -> DataFrame:
 def merged_pages(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Both, the new row where both have a key."""
     return new.unionByName(old.join(new.select(*key).distinct(), list(key), "left_anti"))
+
+
+def first_tier(short: DataFrame, long: DataFrame, key: str) -> DataFrame:
+    """Rows of the short-term tier, and those of the long-term one whose key it has not, with their tier."""
+    rest = long.join(short.select(key), key, "left_anti").select(*short.columns)
+    return short.withColumn("tier", F.lit("short")).unionByName(rest.withColumn("tier", F.lit("long")))

@@ -11,6 +11,7 @@ from adaptlm.functions import codecs as C
 from adaptlm.functions import text as T
 from adaptlm.functions.porter import stemmed
 from adaptlm.operators import em, events, lm, models, rank, recommend, sessions, topics
+from adaptlm.sources import texts
 from adaptlm.sources.tables import table
 from adaptlm.sources.texts import links
 
@@ -522,6 +523,68 @@ def recommend_docs(spark: SparkSession, d: str) -> DataFrame:
     return recommend.recommend(docs, by_source, probs, default, "doc_id", "source")
 
 
+@query(f"""WITH {DOCS}, tc AS (SELECT source, term, sum(tf)::DOUBLE AS c FROM d JOIN documents USING (doc_id) GROUP BY 1, 2), n AS (SELECT source, term, c / sum(c) OVER (PARTITION BY source) AS prob FROM tc),
+r AS (SELECT *, row_number() OVER w AS place, coalesce(sum(prob) OVER (PARTITION BY source ORDER BY prob DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER (PARTITION BY source) AS n FROM n WINDOW w AS (PARTITION BY source ORDER BY prob DESC, term)),
+k AS (SELECT * FROM r WHERE place <= 10 AND prob >= 0.01 AND before < 0.9) SELECT source, place::INT AS place, term FROM k UNION ALL SELECT source, (max(place) + 1)::INT, '...' FROM k GROUP BY source HAVING max(n) > max(place)""")
+def topic_terms(spark: SparkSession, d: str) -> DataFrame:
+    counts = _docs(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "term").agg(F.sum("tf").cast("double").alias("prob"))
+    return topics.shown_terms(lm.normalised(counts, "source", "prob"), "source").select("source", "place", "term")
+
+
+@query("SELECT event_id, user_id, CASE WHEN ts::DATE IS DISTINCT FROM lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN ts::DATE END AS shown FROM events")
+def date_headers(spark: SparkSession, d: str) -> DataFrame:
+    return events.date_headers(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "shown")
+
+
+@query("SELECT item_id, 'http://www.bing.com/search?q=' || replace(url_encode(text), '%20', '+') || '&first=' || (item_id % 5 * 10 + 1) AS bing, 'http://search.aol.com/aol/search?q=' || replace(url_encode(text), '%20', '+') || '&page=' || (item_id % 5 + 1) AS aol, 'http://other/?q=' || replace(url_encode(text), '%20', '+') AS link FROM benchmark")
+def result_page_urls(spark: SparkSession, d: str) -> DataFrame:
+    start, t = (F.col("item_id") % 5 * 10 + 1).cast("int"), F.col("text")
+    return table(spark, d, "benchmark").select("item_id", T.result_page_url("bing", t, start).alias("bing"), T.result_page_url("aol", t, start).alias("aol"), T.search_link("http://other/?q=", t).alias("link"))
+
+
+@query(f"{_HEAD} SELECT item_id, count(DISTINCT CASE WHEN pos BETWEEN 2 AND 6 AND pos % 7 <> item_id % 7 THEN pos END) = 5 AS complete FROM hits WHERE pos % 7 <> item_id % 7 GROUP BY 1")
+def complete_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return rank.covered(_hits(spark, d).where("pos % 7 <> item_id % 7"), "item_id", 2, 5)
+
+
+@query(f"WITH old AS (SELECT user_id, {ITEM} AS item, min(event_id) AS event_id FROM events GROUP BY ALL), new AS (SELECT user_id, {ITEM} AS item, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT user_id, item, coalesce(new.event_id, old.event_id) AS event_id FROM old LEFT JOIN new USING (user_id, item)")
+def merged_pages(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    old, new = e.groupBy("user_id", "item").agg(F.min("event_id").alias("event_id")), e.where("event_type = 'click'").groupBy("user_id", "item").agg(F.max("event_id").alias("event_id"))
+    return rank.merged_pages(old, new, "user_id", "item")
+
+
+@query("WITH m AS (SELECT user_id, TIMESTAMP '2024-01-20 00:00:00' AS ts FROM events GROUP BY 1), l AS (SELECT user_id, max(ts) AS last FROM events WHERE event_type = 'click' GROUP BY 1) SELECT user_id, coalesce(last > ts, false) AS outdated FROM m LEFT JOIN l USING (user_id)")
+def outdated_models(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumnRenamed("event_type", "type")
+    m = e.select("user_id").distinct().withColumn("ts", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return models.outdated(m, e, "user_id", "click").select("user_id", "outdated")
+
+
+@query(f"WITH {DOCS} SELECT term, sum(tf)::BIGINT AS count FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500")
+def commonest_terms(spark: SparkSession, d: str) -> DataFrame:
+    return texts.commonest_terms(_docs(spark, d).groupBy("term").agg(F.sum("tf").alias("count")), 500)
+
+
+@query("SELECT user_id, min(event_id::VARCHAR) AS first_id, max(event_id::VARCHAR) AS last_id, max(CASE WHEN event_type = 'view' THEN event_id END) AS last_view FROM events GROUP BY 1")
+def first_last_ids(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("id", F.col("event_id").cast("string"))
+    return e.groupBy("user_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("last_view"))
+
+
+@query("WITH s AS (SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'), l AS (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0) SELECT event_id, user_id, 'short' AS tier FROM s UNION ALL SELECT event_id, user_id, 'long' FROM l WHERE event_id NOT IN (SELECT event_id FROM s)")
+def two_tier_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "ts")
+    short, long = e.where("ts >= timestamp_ntz '2024-01-15'").drop("ts"), e.where("event_id % 2 = 0").drop("ts")
+    return rank.first_tier(short, long, "event_id")
+
+
+@query("SELECT c.conv_id, c.turn, e.is_expired AS keep FROM conversations c JOIN (SELECT conv_id, max(turn) < 5 AS is_expired FROM conversations GROUP BY 1) e USING (conv_id) WHERE c.role = 'user'")
+def history_split(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    return c.where("role = 'user'").join(c.groupBy("conv_id").agg((F.max("turn") < 5).alias("keep")), "conv_id").select("conv_id", "turn", "keep")
+
+
 # --- beyond: relational checks on the star schema ---
 
 
