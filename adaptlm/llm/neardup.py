@@ -5,7 +5,7 @@ keeps its least hash; an empty bin borrows from a bin that its own fixed random
 sequence visits first. Bands of bins are buckets. Equal sets are one set from the
 start. In a bucket every set is compared with the bucket's centre alone, so a bucket of n
 gives n - 1 pairs. As two alike sets may both be unlike a centre, later rounds take
-other centres for the buckets that still hold several components. All pairs are
+other centres for the buckets that still hold several components: once the set with the most links, else by chance. All pairs are
 confirmed on the full sets.
 """
 
@@ -129,7 +129,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
     links = roots = tried = None
     for r in range(rounds):
         now = members if roots is None else members.join(roots, F.col("rid") == F.col("node"), "left").select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
-        of = F.struct(F.xxhash64(F.lit(r), "bucket", "rid").alias("p"), F.col("rid"), *([F.col("root")] if roots is not None else []))
+        lead = [F.xxhash64(F.lit(r), "bucket", "rid").alias("p")]
+        if r == 1:  # the set with the most links so far: a text that others were made from
+            degree = links.select(F.explode(F.array("a", "b")).alias("d_rid")).groupBy("d_rid").agg(F.count(F.lit(1)).alias("d"))
+            now = now.join(degree, F.col("rid") == F.col("d_rid"), "left").select("bucket", "rid", "root", (-F.coalesce("d", F.lit(0))).alias("d"))
+            lead = [F.col("d"), *lead]
+        of = F.struct(*lead, F.col("rid"), *([F.col("root")] if roots is not None else []))
         centre = now.groupBy("bucket").agg(F.min(of).alias("c"), *([F.min("root").alias("lo"), F.max("root").alias("hi")] if roots is not None else []))
         if roots is not None:
             centre = centre.where("lo < hi")

@@ -266,3 +266,21 @@ def test_token_counts(spark):
     want = collections.Counter((r[0], len(tok.encode(r[1] or "", add_special_tokens=False).ids)) for r in awkward_rows())
     assert collections.Counter((r.doc_id, r.n_tokens) for r in separators.token_counts(documents(spark), TOKENIZER, 50256).collect()) == want
     assert separators.token_counts(documents(spark, []), TOKENIZER, 50256).count() == 0
+
+
+def test_many_copies_of_one_text_that_are_unlike_each_other(spark):
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        copy = list(base)
+        for _ in range(10):
+            copy[r.randint(0, 399)] = f"c{k}x{r.random()}"
+        texts.append(" ".join(copy))
+    rows = [(i, t, "en", "s", 1, 1, 1, "h", 0.1) for i, t in enumerate(texts)]
+    sets = [shingles(t) for t in texts]
+    alike = [100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert sum(alike) > 40 and all(got[i] == 0 for i, a in enumerate(alike) if a)
