@@ -47,7 +47,7 @@ _BYTES = mixed(np.arange(512, dtype=np.uint64) + np.uint64(4711))
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks from 1 of integer keys, and their number."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     r = np.empty(len(keys), np.int64)
     dense = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -85,12 +85,15 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     one, two = one[one < n], two[two < n]
     ones, twos = (t[one] << wide) | rank[one + 1], (((t[two] << bits) | t[two + 1]) << wide) | rank[two + 2]
     # merge: what each kind counts of the other; equal keys agree to the depth
-    sampled = np.sort(rank[np.concatenate([one, two])])
-    s_ones, s_twos, s_by_one, s_by_two = np.sort(ones), np.sort(twos), np.sort(by_one), np.sort(by_two)
+    less = np.concatenate([[0], np.cumsum(np.bincount(rank[np.concatenate([one, two])]))])
+    o_ones, o_twos, o_by_one, o_by_two = (np.argsort(k) for k in (ones, twos, by_one, by_two))
+    s_ones, s_twos, s_by_one, s_by_two = ones[o_ones], twos[o_twos], by_one[o_by_one], by_two[o_by_two]
     out = np.empty(n, np.int64)
-    out[rest] = np.searchsorted(s_by_one, by_one) + np.searchsorted(s_ones, by_one) + np.searchsorted(s_twos, by_two)
-    out[one] = np.searchsorted(sampled, rank[one]) + np.searchsorted(s_by_one, ones)
-    out[two] = np.searchsorted(sampled, rank[two]) + np.searchsorted(s_by_two, twos)
+    # questions go in their own order, which keeps the searches near each other
+    out[rest[o_by_one]] = np.searchsorted(s_by_one, s_by_one) + np.searchsorted(s_ones, s_by_one)
+    out[rest[o_by_two]] += np.searchsorted(s_twos, s_by_two)
+    out[one[o_ones]] = less[rank[one[o_ones]]] + np.searchsorted(s_by_one, s_ones)
+    out[two[o_twos]] = less[rank[two[o_twos]]] + np.searchsorted(s_by_two, s_twos)
     return out + 1
 
 
@@ -105,7 +108,7 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
         symbols[b : b + len(x)] = text[b : b + len(x)].astype(np.int64) + 2
     rank = suffix_ranks(symbols, length)
     starts = np.concatenate([np.arange(b, b + max(0, s - length + 1)) for b, s in zip(begin, sizes)])
-    order = starts[np.argsort(rank[starts], kind="stable")]
+    order = starts[np.argsort(rank[starts])]
     padded = np.concatenate([text, np.zeros(length, np.uint8)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, length)
     same = np.ones(max(0, len(order) - 1), bool)
