@@ -5,8 +5,9 @@ keeps its least hash; an empty bin borrows from a bin that its own fixed random
 sequence visits first. Bands of bins are buckets. Equal sets are one set from the
 start. In a bucket every set is compared with the bucket's centre alone, so a bucket of n
 gives n - 1 pairs. As two alike sets may both be unlike a centre, later rounds take
-other centres for the buckets that still hold several components: once the set with the most links, else by chance. All pairs are
-confirmed on the full sets.
+other centres for the buckets that still hold several components: once the set with the most links, else by chance. In buckets
+that hold several components even then all pairs of two components are compared, block by block, on bitmaps of the sets: the bits that
+differ bound the unlike shingles from below, so no alike pair is dropped. All pairs are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -101,6 +102,107 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Sets of a crowded bucket in a block: about so many are compared with as many others at once.
+BLOCK_SETS = 1024
+
+
+def bitmap(distinct: np.ndarray) -> bytes:
+    """A bit for each of a set's hashes by its low bits: four to eight bits a hash, 512 to 65,536 in all, a power of two."""
+    bits = 1 << min(max((4 * len(distinct) - 1).bit_length(), 9), 16)
+    out = np.zeros(bits, bool)
+    out[(distinct & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """rid, n (size of the set), bits of rows rid, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                h, ends = shingle_hashes(*word_hashes(*text_bytes(part.column(1))), width)
+                sets = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary())], names=["rid", "n", "bits"])
+
+    return texts.mapInArrow(run, "rid long, n long, bits binary")
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps [set, 64-bit word] at fewer words: the parts of a longer one are united, as its low bits are those of the shorter one."""
+    return np.bitwise_or.reduce(maps.reshape(len(maps), -1, words), 1)
+
+
+def maybe_alike(n: np.ndarray, root: np.ndarray, side: np.ndarray, two: bool, bits: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i, j of all pairs of two roots (if two, of two sides also) that sizes and bitmaps let reach percent, and how many bits differ in 1000 shingles.
+
+    Sets of united size s (counted twice where common) reach percent only if at most s * (100 - percent) / (100 + percent) shingles are in one of them alone.
+    """
+    width = np.array([len(b) // 8 for b in bits])
+    kinds = {w: np.flatnonzero(width == w) for w in sorted(set(width.tolist()))}
+    maps = {w: np.frombuffer(b"".join(bits[k] for k in at), np.uint64).reshape(len(at), w) for w, at in kinds.items()}
+    left, right, far = [], [], []
+    for w, at in kinds.items():
+        for v, others in kinds.items():
+            if v < w or 100 * n[at].max() < percent * n[others].min() or 100 * n[others].max() < percent * n[at].min():
+                continue
+            other_maps = maps[v] if v == w else folded(maps[v], w)
+            for k, i in enumerate(at):
+                js, start = (others[k + 1 :], k + 1) if v == w else (others, 0)
+                fit = (root[js] != root[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))
+                if two:
+                    fit &= side[js] != side[i]
+                fit = np.flatnonzero(fit)
+                if not len(fit):
+                    continue
+                differ = np.bitwise_count(other_maps[start + fit] ^ maps[w][k]).sum(1, dtype=np.int64)
+                united = n[js[fit]] + n[i]
+                keep = (100 + percent) * differ <= (100 - percent) * united
+                if keep.any():
+                    right.append(js[fit[keep]]), left.append(np.full(len(right[-1]), i)), far.append(1000 * differ[keep] // united[keep])
+    if not left:
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(left), np.concatenate(right), np.concatenate(far)
+
+
+def crowded_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """a, b (a < b), far: pairs of two roots in a bucket that may be alike. members: bucket, rid, root, blocks (how many the bucket is cut into).
+
+    Each block of a bucket meets each block in a group of its own, so a bucket's work is spread over tasks.
+    """
+    own, other = F.col("own"), F.col("other")
+    dealt = members.join(maps, "rid").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), (own > other).cast("long").alias("side"), "rid", "root", "n", "bits")
+    dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(group)
+        x, y, side, rid, root, n = (t.column(k).to_numpy() for k in ("x", "y", "side", "rid", "root", "n"))
+        i, j, far = maybe_alike(n, root, side, x[0] != y[0], t.column("bits").to_pylist(), percent)
+        return np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j]), far
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                here = tuple(key[a].tolist())
+                if here != at:
+                    if group:
+                        found.append(pairs(group))
+                    group, at = [], here
+                group.append(batch.slice(a, b - a))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["a", "b", "far"])
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs(group)], names=["a", "b", "far"])
+
+    return dealt.mapInArrow(run, "a long, b long, far long").distinct()
+
+
 #: Row keys that are sent to every executor at most (8 bytes each); more of them are joined by a shuffle.
 MOST_SENT = 1_000_000
 
@@ -113,9 +215,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
     own component. component_id is the smallest doc_id of the component, kept whether it
     is the row's own, so rows that repeat an id are kept or not together. Null ids take
     no part in the minimum. An empty table gives no rows; other columns are ignored.
-    rounds: choices of centres in each bucket; a pair of alike sets is missed only if it
-    shares no band (odds under 1e-5 at 0.75) or if, in all buckets that it shares and all rounds, a
-    third set unlike one of the two was the centre and nothing else connects them.
+    rounds: choices of centres in each bucket, before the buckets that still hold several components
+    are compared in full; a pair of alike sets is missed only if it shares no band (odds under 1e-5 at 0.75).
     """
     # rid is taken here, over all rows, and both uses of the texts read the same scan
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id", "text").select("rid", "doc_id", "text")
@@ -127,8 +228,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = written(members.join(crowded, "bucket"), "members")
     links = roots = tried = None
+
+    def rooted_members() -> DataFrame:
+        return members.join(roots, F.col("rid") == F.col("node"), "left").select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
+
+    def texts_of(ends: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(ends) if ends.count() <= MOST_SENT else ends, "rid", "left_semi").select("rid", "text")
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        return pairs if tried is None else pairs.join(tried, (F.least("a", "b") == F.col("t1")) & (F.greatest("a", "b") == F.col("t2")), "left_anti")
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm written pairs and find the components anew."""
+        nonlocal links, tried, roots
+        ends = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "ends")
+        found = written(confirmed(pairs, texts_of(ends), width, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        these = pairs.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"))
+        tried = these if tried is None else tried.unionByName(these)
+        roots = written(components(links, "a", "b"), "roots")
+
     for r in range(rounds):
-        now = members if roots is None else members.join(roots, F.col("rid") == F.col("node"), "left").select("bucket", "rid", F.coalesce("root", "rid").alias("root"))
+        now = members if roots is None else rooted_members()
         lead = [F.xxhash64(F.lit(r), "bucket", "rid").alias("p")]
         if r == 1:  # the set with the most links so far: a text that others were made from
             degree = links.select(F.explode(F.array("a", "b")).alias("d_rid")).groupBy("d_rid").agg(F.count(F.lit(1)).alias("d"))
@@ -140,19 +261,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
             centre = centre.where("lo < hi")
         pairs = now.join(centre, "bucket").where(F.col("rid") != F.col("c.rid") if roots is None else F.col("root") != F.col("c.root"))
         # the centre is a, so that a centre's set is made once for many members
-        pairs = pairs.select(F.col("c.rid").alias("a"), F.col("rid").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, (F.least("a", "b") == F.col("t1")) & (F.greatest("a", "b") == F.col("t2")), "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.take(1):
+        pairs = written(untried(pairs.select(F.col("c.rid").alias("a"), F.col("rid").alias("b")).distinct()), "pairs")
+        if pairs.take(1):
+            link(pairs)
+        elif roots is None:  # no bucket has two sets
             break
-        ends = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "ends")
-        texts = rows.join(F.broadcast(ends) if ends.count() <= MOST_SENT else ends, "rid", "left_semi").select("rid", "text")
-        found = written(confirmed(pairs, texts, width, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        these = pairs.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"))
-        tried = these if tried is None else tried.unionByName(these)
-        roots = written(components(links, "a", "b"), "roots")
+    if roots is not None:
+        # a bucket of two sets was compared in full by its first centre
+        now = rooted_members()
+        held = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi AND n > 2")
+        crowd = written(now.join(held.select("bucket", F.ceil(F.col("n") / BLOCK_SETS).alias("blocks")), "bucket"), "crowded")
+        if crowd.take(1):
+            maps = written(bitmaps(texts_of(written(crowd.select("rid").distinct(), "ends")), width), "bitmaps")
+            left = written(untried(crowded_pairs(crowd, maps, percent)), "candidates")
+            for best in (True, False):  # first the likest pair of each two components, as it mostly joins them, then all pairs that are still of two
+                if not left.take(1):
+                    break
+                x, y = (roots.select(F.col("node").alias(f"{k}_node"), F.col("root").alias(f"{k}_root")) for k in "ab")
+                both = left.join(x, F.col("a") == F.col("a_node"), "left").join(y, F.col("b") == F.col("b_node"), "left")
+                both = both.select("a", "b", "far", F.coalesce("a_root", "a").alias("ra"), F.coalesce("b_root", "b").alias("rb")).where("ra <> rb")
+                pairs = both.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b") if best else both.select("a", "b")
+                pairs = written(untried(pairs), "pairs")
+                if pairs.take(1):
+                    link(pairs)
     if roots is None:
         labels = sets.select("fp1", "fp2", F.col("doc_id").alias("component"), F.col("rid").alias("root"))
     else:

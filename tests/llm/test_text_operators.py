@@ -104,6 +104,50 @@ def test_near_duplicates_in_one_bucket_with_an_unlike_centre(spark):
                 assert got[i] == got[j]
 
 
+def test_near_duplicates_among_many_unlike_sets_of_a_bucket(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(900)]
+    texts = []
+    for k in range(60):  # letters of one form: two of a kind are alike, those of two kinds are not
+        at = r.sample(range(0, 900, 5), 28)
+        for side in range(2):
+            own = {at[j]: f"k{k}x{j}" for j in range(4)} | {at[j]: f"k{k}s{side}x{j}" for j in range(4 + 12 * side, 16 + 12 * side)}
+            texts.append(" ".join(own.get(i, w) for i, w in enumerate(base)))
+    sets = [shingles(t) for t in texts]
+    near = [(i, j) for i in range(120) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want, before = list(range(120)), None
+    while want != before:
+        before = list(want)
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(near) >= 60 and len(set(want)) > 50
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(documents(spark, [(i, t, "en", "s", 1, 1, 1, "h", 0.1) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(120)] == want
+
+
+def test_bitmaps_drop_no_alike_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    sets = []
+    for k in range(120):  # sizes from 60 to 900, so that bitmaps of several lengths meet
+        size = int(rng.integers(60, 900))
+        sets.append(np.unique(np.concatenate([base[:size], rng.integers(0, 2**63, int(rng.integers(0, size // 4 + 1)), dtype=np.uint64)])))
+    n, root, side = np.array([len(s) for s in sets]), np.arange(120) // 2, np.arange(120) % 2
+    for two in (False, True):
+        i, j, _ = neardup.maybe_alike(n, root, side, two, [neardup.bitmap(s) for s in sets], 75)
+        got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
+        assert len(got) == len(i)
+        alike = set()
+        for a in range(120):
+            for b in range(a + 1, 120):
+                c = len(np.intersect1d(sets[a], sets[b]))
+                if root[a] != root[b] and not (two and side[a] == side[b]) and 100 * c >= 75 * (n[a] + n[b] - c):
+                    alike.add((a, b))
+        assert alike and alike <= got
+
+
 def test_signature_of_small_sets_agrees():
     rng = np.random.default_rng(0)
     same = 0.0
