@@ -27,10 +27,13 @@ from adaptlm.llm.words import text_bytes, word_hashes
 #: Fixed values of HTML: elements without an end tag, with raw text, that do not break a block, and that are never shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = frozenset("script style head title template svg math iframe object embed noembed noframes noscript select datalist textarea".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HIDDEN = frozenset("script style head title template svg annotation annotation-xml mphantom iframe object embed noembed noframes noscript select datalist textarea".split())
 #: Elements that only change how text looks: no part of a path.
-LOOKS = frozenset("b big em font i mark s small strike strong tt u".split())
+LOOKS = MATH | frozenset("b big em font i mark s small strike strong tt u".split())
+#: Elements that can stand in a head; another one ends it, as does text.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: What an element that opens closes, within its nearest holder.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table td th tr ul".split())
@@ -70,6 +73,8 @@ def blocks_of(page: str) -> list[Block]:
         state["linked"] = 0
 
     def say(raw: str) -> None:
+        if stack and stack[-1][0] == "head" and raw.strip():
+            pop()
         if raw and not state["hidden"]:
             text = html.unescape(raw)
             if not parts or not "".join(parts).strip():
@@ -93,6 +98,12 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in HOLDERS:
                 return
 
+    def end_head() -> None:
+        """End an open head, with what is open in it."""
+        k = next((k for k, (n, _) in enumerate(stack) if n == "head"), len(stack))
+        while len(stack) > k:
+            pop()
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -117,6 +128,9 @@ def blocks_of(page: str) -> list[Block]:
                         pop()
                     break
             continue
+        # what is in a noscript or a template is no part of the head
+        if name == "body" or name not in IN_HEAD and stack and stack[-1][0] == "head":
+            end_head()
         if name in VOID:
             continue
         if name in RAW:

@@ -120,6 +120,18 @@ def test_labeller_gradient():
         m.w[name][at] = was
 
 
+def test_blocks_of_a_page_whose_head_is_not_ended():
+    head = "<html><head><meta charset=utf-8><title>t</title><script>var a;</script><noscript><img src=x>no</noscript><template><p>no</p></template>"
+    for page in (head + "<body><p>One<p>Two", head + "<p>One</p><p>Two</p></body>", head + "One<p>Two", head + "</head><body><p>One<p>Two"):
+        assert [x.text for x in blocks.blocks_of(page)] == ["One", "Two"]
+    assert [x.path for x in blocks.blocks_of(head + "<body><p>One")] == [x.path for x in blocks.blocks_of(head + "</head><body><p>One")]
+
+
+def test_blocks_of_a_page_with_formulas():
+    b = blocks.blocks_of("<p>where <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='application/x-tex'>x=2</annotation></semantics></math> holds</p>")
+    assert [x.text for x in b] == ["where x=2 holds"]
+
+
 def test_blocks_of():
     b = blocks.blocks_of("<html><head><title>t</title><style>p{}</style></head><body><!-- x <p>no</p> --><p>One &amp; <b>two<br>three</p><script>var t='</p>';</script><ul><li>a<li>b  c</ul>tail &lt;x&gt;<p>last")
     assert [x.text for x in b] == ["One & two three", "a", "b c", "tail <x>", "last"]
