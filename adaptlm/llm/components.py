@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from adaptlm.llm.shared import written
 
 MOST_ROUNDS = 64
+#: Parts that the edges of a node are dealt to when its minimum goes back to them.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame, node: str, far: str) -> DataFrame:
+    """edges with the minimum m of their node; a node's edges are spread over SALTS parts."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(far), F.lit(SALTS))).join(salted, [node, "salt"]).drop("salt")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,10 +39,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # large star: each neighbour above a node gets the smallest node near it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = _with_least(both.where("v > u"), least, "u", "v").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # small star: a node and its smaller neighbours get the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        linked = large.join(least, "v")
+        linked = _with_least(large, least, "v", "u")
         small = linked.select(F.col("m").alias("u"), F.col("u").alias("v")).where("u < v").unionByName(least.select(F.col("m").alias("u"), "v"))
         edges = written(small.distinct(), "edges")
         before, state = state, _state(edges)

@@ -27,9 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import written
+from adaptlm.llm.shared import shared_dir, slices, tidy, written
 
-CACHED_WORDS = 400_000
+#: Words whose ids a task remembers; they are forgotten when it ends, as a worker process outlives it.
+CACHED_WORDS = 100_000
 
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
@@ -108,7 +109,7 @@ class Encoder:
 
 @functools.lru_cache(2)
 def encoder(path: str, ordinary: bool = False) -> Encoder:
-    """One for all tasks of a worker process: its cache stays warm."""
+    """One for all tasks of a worker process, which reads the vocabulary once."""
     return Encoder(path, ordinary)
 
 
@@ -181,14 +182,17 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encode, task, at = encoder(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.asarray([end_id], encode.dtype).tobytes()
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in slices(batch, 2, 1000):
                 sources, ids = part.column(1).to_pylist(), [encode(t) + end for t in part.column(2).to_pylist()]
                 n, starts = [len(x) // encode.dtype.itemsize for x in ids], []
                 for s, k in zip(sources, n):
                     starts.append(at.get(s, 0))
                     at[s] = starts[-1] + k
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([task] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array([encode.dtype.itemsize] * len(n), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "source", "n_tokens", "task", "task_start", "id_bytes", "ids"])
+        encode.known.clear()
+        tidy()
 
+    shared_dir(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, source string, n_tokens long, task int, task_start long, id_bytes int, ids binary")
 
 
@@ -214,8 +218,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in slices(batch, 5, 1000):
                 yield from cut_part(part)
+        tidy()
 
     def cut_part(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         src = np.array([index[s] for s in part.column(1).to_pylist()])

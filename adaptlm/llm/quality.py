@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adaptlm.llm.shared import slices, small_batches, tidy
 from adaptlm.llm.words import SPACE, mixed, shingle_hashes, text_bytes, word_bounds, word_hashes
 
 FEATURES = ("words", "word_length", "longest_word", "symbols", "bars", "exclamations", "capitals", "capital_words", "digits", "stops", "other_marks", "high_bytes", "lines", "line_length", "same_line", "same_word", "distinct_words", "commonest_word", "repeated_shingles")
@@ -219,9 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(features(part.column(1)).tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
+        tidy()
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = joined.mapInArrow(run, f"doc_id {kind}, quality int, x array<double>").orderBy("doc_id", "quality", "x").limit(2 * max_rows).collect()
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float), **options)
@@ -239,9 +242,11 @@ def scored(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, at):
                 text = part.column(at)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(text)))], names=[*names, "score"])
+        tidy()
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, schema)
     return out.select(*(F.col(f"`{n}`") for n in names), held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adaptlm.llm.packing import encoder
-from adaptlm.llm.shared import new_path, written
+from adaptlm.llm.shared import new_path, slices, tidy, written
 from adaptlm.llm.warc import open_path
 
 BLOCK_TOKENS = 1 << 20
@@ -41,12 +41,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
         part, n = f"{target}.{uuid.uuid4().hex}.part", 0
         with fs.open_output_stream(part, compression=None) as out:
             for batch in batches:
-                for some in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                for some in slices(batch, 1, 1000):
                     for text in some.column(1).to_pylist():
                         out.write(encode(text) + end)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * some.num_rows, pa.string()), pa.array(range(n, n + some.num_rows), pa.int64()), some.column(0)], names=["file", "ordinal", "doc_id"])
                     n += some.num_rows
         fs.move(part, target)
+        encode.known.clear()
+        tidy()
 
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

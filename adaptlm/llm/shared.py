@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +21,50 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of an Arrow batch between Spark and Python, so that a batch of long texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and executors are in this process."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="adaptlm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by rows and bytes (a smaller bound stays)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?\d+", spark.conf.get(key, None) or "")
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and about so many bytes of a text or binary column; a longer value is a part of its own."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def tidy() -> None:
+    """Give memory that a task has freed back to the system, as a worker process outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/adaptlm/{name}-{uuid.uuid4().hex}"
@@ -44,9 +87,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, *columns: str, key: str = "rid") -> DataFrame:
-    """The named columns alone (clashing extra columns go) and a row key that is unique, so repeated ids and null ids stay apart."""
-    return df.select(*(F.col(c) for c in columns), F.monotonically_increasing_id().alias(key))
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether the rows of df are rows of files, each at most once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation")
+
+
+def keyed(df: DataFrame, *columns: str, key: str = "rid", name: str = "rows") -> DataFrame:
+    """The named columns alone (clashing extra columns go) and a row key, struct<f: long, r: long>, so repeated ids and null ids stay apart.
+
+    The key is a row's place: a 64-bit hash of its file's path and its number in that file, so it
+    is the same in every scan, however files are cut into tasks. What is no plain scan of
+    files with row numbers is written once, and the written table is scanned.
+    """
+    narrow = df.select(*(F.col(c) for c in columns))
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    if _plain_scan(narrow):
+        with contextlib.suppress(AnalysisException):  # a format without row numbers
+            return narrow.select(*columns, place.alias(key))
+    return written(narrow, name).select(*columns, place.alias(key))
 
 
 def release(spark: SparkSession) -> None:

@@ -9,8 +9,10 @@
    suffixes sorted by the difference-cover method: sampled triples get names, which
    are sorted again as a string while they are ambiguous and short of `length`,
    the other suffixes are merged in, and neighbours' prefixes are compared.
-   Names with more contexts than one task should take are split: their windows are
-   dealt out by a 128-bit hash of the whole window, each once from every batch of contexts.
+   Names with more contexts than one task should take are made longer: a context is cut to
+   pieces of windows that hold the gram at near places, all of which cover the same bytes
+   around it; those bytes are the piece's new name. Equal pieces are counted, the others sorted
+   as above, and what is still crowded is cut finer, at last to single windows.
 3. Repeating windows go back to every document that holds the context.
 
 The array is thus the corpus's, in parts that need not see each other: windows with
@@ -24,22 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import keyed, release, written
+from adaptlm.llm.shared import keyed, release, slices, tidy, written
 from adaptlm.llm.words import mixed, text_bytes
 
 GRAM = 32
 #: Symbols in one suffix array; three ranks of this size fit a 64-bit key.
 SYMBOLS = 1 << 20
-#: Contexts of one name in one suffix array.
-MOST_CONTEXTS = 200
-#: Windows of such names that one task counts at once, about.
-WINDOWS = 200_000
-_ODD = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
-_BYTES = mixed(np.arange(512, dtype=np.uint64) + np.uint64(4711))
+#: Contexts of one name in one suffix array; names with more are made longer, in CUT parts of the gram's places.
+MOST_CONTEXTS, CUT = 200, 4
+KEY = "struct<f:long,r:long>"
+_ODD = mixed(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+_BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(4711))
 
 
 # --- difference cover ---
@@ -124,13 +124,18 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
 # --- anchors ---
 
 
-def contexts_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """name, first window, number of windows, and whether the name's gram may occur twice, for each run of windows of a text."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """64-bit hash of the GRAM bytes from each place on."""
     h = _BYTES[data]
     for k in range(5):
         m = 1 << k
         h = h[:-m] * _ODD[k] + h[m:]
-    h = mixed(h)
+    return mixed(h)
+
+
+def contexts_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """name, first window, number of windows, and whether the name's gram may occur twice, for each run of windows of a text."""
+    h = gram_hashes(data)
     least, width, step = h, length - GRAM + 1, 1
     while 2 * step <= width:
         least = np.minimum(least[:-step], least[step:])
@@ -152,27 +157,29 @@ def contexts_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def members(rows: DataFrame, length: int) -> DataFrame:
-    """name, c1, c2 (128-bit hash of the context's bytes), rid, lo, n, twice for every context of rows rid, doc_id, text."""
+    """name, c1, c2 (128-bit hash of the context's bytes), rid, lo, n, twice for every context of rows rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
-                data, offsets = text_bytes(part.column(2))
+            for part in slices(batch, 1):
+                data, offsets = text_bytes(part.column(1))
                 view = memoryview(data)
-                found, digests, rids = [], [], []
-                for rid, a, b in zip(part.column(0).to_pylist(), offsets[:-1], offsets[1:]):
+                found, digests, places = [], [], []
+                for k, a, b in zip(range(part.num_rows), offsets[:-1], offsets[1:]):
                     if b - a >= length:
                         c = contexts_of(data[a:b], length)
                         found.append(c)
-                        rids.append(np.full(len(c[0]), rid, np.int64))
+                        places.append(np.full(len(c[0]), k))
                         first, last = (c[1] + a).tolist(), (c[1] + c[2] + (a + length - 1)).tolist()
                         digests.extend([hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(first, last)])
                 if found:
                     name, lo, n, twice = (np.concatenate(x) for x in zip(*found))
                     c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1])), pa.array(np.concatenate(rids)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["name", "c1", "c2", "rid", "lo", "n", "twice"])
+                    rids = part.column(0).take(pa.array(np.concatenate(places)))
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1])), rids, pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["name", "c1", "c2", "rid", "lo", "n", "twice"])
+        tidy()
 
-    return rows.mapInArrow(run, "name long, c1 long, c2 long, rid long, lo int, n int, twice boolean")
+    return rows.select("rid", "text").mapInArrow(run, f"name long, c1 long, c2 long, rid {KEY}, lo int, n int, twice boolean")
 
 
 def _ranges(hits: np.ndarray) -> list[int]:
@@ -188,13 +195,14 @@ def _fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            for part in slices(batch, 0, 64):
                 out = []
                 for text, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = text.encode()
                     out.extend((x["name"], x["c1"], x["c2"], x["many"], data[x["lo"] : x["lo"] + x["n"] + length - 1]) for x in want)
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["name", "c1", "c2", "many", "bytes"])
+        tidy()
 
     return rows.select("rid", "text").join(wanted, "rid").select("text", "want").mapInArrow(run, "name long, c1 long, c2 long, many long, bytes binary")
 
@@ -219,114 +227,71 @@ def _sorted_contexts(texts: DataFrame, length: int) -> DataFrame:
                 size, last = size + len(row[3]) + 1, row[0]
         if held:
             yield solve()
+        tidy()
 
     return texts.select("name", "c1", "c2", "bytes").repartition("name").sortWithinPartitions("name").mapInArrow(run, "name long, c1 long, c2 long, ranges array<int>")
 
 
-def _counted(w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, in order, and how often each is there."""
-    order = np.lexsort((w2, w1))
-    w1, w2 = w1[order], w2[order]
-    first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])) if len(w1) else np.empty(0, np.int64)
-    return w1[first], w2[first], np.diff(first, append=len(w1))
-
-
-def _holds(w1: np.ndarray, w2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    """Which pairs are among the distinct pairs s1, s2."""
-    n = len(w1)
-    order = np.lexsort((np.concatenate([np.zeros(len(s1), bool), np.ones(n, bool)]), np.concatenate([s2, w2]), np.concatenate([s1, w1])))
-    a, b = np.concatenate([s1, w1])[order], np.concatenate([s2, w2])[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]  # a pair of the set comes first among its equals
-    out = np.empty(len(a), bool)
-    out[order] = head < len(s1)
-    return out[len(s1) :]
-
-
-def _dealt_windows(texts: DataFrame, length: int) -> DataFrame:
-    """As _sorted_contexts(), for names with very many contexts: windows meet by their own hash, in any task.
+def pieces_of(data: bytes, gram: int, part: int, length: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """First window, number of windows, name, digest and bytes of the pieces that a context is cut to.
 
-    Contexts are packed to batches. A batch sends each different window once, in packs by
-    hash, and gets back the packs of those that repeat; what very many contexts share is thus counted in batches first.
+    gram: the hash that named it. Windows of a piece have the same first place of that gram,
+    and it stands at o // part = g of them, so all cover the bytes from o = part * g on to the end of the window
+    with the greatest o; equal windows have equal o, so pieces whose covered bytes or g differ share none.
     """
-    names = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    text = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(gram_hashes(text) == np.uint64(gram & 0xFFFFFFFFFFFFFFFF))
+    starts = np.arange(len(text) - length + 1)
+    nearest = np.searchsorted(at, starts)
+    group = (at[nearest] - starts) // part
+    cut = np.flatnonzero((nearest[1:] != nearest[:-1]) | (group[1:] != group[:-1])) + 1
+    for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(starts)]):
+        q, g = int(at[nearest[s]]), int(group[s])
+        last = min((g + 1) * part, length - GRAM + 1) - 1
+        name = hashlib.blake2b(data[q - g * part : q - last + length], digest_size=8, key=b"%d %d %d" % (gram, part, g)).digest()
+        piece = data[s : e - 1 + length]
+        yield s, e - s, name, hashlib.blake2b(piece, digest_size=16).digest(), piece
+
+
+def _cut(crowded: DataFrame, part: int, length: int) -> DataFrame:
+    """p_name, p_c1, p_c2, at, n, name, c1, c2, gram, many, bytes: the pieces of contexts (name, c1, c2, gram, many, bytes)."""
+    names = "p_name p_c1 p_c2 at n name c1 c2 gram many bytes".split()
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.binary()]
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, base = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                if part.num_rows:
-                    ends = pa.array([0, part.num_rows], pa.int32())
-                    lists = [pa.ListArray.from_arrays(ends, part.column(i).cast(k)) for i, k in enumerate(names)]
-                    yield pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *lists], names=["batch", "name", "c1", "c2", "bytes"])
-                    n += 1
-
-    schema = "batch long, name array<long>, c1 array<long>, c2 array<long>, bytes array<binary>"
-    packed = written(texts.select("name", "c1", "c2", "bytes").mapInArrow(gather, schema), "context-batches")
-    windows = packed.select(F.sum(F.aggregate("bytes", F.lit(0).cast("long"), lambda a, x: a + F.length(x) - (length - 1))).alias("n")).first().n or 0
-    buckets = max(1, -(-windows // WINDOWS))
-
-    def lanes(data: bytes) -> list[np.ndarray]:
-        return [window_hash(np.frombuffer(data, np.uint8), length, k).view(np.int64) for k in (0, 1)]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w1, w2, k = _counted(*(np.concatenate(x) for x in zip(*map(lanes, contexts))))
-                to = w1.view(np.uint64) % np.uint64(buckets)
-                out = [(int(b), number, np.stack([w1[to == b], w2[to == b], k[to == b] > 1]).astype("<i8").tobytes()) for b in np.unique(to)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "batch", "pack"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-
-        def answer() -> pa.RecordBatch:
-            packs = [np.frombuffer(p, "<i8").reshape(3, -1) for _, p in held]
-            w1, w2, more = np.concatenate(packs, 1)
-            s1, s2, k = _counted(w1, w2)
-            several = _holds(s1, s2, *_counted(w1[more > 0], w2[more > 0])[:2]) | (k > 1)
-            s1, s2 = s1[several], s2[several]
-            hits = [(n, x[:2, _holds(x[0], x[1], s1, s2)]) for (n, _), x in zip(held, packs)]
-            hits = [(n, np.ascontiguousarray(x).tobytes()) for n, x in hits if x.size]
-            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.binary())], names=["batch", "hits"])
+            for some in slices(batch, 5, 256, 1 << 16):
+                out = []
+                for name, c1, c2, gram, many, data in zip(*(some.column(i).to_pylist() for i in range(6))):
+                    for at, n, new, digest, piece in pieces_of(data, gram, part, length):
+                        out.append((name, c1, c2, at, n, int.from_bytes(new, "little", signed=True), *np.frombuffer(digest, np.int64).tolist(), gram, many, piece))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
+        tidy()
 
-        for batch in batches:
-            for bucket, number, pack in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held and bucket != last:
-                    yield answer()
-                    held = []
-                held.append((number, pack))
-                last = bucket
-        if held:
-            yield answer()
+    schema = "p_name long, p_c1 long, p_c2 long, at int, n int, name long, c1 long, c2 long, gram long, many long, bytes binary"
+    return crowded.select("name", "c1", "c2", "gram", "many", "bytes").mapInArrow(run, schema)
 
-    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for *ids, contexts, hits in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                s1, s2 = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in hits], 1)
-                out = [(*x, r) for *x, data in zip(*ids, contexts) if (r := _ranges(np.flatnonzero(_holds(*lanes(data), s1, s2))))]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["name", "c1", "c2", "ranges"])
-
-    sent = packed.select("batch", "bytes").mapInArrow(send, "bucket long, batch long, pack binary")
-    hits = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "batch long, hits binary")
-    hits = written(hits.groupBy("batch").agg(F.collect_list("hits").alias("hits")), "repeating-windows")  # a pack for each bucket at most
-    return packed.join(hits, "batch").select("name", "c1", "c2", "bytes", "hits").mapInArrow(resolve, "name long, c1 long, c2 long, ranges array<int>")
-
-
-def window_hash(data: np.ndarray, length: int, lane: int) -> np.ndarray:
-    """64-bit hash of each window of the given length, from powers of two of it."""
-    h, m, parts, at = _BYTES[data.astype(np.int64) + 256 * lane], 1, np.uint64(lane), 0
-    n = len(data) - length + 1
-    out = np.full(n, parts)
-    while m <= length:
-        if length & m:
-            out = mixed(out * _ODD[32 + lane] + h[at : at + n])
-            at += m
-        if 2 * m <= length:
-            h = mixed(h[:-m] * _ODD[lane] + h[m:])
-        m *= 2
-    return out
+
+def _verdicts(texts: DataFrame, width: int, length: int) -> DataFrame:
+    """name, c1, c2, ranges (starts and ends of repeating windows; null: all) of contexts (name, c1, c2, gram, many, bytes) that have any.
+
+    width: how many places the gram may have in a window of these contexts.
+    """
+    id_columns = ["name", "c1", "c2"]
+    whole = texts.where("many > 1").select(*id_columns, F.lit(None).cast("array<int>").alias("ranges"))
+    if width == 1:  # a context is one window: others of the name are equal to it, or there are none
+        return whole
+    hot = written(texts.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MOST_CONTEXTS).select("name"), "crowded-names")
+    if not hot.take(1):
+        return _sorted_contexts(texts, length).join(texts.where("many > 1").select(*id_columns), id_columns, "left_anti").unionByName(whole)
+    some = _sorted_contexts(texts.join(hot, "name", "left_anti"), length)
+    part = -(-width // CUT)
+    cut = written(_cut(texts.join(hot, "name", "left_semi"), part, length), "pieces")
+    same = cut.groupBy(*id_columns).agg(F.min("gram").alias("gram"), F.sum("many").alias("many"), F.min("bytes").alias("bytes"))
+    found = written(_verdicts(written(same, "distinct-pieces"), part, length), "piece-verdicts")
+    ranges = F.when(F.col("ranges").isNull(), F.array(F.col("at"), F.col("at") + F.col("n"))).otherwise(F.transform("ranges", lambda x: x + F.col("at")))
+    up = cut.where("many = 1").drop("bytes").join(found, id_columns).groupBy(F.col("p_name").alias("name"), F.col("p_c1").alias("c1"), F.col("p_c2").alias("c2")).agg(F.flatten(F.collect_list(ranges)).alias("ranges"))
+    return some.join(texts.where("many > 1").select(*id_columns), id_columns, "left_anti").unionByName(up).unionByName(whole)
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -335,30 +300,26 @@ def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     A byte goes if a string of `length` bytes covers it that starts anywhere else too, in
     its own document or another; overlaps count, as do all copies, the first included. Null
     texts are empty; texts shorter than `length` stay whole; repeated rows repeat each other;
-    an empty table gives no rows; other columns are ignored. docs is read more than
-    once and must give its rows in the same order each time, as files and written tables do.
+    an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    all_rows = keyed(docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry), "doc_id", "text", *carry)
-    rows = all_rows.select("rid", "doc_id", "text")
-    parts = members(rows, length)
+    all_rows = keyed(docs, "doc_id", "text", *carry).select("rid", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
+    rows = all_rows.select("rid", "text")
+    parts = written(members(rows, length), "members")
     # 1. different contexts, with the number of their places
     distinct = parts.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("many"), F.max("twice").alias("twice"), F.min(F.struct("rid", "lo", "n")).alias("at"))
     distinct = written(distinct, "contexts")
     release(spark)
     shared = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("contexts"), F.max(F.col("twice") & (F.col("many") == 1)).alias("inner")).where("contexts > 1 or inner")
-    shared = written(shared.select("name", "contexts"), "names")
+    shared = written(shared.select("name"), "names")
     release(spark)
     # 2. the bytes of those that others may share in part
     want = distinct.join(shared, "name").select(F.col("at.rid").alias("rid"), F.struct("name", "c1", "c2", "many", F.col("at.lo").alias("lo"), F.col("at.n").alias("n")).alias("x"))
     want = written(want.groupBy("rid").agg(F.collect_list("x").alias("want")), "wanted")
     texts = written(_fetched(rows, want, length), "context-bytes")
     release(spark)
-    hot = shared.where(F.col("contexts") > MOST_CONTEXTS).select("name")
-    found = written(_sorted_contexts(texts.join(hot, "name", "left_anti"), length), "repeats")
-    dealt = written(_dealt_windows(texts.join(hot, "name", "left_semi"), length), "repeats")
+    partly = _verdicts(texts.withColumn("gram", F.col("name")), length - GRAM + 1, length).where("ranges IS NOT NULL")
     whole = distinct.where("many > 1").select("name", "c1", "c2", F.lit(None).cast("array<int>").alias("ranges"))
-    partly = found.unionByName(dealt).join(whole.select("name", "c1", "c2"), ["name", "c1", "c2"], "left_anti")
     verdicts = written(whole.unionByName(partly), "verdicts")
     release(spark)
     # 3. back to the documents
@@ -369,7 +330,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            for part in slices(batch, 2, 64):
                 spans, kept = [], []
                 for text, cover in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                     data = text.encode()
@@ -384,9 +345,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
                     spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
                     kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if flat else data)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary()), *part.columns[4:]], names=["rid", "doc_id", "text", "spans", "kept", *carry])
+        tidy()
 
     kinds = dict(all_rows.dtypes)
-    schema = f"rid long, doc_id {kinds['doc_id']}, text string, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    schema = f"rid {KEY}, doc_id {kinds['doc_id']}, text string, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
     return all_rows.join(each, "rid", "left").select("rid", "doc_id", "text", "cover", *carry).mapInArrow(run, schema)
 
 

@@ -328,3 +328,89 @@ def test_many_copies_of_one_text_that_are_unlike_each_other(spark):
     alike = [100 * len(sets[0] & s) >= 75 * len(sets[0] | s) for s in sets]
     got = {x.doc_id: x.component_id for x in neardup.near_duplicates(documents(spark, rows)).collect()}
     assert sum(alike) > 40 and all(got[i] == 0 for i, a in enumerate(alike) if a)
+
+
+@pytest.mark.parametrize("pairs", [150, 1000])
+def test_near_duplicates_of_a_shared_form(spark, pairs):
+    # 850 words of all texts, 20 of a pair, 130 of its own, in runs: pairs are alike at 0.769, all others at 0.738
+    form = " ".join(f"w{i}" for i in range(850))
+    texts = [form + " " + " ".join(f"p{k // 2}x{i}" for i in range(20)) + " " + " ".join(f"t{k}x{i}" for i in range(130)) for k in range(2 * pairs)]
+    a, b, c = (shingles(texts[k]) for k in (0, 1, 2))
+    assert 100 * len(a & b) >= 75 * len(a | b) and 100 * len(a & c) < 75 * len(a | c)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(documents(spark, [(i, t, "en", "s", 1, 1, 1, "h", 0.1) for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i - i % 2 for i in range(2 * pairs)}
+
+
+def test_row_keys_do_not_hang_on_how_files_are_cut(spark, tmp_path):
+    from adaptlm.llm.shared import keyed
+
+    path = f"file://{tmp_path}/t"
+    spark.range(0, 4000, 1, 6).selectExpr("id AS doc_id", "repeat('w', 50) AS text").write.parquet(path)
+    df, was = spark.read.parquet(path), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        one = {r.rid: r.doc_id for r in keyed(df, "doc_id").collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "12")
+        two = {r.rid: r.doc_id for r in keyed(df.where("doc_id >= 0").select("doc_id"), "doc_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert one == two and len(one) == 4000
+    # rows that an operator repeats or joins are written first
+    assert len({r.rid for r in keyed(df.unionByName(df), "doc_id").collect()}) == 8000
+
+
+def test_one_of_each(spark):
+    rows = [r for r in awkward_rows() if r[0] is None or r[0] < 12]
+    got = collections.Counter((r.doc_id, r.text) for r in neardup.one_of_each(documents(spark, rows), ("doc_id", "text")).collect())
+    labels = collections.defaultdict(list)
+    for r in neardup.near_duplicates(documents(spark, rows)).collect():
+        labels[r.root].append(r.doc_id)
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    want = collections.Counter()
+    for ids in labels.values():
+        first = min((i for i in ids if i is not None), default=None)
+        want[(first, texts.get(first))] += 1
+    assert got == want and sum(got.values()) == len(labels)
+
+
+def _kept(texts, length=200):
+    """Brute force of suffix-array dedup: n_removed, n_spans and what stays of each text."""
+    count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), np.frombuffer(t, np.uint8)[~gone].tobytes()
+
+
+@pytest.mark.parametrize("most", [200, 3, 1])
+def test_passages_that_many_documents_share_in_part(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passage = prose(120)
+    texts = []
+    for k in range(400):  # parts of one passage, some with a letter changed, between words of their own
+        a, b = sorted((r.randint(0, len(passage) - 1), r.randint(0, len(passage))))
+        part = passage[a:b]
+        if part and k % 3 == 0:
+            i = r.randrange(len(part))
+            part = part[:i] + "Z" + part[i + 1 :]
+        texts.append(prose(6) + part + prose(5) + (part if k % 7 == 0 else ""))
+    texts += ["ab" * 300, "ab" * 250 + "c", "x" * 900, "x" * 199, "x" * 200]
+    got = {x.doc_id: x for x in suffixes.repeated_spans(documents(spark, [(i, t, "en", "s", 1, 1, 1, "h", 0.1) for i, t in enumerate(texts)])).collect()}
+    for i, (n, spans, kept) in enumerate(_kept([t.encode() for t in texts])):
+        assert (sum(s.end - s.start for s in got[i].spans), len(got[i].spans), got[i].kept) == (n, spans, kept)
+
+
+def test_deduplicated(spark):
+    rows = [r for r in awkward_rows() if len(r[1] or "") < 50_000]
+    got = suffixes.deduplicated(documents(spark, rows), ("doc_id", "text", "source", "n_chars")).collect()
+    want = [(r[0], kept.decode("utf-8", "ignore"), r[3]) for r, (_, _, kept) in zip(rows, _kept([(r[1] or "").encode() for r in rows]))]
+    assert collections.Counter((r.doc_id, r.text, r.source, r.n_chars) for r in got) == collections.Counter((*w, len(w[1])) for w in want)
+    assert suffixes.deduplicated(documents(spark, [])).count() == 0
