@@ -1,29 +1,35 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws an exponential key divided by its quality weight; the smallest
-keys of a source come first. A target of e whole source sizes and a rest is met by e
+Each document draws an exponential key divided by its quality weight, the score of the
+quality model; the smallest keys of a source come first. A target of e whole source sizes and a rest is met by e
 complete epochs, then by the documents in order of their keys until their prefix
 sum reaches the rest; the document at the edge gives the words still wanted.
-Prefix sums are taken in two steps, over key ranges of a source and inside each, so
-that no task holds a whole source.
+Rows are dealt to ranges of (source, key) of even numbers of rows, and prefix sums are taken in two steps, over
+the ranges and inside each, so that no task holds a whole source. Only narrow rows are sorted; texts
+join the rows that the mix takes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import WORD, keyed, written
+from adaptlm.llm.quality import AdditiveModel, features
+from adaptlm.llm.shared import WORD, keyed, slices, tidy, written
+from adaptlm.llm.words import text_bytes, word_bounds
 
-RANGES = 1024
+#: Rows of a range, about.
+RANGE_ROWS = 250_000
+#: Sources whose sizes the driver takes at most.
+MOST_SOURCES = 1_000_000
 #: Fixed value: the weights that the sources take in turn.
 CYCLE = (5.0, 2.0, 1.0)
-
-
-def quality_weight(text: Column) -> Column:
-    """Between 0.1 and 1: the share of a text's characters that are letters, marks of a sentence or single spaces."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}.,;:?!'\x20\n-]", ""))
-    return F.lit(0.1) + F.lit(0.9) * F.coalesce(F.try_divide(plain, F.length(text)), F.lit(0.0))
+#: The least quality weight, for scores near 0.
+LEAST_WEIGHT = 0.01
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, most: float) -> dict[str | None, float]:
@@ -42,54 +48,86 @@ def targets(sizes: dict[str | None, int], weights: dict[str | None, float], tota
     return out
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def in_turn(sources: list[str | None], cycle: tuple[float, ...] = CYCLE) -> dict[str | None, float]:
+    """Weights that the sources take in turn, by code point, null last."""
+    return {s: cycle[i % len(cycle)] for i, s in enumerate(sorted(sources, key=lambda s: (s is None, s or "")))}
+
+
+def measured(rows: DataFrame, model: AdditiveModel | None) -> DataFrame:
+    """rid, doc_id, source, text_hash, size (words), weight (the quality score, at least LEAST_WEIGHT; 1 without a model) of rows rid, doc_id, source, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 4):
+                texts = part.column(4)
+                size = np.diff(word_bounds(*text_bytes(texts))[2])
+                weight = np.ones(len(size)) if model is None else np.maximum(model.score(features(texts)), LEAST_WEIGHT)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(size, pa.int64()), pa.array(weight)], names=["rid", "doc_id", "source", "text_hash", "size", "weight"])
+        tidy()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    narrow = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return narrow.mapInArrow(run, "rid struct<f:long,r:long>, doc_id long, source string, text_hash long, size long, weight double")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, share: float = 1.0, most_epochs: float = 3.0, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs (doc_id, text, source): size, source_size, target, epochs, rest, taken; and the columns in carry.
+def mix(docs: DataFrame, model: AdditiveModel | None = None, weights: dict[str | None, float] | None = None, share: float = 1.0, most_epochs: float = 3.0, seed: int = 7) -> DataFrame:
+    """Per row of docs (doc_id, text, source): rid, doc_id, source, size, source_size, target, epochs, rest, taken.
 
+    model: scores a document's quality, its weight in the fractional selection; without one all weigh the same.
     weights: by default 5, 2, 1 in turn over the sources by code point, null last.
     taken = epochs * size + rest, where rest is size for a document of the fractional
     selection, less for the one at its edge, else 0. Null texts have size 0; repeated
-    rows are documents each (equal keys are told apart by an equal row's count, so reruns
-    agree); sources of size 0 get nothing; an empty table gives no rows.
+    rows are documents each (equal keys are of equal rows, so reruns agree);
+    sources of size 0 get nothing; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text)), 11).cast("double") + 0.5) / float(1 << 53)
-    # a task's text columns stay behind: what is kept is narrow, unless carried
-    rows = keyed(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), (-F.log(u) / quality_weight(text)).alias("es_key"), *carry,
-    ), "doc_id", "source", "size", "es_key", *carry)
-    rows = written(rows, "mix")
-    sums = [(r.source, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]  # a row for each source
-    sizes = dict(sorted(sums, key=lambda x: (x[0] is None, x[0] or "")))
-    by = weights if weights is not None else {s: CYCLE[i % len(CYCLE)] for i, s in enumerate(sizes)}
+    return _mix_rows(keyed(docs, "doc_id", "source", "text"), model, weights, share, most_epochs, seed)
+
+
+def _mix_rows(rows: DataFrame, model: AdditiveModel | None = None, weights: dict[str | None, float] | None = None, share: float = 1.0, most_epochs: float = 3.0, seed: int = 7) -> DataFrame:
+    """mix() of rows that have their key rid."""
+    spark = rows.sparkSession
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), 11).cast("double") + 0.5) / float(1 << 53)
+    drawn = written(measured(rows, model).withColumn("es_key", -F.log(u) / F.col("weight")).drop("weight"), "mix")
+    sums = drawn.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()  # a row for each source
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = dict(sorted(((r.source, r.n) for r in sums), key=lambda x: (x[0] is None, x[0] or "")))
+    by = weights if weights is not None else in_turn(list(sizes))
     goal = targets(sizes, {s: by.get(s, 0.0) for s in sizes}, share * sum(sizes.values()), most_epochs)
     plan = [(s, sizes[s], float(goal[s]), int(goal[s] // sizes[s]) if sizes[s] else 0) for s in sizes]
-    plan = _frame(spark, [(*p, round(p[2]) - p[3] * p[1]) for p in plan], "p_source string, source_size long, target double, epochs long, rest_words long")
-    # 1 - exp(-key) rises with the key and is even for weights near 1, so ranges of it hold like numbers of rows
-    ranged = rows.withColumn("range", F.floor((1 - F.exp(-F.col("es_key"))) * RANGES).cast("int"))
-    per_range = written(ranged.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges")
+    plan = spark.createDataFrame([(*p, round(p[2]) - p[3] * p[1]) for p in plan], "p_source string, source_size long, target double, epochs long, rest_words long")
+    order = ["es_key", "doc_id", "text_hash", "rid"]
+    ranges = max(spark.sparkContext.defaultParallelism, -(-sum(r.rows for r in sums) // RANGE_ROWS))
+    # the bounds of ranges come from a sample of the rows; the range of each row is written, not found anew
+    ranged = written(drawn.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id()), "mix-ranged")
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = written(ranged.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges")
     base = per_range.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("es_key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(base, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range"))).join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     left = F.col("rest_words") - F.col("base") - F.col("before")
     rest = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", rest.alias("rest"), (F.col("epochs") * F.col("size") + rest).alias("taken"), *carry)
-
-
-def mixed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
-    """The rows of the mix: each document once an epoch, once more if the fractional selection takes it, cut to its first words at the edge."""
-    carry = tuple(c for c in columns if c not in ("doc_id", "source"))
-    m = mix(docs, carry=carry, **options)
-    whole = F.col("epochs") + (F.col("rest") == F.col("size")).cast("int")
-    copies = m.where(F.col("size") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), whole))).where((F.col("copy") < whole) | (F.col("rest") > 0) & (F.col("rest") < F.col("size")))
-    part = F.col("copy") == whole
-    cut = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("rest").cast("int"), F.lit(1))))
-    new_text = F.when(part, cut).otherwise(F.col("text"))
-    return copies.withColumn("_text", new_text).select(*(F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else F.col(c) for c in columns))
+    return placed.select("rid", "doc_id", "source", "size", "source_size", "target", "epochs", rest.alias("rest"), (F.col("epochs") * F.col("size") + rest).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), model: AdditiveModel | None = None, **options) -> DataFrame:
+    """The rows of the mix: each document once an epoch, once more if the fractional selection takes it, cut after its last taken word at the edge.
+
+    text and n_chars (its length) are those of the row; other columns are the document's. Documents without words, null texts among
+    them, are in no mix; repeated rows are documents each; an empty table gives no rows; columns beside the given ones go.
+    """
+    rows = keyed(docs, *dict.fromkeys(("doc_id", "source", "text", *columns)))
+    taken = written(_mix_rows(rows, model, **options).where("taken > 0").select("rid", "size", "epochs", "rest"), "mix-taken")
+    # names that no column of docs has
+    plan = taken.select(F.col("rid").alias("_rid"), *(F.col(c).alias(f"_{c}") for c in ("size", "epochs", "rest")))
+    m = rows.join(plan, F.col("rid") == F.col("_rid"))
+    whole = F.col("_epochs") + (F.col("_rest") == F.col("_size")).cast("int")
+    parts = (F.col("_rest") > 0) & (F.col("_rest") < F.col("_size"))
+    copies = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + parts.cast("int"))))
+    # each word with the white space before it
+    words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
+    n = F.col("_rest").cast("int")
+    cut = F.array_join(F.zip_with(F.slice(gaps, 1, n), F.slice(words, 1, n), lambda a, b: F.concat(a, b)), "")
+    text = F.when(F.col("_copy") <= whole, F.col("text")).otherwise(cut)
+    return copies.withColumn("_text", text).select(*(F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col("_text").alias(c) if c == "text" else F.col(c) for c in columns))

@@ -179,7 +179,7 @@ def crowd(members: DataFrame) -> DataFrame:
     held = held.groupBy("n", "s").agg(F.min(F.struct("bucket", "main")).alias("x")).select("x.bucket", F.col("x.main.root").alias("main_root"), F.ceil((F.col("n") - F.col("x.main.k")) / BLOCK_SETS).alias("rest"), F.ceil(F.col("x.main.k") / BLOCK_SETS).alias("most"))
     main = F.col("root") == F.col("main_root")
     own = F.when(main, F.col("rest") + F.pmod(F.xxhash64("sid"), "most")).otherwise(F.pmod(F.xxhash64("sid"), "rest"))
-    return members.join(held, "bucket").select("bucket", "sid", "root", own.alias("own"), F.when(main, F.col("rest")).otherwise(F.col("rest") + F.col("most")).alias("others"))
+    return members.join(written(held, "held"), "bucket").select("bucket", "sid", "root", own.alias("own"), F.when(main, F.col("rest")).otherwise(F.col("rest") + F.col("most")).alias("others"))
 
 
 def crowded_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +254,8 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
         facts.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("rid", "bands")).alias("x"), F.min("doc_id").alias("doc_id"))
         .select("fp1", "fp2", F.col("x.rid").alias("rid"), F.col("x.bands").alias("bands"), "doc_id", F.monotonically_increasing_id().alias("sid")), "sets")
     members = sets.select("sid", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # tables that go back to the members of a bucket are written first, so that the join's skew can be split
+    crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     members = written(members.join(crowded, "bucket"), "members")
     some = written(sets.join(members.select("sid").distinct(), "sid").select("rid", "sid"), "bucketed-sets")
     hashes = written(hashed(rows.join(_sent(some), "rid").select("sid", "text"), width), "hashes")
@@ -291,6 +292,7 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
         centre = now.groupBy("bucket").agg(F.min(of).alias("c"), *([F.min("root").alias("lo"), F.max("root").alias("hi")] if roots is not None else []))
         if roots is not None:
             centre = centre.where("lo < hi")
+        centre = written(centre, "centres")
         pairs = now.join(centre, "bucket").where(F.col("sid") != F.col("c.sid") if roots is None else F.col("root") != F.col("c.root"))
         # the centre is a, so that a centre's set is read once for many members
         pairs = written(untried(pairs.select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct()), "pairs")

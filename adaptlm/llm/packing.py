@@ -27,10 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from adaptlm.llm.mixing import in_turn
 from adaptlm.llm.shared import shared_dir, slices, tidy, written
 
 #: Words whose ids a task remembers; they are forgotten when it ends, as a worker process outlives it.
 CACHED_WORDS = 100_000
+#: Sources of a schedule at most, and cells of a table of windows by sources.
+MOST_SOURCES, CELLS = 4096, 400_000
 
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
@@ -196,20 +199,25 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, source string, n_tokens long, task int, task_start long, id_bytes int, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | None = None, digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, weights: dict[str | None, float] | tuple[float, ...] | None = None, digests: bool = False) -> DataFrame:
     """Pieces of all documents (doc_id, text, source): doc_id, source, start, length, ids (binary, uint32), doc_tokens, sequence_id, offset.
 
-    weights: target proportion of each source; by default every source's share of all
-    tokens, so that all queues end together. Sequences are full but for the last.
+    weights: target proportion of each source, or proportions that the sources take in turn by code
+    point, null last; by default every source's share of all tokens, so that all queues end together. Sequences are full but for the last.
     Null or empty texts consist of the end id alone; null sources form one queue; repeated
     rows are packed each; an empty table gives no pieces. Other columns are ignored.
-    The number of sources must fit the driver (their totals are collected), not that of documents.
+    The sources' totals are collected: more than MOST_SOURCES sources are an error. Pieces of a document
+    that do not add up to its tokens fail the task.
     digests: ids_crc32 (long) in place of the ids.
     """
     tokens = written(tokenised(docs, tokenizer_path, end_id), "tokens")
     by_task = written(tokens.groupBy("source", "task").agg(F.sum("n_tokens").alias("n")), "task-tokens")
-    totals = sorted(((r.source, r.n) for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    totals = sorted(((r.source, r.n) for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()), key=lambda x: (x[0] is None, x[0] or ""))
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     names = [s for s, _ in totals]
+    if isinstance(weights, tuple):
+        weights = in_turn(names, weights)
     index = {s: i for i, s in enumerate(names)}
     plan = Schedule(np.array([n for _, n in totals], np.int64), window, None if weights is None else np.array([weights.get(s, 0.0) for s in names]))
     before = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -229,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
         for s in np.unique(src):
             k = src == s
             first[k], last[k] = plan.rank(s, at[k]) // window, plan.rank(s, at[k] + n[k] - 1) // window
-        for some in np.array_split(np.arange(len(n)), max(1, int((last - first + 1).sum()) // 20_000)):
+        for some in np.array_split(np.arange(len(n)), max(1, int((last - first + 1).sum()) // max(1, CELLS // len(names)))):
             many = last[some] - first[some] + 1
             doc = np.repeat(some, many)
             w = np.repeat(first[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -240,6 +248,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
             lead = np.cumsum(b - a, 1)[row, s] - (b - a)[row, s]
             lo, hi = np.maximum(at[doc], a[row, s]), np.minimum(at[doc] + n[doc], b[row, s])
             full = np.flatnonzero(hi > lo)
+            if (np.bincount(doc[full], (hi - lo)[full], len(n))[some] != n[some]).any():
+                raise RuntimeError("the pieces of a document do not add up")
             doc, w, start, length, offset = doc[full], w[full], (lo - at[doc])[full], (hi - lo)[full], (lead + lo - a[row, s])[full]
             ids = {d: np.frombuffer(part.column(5)[int(d)].as_py(), "<u2" if part.column(4)[int(d)].as_py() == 2 else "<u4").astype("<u4") for d in some}
             cuts = [ids[d][x : x + k].tobytes() for d, x, k in zip(doc, start, length)]

@@ -22,8 +22,11 @@ def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from adaptlm.llm.mixing import mix
+    from adaptlm.llm.quality import train
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return mix(docs, model).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +78,10 @@ def op9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    from adaptlm.llm.mixing import CYCLE
     from adaptlm.llm.packing import pack_digests
 
-    return pack_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), weights=CYCLE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -185,25 +185,93 @@ def test_targets():
     assert t["a"] == 30 and t["b"] == 180 and t["c"] == 90
 
 
-def test_mix(spark):
-    docs = documents(spark)
-    m = mixing.mix(docs).collect()
-    again = mixing.mix(docs.repartition(3)).collect()
+def es_keys(rows, weight, seed=7):
+    """Exponential keys of rows (doc_id, text) by brute force."""
+    import xxhash
+
+    out = []
+    for (i, t), w in zip(rows, weight):
+        h = xxhash.xxh64(np.int32(seed).tobytes(), seed=42).intdigest()
+        for v in (i, xxhash.xxh64((t or "").encode(), seed=42).intdigest()):
+            h = h if v is None else xxhash.xxh64(np.array([v], np.uint64 if v >= 0 else np.int64).tobytes(), seed=h).intdigest()
+        out.append(-np.log(((h >> 11) + 0.5) / 2**53) / w)
+    return out
+
+
+class _ByLength:
+    """A stand-in for the quality model that takes no word twice."""
+
+    def score(self, x):
+        return 1 / (1 + x[:, 0])
+
+
+@pytest.mark.parametrize("model", [None, _ByLength()])
+def test_mix(spark, monkeypatch, model):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    docs, rows = documents(spark), awkward_rows()
+    m = mixing.mix(docs, model).collect()
+    again = mixing.mix(docs.repartition(3), model).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken)
-    assert sorted(map(key, m)) == sorted(map(key, again)) and len(m) == docs.count()
-    by = collections.defaultdict(list)
-    for r in m:
-        by[r.source].append(r)
-    for rows in by.values():
-        assert rows[0].source_size == sum(r.size for r in rows) and all(r.taken <= 3 * r.size for r in rows)
-        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1
-        if rows[0].source_size:
-            epochs = int(rows[0].target // rows[0].source_size)
-            assert all(epochs * r.size <= r.taken <= (epochs + 1) * r.size for r in rows)
-    assert abs(sum(r.target for r in {r.source: r for r in m}.values()) - sum(r.size for r in m)) < 1e-6
-    texts = mixing.mixed_documents(docs)
-    assert sum(len(split_words(r.text)) for r in texts.collect()) == sum(r.taken for r in m)
-    assert mixing.mix(documents(spark, [])).count() == 0
+    assert sorted(map(key, m)) == sorted(map(key, again)) and len(m) == len(rows)
+    sizes = [len(split_words(r[1])) for r in rows]
+    weight = np.ones(len(rows)) if model is None else np.maximum(model.score(quality.features(pa.array([r[1] for r in rows], pa.string()))), 0.01)
+    keys = es_keys([r[:2] for r in rows], weight)
+    total = collections.Counter()
+    for r, n in zip(rows, sizes):
+        total[r[3]] += n
+    goal = mixing.targets(total, mixing.in_turn(list(total)), sum(sizes), 3.0)
+    want = collections.Counter()
+    for source, size in total.items():
+        epochs = int(goal[source] // size) if size else 0
+        left = round(goal[source]) - epochs * size
+        for k in sorted((k for k in range(len(rows)) if rows[k][3] == source), key=lambda k: (keys[k], rows[k][0] is not None, rows[k][0] or 0)):
+            rest = min(sizes[k], max(0, left))
+            left -= sizes[k]
+            want[(rows[k][0], source, sizes[k], size, epochs * sizes[k] + rest)] += 1
+    assert collections.Counter((r.doc_id, r.source, r.size, r.source_size, r.taken) for r in m) == want
+    assert all(abs(r.target - goal[r.source]) < 1e-6 and r.taken <= 3 * r.size for r in m)
+    texts = mixing.mixed_documents(docs, ("doc_id", "text", "source", "n_chars"), model).collect()
+    assert sum(len(split_words(r.text)) for r in texts) == sum(r.taken for r in m) and all(r.n_chars == len(r.text) for r in texts)
+    known = collections.defaultdict(set)
+    for r in rows:
+        known[r[0]].add(r[1] or "")
+    assert all(any(t.startswith(r.text) for t in known[r.doc_id]) for r in texts)  # whole or cut at the end, line breaks kept
+    cut = [r for r in texts if r.text not in known[r.doc_id]]
+    assert len(cut) <= len(total) and len(texts) > 0
+    assert mixing.mix(documents(spark, [])).count() == 0 and mixing.mixed_documents(documents(spark, [])).count() == 0
+
+
+def plain_round_robin(totals, window, weights):
+    """Tokens of each source in each window: a round-robin that carries each source's deficit, and gives what rounding leaves to the largest deficits."""
+    left, deficit, out = np.array(totals, float), np.zeros(len(totals)), []
+    while left.sum() > 0:
+        room, sent = min(window, left.sum()), np.zeros(len(totals))
+        while room > sent.sum():
+            active = left > sent
+            rate = np.where(active, weights, 0.0)
+            rate = rate / rate.sum() if rate.sum() > 0 else active * left / (active * left).sum()
+            deficit += rate * (room - sent.sum())
+            give = np.minimum(np.floor(np.maximum(deficit, 0) + 1e-9), left - sent)
+            if not give.any():
+                give[np.flatnonzero(active)[np.argmax(deficit[active])]] = 1
+            for s in np.argsort(-deficit):
+                give[s] = min(give[s], room - sent.sum() - give[np.argsort(-deficit)[: list(np.argsort(-deficit)).index(s)]].sum())
+            give = np.maximum(give, 0)
+            sent, deficit = sent + give, deficit - give
+            deficit = np.where(left > sent, deficit, 0)
+        left -= sent
+        out.append(sent)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("weights", [None, [1, 5, 1, 1, 0.5, 2.0]])
+def test_schedule_is_near_a_plain_deficit_round_robin(weights):
+    totals = np.array([4000, 300, 1, 0, 77, 900])
+    s = packing.Schedule(totals, 64, None if weights is None else np.array(weights, float))
+    plain = np.cumsum(plain_round_robin(totals, 64, totals.astype(float) if weights is None else np.array(weights, float)), 0)
+    mine = s.sent_before(np.arange(1, len(plain) + 1))
+    assert (mine[-1] == totals).all() and (plain[-1] == totals).all()
+    assert np.abs(mine - plain).max() <= len(totals)
 
 
 @pytest.mark.parametrize("weights", [None, [1, 5, 1, 1, 0, 2.0]])
