@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of
-documents; what a stage returns is written and read again as the next one's docs.
+documents; what a stage returns is written and read again as the next one's docs. Every stage takes
+nulls in any column, repeated rows, empty tables and columns beside those of documents (which go).
 """
 
 from __future__ import annotations
@@ -21,29 +22,33 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model, trained on the table labels, does not reject."""
+    """Documents that the quality model, trained on the table labels, does not reject. Null and empty texts are scored as texts without words."""
     docs = docs.select(*COLUMNS)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).where(F.col("predicted") == 1).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id, null ids last. Texts without words are alike to nothing and stay."""
     return one_of_each(docs, COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 200 bytes or more that repeat anywhere."""
+    """Every document without the strings of 200 bytes or more that repeat anywhere; a null text becomes empty, n_chars is what is left."""
     return deduplicated(docs, COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources in the target proportions: a row for each time that the mix takes a document."""
-    return mixed_documents(docs, COLUMNS)
+    """The sources in the target proportions: a row for each time that the mix takes a document. Documents without words are never taken.
+
+    Documents weigh by the quality model, which learns from the whole texts of the table documents.
+    """
+    model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed_documents(docs, COLUMNS, model)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences of 2048 tokens."""
+    """Pieces of training sequences of 2048 tokens, in which the sources keep the proportions of the mix. An empty text is its end token alone."""
     return pack_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
