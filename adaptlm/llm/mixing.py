@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adaptlm.llm.quality import AdditiveModel, features
-from adaptlm.llm.shared import WORD, keyed, slices, tidy, written
+from adaptlm.llm.shared import WORD, keyed, scratch, slices, tidy, written
 from adaptlm.llm.words import text_bytes, word_bounds
 
 #: Rows of a range, about.
@@ -85,6 +85,11 @@ def mix(docs: DataFrame, model: AdditiveModel | None = None, weights: dict[str |
 
 def _mix_rows(rows: DataFrame, model: AdditiveModel | None = None, weights: dict[str | None, float] | None = None, share: float = 1.0, most_epochs: float = 3.0, seed: int = 7) -> DataFrame:
     """mix() of rows that have their key rid."""
+    with scratch(rows.sparkSession):
+        return _placed(rows, model, weights, share, most_epochs, seed)
+
+
+def _placed(rows: DataFrame, model: AdditiveModel | None, weights: dict[str | None, float] | None, share: float, most_epochs: float, seed: int) -> DataFrame:
     spark = rows.sparkSession
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash")), 11).cast("double") + 0.5) / float(1 << 53)
     drawn = written(measured(rows, model).withColumn("es_key", -F.log(u) / F.col("weight")).drop("weight"), "mix")
@@ -99,9 +104,9 @@ def _mix_rows(rows: DataFrame, model: AdditiveModel | None = None, weights: dict
     order = ["es_key", "doc_id", "text_hash", "rid"]
     ranges = max(spark.sparkContext.defaultParallelism, -(-sum(r.rows for r in sums) // RANGE_ROWS))
     # the bounds of ranges come from a sample of the rows; the range of each row is written, not found anew
-    ranged = written(drawn.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id()), "mix-ranged")
+    ranged = written(drawn.repartitionByRange(ranges, "source", *order).withColumn("range", F.spark_partition_id()), "mix-ranged", keep=True)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = written(ranged.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges")
+    per_range = written(ranged.groupBy("source", "range").agg(F.sum("size").alias("n")), "mix-ranges", keep=True)
     base = per_range.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("range", "source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -118,7 +123,8 @@ def mixed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text
     them, are in no mix; repeated rows are documents each; an empty table gives no rows; columns beside the given ones go.
     """
     rows = keyed(docs, *dict.fromkeys(("doc_id", "source", "text", *columns)))
-    taken = written(_mix_rows(rows, model, **options).where("taken > 0").select("rid", "size", "epochs", "rest"), "mix-taken")
+    with scratch(docs.sparkSession):
+        taken = written(_mix_rows(rows, model, **options).where("taken > 0").select("rid", "size", "epochs", "rest"), "mix-taken", keep=True)
     # names that no column of docs has
     plan = taken.select(F.col("rid").alias("_rid"), *(F.col(c).alias(f"_{c}") for c in ("size", "epochs", "rest")))
     m = rows.join(plan, F.col("rid") == F.col("_rid"))

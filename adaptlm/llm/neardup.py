@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adaptlm.llm.components import components
-from adaptlm.llm.shared import keyed, slices, tidy, written
+from adaptlm.llm.shared import keyed, release, scratch, slices, tidy, written
 from adaptlm.llm.words import mixed, shingle_hashes, text_bytes, word_hashes
 
 BINS, ROWS = 128, 4
@@ -247,8 +247,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds:
 
 def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
     """near_duplicates() of rows that have their key rid."""
+    with scratch(rows.sparkSession):
+        return _linked(rows, width, percent, rounds)
+
+
+def _linked(rows: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
     rows = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    facts = written(signed(rows, width), "signatures")
+    facts = written(signed(rows, width), "signatures", keep=True)
     # a set's id is given here and read from the written table ever after
     sets = written(
         facts.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("rid", "bands")).alias("x"), F.min("doc_id").alias("doc_id"))
@@ -257,8 +262,10 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
     # tables that go back to the members of a bucket are written first, so that the join's skew can be split
     crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     members = written(members.join(crowded, "bucket"), "members")
+    release(rows.sparkSession)
     some = written(sets.join(members.select("sid").distinct(), "sid").select("rid", "sid"), "bucketed-sets")
     hashes = written(hashed(rows.join(_sent(some), "rid").select("sid", "text"), width), "hashes")
+    release(rows.sparkSession)
     links = roots = tried = None
 
     def rooted_members() -> DataFrame:
@@ -272,6 +279,7 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
         nonlocal links, tried, roots
         found = written(confirmed(pairs, hashes, percent), "links")
         links = found if links is None else links.unionByName(found)
+        release(rows.sparkSession)
         these = pairs.select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2"))
         tried = these if tried is None else tried.unionByName(these)
         # what is linked already is a star of each component
@@ -321,7 +329,7 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
         rooted = sets.join(roots, F.col("sid") == F.col("node"), "left").select("fp1", "fp2", "doc_id", F.coalesce("root", "sid").alias("root"))
         least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
         labels = rooted.join(least, "root").select("fp1", "fp2", "component", "root")
-    labels = written(labels.withColumnsRenamed({"fp1": "l1", "fp2": "l2"}), "labels")
+    labels = written(labels.withColumnsRenamed({"fp1": "l1", "fp2": "l2"}), "labels", keep=True)
     joined = facts.drop("bands").join(labels, (F.col("fp1") == F.col("l1")) & (F.col("fp2") == F.col("l2")) & (F.col("n_shingles") > 0), "left")
     own = F.coalesce(F.col("component"), F.col("doc_id"))
     shared = F.when(F.col("root").isNotNull(), F.struct(F.lit(None).cast("long").alias("f"), F.col("root").alias("r"))).otherwise(F.col("rid"))
@@ -335,7 +343,8 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "
     of repeated rows one stays. An empty table gives no rows; columns beside the given ones go.
     """
     rows = keyed(docs, *dict.fromkeys(("doc_id", "text", *columns)))
-    found = written(_near_rows(rows, **options).select("rid", "doc_id", "root"), "components")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("rid"))
-    gone = written(found.join(first, "rid", "left_anti").select("rid"), "near-copies")
+    with scratch(docs.sparkSession):
+        found = written(_near_rows(rows, **options).select("rid", "doc_id", "root"), "components")
+        first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("rid"))
+        gone = written(found.join(first, "rid", "left_anti").select("rid"), "near-copies", keep=True)
     return rows.join(_sent(gone), "rid", "left_anti").select(*columns)

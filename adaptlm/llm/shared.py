@@ -79,10 +79,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and lost executors cost no more than the running stage."""
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes in this block are deleted at its end, but for kept ones, which go with the block around it, if any."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_path(spark, path)
+        release(spark)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage, and lost executors cost no more than the running stage.
+
+    keep: what the caller returns still reads it (see scratch()).
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -107,7 +127,7 @@ def keyed(df: DataFrame, *columns: str, key: str = "rid", name: str = "rows") ->
     if _plain_scan(narrow):
         with contextlib.suppress(AnalysisException):  # a format without row numbers
             return narrow.select(*columns, place.alias(key))
-    return written(narrow, name).select(*columns, place.alias(key))
+    return written(narrow, name, keep=True).select(*columns, place.alias(key))
 
 
 def release(spark: SparkSession) -> None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import keyed, release, slices, tidy, written
+from adaptlm.llm.shared import keyed, release, scratch, slices, tidy, written
 from adaptlm.llm.words import mixed, text_bytes
 
 GRAM = 32
@@ -294,17 +294,9 @@ def _verdicts(texts: DataFrame, width: int, length: int) -> DataFrame:
     return some.join(texts.where("many > 1").select(*id_columns), id_columns, "left_anti").unionByName(up).unionByName(whole)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of docs (doc_id, text): rid, doc_id, text, spans (start, end in bytes of the maximal runs to remove), kept (binary), and the columns in carry.
-
-    A byte goes if a string of `length` bytes covers it that starts anywhere else too, in
-    its own document or another; overlaps count, as do all copies, the first included. Null
-    texts are empty; texts shorter than `length` stay whole; repeated rows repeat each other;
-    an empty table gives no rows; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    all_rows = keyed(docs, "doc_id", "text", *carry).select("rid", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry)
-    rows = all_rows.select("rid", "text")
+def _covers(rows: DataFrame, length: int) -> DataFrame:
+    """rid and cover (lo, n, ranges of the repeating windows of its contexts) of the rows (rid, text) that have any."""
+    spark = rows.sparkSession
     parts = written(members(rows, length), "members")
     # 1. different contexts, with the number of their places
     distinct = parts.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("many"), F.max("twice").alias("twice"), F.min(F.struct("rid", "lo", "n")).alias("at"))
@@ -324,8 +316,39 @@ def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
     release(spark)
     # 3. back to the documents
     each = parts.select("name", "c1", "c2", "rid", "lo", "n").join(verdicts, ["name", "c1", "c2"]).groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "ranges")).alias("cover"))
-    each = written(each, "covers")
-    release(spark)
+    return written(each, "covers", keep=True)
+
+
+def _without(data: bytes, cover: list[dict] | None, length: int) -> tuple[list[int], bytes]:
+    """The ranges that a cover removes, flat, and the bytes that stay."""
+    edges = np.zeros(len(data) + 1, np.int64)
+    for x in cover or ():
+        pairs = x["ranges"] if x["ranges"] is not None else [0, x["n"]]
+        for a, b in zip(pairs[::2], pairs[1::2]):
+            edges[x["lo"] + a] += 1
+            edges[x["lo"] + b - 1 + length] -= 1
+    gone = np.cumsum(edges)[:-1] > 0
+    flat = _ranges(np.flatnonzero(gone))
+    return flat, np.frombuffer(data, np.uint8)[~gone].tobytes() if flat else data
+
+
+def _covered(docs: DataFrame, length: int, carry: tuple[str, ...]) -> DataFrame:
+    """rid, doc_id, text, cover and the columns in carry of docs."""
+    rows = keyed(docs, *dict.fromkeys(("doc_id", "text", *carry)))
+    rows = rows.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    with scratch(docs.sparkSession):
+        each = _covers(rows.select("rid", "text"), length)
+    return rows.join(each.select(F.col("rid").alias("_rid"), "cover"), F.col("rid") == F.col("_rid"), "left").select("rid", "doc_id", "text", "cover", *carry)
+
+
+def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+    """Per row of docs (doc_id, text): rid, doc_id, text, spans (start, end in bytes of the maximal runs to remove), kept (binary).
+
+    A byte goes if a string of `length` bytes covers it that starts anywhere else too, in
+    its own document or another; overlaps count, as do all copies, the first included. Null
+    texts are empty; texts shorter than `length` stay whole; repeated rows repeat each other;
+    an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -333,34 +356,30 @@ def repeated_spans(docs: DataFrame, length: int = 200, carry: tuple[str, ...] =
             for part in slices(batch, 2, 64):
                 spans, kept = [], []
                 for text, cover in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    data = text.encode()
-                    edges = np.zeros(len(data) + 1, np.int64)
-                    for x in cover or ():
-                        pairs = x["ranges"] if x["ranges"] is not None else [0, x["n"]]
-                        for a, b in zip(pairs[::2], pairs[1::2]):
-                            edges[x["lo"] + a] += 1
-                            edges[x["lo"] + b - 1 + length] -= 1
-                    gone = np.cumsum(edges)[:-1] > 0
-                    flat = _ranges(np.flatnonzero(gone))
+                    flat, left = _without(text.encode(), cover, length)
                     spans.append([{"start": a, "end": b} for a, b in zip(flat[::2], flat[1::2])])
-                    kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes() if flat else data)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(spans, kind), pa.array(kept, pa.binary()), *part.columns[4:]], names=["rid", "doc_id", "text", "spans", "kept", *carry])
+                    kept.append(left)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(spans, kind), pa.array(kept, pa.binary())], names=["rid", "doc_id", "text", "spans", "kept"])
         tidy()
 
-    kinds = dict(all_rows.dtypes)
-    schema = f"rid {KEY}, doc_id {kinds['doc_id']}, text string, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return all_rows.join(each, "rid", "left").select("rid", "doc_id", "text", "cover", *carry).mapInArrow(run, schema)
+    rows = _covered(docs, length, ())
+    return rows.mapInArrow(run, f"rid {KEY}, doc_id {dict(rows.dtypes)['doc_id']}, text string, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def deduplicated(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), length: int = 200) -> DataFrame:
-    """docs without the repeated spans: the same rows, text what is left of it (a character that a span cuts goes too), n_chars its length."""
-    left = repeated_spans(docs, length, tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
+    """docs without the repeated spans: the same rows, text what is left of it (a character that a span cuts goes too), n_chars its length.
+
+    As repeated_spans() otherwise: null texts become empty, repeated rows lose what they share, an empty table gives no rows; columns beside the given ones go.
+    """
+    carry = tuple(c for c in columns if c not in ("doc_id", "text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(0, "kept", pa.array([x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()], pa.string()))
+        for batch in batches:
+            for part in slices(batch, 1, 64):
+                left = [_without(t.encode(), c, length)[1].decode("utf-8", "ignore") for t, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(left, pa.string()), pa.array([len(t) for t in left], pa.int64()), *part.columns[3:]], names=["doc_id", "text", "n_chars", *carry])
+        tidy()
 
-    rest = [c for c in left.columns if c not in ("rid", "text", "spans", "kept")]
-    kinds = dict(left.dtypes)
-    text = left.select("kept", *rest).mapInArrow(run, "kept string" + "".join(f", `{c}` {kinds[c]}" for c in rest))
-    return text.select(*(F.col("kept").alias(c) if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns))
+    rows = _covered(docs, length, carry).select("doc_id", "text", "cover", *carry)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text string, n_chars long" + "".join(f", `{c}` {kinds[c]}" for c in carry)).select(*columns)
