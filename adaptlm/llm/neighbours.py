@@ -3,8 +3,9 @@
 A node splits at the median of its sample along the difference of two of its vectors
 (scaled to length one). A query keeps one queue for all trees: the node that is least far on the
 wrong side of its splits is opened next, until the leaves opened hold enough rows.
-The candidates of those leaves are ranked by the exact cosine of the original vectors.
-The trees are fitted on a bounded sample; every row is indexed.
+The distinct candidates of those leaves are ranked by the exact cosine of the original vectors.
+The trees are fitted on a bounded sample; every row is indexed. Each vector lies in one block, with its leaf of every
+tree; a block meets the queries in parts, so a task holds a block and a part of the queries.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import written
+from adaptlm.llm.shared import scratch, slices, tidy, written
 
-#: Rows of a leaf that one task takes at once.
-CHUNK = 4096
+#: Vectors of a block and queries of a part, at most about.
+BLOCK_ROWS, PART_ROWS = 32_768, 4096
 
 
 class Forest:
@@ -92,26 +93,40 @@ class Forest:
         return found
 
 
-def _matrix(column: pa.Array, kind: str) -> np.ndarray:
-    """Rows of a column of packed vectors."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(float).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """Rows of a column of packed vectors in double precision; components that a short one lacks are 0."""
+    packed = column.to_pylist()
+    if any(len(v) != width for v in packed):
+        packed = [v.ljust(width, b"\0") for v in packed]
+    return np.frombuffer(b"".join(packed), kind).astype(float).reshape(len(packed), width // np.dtype(kind).itemsize)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, share: float = 0.75, leaf_rows: int = 64, sample_rows: int = 16_384, seed: int = 11) -> DataFrame:
+def shared_rows(n: int) -> float:
+    """The share of n rows that the leaves opened for a query hold: 0.8 up to 500 rows, less the more there are (0.44 of 51,000, 0.3 of a million)."""
+    return 0.8 * (500 / max(n, 500)) ** 0.13
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, share: float | None = None, leaf_rows: int = 64, sample_rows: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by cosine, for each row of vectors (vec_id, embedding) whose id is divisible by every.
 
     share: the leaves opened hold this share of all rows (a row counts once a tree), which sets
-    recall: the nearest of vectors without any structure need a large one. sample_rows
-    bounds the sample that the trees are fitted on; leaf_rows is the most of it in a leaf (small samples: fewer). Vectors that are null, zero, of another
-    length than most of the sample's, or hold null or non-finite components take no part, nor do null ids. Equal
+    recall: the nearest of vectors without any structure need a large one; by default shared_rows(). sample_rows
+    bounds the sample that the trees are fitted on; leaf_rows is the most of it in a leaf (small samples: fewer). Vectors that are null, zero
+    or hold null or non-finite components take no part, nor do null ids. Components that a vector
+    lacks, compared with the longest, are 0. Equal
     vectors are indexed once with their k + 1 smallest ids; rows that repeat an id
     with its vector count once, and no candidate has the query's own id.
     Ties go to the smaller id. An empty table gives no rows; other columns are ignored.
     """
+    with scratch(vectors.sparkSession):
+        return _nearest(vectors, every, k, trees, share, leaf_rows, sample_rows, seed)
+
+
+def _nearest(vectors: DataFrame, every: int, k: int, trees: int, share: float | None, leaf_rows: int, sample_rows: int, seed: int) -> DataFrame:
     spark = vectors.sparkSession
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
     schema = "query_id long, rank int, vec_id long, score double"
@@ -129,60 +144,76 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sh
     salted = rows.groupBy("vec", (F.xxhash64("vec_id") % 64).alias("salt")).agg(some.alias("ids"))
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
     distinct = written(salted.groupBy("vec").agg(merged.alias("ids")), "distinct-vectors")
-    sample = [r.vec for r in distinct.orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).select("vec").collect()]
-    if not sample:
+    n, width = distinct.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()
+    if not n:
         return spark.createDataFrame([], schema)
-    width = sorted(map(len, sample))[len(sample) // 2]
-    usual = F.octet_length("vec") == width
-    forest = Forest(_unit(np.frombuffer(b"".join(x for x in sample if len(x) == width), kind).astype(float).reshape(-1, width // np.dtype(kind).itemsize)), trees, max(8, min(leaf_rows, len(sample) // 64)), seed)
+    sample = pa.array([r.vec for r in distinct.orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).select("vec").collect()], pa.binary())
+    forest = Forest(_unit(_matrix(sample, kind, width)), trees, max(8, min(leaf_rows, len(sample) // 64)), seed)
+    leaves_in_all = int(forest.offsets[-1])
+    blocks = max(1, -(-n // min(BLOCK_ROWS, max(1024, n // (4 * max(spark.sparkContext.defaultParallelism, 1))))))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 2048) for i in range(0, b.num_rows, 2048)):
-                leaves = forest.leaves_of(_unit(_matrix(part.column(0), kind)))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, leaves.size + 1, leaves.shape[1]), pa.int32()), pa.array(leaves.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat], names=["vec", "ids", "leaves"])
-
-    index = written(distinct.where(usual).mapInArrow(placed, "vec binary, ids array<long>, leaves array<long>"), "forest")
-    n = index.count()
-    sizes = np.zeros(int(forest.offsets[-1]), np.int64)
-    for r in index.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect():  # a row for each leaf of the sample's trees
-        sizes[r.leaf] = r["count"]
-    chunks = np.maximum(1, -(-sizes // CHUNK))
+            for part in slices(b, 0, 2048):
+                leaves = forest.leaves_of(_unit(_matrix(part.column(0), kind, width))).astype("<i4")
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in leaves], pa.binary())], names=["vec", "ids", "block", "leaves"])
+        tidy()
+
+    block = F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("long").alias("block")
+    index = written(distinct.select("vec", "ids", block).mapInArrow(placed, "vec binary, ids array<long>, block long, leaves binary"), "forest", keep=True)
+
+    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(leaves_in_all, np.int64)
+        for b in batches:
+            if b.num_rows:
+                found += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=leaves_in_all)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["leaf", "n"])
+
+    sizes = np.zeros(leaves_in_all, np.int64)
+    for r in index.select("leaves").mapInArrow(sizes_of, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a row for each leaf of the sample's trees
+        sizes[r.leaf] = r.n
+    enough = (shared_rows(n) if share is None else share) * n
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-                out = []
-                if part.num_rows:
-                    for qid, vec, q in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unit(_matrix(part.column(1), kind))):
-                        out.extend((qid, vec, leaf, c) for leaf in forest.opened(q, sizes, share * n) for c in range(chunks[leaf]))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["query_id", "vec", "leaf", "chunk"])
-
-    queries = rows.where((F.col("vec_id") % every == 0) & usual).distinct().repartition(max(spark.sparkContext.defaultParallelism, 1), "vec_id").mapInArrow(routed, "query_id long, vec binary, leaf long, chunk long")
-    entries = index.select("vec", "ids", F.explode("leaves").alias("leaf"))
-    many = spark.createDataFrame([(i, int(c)) for i, c in enumerate(chunks) if c > 1], "big_leaf long, parts long")
-    entries = entries.join(many, F.col("leaf") == F.col("big_leaf"), "left").select("leaf", F.pmod(F.xxhash64("vec"), F.coalesce("parts", F.lit(1))).alias("chunk"), "vec", "ids")
+            for part in slices(b, 1, 64):
+                opened = np.zeros((part.num_rows, leaves_in_all), bool)
+                for i, q in enumerate(_unit(_matrix(part.column(1), kind, width))):
+                    opened[i, forest.opened(q, sizes, enough)] = True
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in np.packbits(opened, axis=1)], pa.binary())], names=["query_id", "vec", "opened"])
+        tidy()
+
+    asked = rows.where(F.col("vec_id") % every == 0).distinct().repartition(max(spark.sparkContext.defaultParallelism, 1), "vec_id")
+    queries = written(asked.mapInArrow(routed, "query_id long, vec binary, opened binary"), "routed-queries", keep=True)
+    parts = max(1, -(-queries.count() // PART_ROWS))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    entries = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def ranked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            x = _matrix(right.column("vec").combine_chunks(), kind)
+            x = _matrix(right.column("vec").combine_chunks(), kind, width)
             sizes_x = np.sqrt((x * x).sum(1))
             ids = right.column("ids").to_pylist()
-            q_all = _matrix(left.column("vec").combine_chunks(), kind)
-            rough = (q_all @ x.T) / sizes_x
-            for qid, q, r in zip(left.column("query_id").to_pylist(), q_all, rough):
-                near = np.argpartition(-r, k)[: k + 1] if len(r) > k + 1 else np.arange(len(r))
-                edge = r[near].min()
-                near = np.flatnonzero(r >= edge - 1e-9 * abs(edge))  # ties at the edge stay
-                score = (x[near] * q).sum(1) / (sizes_x[near] * np.sqrt((q * q).sum()))
-                best = sorted((-s, i) for s, j in zip(score.tolist(), near) for i in ids[j] if i != qid)[:k]
-                out[0].extend([qid] * len(best)), out[1].extend(i for _, i in best), out[2].extend(-s for s, _ in best)
+            leaves = np.frombuffer(b"".join(right.column("leaves").to_pylist()), "<i4").reshape(len(x), -1)
+            for batch in left.to_batches(64):
+                for qid, q, bits in zip(batch.column("query_id").to_pylist(), _matrix(batch.column("vec"), kind, width), batch.column("opened").to_pylist()):
+                    opened = np.unpackbits(np.frombuffer(bits, np.uint8), count=leaves_in_all).view(bool)
+                    candidates = np.flatnonzero(opened[leaves].any(1))
+                    if not len(candidates):
+                        continue
+                    r = (x[candidates] @ q) / sizes_x[candidates]
+                    near = np.argpartition(-r, k)[: k + 1] if len(r) > k + 1 else np.arange(len(r))
+                    edge = r[near].min()
+                    near = candidates[r >= edge - 1e-9 * abs(edge)]  # ties at the edge stay
+                    score = (x[near] * q).sum(1) / (sizes_x[near] * np.sqrt((q * q).sum()))
+                    best = sorted((-s, i) for s, j in zip(score.tolist(), near) for i in ids[j] if i != qid)[:k]
+                    out[0].extend([qid] * len(best)), out[1].extend(i for _, i in best), out[2].extend(-s for s, _ in best)
+        tidy()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    by = ("leaf", "chunk")
+    by = ("block", "part")
     found = queries.groupBy(*by).cogroup(entries.groupBy(*by)).applyInArrow(ranked, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adaptlm.llm.shared import keyed, new_path, written
+from adaptlm.llm.shared import drop_path, keyed, new_path, scratch, written
 
 END = "\r\n\r\n"
 BLOCK = 1 << 20
@@ -33,7 +33,7 @@ def with_digests(pages: DataFrame, min_bytes: int) -> DataFrame:
     Among equal payloads of min_bytes or more the smallest page_id (null last, then
     the earliest row) is the response; the others revisit it.
     """
-    rows = keyed(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")), "page_id", "url", "payload")
+    rows = keyed(pages, "page_id", "url", "html").select("rid", F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     # digests are compared without payloads: a payload that very many pages have stays where its pages are
     narrow = rows.where(F.col("payload_bytes") >= min_bytes).select("rid", "page_id", "payload_digest")
@@ -43,19 +43,23 @@ def with_digests(pages: DataFrame, min_bytes: int) -> DataFrame:
     return rows.join(written(again, "revisits"), F.col("rid") == F.col("again"), "left").withColumn("revisit", F.col("again").isNotNull())
 
 
+def _uri(page: str, rid: str) -> Column:
+    """The record id of a page's row."""
+    return F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("none")), F.lit(":"), F.hex(F.col(rid)["f"]), F.lit("-"), F.col(rid)["r"].cast("string"))
+
+
 def record() -> Column:
     """A WARC/1.1 record up to its closing blank lines, as binary."""
-    uri = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
     # header values hold no line breaks; the url is kept as such elsewhere
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "")
     body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <"), uri, F.lit(":"), F.col("rid").cast("string"),
+        F.lit("\r\nWARC-Record-ID: <"), _uri("page_id", "rid"),
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "), target,
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("payload_digest"),
         F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
-        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("first_page").cast("string"), F.lit("none")), F.lit(":"), F.col("first_rid").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <"), _uri("first_page", "first_rid"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.length(body).cast("string"), F.lit(END),
     )
     return F.concat(head.cast("binary"), body)
@@ -115,7 +119,10 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, int, Iterator[byte
                 return
         head = bytes(held[: at + 4])
         del held[: at + 4]
-        n = int(re.search(rb"\r\nContent-Length: *(\d+)", head)[1])
+        size = re.search(rb"\r\nContent-Length: *(\d+)", head)
+        if not size:
+            raise ValueError("record without a Content-Length")
+        n = int(size[1])
         rest = body(n)
         yield head, n, rest
         for _ in rest:
@@ -130,7 +137,7 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, int, Iterator[byte
 def field(head: bytes, name: str) -> str | None:
     """The value of a head's field."""
     m = re.search(rb"\r\n" + name.encode() + rb": *([^\r]*)\r", head)
-    return m[1].decode() if m else None
+    return m[1].decode(errors="replace") if m else None
 
 
 def normalise_file(source: str, target: str) -> Iterator[tuple[int, int, str, str]]:
@@ -151,18 +158,25 @@ def normalise_file(source: str, target: str) -> Iterator[tuple[int, int, str, st
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Every archive (*.gz) under source with a member for each record, under target; returns the index (see INDEX), also written beside it.
+    """Every archive (*.gz) in the folder source and its sub-folders with a member for each record, under target; returns the index (see INDEX), also written beside it.
 
+    An archive keeps its place and name below the folder, as <name>.warc.gz; two that would get one name are an error.
     A file is one task, as its stream cannot be split; memory is bounded by a block
     and a head. A rerun task writes its file anew and puts it in place when whole.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
-    paths = written(files, "archives").repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(source).select("path")
+    name = F.regexp_replace(F.substr(F.col("path"), F.lit(len(base) + 1)), r"(\.warc)?\.gz$", "")
+    paths = written(files.select("path", F.concat(F.lit(target.rstrip("/") + "/"), name, F.lit(".warc.gz")).alias("out")), "archives")
+    clash = paths.groupBy("out").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if clash:
+        raise ValueError(f"{clash.n} archives would get one name, {clash.out}")
+    paths = paths.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                out = f"{target}/{path.rpartition('/')[2].split('.')[0]}.warc.gz"
+            for path, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held = []
                 for row in normalise_file(path, out):
                     held.append((out, *row))
@@ -180,12 +194,13 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(index)
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """The records that an index points to: record_id, record_type, refers_to, payload_bytes, payload_digest (of the full payload), payload.
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records that an index points to: record_id, record_type, refers_to, payload_bytes, payload_digest (of the full payload), and payload, if payloads.
 
-    A response's payload is digested again and must agree with its head.
+    A response's payload is digested again and must agree with its head; a revisit has none, and states the digest and size of the response that it refers to.
     """
-    schema = "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
+    schema = "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
+    columns = len(schema.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files: dict[str, object] = {}
@@ -205,8 +220,8 @@ def read_records(index: DataFrame) -> DataFrame:
                         kind = field(head, "WARC-Type")
                         if kind == "response" and (hashlib.sha256(data).hexdigest(), len(data)) != (digest, size):
                             raise ValueError(f"payload of {field(head, 'WARC-Record-ID')} is damaged")
-                        out.append((field(head, "WARC-Record-ID"), kind, field(head, "WARC-Refers-To"), size, digest, data))
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+                        out.append((field(head, "WARC-Record-ID"), kind, field(head, "WARC-Refers-To"), size, digest, data)[:columns])
+                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][:columns]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     return index.select("archive", "offset", "length").mapInArrow(run, schema)
@@ -221,6 +236,9 @@ def archive_round_trip(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Write pages as archives, normalise them and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to. An empty table gives no rows."""
     spark = pages.sparkSession
     whole, split = new_path(spark, "warc-monolithic"), new_path(spark, "warc")
-    write_archives(pages, whole, min_bytes)
-    back = read_records(normalise(spark, whole, split))
+    with scratch(spark):
+        write_archives(pages, whole, min_bytes)
+        index = normalise(spark, whole, split)
+    drop_path(spark, whole)
+    back = read_records(index, payloads=False)
     return back.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))

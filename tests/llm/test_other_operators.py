@@ -36,6 +36,9 @@ def test_nearest(spark):
     rows = [(i, v.tolist(), 1, 0.5) for i, v in enumerate(x)] + [(700, None, 1, 0.1), (750, [0.0] * 16, 1, 0.1), (800, [float("nan")] * 16, 1, 0.1), (801, [1.0, None] * 8, 1, 0.1), (None, x[0].tolist(), 1, 0.1), (850, [1.0], 1, 0.1), (50, x[50].tolist(), 1, 0.1)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score double")
     got = neighbours.nearest(v).collect()
+    short = sorted((r for r in got if r.query_id == 850), key=lambda r: r["rank"])  # its lacking components are 0
+    got = [r for r in got if r.query_id != 850]
+    assert all(abs(r.score - x[r.vec_id][0] / np.sqrt((x[r.vec_id].astype(float) ** 2).sum())) < 1e-9 for r in short) and len(short) == 5
     y = x.astype(float)
     n = np.sqrt((y * y).sum(1))
     hit = 0
@@ -52,6 +55,46 @@ def test_nearest(spark):
     assert [(r.query_id, r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("rows", [500, 2000, 10_000])
+def test_recall_without_structure(rows):
+    x = neighbours._unit(np.random.default_rng(rows).normal(size=(rows, 64)))
+    forest = neighbours.Forest(x[:16_384], 24, max(8, min(64, min(rows, 16_384) // 64)), 11)
+    leaves = forest.leaves_of(x)
+    sizes = np.bincount(leaves.ravel(), minlength=int(forest.offsets[-1]))
+    hit, share = 0, 0.0
+    for i in range(0, rows, rows // 50):
+        s = x @ x[i]
+        s[i] = -9
+        opened = np.zeros(len(sizes), bool)
+        opened[forest.opened(x[i], sizes, neighbours.shared_rows(rows) * rows)] = True
+        found = opened[leaves].any(1)
+        hit, share = hit + found[np.argsort(-s)[:5]].sum(), share + found.mean() / 50
+    assert hit >= 0.85 * 250 and share < 0.6
+
+
+def test_archives_of_one_base_name_stay_apart(spark, tmp_path):
+    def archive(path, name):
+        body = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(zlib.compress(body * 2, wbits=31))
+
+    names = ["a.1.warc.gz", "a.2.warc.gz", "sub/a.1.warc.gz", "sub/b.gz"]
+    for n in names:
+        archive(tmp_path / "in" / n, n)
+    index = warc.normalise(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    assert sorted((r.archive.removeprefix(f"file://{tmp_path}/out/"), r.record_id) for r in index) == sorted((n if "warc" in n else "sub/b.warc.gz", f"<{n}>") for n in names for _ in range(2))
+    assert len({(r.archive, r.offset) for r in index}) == 8
+    archive(tmp_path / "in/sub/b.warc.gz", "x")
+    with pytest.raises(ValueError, match="one name"):
+        warc.normalise(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out3")
+
+
+def test_broken_heads():
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.records([b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"]))
+    assert warc.field(b"WARC/1.1\r\nWARC-Target-URI: \xff\xfe\r\n\r\n", "WARC-Target-URI") == "\ufffd\ufffd"
+
+
 def test_archive_round_trip(spark):
     page = "<p>" + "é" * 80 + "\r\n\r\nWARC/1.1\r\n</p>"
     rows = [(5, "http://a/", page, 1), (3, "http://b/", page, 1), (9, None, page, 1), (None, "u", page, 1), (4, "x\r\ny", "short", 1), (6, "x", "short", 1), (7, "x", None, 1), (8, "x", "", 1), (10, "x", "z" * 500_000, 1), (3, "again", page, 1)]
