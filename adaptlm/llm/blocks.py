@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import html
+import os
 import random
 import re
 import zlib
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adaptlm.llm.shared import slices, small_batches, tidy
 from adaptlm.llm.words import text_bytes, word_hashes
 
 #: Fixed values of HTML: elements without an end tag, with raw text, that do not break a block, and that are never shown.
@@ -38,9 +40,10 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript no
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table td th tr ul".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
+_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 PATH, LAST, WORDS, NUMBERS = 48, 16, 32, 10
 WIDTH, HIDDEN_UNITS = PATH + LAST + WORDS + NUMBERS, 24
@@ -48,106 +51,144 @@ WIDTH, HIDDEN_UNITS = PATH + LAST + WORDS + NUMBERS, 24
 
 @dataclass
 class Block:
+    """A run of text; path: bits of the hashed names of its open elements, the PATH low ones of all, the others from the last block-level element on."""
+
     text: str
-    path: tuple[str, ...]
+    path: int
     linked: int
 
 
-def _slot(name: str, size: int) -> int:
-    return zlib.crc32(name.encode()) % size
+@functools.lru_cache(20_000)
+def _bits(names: tuple[str, ...]) -> tuple[int, int]:
+    """Bits of an element's names in each part of a path."""
+    whole = last = 0
+    for n in names:
+        h = zlib.crc32(n.encode())
+        whole, last = whole | 1 << h % PATH, last | 1 << h % LAST
+    return whole, last
+
+
+class _Page:
+    """The open elements of a page while it is read; each step takes the time of what it opens or closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = []
+        self.places: dict[str, list[int]] = {}  # of the open elements, by name
+        self.holders: list[int] = []
+        self.hidden = self.links = 0
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        whole, last = self.stack[-1][1:] if self.stack else (0, 0)
+        own = _bits(names)
+        self.stack.append((name, whole | own[0], own[1] if names and name not in INLINE else last | own[1]))
+        self.places.setdefault(name, []).append(len(self.stack) - 1)
+        if name in HOLDERS:
+            self.holders.append(len(self.stack) - 1)
+        self.hidden += name in HIDDEN
+        self.links += name == "a"
+
+    def cut(self, at: int) -> None:
+        """Close all elements from the given place on."""
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in HOLDERS:
+                self.holders.pop()
+            self.hidden -= name in HIDDEN
+            self.links -= name == "a"
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of this name, or -1."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def close(self, names: tuple[str, ...]) -> None:
+        """End the innermost open element of these names, unless a holder lies between."""
+        at = max(map(self.last, names))
+        if at >= 0 and at >= (self.holders[-1] if self.holders else 0):
+            self.cut(at)
+
+    @property
+    def path(self) -> int:
+        return self.stack[-1][1] | self.stack[-1][2] << PATH if self.stack else 0
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, with their decoded text (white space as single spaces, never empty)."""
+    """The blocks of a page in order, with their decoded text (white space as single spaces, never empty), in time that grows with the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    state = {"hidden": 0, "links": 0, "linked": 0, "path": ()}
+    open_now = _Page()
+    path, linked, filled = 0, 0, False
 
     def flush() -> None:
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append(Block(text, state["path"], state["linked"]))
-            parts.clear()
-        state["linked"] = 0
+        nonlocal linked, filled
+        if filled:
+            out.append(Block(" ".join("".join(parts).split()), path, linked))
+        parts.clear()
+        linked, filled = 0, False
 
     def say(raw: str) -> None:
-        if stack and stack[-1][0] == "head" and raw.strip():
-            pop()
-        if raw and not state["hidden"]:
+        nonlocal path, linked, filled
+        if open_now.stack and open_now.stack[-1][0] == "head" and raw.strip():
+            open_now.cut(len(open_now.stack) - 1)
+        if raw and not open_now.hidden:
             text = html.unescape(raw)
-            if not parts or not "".join(parts).strip():
-                state["path"] = tuple(n for _, names in stack for n in names)
+            bare = text.strip()
+            if not filled:
+                path, filled = open_now.path, bool(bare)
             parts.append(text)
-            if state["links"]:
-                state["linked"] += len(text.strip())
-
-    def pop() -> None:
-        name = stack.pop()[0]
-        state["hidden"] -= name in HIDDEN
-        state["links"] -= name == "a"
-
-    def close(names: tuple[str, ...]) -> None:
-        """End the innermost open element of these names, unless a holder lies between."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in HOLDERS:
-                return
-
-    def end_head() -> None:
-        """End an open head, with what is open in it."""
-        k = next((k for k, (n, _) in enumerate(stack) if n == "head"), len(stack))
-        while len(stack) > k:
-            pop()
+            if open_now.links:
+                linked += len(bare)
 
     at, end = 0, len(page)
+    last_end, last_data = page.rfind(">"), page.rfind("]]>")
     while at < end:
+        if at > last_end:  # no tag can end here; a comment may be open
+            rest = page.find("<!--", at)
+            say(page[at:] if rest < 0 else page[at:rest])
+            break
         m = _TAG.search(page, at)
         if not m:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
-        if m[1] is not None:
-            say(m[1])
-        name = (m[3] or m[6] or "").lower()
+        if m[0] == "<![CDATA[":
+            stop = page.index("]]>", at) if at <= last_data else page.index(">", at) if at <= last_end else end
+            if at <= last_data:
+                say(page[at:stop])
+            at = min(stop + (3 if at <= last_data else 1), end)
+            continue
+        name = (m[2] or m[5] or "").lower()
         if not name:
             continue
         if name not in INLINE:
             flush()
         elif name in ("br", "wbr", "img") and parts:
             parts.append(" " if name == "br" else "")
-        if m[2] or m[5]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
-                    break
+        if m[1] or m[4]:
+            if (place := open_now.last(name)) >= 0:
+                open_now.cut(place)
             continue
         # what is in a noscript or a template is no part of the head
-        if name == "body" or name not in IN_HEAD and stack and stack[-1][0] == "head":
-            end_head()
+        if name == "body" or name not in IN_HEAD and open_now.stack and open_now.stack[-1][0] == "head":
+            if heads := open_now.places.get("head"):
+                open_now.cut(heads[0])
         if name in VOID:
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            stop = _END[name].search(page, at)
             if name not in HIDDEN:
                 say(page[at : stop.start() if stop else end])
             at = stop.end() if stop else end
             continue
         if name in CLOSED_BY:
-            close(CLOSED_BY[name])
+            open_now.close(CLOSED_BY[name])
         if name not in INLINE:
-            close(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
-        attrs = m[4] if m[3] else m[7]
+            open_now.close(("p", "h1", "h2", "h3", "h4", "h5", "h6"))
+        attrs = m[3] if m[2] else m[6]
         names = tuple(f".{x.lower()}" for g in _NAMES.findall(attrs) for x in _PART.findall("".join(g))) if attrs else ()
-        stack.append((name, () if name in LOOKS else (name, *names)))
-        state["hidden"] += name in HIDDEN
-        state["links"] += name == "a"
+        open_now.push(name, () if name in LOOKS else (name, *names))
     flush()
     return out
 
@@ -156,10 +197,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """[block, WIDTH] of a page or of several pages' blocks end to end."""
     n = len(blocks)
     x = np.zeros((n, WIDTH), np.float32)
-    slots = _path_slots
-    for i, b in enumerate(blocks):
-        for s in slots(b.path):
-            x[i, s] = 1
+    paths = np.array([b.path for b in blocks], np.uint64)
+    x[:, : PATH + LAST] = (paths[:, None] >> np.arange(PATH + LAST, dtype=np.uint64)) & np.uint64(1)
     h, counts = word_hashes(*text_bytes(pa.array([b.text for b in blocks], pa.large_string())))
     many = np.diff(counts)
     bag = np.bincount(np.repeat(np.arange(n), many) * WORDS + (h % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
@@ -174,12 +213,6 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(20_000)
-def _path_slots(path: tuple[str, ...]) -> tuple[int, ...]:
-    last = next((k for k in range(len(path) - 1, -1, -1) if not path[k].startswith(".") and path[k] not in INLINE), 0)
-    return tuple({_slot(p, PATH) for p in path} | {PATH + _slot(p, LAST) for p in path[last:]})
-
-
 class Labeller:
     """Two LSTMs over a page's blocks, one from each end, and a logistic unit on their states."""
 
@@ -194,11 +227,11 @@ class Labeller:
         self.w["out"] = rng.normal(0, h**-0.5, 2 * h)
         self.w["bias"] = np.zeros(1)
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """States [time, page, unit] from the first block on; mask [time, page] is 0 beyond a page's end."""
+    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, state: tuple | None = None, keep: bool = False) -> tuple[np.ndarray, list, tuple]:
+        """States [time, page, unit] from the first block on, what training needs of them (if keep) and the last state; mask [time, page] is 0 beyond a page's end."""
         h_n = HIDDEN_UNITS
         xs = x @ self.w[f"x{side}"] + self.w[f"c{side}"]
-        h = c = np.zeros((x.shape[1], h_n))
+        h, c = state or (np.zeros((x.shape[1], h_n)),) * 2
         out, kept = np.empty((*x.shape[:2], h_n)), []
         for t in range(len(x)):
             z = xs[t] + h @ self.w[f"h{side}"]
@@ -208,23 +241,46 @@ class Labeller:
             c_new = np.where(m, f * c + i * g, c)
             tc = np.tanh(c_new)
             h_new = np.where(m, o * tc, h)
-            kept.append((h, c, i, f, o, g, tc, m))
+            if keep:
+                kept.append((h, c, i, f, o, g, tc, m))
             h, c = h_new, c_new
             out[t] = h
-        return out, kept
+        return out, kept, (h, c)
 
-    def _sides(self, x: np.ndarray, mask: np.ndarray):
-        forward, kf = self._run("f", x, mask)
-        backward, kb = self._run("b", x[::-1], mask[::-1])
+    def _sides(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+        forward, kf, _ = self._run("f", x, mask, keep=keep)
+        backward, kb, _ = self._run("b", x[::-1], mask[::-1], keep=keep)
         return np.concatenate([forward, backward[::-1]], 2), kf, kb
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = self._sides(x, mask)[0]
         return both @ self.w["out"] + self.w["bias"]
 
+    def long_scores(self, blocks: list[Block], step: int) -> np.ndarray:
+        """Scores of a page's blocks, step blocks at a time: one number a block is held besides the states of a step."""
+        out = np.full(len(blocks), self.w["bias"][0])
+        cuts = [(k, min(k + step, len(blocks))) for k in range(0, len(blocks), step)]
+        for side, order, weight in (("f", cuts, self.w["out"][:HIDDEN_UNITS]), ("b", cuts[::-1], self.w["out"][HIDDEN_UNITS:])):
+            state, turn = None, 1 if side == "f" else -1
+            for a, b in order:
+                x = vectors(blocks[a:b])[::turn, None]
+                states, _, state = self._run(side, x, np.ones(x.shape[:2], bool), state)
+                out[a:b] += (states[:, 0] @ weight)[::turn]
+        return out
+
+    def save(self, path: str) -> None:
+        np.savez_compressed(path, **{k: v.astype(np.float32) for k, v in self.w.items()})
+
+    @classmethod
+    def load(cls, path: str) -> Labeller:
+        model = cls(0)
+        with np.load(path) as found:
+            model.w = {k: found[k].astype(float) for k in model.w}
+        return model
+
     def slopes(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean log loss."""
-        both, kf, kb = self._sides(x, mask)
+        both, kf, kb = self._sides(x, mask, True)
         p = 1 / (1 + np.exp(-np.clip(both @ self.w["out"] + self.w["bias"], -30, 30)))
         d = np.where(mask, p - y, 0) / mask.sum()
         g = {"out": np.einsum("tp,tpu->u", d, both), "bias": d.sum(keepdims=True).reshape(1)}
@@ -417,10 +473,14 @@ def trained(pages: int = 2400, passes: int = 6, batch: int = 48, rate: float = 0
     return model
 
 
+#: Weights that `python -m adaptlm.llm.blocks` has trained, with trained()'s own arguments.
+WEIGHTS = os.path.join(os.path.dirname(__file__), "block_weights.npz")
+
+
 @functools.lru_cache(1)
 def default_labeller() -> Labeller:
-    """Trained once in a process."""
-    return trained()
+    """The labeller with the weights kept beside this module."""
+    return Labeller.load(WEIGHTS)
 
 
 def main_blocks(pages: list[str], model: Labeller, most: int = 20_000) -> Iterator[list[tuple[Block, bool]]]:
@@ -430,6 +490,9 @@ def main_blocks(pages: list[str], model: Labeller, most: int = 20_000) -> Iterat
     order = sorted((k for k in range(len(pages)) if read[k]), key=lambda k: len(read[k]))
     while order:
         some = [order.pop()]
+        if len(read[some[0]]) > most:
+            keep[some[0]] = model.long_scores(read[some[0]], most) > 0
+            continue
         while order and (len(some) + 1) * len(read[some[0]]) <= most and len(some) < 256:
             some.append(order.pop())
         flat = vectors([b for k in some for b in read[k]])
@@ -454,11 +517,17 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, 2):
                 text, n, main = [], [], []
                 for found in main_blocks(part.column(2).to_pylist(), model):
                     text.append("\n".join(b.text for b, m in found if m))
                     n.append(len(found)), main.append(sum(bool(m) for _, m in found))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(n, pa.int64()), pa.array(main, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_main"])
+        tidy()
 
+    small_batches(pages.sparkSession)
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_blocks long, n_main long")
+
+
+if __name__ == "__main__":
+    trained().save(WEIGHTS)

@@ -106,9 +106,9 @@ w AS (SELECT *, regexp_extract_all(t, '{_W}') AS ws, list_filter(string_split(t,
 win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS k FROM w, unnest(range(1, len(ws) - 3)) u(i)),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
 cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM dup, range(5) r(j) GROUP BY rid),
-line AS (SELECT rid, host, l, len(regexp_extract_all(l, '{_W}')) AS n, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM w, unnest(ls) u(l)),
-lim AS (SELECT host, greatest(20, count(*) * 0.01) AS lim FROM x GROUP BY host),
-freq AS (SELECT host, norm, count(DISTINCT rid) AS n FROM line GROUP BY 1, 2),
+line AS (SELECT rid, doc_id, host, l, len(regexp_extract_all(l, '{_W}')) AS n, trim(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM w, unnest(ls) u(l)),
+lim AS (SELECT host, greatest(20, count(DISTINCT coalesce('d' || doc_id, 'r' || rid)) * 0.01) AS lim FROM x GROUP BY host),
+freq AS (SELECT host, norm, count(DISTINCT coalesce('d' || doc_id, 'r' || rid)) AS n FROM line GROUP BY 1, 2),
 common AS (SELECT f.host, f.norm FROM freq f JOIN lim l ON f.host IS NOT DISTINCT FROM l.host WHERE f.n > l.lim),
 lost AS (SELECT rid, sum(n) AS gone FROM line l JOIN common c ON l.norm = c.norm AND l.host IS NOT DISTINCT FROM c.host GROUP BY rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,

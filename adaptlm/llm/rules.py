@@ -69,14 +69,20 @@ def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 20, sha
     A line goes where more than max(min_docs, share * documents of the host) documents
     of that host hold it. A document is rejected if it fails the base rules, if fewer
     than ten words stay or if more than max_lost of its words go. Null hosts are one host.
-    Null texts have no words and are rejected; repeated rows count as documents each;
-    an empty table gives no rows; other columns are ignored.
+    Null texts have no words and are rejected; rows that repeat an id are one document, rows with a null id
+    are documents each, and every row has its result; an empty table gives no rows; other columns are ignored.
     """
-    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host")), "doc_id", "host", "text")
+    rows = keyed(docs, *dict.fromkeys(("doc_id", "text", host))).select("rid", "doc_id", F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     facts = written(base_metrics(rows), "rules")
-    limits = facts.groupBy("host").agg(F.greatest(F.lit(min_docs), F.count(F.lit(1)) * share).alias("limit")).withColumnsRenamed({"host": "l_host"})
-    each = facts.select("host", F.explode(F.array_distinct("line_hashes")).alias("hash"))
-    common = each.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    # a document is an id; rows with no id are documents each. Few ids repeat, so only their lines are made distinct one by one
+    again = facts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    told = facts.select("doc_id", "host", "line_hashes").join(again, F.col("doc_id") == F.col("again"), "left")
+    n_docs = F.count(F.when(F.col("again").isNull(), 1)) + F.count_distinct("again")
+    limits = told.groupBy("host").agg(F.greatest(F.lit(min_docs), n_docs * share).alias("limit")).withColumnsRenamed({"host": "l_host"})
+    each = told.select("host", "again", F.explode(F.array_distinct("line_hashes")).alias("hash"))
+    once = each.where("again IS NULL").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    more = each.where("again IS NOT NULL").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    common = once.unionByName(more).groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") > min_docs)
     common = common.join(limits, F.col("host").eqNullSafe(F.col("l_host"))).where(F.col("n") > F.col("limit")).select(F.col("host").alias("c_host"), F.col("hash").alias("c_hash"))
     lines = facts.select("rid", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("rid", "host", F.col("x.line_hashes").alias("hash"), F.col("x.line_words").alias("n"))
     lost = (

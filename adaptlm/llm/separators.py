@@ -56,12 +56,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
 
 def scan(spark: SparkSession, path: str, end_id: int, id_bytes: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:
-    """file, ordinal, n_tokens, ended of every document in the flat files (*.bin) under path; separators are not counted.
+    """file (its place below the folder path), ordinal, n_tokens, ended of every document in the flat files (*.bin) in it and its sub-folders; separators are not counted.
 
     Tokens after a file's last separator are a document that is not ended. Two separators
     in a row end a document without tokens. Empty files and folders give no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", (F.col("length") / id_bytes).cast("long").alias("tokens")).where("tokens > 0")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(path).select("path", (F.col("length") / id_bytes).cast("long").alias("tokens")).where("tokens > 0")
     blocks = files.select("path", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block))).alias("block"))
     blocks = blocks.select("path", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block), F.col("tokens") - F.col("block") * block).alias("n"))
     blocks = written(blocks, "blocks").repartition(max(spark.sparkContext.defaultParallelism, 1) * 4, "path", "block")
@@ -76,7 +78,7 @@ def scan(spark: SparkSession, path: str, end_id: int, id_bytes: int = 2, block:
                 ends = np.flatnonzero(ids == end_id) + start
                 first, last = (int(ends[0]), int(ends[-1])) if len(ends) else (None, None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file.rpartition("/")[2]]), pa.array([number], pa.int64()), pa.array([start + n], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))],
+                    [pa.array([file.removeprefix(base)]), pa.array([number], pa.int64()), pa.array([start + n], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))],
                     names=["file", "block", "stop", "ends", "first", "last", "inner"],
                 )
 

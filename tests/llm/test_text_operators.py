@@ -364,6 +364,9 @@ def test_separator_scan(spark, tmp_path, block):
         (tmp_path / f"{f}.bin").write_bytes(ids.tobytes())
         want |= {(f"{f}.bin", i, n, True) for i, n in enumerate(lengths)} | (set() if end else {(f"{f}.bin", len(lengths), 4, False)})
     (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/a.bin").write_bytes(np.array([1, 9], "<u2").tobytes())
+    want.add(("sub/a.bin", 0, 1, True))
     got = separators.scan(spark, f"file://{tmp_path}", 9, 2, block).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
@@ -482,3 +485,59 @@ def test_deduplicated(spark):
     want = [(r[0], kept.decode("utf-8", "ignore"), r[3]) for r, (_, _, kept) in zip(rows, _kept([(r[1] or "").encode() for r in rows]))]
     assert collections.Counter((r.doc_id, r.text, r.source, r.n_chars) for r in got) == collections.Counter((*w, len(w[1])) for w in want)
     assert suffixes.deduplicated(documents(spark, [])).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    line = "a line of more than nine words that many hold is here"
+    body = lambda i: line + "\n" + " ".join(f"u{i}x{k}" for k in range(30))
+    few = [(1, body(1), "en", "s", 1, 1, 1, "h", 0.1)] * 40 + [(i, body(i), "en", "s", 1, 1, 1, "h", 0.1) for i in range(2, 15)]
+    got = rules.quality_rules(documents(spark, few)).collect()
+    assert len(got) == len(few) and all(r.n_removed_lines == 0 and r.kept for r in got)
+    many = few + [(None, body(i), "en", "s", 1, 1, 1, "h", 0.1) for i in range(20)]
+    got = rules.quality_rules(documents(spark, many)).collect()
+    assert len(got) == len(many) and all(r.n_removed_lines == 1 and r.n_kept_words == 30 for r in got)
+
+
+def test_clean_text(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a b\nC  1\nd",), (None,), ("",)], "text string")
+    got = [r[0] for r in df.select(rules.clean_text(F.col("text"), F.array(rules.line_hash(F.lit("c 7"))))).collect()]
+    assert got == ["a b\nd", None, ""]
+
+
+def best_cut(g, h, ridge):
+    """Every split of the bins, by brute force."""
+    whole = g.sum() ** 2 / (h.sum() + ridge)
+    gains = [(g[:k].sum() ** 2 / (h[:k].sum() + ridge) + g[k:].sum() ** 2 / (h[k:].sum() + ridge) - whole, -k) for k in range(1, len(g))]
+    return max(gains) if gains else (0.0, 0)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_trees_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n, ridge = int(rng.integers(2, 12)), 1.0
+    g, h = rng.normal(size=n), rng.random(n) + 0.1
+    gain, k = quality._cut(g, h, ridge)
+    want = best_cut(g, h, ridge)
+    assert abs(gain - want[0]) < 1e-9 and k == -want[1]
+    parts = [(0, n)]
+    for _ in range(2):
+        best = max(((*best_cut(g[a:b], h[a:b], ridge), a, b) for a, b in parts), key=lambda x: x[0])
+        if best[0] > 1e-9:
+            _, k, a, b = best
+            parts.remove((a, b))
+            parts += [(a, a - k), (a - k, b)]
+    tree = quality._tree(g, h, ridge)
+    for a, b in parts:
+        assert np.allclose(tree[a:b], g[a:b].sum() / (h[a:b].sum() + ridge))
+
+
+def test_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 4))
+    m = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float), rounds=10, pair_rounds=5)
+    for row, s in zip(x, m.score(x)):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges)]
+        z = m.intercept + sum(t[i] for t, i in zip(m.tables, at)) + sum(t[at[i], at[j]] for (i, j), t in m.pairs.items())
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-12
