@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adaptlm.llm.quality import AdditiveModel, features
-from adaptlm.llm.shared import WORD, keyed, scratch, slices, tidy, written
+from adaptlm.llm.shared import WORD, keyed, scratch, sent, slices, tidy, written
 from adaptlm.llm.words import text_bytes, word_bounds
 
 #: Rows of a range, about.
@@ -127,7 +127,7 @@ def mixed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text
         taken = written(_mix_rows(rows, model, **options).where("taken > 0").select("rid", "size", "epochs", "rest"), "mix-taken", keep=True)
     # names that no column of docs has
     plan = taken.select(F.col("rid").alias("_rid"), *(F.col(c).alias(f"_{c}") for c in ("size", "epochs", "rest")))
-    m = rows.join(plan, F.col("rid") == F.col("_rid"))
+    m = rows.join(sent(plan), F.col("rid") == F.col("_rid"))
     whole = F.col("_epochs") + (F.col("_rest") == F.col("_size")).cast("int")
     parts = (F.col("_rest") > 0) & (F.col("_rest") < F.col("_size"))
     copies = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + parts.cast("int"))))

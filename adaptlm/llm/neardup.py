@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adaptlm.llm.components import components
-from adaptlm.llm.shared import keyed, release, scratch, slices, tidy, written
+from adaptlm.llm.shared import keyed, release, scratch, sent, slices, tidy, written
 from adaptlm.llm.words import mixed, shingle_hashes, text_bytes, word_hashes
 
 BINS, ROWS = 128, 4
@@ -104,7 +104,7 @@ def confirmed(pairs: DataFrame, hashes: DataFrame, percent: int) -> DataFrame:
 
 
 #: Sets of a crowded bucket in a block: about so many are compared with as many others at once.
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
 
 
 def bitmap(distinct: np.ndarray) -> bytes:
@@ -222,15 +222,6 @@ def crowded_pairs(members: DataFrame, maps: DataFrame, percent: int) -> DataFram
     return dealt.mapInArrow(run, "a long, b long, far long").groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
-#: Row keys that are sent to every executor at most (about 50 bytes each); more of them are joined by a shuffle.
-MOST_SENT = 250_000
-
-
-def _sent(keys: DataFrame) -> DataFrame:
-    """A written table of row keys, marked for broadcast if it is within the bound."""
-    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
     """Per row of docs (doc_id, text): rid, doc_id, n_shingles, component_id, kept, root (struct, what rows of one component share).
 
@@ -264,7 +255,7 @@ def _linked(rows: DataFrame, width: int, percent: int, rounds: int) -> DataFrame
     members = written(members.join(crowded, "bucket"), "members")
     release(rows.sparkSession)
     some = written(sets.join(members.select("sid").distinct(), "sid").select("rid", "sid"), "bucketed-sets")
-    hashes = written(hashed(rows.join(_sent(some), "rid").select("sid", "text"), width), "hashes")
+    hashes = written(hashed(rows.join(sent(some), "rid").select("sid", "text"), width), "hashes")
     release(rows.sparkSession)
     links = roots = tried = None
 
@@ -347,4 +338,4 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "
         found = written(_near_rows(rows, **options).select("rid", "doc_id", "root"), "components")
         first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("rid"))
         gone = written(found.join(first, "rid", "left_anti").select("rid"), "near-copies", keep=True)
-    return rows.join(_sent(gone), "rid", "left_anti").select(*columns)
+    return rows.join(sent(gone), "rid", "left_anti").select(*columns)

@@ -134,3 +134,12 @@ def release(spark: SparkSession) -> None:
     """Let the driver forget the shuffle files of plans that are done, so that their disk is free for the next step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of keys that are sent to every executor at most (some 50 bytes each); more of them are joined by a shuffle.
+MOST_SENT = 250_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is within the bound."""
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys

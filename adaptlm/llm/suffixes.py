@@ -294,10 +294,9 @@ def _verdicts(texts: DataFrame, width: int, length: int) -> DataFrame:
     return some.join(texts.where("many > 1").select(*id_columns), id_columns, "left_anti").unionByName(up).unionByName(whole)
 
 
-def _covers(rows: DataFrame, length: int) -> DataFrame:
-    """rid and cover (lo, n, ranges of the repeating windows of its contexts) of the rows (rid, text) that have any."""
+def _repeating(rows: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """name, c1, c2, ranges (null: all) of the contexts with repeating windows."""
     spark = rows.sparkSession
-    parts = written(members(rows, length), "members")
     # 1. different contexts, with the number of their places
     distinct = parts.groupBy("name", "c1", "c2").agg(F.count(F.lit(1)).alias("many"), F.max("twice").alias("twice"), F.min(F.struct("rid", "lo", "n")).alias("at"))
     distinct = written(distinct, "contexts")
@@ -312,8 +311,15 @@ def _covers(rows: DataFrame, length: int) -> DataFrame:
     release(spark)
     partly = _verdicts(texts.withColumn("gram", F.col("name")), length - GRAM + 1, length).where("ranges IS NOT NULL")
     whole = distinct.where("many > 1").select("name", "c1", "c2", F.lit(None).cast("array<int>").alias("ranges"))
-    verdicts = written(whole.unionByName(partly), "verdicts")
-    release(spark)
+    return written(whole.unionByName(partly), "verdicts", keep=True)
+
+
+def _covers(rows: DataFrame, length: int) -> DataFrame:
+    """rid and cover (lo, n, ranges of the repeating windows of its contexts) of the rows (rid, text) that have any."""
+    spark = rows.sparkSession
+    parts = written(members(rows, length), "members")
+    with scratch(spark):
+        verdicts = _repeating(rows, parts, length)
     # 3. back to the documents
     each = parts.select("name", "c1", "c2", "rid", "lo", "n").join(verdicts, ["name", "c1", "c2"]).groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "ranges")).alias("cover"))
     return written(each, "covers", keep=True)
