@@ -64,6 +64,20 @@ def parse_rfc822(text: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(text, r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d)", 1), F.lit("d MMM yyyy HH:mm:ss"))
 
 
+def time_to_string(ts: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return F.date_format(ts, form)
+
+
+def string_to_time(text: Column, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Null where the text has another form."""
+    return F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+
+
+def utc_to_local(ts: Column, zone: str) -> Column:
+    """A UTC time as the wall clock of a zone shows it."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz"))
+
+
 def date_label(ts: Column, today: Column) -> Column:
     """Today, Yesterday, or `Jan 05, 2024`."""
     return F.when(F.to_date(ts) == today, "Today").when(F.datediff(today, F.to_date(ts)) == 1, "Yesterday").otherwise(F.date_format(ts, "MMM dd, yyyy"))

@@ -112,21 +112,76 @@ def url_decode(text: Column) -> Column:
 
 
 def url_parts(url: Column) -> Column:
-    """struct<scheme, host, port, path, query, fragment>; what is missing is empty, all of it where the path is."""
-    strict = r"^(?:([^:/?#]+)://([^/:?#]+)(?::([0-9]+))?)?(/[^?#]+)(?:\?([^#]*))?(?:#(.*))?$"
+    """struct<scheme, host, port, path, query, fragment>; what is missing is empty. A path of / alone, or a query without a path, empties all."""
     names = ("scheme", "host", "port", "path", "query", "fragment")
-    return F.struct(*(F.regexp_extract(url, strict, i).alias(n) for i, n in enumerate(names, 1)))
+    return F.struct(*(F.regexp_extract(url, URL, i).alias(n) for i, n in enumerate(names, 1)))
+
+
+#: Fixed value: the form of an address.
+URL = r"^(?:(?:([^:/]+)://)?([^:/]+)(?::(\d+))?)?(?:(/[^?#]+)(?:\?([^#]+))?(?:#(.*))?)?$"
 
 
 def query_params(query: Column) -> Column:
-    """array<struct<name, value>> of a query string, in order, decoded."""
-    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
-    return F.transform(pairs, lambda p: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("name"), F.when(F.instr(p, "=") > 0, F.substr(p, F.instr(p, "=") + 1)).otherwise("").alias("value")))
+    """array<struct<name, value>> of a query string, in order, decoded; parts without a name or without = are left out, null where one is damaged."""
+    found = F.regexp_extract_all(query, F.lit(r"[^=&]+=[^=&]*"), F.lit(0))
+    pairs = F.transform(found, lambda p: F.struct(url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("name"), url_decode(F.split_part(p, F.lit("="), F.lit(2))).alias("value")))
+    return F.when(~F.exists(pairs, lambda p: p["name"].isNull() | p["value"].isNull()), pairs)
 
 
 def build_query(params: Column) -> Column:
-    """The query string of query_params()."""
-    return F.array_join(F.transform(params, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    """The query string that query_params() reads as these, encoded."""
+    return F.array_join(F.transform(params, lambda p: F.concat(url_encode(p["name"]), F.lit("="), url_encode(p["value"]))), "&")
+
+
+def param(params: Column, name: str) -> Column:
+    """The value of the last parameter of this name, null without one."""
+    return F.get(F.filter(params, lambda p: p["name"] == name), F.size(F.filter(params, lambda p: p["name"] == name)) - 1)["value"]
+
+
+def without_param(params: Column, name: str) -> Column:
+    return F.filter(params, lambda p: p["name"] != name)
+
+
+def with_param(params: Column, name: str, value: Column) -> Column:
+    """The parameters with one of this name, at the end."""
+    return F.concat(without_param(params, name), F.array(F.struct(F.lit(name).alias("name"), value.alias("value"))))
+
+
+def rebuilt_url(parts: Column, params: Column) -> Column:
+    """The address of url_parts() with these parameters in place of its query."""
+    some = lambda before, x: F.when(x != "", F.concat(F.lit(before), x)).otherwise("")
+    scheme = F.when(parts["scheme"] != "", F.concat(parts["scheme"], F.lit("://"))).otherwise("")
+    return F.concat(scheme, parts["host"], some(":", parts["port"]), parts["path"], some("?", build_query(params)), some("#", parts["fragment"]))
+
+
+def attributes(text: Column) -> Column:
+    """map<name, value> of the attributes in a tag's text, with decoded entities; the last of equal names wins."""
+    form = r'\s+(\w+)\s*=\s*"([^"]*?)"'
+    found = F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda a: F.struct(F.regexp_extract(a, form, 1).alias("k"), unquote(F.regexp_extract(a, form, 2)).alias("v")))
+    return F.aggregate(found, F.create_map().cast("map<string,string>"), lambda m, kv: F.map_concat(F.map_filter(m, lambda k, v: k != kv["k"]), F.map_from_arrays(F.array(kv["k"]), F.array(kv["v"]))))
+
+
+def trimmed_template(text: Column) -> Column:
+    """A template whose lines of nothing but one tag or placeholder lose the white space around it and their line end."""
+    body = F.when((text == "") | text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.regexp_replace(body, r"(?m)^[ \t]*(</?template:\w+[^>\n]*?>|\$\{\w+\})[ \t]*\n", "$1")
+
+
+def template_test(kind: str, value: Column, other: Column | None = None) -> Column:
+    """A template's tests: eq, neq, exist, nexist, empty, nempty."""
+    empty = F.coalesce(F.length(value) == 0, F.lit(True))
+    return {"eq": lambda: value.eqNullSafe(other), "neq": lambda: ~value.eqNullSafe(other), "exist": value.isNotNull, "nexist": value.isNull, "empty": lambda: empty, "nempty": lambda: ~empty}[kind]()
+
+
+def shown_result(title: Column, formatted_title: Column, summary: Column, formatted_summary: Column, url: Column, shown_url: Column, formatted_url: Column) -> Column:
+    """struct<title, summary, url, shown_url> of a hit: the formatted parts where there are any, the address shortened where none is given."""
+    first = lambda *c: F.coalesce(*(F.when(x != "", x) for x in c), F.lit(""))
+    return F.struct(first(formatted_title, title).alias("title"), first(formatted_summary, summary).alias("summary"), url.alias("url"), first(formatted_url, shown_url, display_url(url)).alias("shown_url"))
+
+
+def document_text(title: Column, summary: Column) -> Column:
+    """The text of a document that is indexed."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
 
 
 #: File endings and their media types.
@@ -156,11 +211,13 @@ def sql_literal(text: Column) -> Column:
 
 
 #: Result-page addresses of search services by name, with the text and start (or page number) to fill in.
-RESULT_PAGES = {"bing": "http://www.bing.com/search?q=%s&first=%d", "aol": "http://search.aol.com/aol/search?q=%s&page=%d"}
+RESULT_PAGES = {"bing": "http://www.bing.com/search?q=%s&first=%d", "aol": "http://search.aol.com/aol/search?q=%s&page=%d", "boss": "http://boss.yahooapis.com/ysearch/web/v1/%s?start=%d&count=%d&format=xml"}
 
 
 def result_page_url(engine: str, text: Column, start: Column, size: int = 10) -> Column:
-    """The address of the result page that begins at start: by rank, or by page number for aol."""
+    """The address of the result page that begins at start: by rank, by page number for aol, by the rank from 0 and the count for boss."""
+    if engine == "boss":
+        return F.format_string(RESULT_PAGES[engine], url_encode(text), start - 1, F.lit(size))
     at = start if engine != "aol" else F.floor((start - 1) / size).cast("int") + 1
     return F.format_string(RESULT_PAGES[engine], url_encode(text), at)
 

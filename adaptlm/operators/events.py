@@ -56,17 +56,6 @@ def unsaved(results: DataFrame, viewed: DataFrame, saved: DataFrame, most: int =
     return wanted.join(saved.select("search_id", "pos"), ["search_id", "pos"], "left_anti")
 
 
-def time_neighbourhood(rows: DataFrame, user: str, item: str, ts: str, gap_s: int = 1800) -> DataFrame:
-    """anchor, item: what stands around each row without a gap above the limit between it and the next.
-
-    Chains of gaps within the limit end at the first larger one on either side, so the
-    neighbourhood is the run of rows that holds the anchor. Pairs are made within a run and within gap_s times its length.
-    """
-    runs = gap_runs(rows, user, ts, gap_s, item)
-    a = runs.select(user, "run", F.col(item).alias("anchor"))
-    return a.join(runs.select(user, "run", F.col(item)), [user, "run"]).select(user, "anchor", item)
-
-
 def anchored_neighbourhood(rows: DataFrame, user: str, item: str, ts: str, gap_s: int = 1800) -> DataFrame:
     """anchor, item: rows of the user whose time differs from the anchor's by the limit at most.
 
@@ -77,6 +66,56 @@ def anchored_neighbourhood(rows: DataFrame, user: str, item: str, ts: str, gap_s
     return a.join(r, [user, "_b"]).where(F.abs(F.col("_t") - F.col("_at")) <= gap_s).select(user, "anchor", item)
 
 
+def time_based_session(searches: DataFrame, user: str, item: str, created: str, last: str, ended: str | None = None, gap_s: int = 1800) -> DataFrame:
+    """anchor, item: the searches around each one, as far as no gap lies between.
+
+    Forward a search is in while it was created within gap_s of the anchor's last event. Backward one is
+    in while its own last event is within gap_s of the anchor's creation; the first that is not ends the
+    walk. A forced end (column ended) that lies between anchor and search ends it too. Pairs are made by time
+    buckets, so a search meets only those whose activity touches its own.
+    """
+    place = F.row_number().over(Window.partitionBy(user).orderBy(created, item))
+    r = searches.select(F.col(user).alias("_u"), F.col(item).alias("_i"), seconds(created).alias("_c"), F.greatest(seconds(last), seconds(created)).alias("_l"), (seconds(ended) if ended else F.lit(None).cast("long")).alias("_e"), place.alias("_n"))
+    r = r.withColumn("_e", F.max("_e").over(Window.partitionBy("_u")))
+    bucket = lambda t: F.floor(t / max(gap_s, 1))
+    # a search reaches from its creation to its last event and the gap: who is created there may be joined to it
+    early = r.select("_u", F.col("_i").alias("_i0"), F.col("_c").alias("_c0"), F.col("_l").alias("_l0"), F.col("_n").alias("_n0"), F.explode(F.sequence(bucket(F.col("_c")), bucket(F.col("_l") + gap_s))).alias("_b"))
+    late = r.withColumn("_b", bucket(F.col("_c")))
+    forced = F.coalesce((F.col("_c") > F.col("_e")) & (F.col("_e") > F.col("_c0")), F.lit(False))
+    pairs = early.join(late, ["_u", "_b"]).where((F.col("_n") > F.col("_n0")) & (F.col("_c") - F.col("_l0") <= gap_s) & ~forced)
+    forward = pairs.select(F.col("_u").alias(user), F.col("_i0").alias("anchor"), F.col("_i").alias(item))
+    near = F.row_number().over(Window.partitionBy("_u", "_i").orderBy(F.desc("_n0")))
+    backward = pairs.withColumn("_k", near).where(F.col("_n") - F.col("_n0") == F.col("_k")).select(F.col("_u").alias(user), F.col("_i").alias("anchor"), F.col("_i0").alias(item))
+    own = r.select(F.col("_u").alias(user), F.col("_i").alias("anchor"), F.col("_i").alias(item))
+    return own.unionByName(forward).unionByName(backward)
+
+
+def known(rows: DataFrame, searches: DataFrame, key: str = "search_id") -> DataFrame:
+    """Rows (events, models) of searches that exist."""
+    return rows.join(searches.select(key), key, "left_semi")
+
+
+def orphans(rows: DataFrame, searches: DataFrame, key: str = "search_id") -> DataFrame:
+    """Rows that known() drops."""
+    return rows.join(searches.select(key), key, "left_anti")
+
+
+def with_results(clicks: DataFrame, results: DataFrame) -> DataFrame:
+    """Clicks (search_id, pos) with url and title of the result at that place, null without one."""
+    return clicks.join(results.select("search_id", "pos", "url", "title"), ["search_id", "pos"], "left")
+
+
+def in_order(events: DataFrame, user: str, ts: str, *arrival: str) -> DataFrame:
+    """Events with seq, their number in the user's order of time; equal times in order of arrival, so late ones stand after those."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy(user).orderBy(ts, *arrival)))
+
+
+def reverse_page(rows: DataFrame, user: str, ts: str, *order: str, start: int = 1, size: int = 10) -> DataFrame:
+    """rank and the rows of a page of the user's rows, the latest first."""
+    w = Window.partitionBy(user).orderBy(F.desc(ts), *(F.desc(c) for c in order))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank").between(start, start + size - 1))
+
+
 def gap_runs(rows: DataFrame, user: str, ts: str, gap_s: int, *order: str) -> DataFrame:
     """rows with run: a number that rises after each gap above the limit; an equal gap joins."""
     w = Window.partitionBy(user).orderBy(ts, *order)

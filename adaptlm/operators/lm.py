@@ -24,8 +24,10 @@ def term_counts(texts: DataFrame, key: str, text: str = "text", stem: bool = Fal
     return counts if vocabulary is None else counts.join(vocabulary.select("term").distinct(), "term", "left_semi")
 
 
-def ascii_texts(texts: DataFrame, text: str = "text") -> DataFrame:
-    return texts.where(is_ascii(F.col(text)))
+def index(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """term_counts() of printable ASCII texts only, and of one text for each key, the first by its text."""
+    plain = texts.where(is_ascii(F.col(text))).groupBy(key).agg(F.min(text).alias(text))
+    return term_counts(plain, key, text)
 
 
 def lengths(counts: DataFrame, key: str, weight: str = "tf") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adaptlm.config import Settings
+from adaptlm.operators.em import em_weights
 from adaptlm.operators.lm import mixture, normalised, term_counts, truncated, with_background
 
 DEFAULTS = Settings()
@@ -64,6 +65,42 @@ def neighbours(scores: DataFrame, session: DataFrame, clicked: DataFrame, key: s
     return members.unionByName(past.select(key, other))
 
 
+def adaptive(keys: DataFrame, evidence: DataFrame, key: str, weight: float = 1.0) -> DataFrame:
+    """keys with adaptive: whether a model of a search has evidence (clicks, ratings, neighbours) and a weight for it."""
+    some = evidence.select(key).distinct().withColumn("_some", F.lit(weight > 0))
+    return keys.join(some, key, "left").withColumn("adaptive", F.coalesce("_some", F.lit(False))).drop("_some")
+
+
+def history_model(query: DataFrame, pseudo: DataFrame, near: DataFrame, known: DataFrame, probs: DataFrame, default: DataFrame, key: str, other: str, s: Settings = DEFAULTS) -> DataFrame:
+    """key, term, prob: the mix of neighbours' models that, beside the query and the background, best explains the pseudo-feedback model.
+
+    query, pseudo: key, term, prob; near: key, other (with members of the session alone it is the session model); known: other, term, prob, the
+    models of past searches. EM weighs the components [query, background, neighbours], on the terms of the pseudo model; the query and the background have prior counts.
+    A search without neighbours has no model (it is not adaptive).
+    """
+    near = near.select(key, other).distinct()
+    terms = pseudo.join(near, key, "left_semi")
+    none = F.lit(None).cast(dict(near.dtypes)[other])
+    first = terms.select(key, "term").join(query, [key, "term"]).select(key, F.lit(0).alias("_kind"), none.alias(other), "term", "prob")
+    back = with_background(terms.select(key, "term"), probs, default, "prob").select(key, F.lit(1).alias("_kind"), none.alias(other), "term", "prob")
+    theirs = near.join(known, other).join(terms.select(key, "term"), [key, "term"]).select(key, F.lit(2).alias("_kind"), other, "term", "prob")
+    every = terms.select(key).distinct().withColumn("_kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(other, none).unionByName(near.select(key, F.lit(2).alias("_kind"), other))
+    maps = first.unionByName(back).unionByName(theirs).groupBy(key, "_kind", other).agg(F.map_from_entries(F.collect_list(F.struct("term", "prob"))).alias("_m"))
+    every = every.alias("e").join(maps.alias("m"), (F.col(f"e.{key}") == F.col(f"m.{key}")) & (F.col("e._kind") == F.col("m._kind")) & F.col(f"e.{other}").eqNullSafe(F.col(f"m.{other}")), "left")
+    parts = every.groupBy(F.col(f"e.{key}").alias(key)).agg(F.array_sort(F.collect_list(F.struct(F.col("e._kind").alias("k"), F.col(f"e.{other}").alias("o")))).alias("_who"), F.collect_list(F.struct(F.col("e._kind").alias("k"), F.col(f"e.{other}").alias("o"), F.col("m._m").alias("m"))).alias("_parts"))
+    target = terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "prob"))).alias("_t"))
+    mine = lambda who: F.get(F.filter("_parts", lambda p: (p["k"] == who["k"]) & p["o"].eqNullSafe(who["o"])), F.lit(0))["m"]
+    rows = target.join(parts, key).select(
+        key, F.col("_who.o").alias("_others"), F.col("_t.prob").alias("target"),
+        F.transform("_who", lambda who: F.transform(F.col("_t.term"), lambda t: F.coalesce(F.try_element_at(mine(who), t), F.lit(0.0)))).alias("components"),
+        F.transform("_who", lambda who: F.when(who["k"] == 0, s.query_prior).when(who["k"] == 1, s.background_prior).otherwise(0.0)).alias("priors"),
+    )
+    found = em_weights(F.col("target"), F.col("components"), F.col("priors"), s.em_iterations)
+    weights = rows.select(key, F.explode(F.arrays_zip(F.col("_others").alias("o"), found["weights"].alias("w"))).alias("x")).select(key, F.col("x.o").alias(other), F.col("x.w").alias("_w")).where(F.col(other).isNotNull())
+    mixed = weights.join(known, other).groupBy(key, "term").agg(F.sum(F.col("_w") * F.col("prob")).alias("prob")).where("prob > 0")
+    return truncated(normalised(mixed, key, "prob"), key, "prob", s.model_terms, s.model_min_prob)
+
+
 def combined_model(long_term: DataFrame, short_term: DataFrame, clicks: DataFrame, key: str, s: Settings = DEFAULTS) -> DataFrame:
     """long * click_prior + short * clicks, normalised; the one alone where the other is empty or has no weight."""
     n = clicks.groupBy(key).agg(F.sum("n").alias("_n"))
@@ -103,3 +140,15 @@ def outdated(models: DataFrame, events: DataFrame, key: str, kind: str) -> DataF
     """models (key, ts) with outdated: whether an event of the kind is newer."""
     last = events.where(F.col("type") == kind).groupBy(key).agg(F.max("ts").alias("_last"))
     return models.join(last, key, "left").withColumn("outdated", F.coalesce(F.col("_last") > F.col("ts"), F.lit(False))).drop("_last")
+
+
+def any_outdated(models: DataFrame, events: DataFrame, key: str, *kinds: str) -> DataFrame:
+    """As outdated(), for a model made of several: whether an event of any of the kinds is newer. A model without kinds never is."""
+    last = events.where(F.col("type").isin(*kinds)).groupBy(key).agg(F.max("ts").alias("_last"))
+    return models.join(last, key, "left").withColumn("outdated", F.coalesce(F.col("_last") > F.col("ts"), F.lit(False))).drop("_last")
+
+
+def kept_models(old: DataFrame, fresh: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Models (key, term, prob) by memory: the old one of a search whose state (key, outdated) says it still holds, else the fresh one."""
+    good = state.where(~F.col("outdated")).select(key).join(old.select(key).distinct(), key, "left_semi")
+    return old.join(good, key, "left_semi").unionByName(fresh.join(good, key, "left_anti"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import pandas as pd
@@ -9,20 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adaptlm.config import Settings
+from adaptlm.operators.lm import normalised
+from adaptlm.operators.sessions import min_labels
+from adaptlm.sources.tables import checkpointed
 
 DEFAULTS = Settings()
 
 
-def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: float = 0.1, least: float = 0.01) -> dict[int, int]:
+def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: float = 0.1, least: float = 0.01, sizes: dict[int, int] | None = None) -> dict[int, int]:
     """item -> smallest item of its cluster.
 
     The likest two clusters merge while they reach stop (ties: smallest ids); the
-    likeness to a merged cluster is the mean by size, missing ones count as 0 and those below least are dropped.
+    likeness to a merged cluster is the mean by size (an item counts as sizes says, else as one), missing ones count as 0 and those below least are dropped.
     """
     near: dict[int, dict[int, float]] = {i: {} for i in items}
     for a, b, s in pairs:
         near[a][b] = near[b][a] = s
-    size, members, alive = {i: 1 for i in items}, {i: [i] for i in items}, set(items)
+    size, members, alive = {i: (sizes or {}).get(i, 1) for i in items}, {i: [i] for i in items}, set(items)
     heap = [(-s, min(a, b), max(a, b)) for a, b, s in pairs if s >= stop]
     heapq.heapify(heap)
     while heap:
@@ -46,18 +50,76 @@ def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: fl
 
 
 def clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float = DEFAULTS.stop_similarity) -> DataFrame:
-    """group, item, cluster; items (group, item), pairs (group, a, b, sim). A group, such as a user, is one task's work."""
-    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
+    """group, item, cluster; items (group, item, and size if it is above one), pairs (group, a, b, sim). A group, such as a user, is one task's work."""
+    size = F.col("size").cast("double") if "size" in items.columns else F.lit(1.0)
+    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), size.alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked = pdf[pdf["b"].notna()]
-        found = average_link([(int(a), int(b), float(s)) for a, b, s in zip(linked["a"], linked["b"], linked["sim"])], sorted(set(pdf["a"]) | {int(x) for x in linked["b"]}), stop)
+        linked, alone = pdf[pdf["b"].notna()], pdf[pdf["b"].isna()]
+        found = average_link([(int(a), int(b), float(s)) for a, b, s in zip(linked["a"], linked["b"], linked["sim"])], sorted(set(pdf["a"]) | {int(x) for x in linked["b"]}), stop, sizes={int(a): int(n) for a, n in zip(alone["a"], alone["sim"])})
         return pd.DataFrame({group: pdf[group].iloc[0], "item": list(found), "cluster": list(found.values())})
 
     kind = dict(items.dtypes)[group]
     return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, item long, cluster long")
 
 
+def group_models(models: DataFrame, members: DataFrame, item: str, group: str, normal: bool = False) -> DataFrame:
+    """group, term, prob: the sum of the models (item, term, prob) of its members (item, group), normalised if asked for."""
+    summed = members.select(item, group).join(models, item).groupBy(group, "term").agg(F.sum("prob").alias("prob"))
+    return normalised(summed, group, "prob") if normal else summed
+
+
+def topic_groups(searches: DataFrame, by_session: bool = True, by_query: bool = True) -> DataFrame:
+    """search_id, group: the smallest search that is joined to it by the same session or the same query of a user. searches: search_id, user_id, session_id, query."""
+    edges = []
+    for use, column in ((by_session, "session_id"), (by_query, "query")):
+        if use:
+            first = F.min("search_id").over(Window.partitionBy("user_id", column))
+            edges.append(searches.where(F.col(column).isNotNull()).select(F.col("search_id").alias("a"), first.alias("b")))
+    if not edges:
+        return searches.select("search_id", F.col("search_id").alias("group"))
+    found = min_labels(searches.select(F.col("search_id").alias("node")), functools.reduce(DataFrame.unionByName, edges))
+    return found.select(F.col("node").alias("search_id"), F.col("root").alias("group"))
+
+
+def build_topics(searches: DataFrame, models: DataFrame, s: Settings = DEFAULTS, by_session: bool = True, by_query: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Topics of users: (user_id, search_id, topic) and (topic, term, prob), topics named by their smallest search.
+
+    Searches (search_id, user_id, session_id, query) of one session or one query are a group from the start; a group's model is the sum of its
+    searches' models (search_id, term, prob). Groups of a user whose cosine is above min_cosine are clustered by average link; a group counts as
+    many searches as it has. A topic's model is the normalised sum of its searches' models.
+    """
+    grouped = checkpointed(topic_groups(searches, by_session, by_query).join(searches.select("search_id", "user_id"), "search_id"))
+    summed = checkpointed(group_models(models, grouped, "search_id", "group").join(grouped.select("group", "user_id").distinct(), "group"))
+    norm = summed.groupBy("group").agg(F.sqrt(F.sum(F.col("prob") * F.col("prob"))).alias("_n"))
+    x = summed.select("user_id", "term", F.col("group").alias("a"), F.col("prob").alias("_a"))
+    y = summed.select("user_id", "term", F.col("group").alias("b"), F.col("prob").alias("_b"))
+    dots = x.join(y, ["user_id", "term"]).where("a < b").groupBy("user_id", "a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
+    sims = dots.join(norm.select(F.col("group").alias("a"), F.col("_n").alias("_na")), "a").join(norm.select(F.col("group").alias("b"), F.col("_n").alias("_nb")), "b")
+    sims = sims.select("user_id", "a", "b", (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("sim")).where(F.col("sim") > s.min_cosine)
+    sizes = grouped.groupBy("user_id", "group").agg(F.count(F.lit(1)).alias("size"))
+    found = clusters(sims, sizes.select("user_id", F.col("group").alias("item"), "size"), "user_id", s.stop_similarity)
+    members = checkpointed(grouped.join(found.select(F.col("item").alias("group"), F.col("cluster").alias("topic")), "group").select("user_id", "search_id", "topic"))
+    return members, group_models(models, members, "search_id", "topic", normal=True)
+
+
+def nontrivial(stats: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Topics that enough sessions have."""
+    return stats.where(F.col("sessions") >= s.topic_sessions)
+
+
+def listed(stats: DataFrame, criterion: str, topic: str = "topic") -> DataFrame:
+    """Topics with score and rank by a criterion, the highest first, ties by topic."""
+    scored = stats.withColumn("score", sorting_score(F.lit(criterion)))
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), topic)))
+
+
+def counted(members: DataFrame, topic: str, what: str) -> DataFrame:
+    """topic, what, n, rank: how often a topic has each session, query or clicked address, the most frequent first."""
+    n = members.where(F.col(what).isNotNull()).groupBy(topic, what).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("n"), what)))
+
+
 def topic_stats(members: DataFrame, topic: str) -> DataFrame:
     """sessions, total and distinct queries and clicks of each topic; members: topic, session_id, query, clicked_url (null without a click)."""
     return members.groupBy(topic).agg(

@@ -12,7 +12,7 @@ from adaptlm.functions import text as T
 from adaptlm.functions.porter import stemmed
 from adaptlm.operators import em, events, lm, models, rank, recommend, sessions, topics
 from adaptlm.sources import texts
-from adaptlm.sources.tables import table
+from adaptlm.sources.tables import kept, table
 from adaptlm.sources.texts import links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,8 @@ mx4 AS (SELECT {key}, sum(f) / (1 + sum(p) / ((1 - 0.9) / 0.9)) AS lam FROM mx3
 mix AS (SELECT m.{key}, m.term, CASE WHEN stop = 0 THEN f / lam - p / ((1 - 0.9) / 0.9) ELSE 0 END AS prob FROM mx3 m JOIN mx4 USING ({key}))"""
 
 
-def _cut(source: str, key: str, most: int = 20, least: float = 0.001, mass: float = 1.0) -> str:
-    return f"""(SELECT {key}, term, round(prob, 6) + 0.0 AS prob FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY prob DESC, term) AS rk,
+def _cut(source: str, key: str, most: int = 20, least: float = 0.001, mass: float = 1.0, digits: int = 6) -> str:
+    return f"""(SELECT {key}, term, round(prob, {digits}) + 0.0 AS prob FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY prob DESC, term) AS rk,
 coalesce(sum(prob) OVER (PARTITION BY {key} ORDER BY prob DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE rk <= {most} AND prob >= {least} AND before < {mass})"""
 
 
@@ -75,7 +75,7 @@ coalesce(sum(prob) OVER (PARTITION BY {key} ORDER BY prob DESC, term ROWS BETWEE
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return lm.term_counts(table(spark, d, "documents"), "doc_id")
+    return kept(lm.term_counts(table(spark, d, "documents"), "doc_id"), "postings")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def whitespace_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"), F.size(T.words(F.col("text"), True)).cast("long").alias("n_tokens"))
 
 
-_MARKED = "CASE item_id % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN 'site:' ELSE '' END || substr(text, 1, 40)"
+_MARKED = "CASE item_id % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN 'site:' ELSE '' END || text"
 
 
 @query(rf"""WITH w AS (SELECT item_id, regexp_extract_all({_MARKED}, '[^ \t\n\r]+') AS ws FROM benchmark), f AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'INCLUDE' WHEN 1 THEN 'EXCLUDE' WHEN 2 THEN 'SITE' ELSE 'NONE' END AS first_flag, len(ws) AS n_keywords,
@@ -131,6 +131,20 @@ def keyword_flags(spark: SparkSession, d: str) -> DataFrame:
     return k.select("item_id", F.get("k", F.lit(0))["flag"].alias("first_flag"), F.size("k").cast("long").alias("n_keywords"), T.query_text(F.col("k")).alias("query_text"))
 
 
+#: Words and stems that the algorithm's publication gives as examples.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog
+vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal
+electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend
+adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}')" for w, x in zip(STEMS[::2], STEMS[1::2])) + ") v(term, stem)")
+def porter_stems(spark: SparkSession, d: str) -> DataFrame:
+    words = spark.createDataFrame([(w,) for w in STEMS[::2]], "term string")
+    return stemmed(words.withColumn("stem", F.col("term")), "stem").select("term", "stem")
+
+
 @query()
 def porter_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = _docs(spark, d).select("term").distinct()
@@ -162,19 +176,21 @@ def unformat_markup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.plain_text(h)).alias("plain"), F.md5(T.quote(h)).alias("quoted"), F.md5(T.without_breaks(h)).alias("joined"))
 
 
-_URL = r"^(?:([^:/?#]+)://([^/:?#]+)(?::([0-9]+))?)?(/[^?#]+)(?:\?([^#]*))?(?:#(.*))?$"
 
 
-@query("WITH u AS (SELECT page_id, url || '?n=' || page_id || '&m=2#t' AS u FROM pages) SELECT page_id, " + ", ".join(f"regexp_extract(u, '{_URL}', {i}) AS {n}" for i, n in enumerate(("scheme", "host", "port", "path", "query", "fragment"), 1)) + " FROM u")
+_ADDRESS = "CASE page_id % 4 WHEN 0 THEN 'http://h' || page_id WHEN 1 THEN 'h.org:8' || page_id || '/p' WHEN 2 THEN url || '?n=' || page_id ELSE url || '?n=' || page_id || '&m=2#t' END"
+
+
+@query(f"WITH u AS (SELECT page_id, {_ADDRESS} AS u FROM pages) SELECT page_id, " + ", ".join(f"regexp_extract(u, '{T.URL}', {i}) AS {n}" for i, n in enumerate(("scheme", "host", "port", "path", "query", "fragment"), 1)) + " FROM u")
 def url_parts(spark: SparkSession, d: str) -> DataFrame:
-    u = F.concat("url", F.lit("?n="), F.col("page_id").cast("string"), F.lit("&m=2#t"))
-    return table(spark, d, "pages").select("page_id", T.url_parts(u).alias("u")).select("page_id", "u.*")
+    return table(spark, d, "pages").select("page_id", T.url_parts(F.expr(_ADDRESS)).alias("u")).select("page_id", "u.*")
 
 
-@query("SELECT page_id, i AS pos, CASE i WHEN 1 THEN 'n' ELSE 'm' END AS name, CASE i WHEN 1 THEN page_id::VARCHAR ELSE '2' END AS value FROM pages, (VALUES (1), (2)) x(i)")
+@query("SELECT page_id, i AS pos, CASE i WHEN 1 THEN 'a n' ELSE 'm' END AS name, CASE i WHEN 1 THEN '+' || page_id ELSE 'x&=é y' END AS value, 'a+n=%2B' || page_id || '&m=x%26%3D%C3%A9+y' AS rebuilt FROM pages, (VALUES (1), (2)) x(i)")
 def query_params(spark: SparkSession, d: str) -> DataFrame:
-    q = F.concat(F.lit("n="), F.col("page_id").cast("string"), F.lit("&m=2"))
-    return table(spark, d, "pages").select("page_id", F.posexplode(T.query_params(q)).alias("i", "p")).select("page_id", (F.col("i") + 1).alias("pos"), "p.name", "p.value")
+    q = F.concat(F.lit("a%20n=%2B"), F.col("page_id").cast("string"), F.lit("&m=x%26%3D%C3%A9%20y&=lost&lost"))
+    p = table(spark, d, "pages").select("page_id", T.query_params(q).alias("q"))
+    return p.select("page_id", F.posexplode("q").alias("i", "p"), T.build_query(F.col("q")).alias("rebuilt")).select("page_id", (F.col("i") + 1).alias("pos"), "p.name", "p.value", "rebuilt")
 
 
 @query("SELECT item_id, replace(url_encode(text), '%20', '+') AS encoded, text AS decoded FROM benchmark")
@@ -225,11 +241,10 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", "term", r6("weight").alias("weight"))
 
 
-@query(f"WITH {ITEMS}, {DOCS}, a AS (SELECT item_id AS k, term, tf / sum(tf) OVER (PARTITION BY item_id) AS w FROM q), b AS (SELECT doc_id AS k, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM d WHERE doc_id IN (SELECT item_id FROM benchmark)) SELECT k, term, round(sum(w), 6) AS weight FROM (SELECT k, term, 0.7 * w AS w FROM a UNION ALL SELECT k, term, (1 - 0.7) * w FROM b) GROUP BY 1, 2")
+@query(f"WITH {ITEMS}, {DOCS}, a AS (SELECT item_id AS k, term, tf / sum(tf) OVER (PARTITION BY item_id) AS w FROM q), b AS (SELECT doc_id AS k, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM d) SELECT k, term, round(sum(w), 6) AS weight FROM (SELECT k, term, 0.7 * w AS w FROM a UNION ALL SELECT k, term, (1 - 0.7) * w FROM b) GROUP BY 1, 2")
 def interpolate(spark: SparkSession, d: str) -> DataFrame:
     a = lm.normalised(_items(spark, d).select(F.col("item_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
     b = lm.normalised(_docs(spark, d).select(F.col("doc_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
-    b = b.join(table(spark, d, "benchmark").select(F.col("item_id").alias("k")), "k", "left_semi")
     return lm.interpolated(a, b, "k", 0.7).select("k", "term", r6("weight").alias("weight"))
 
 
@@ -285,21 +300,29 @@ def explicit_feedback_model(spark: SparkSession, d: str) -> DataFrame:
     return models.feedback_model(ratings, docs, probs, default, "item_id", "doc_id").select("item_id", "term", r6("prob").alias("prob"))
 
 
-@query(f"{_HEAD}, {_weighted('1.0', False)}, n AS (SELECT item_id, term, f / sum(f) OVER (PARTITION BY item_id) AS prob FROM wc) SELECT item_id, round(sum(prob), 4) AS mass, count(*) AS terms FROM n WHERE prob >= 0.02 GROUP BY 1")
+@query(f"{_HEAD}, {_weighted('1.0', False)}, n AS (SELECT item_id, term, f / sum(f) OVER (PARTITION BY item_id) AS prob FROM wc) SELECT * FROM {_cut('n', 'item_id')}")
 def rocchio_model(spark: SparkSession, d: str) -> DataFrame:
-    n = lm.normalised(_feedback_counts(spark, d).withColumnRenamed("f", "prob"), "item_id", "prob").where("prob >= 0.02")
-    return n.groupBy("item_id").agg(F.round(F.sum("prob"), 4).alias("mass"), F.count(F.lit(1)).alias("terms"))
+    return models.rocchio_model(_feedback_counts(spark, d), "item_id").withColumn("prob", r6("prob"))
+
+
+_OWN = f"""{_weighted('1.0', False)}, {_FP}, {_mix('fp', 'item_id')}, pos_only AS (SELECT * FROM mix WHERE prob > 0), good AS (SELECT item_id FROM benchmark WHERE regexp_matches(text, '^[\\x20-\\x7F]*$') AND item_id IN (SELECT item_id FROM cl WHERE clicked)),
+mdl AS (SELECT m.*, coalesce(p, p0) AS p FROM {_cut('pos_only', 'item_id')} m LEFT JOIN bg USING (term), dflt WHERE item_id IN (SELECT item_id FROM good)), mf AS (SELECT item_id, sum(prob) AS mlen, sum(prob * ln(p)) AS mbase FROM mdl GROUP BY 1),
+og AS (SELECT h.item_id, h.pos, h.doc_id, sum(m.prob * ln(1 + d.tf / 100.0 / m.p)) AS gain FROM hits h JOIN d USING (doc_id) JOIN mdl m ON m.item_id = h.item_id AND m.term = d.term GROUP BY 1, 2, 3),
+os AS (SELECT item_id, pos, (gain + mbase) / mlen + ln(100.0 / (dlen + 100.0)) AS score FROM og JOIN mf USING (item_id) JOIN dl USING (doc_id) WHERE gain > 0)"""
 
 
-@query(f"""{_HEAD}, viewed AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS seq FROM cl WHERE clicked QUALIFY seq <= 2),
-ahead AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY -pos) AS seq FROM cl WHERE (item_id, pos) NOT IN (SELECT (item_id, pos) FROM viewed) QUALIFY seq <= 3),
+@query(f"""{_HEAD}, {_OWN}, viewed AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS seq FROM cl WHERE clicked AND item_id IN (SELECT item_id FROM good)),
+ahead AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, pos) AS seq FROM os WHERE (item_id, pos) NOT IN (SELECT (item_id, pos) FROM viewed) QUALIFY seq <= 3),
 parts AS (SELECT item_id, pos, 0 AS part, seq FROM viewed UNION ALL SELECT item_id, pos, 1, seq FROM ahead UNION ALL SELECT item_id, pos, 2, pos FROM hits),
 firsts AS (SELECT item_id, pos, min(part * 1000 + seq) AS o FROM parts GROUP BY 1, 2) SELECT item_id, pos::INT AS pos, (row_number() OVER (PARTITION BY item_id ORDER BY o))::INT AS rank FROM firsts""")
 def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
-    hits = _clicked_hits(spark, d)
-    w = Window.partitionBy("item_id").orderBy("pos")
-    viewed = hits.where("clicked").withColumn("seq", F.row_number().over(w)).where("seq <= 2")
-    return rank.rerank(rank.base_ranking(hits, "item_id"), viewed, hits.select("item_id", "pos", F.col("pos").cast("double").alias("score")), "item_id")
+    hits, docs, items = _clicked_hits(spark, d), _docs(spark, d), table(spark, d, "benchmark")
+    probs, default = lm.collection_probs(docs)
+    clicked = hits.where("clicked")
+    viewed = clicked.withColumn("seq", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")))
+    flags = models.adaptive(items.select("item_id"), clicked, "item_id")
+    results = hits.join(docs, "doc_id").select("item_id", "pos", "term", "tf")
+    return rank.rerank_by_model(items, results, viewed, _feedback(spark, d), flags, probs, default, "item_id")
 
 
 @query(f"WITH {ITEMS}, {TURNS}, tn AS (SELECT search_id, sqrt(sum(tf * tf)) AS n FROM t GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM q GROUP BY 1), dots AS (SELECT search_id, item_id, sum(t.tf * q.tf) AS dot FROM t JOIN q USING (term) GROUP BY 1, 2) SELECT search_id, item_id, round(dot / (tn.n * qn.n), 6) AS cosine FROM dots JOIN tn USING (search_id) JOIN qn USING (item_id)")
@@ -400,10 +423,10 @@ def event_codec(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "kind", "value", "x.pos", "x.start_pos")
 
 
-@query(f"WITH {ITEMS}, n AS (SELECT item_id, term, tf / sum(tf) OVER (PARTITION BY item_id) AS prob FROM q) SELECT item_id, term FROM {_cut('n', 'item_id')}")
+@query(f"WITH {ITEMS}, n AS (SELECT item_id, term, tf / sum(tf) OVER (PARTITION BY item_id) AS prob FROM q) SELECT item_id, term, prob FROM {_cut('n', 'item_id', digits=3)}")
 def model_codec(spark: SparkSession, d: str) -> DataFrame:
     m = models.query_model(table(spark, d, "benchmark"), "item_id")
-    return C.decode_model(C.encode_model(m, "item_id"), "item_id").select("item_id", "term")
+    return C.decode_model(C.encode_model(m, "item_id"), "item_id").select("item_id", "term", "prob")
 
 
 @query("SELECT event_id, CASE WHEN ts::DATE = DATE '2024-01-20' THEN 'Today' WHEN ts::DATE = DATE '2024-01-19' THEN 'Yesterday' ELSE strftime(ts, '%b %d, %Y') END AS day, strftime(ts, '%I:%M %p') AS clock FROM events")
@@ -438,6 +461,12 @@ def _similar(spark: SparkSession, d: str) -> DataFrame:
     return dots.join(norm.select(F.col("search_id").alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col("search_id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", r6(F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def _session_links(spark: SparkSession, d: str) -> DataFrame:
+    turns = _turns(spark, d)
+    weights = lm.term_counts(turns, "search_id").withColumnRenamed("tf", "weight")
+    return sessions.pair_cosines(sessions.near_pairs(turns, "ts"), weights).where(r6("cosine") >= 0.05).select("a", "b")
+
+
 @query(f"WITH {TURNS}, {_PAIRS} SELECT * FROM sim")
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d)
@@ -445,14 +474,14 @@ def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TURNS}, {_PAIRS} SELECT a, b FROM sim WHERE a // 1000 = b // 1000 AND abs(a % 1000 - b % 1000) * 600 <= 1800 AND cosine >= 0.05")
 def session_range_join(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.session_links(_turns(spark, d), _similar(spark, d), "ts")
+    return _session_links(spark, d)
 
 
 @query(f"""WITH RECURSIVE {TURNS}, {_PAIRS}, e AS (SELECT a, b FROM sim WHERE a // 1000 = b // 1000 AND abs(a % 1000 - b % 1000) * 600 <= 1800 AND cosine >= 0.05), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + turn AS other FROM conversations WHERE role = 'user' UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a) SELECT node, min(other) AS root FROM reach GROUP BY 1""")
 def session_components(spark: SparkSession, d: str) -> DataFrame:
     nodes = _turns(spark, d).select(F.col("search_id").alias("node"))
-    return sessions.min_labels(nodes, sessions.session_links(_turns(spark, d), _similar(spark, d), "ts"))
+    return sessions.min_labels(nodes, _session_links(spark, d))
 
 
 @query(f"WITH {DOCS}, {BACK}, {TURNS}, qt AS (SELECT t.search_id, t.term, t.tf AS w, coalesce(bg.p, p0) AS p FROM t LEFT JOIN bg USING (term), dflt), qf AS (SELECT search_id, sum(w) AS qlen, sum(w * ln(p)) AS base FROM qt GROUP BY 1), {ITEMS}, m AS (SELECT item_id, term, tf / sum(tf) OVER (PARTITION BY item_id) AS prob FROM q), ml AS (SELECT item_id, sum(prob) AS len FROM m GROUP BY 1), ov AS (SELECT search_id, item_id, sum(w * ln(1 + prob / 1.0 / p)) AS gain FROM qt JOIN m USING (term) GROUP BY 1, 2) SELECT search_id, item_id, round((gain + base) / qlen + ln(1.0 / (len + 1.0)), 5) + 0.0 AS score FROM ov JOIN qf USING (search_id) JOIN ml USING (item_id) WHERE gain > 0")
@@ -484,7 +513,19 @@ def _em_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.col("x.tf").alias("target"), F.array("x.c1", "x.c2", "x.p").alias("components"), F.array(F.lit(0.1), F.lit(0.0), F.lit(0.9)).alias("priors"))
 
 
-@query()
+_EM = f"""WITH RECURSIVE {DOCS}, {ITEMS}, {BACK}, {KL}, dp AS (SELECT doc_id, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS prob FROM d),
+rows AS (SELECT q.item_id, q.term, q.tf::DOUBLE AS n, coalesce(x.prob, 0) AS c1, coalesce(y.prob, 0) AS c2, coalesce(bg.p, p0) AS c3 FROM q LEFT JOIN bg USING (term) CROSS JOIN dflt
+LEFT JOIN (SELECT h.item_id, dp.term, dp.prob FROM hits h JOIN dp USING (doc_id) WHERE pos = 1) x ON x.item_id = q.item_id AND x.term = q.term LEFT JOIN (SELECT h.item_id, dp.term, dp.prob FROM hits h JOIN dp USING (doc_id) WHERE pos = 2) y ON y.item_id = q.item_id AND y.term = q.term),
+em AS (SELECT item_id, 1.0::DOUBLE / 3 AS w1, 1.0::DOUBLE / 3 AS w2, 1.0::DOUBLE / 3 AS w3, 0.0::DOUBLE AS likelihood, 0 AS steps, false AS done FROM (SELECT DISTINCT item_id FROM rows)
+UNION ALL SELECT item_id, CASE WHEN stop THEN w1 ELSE g1 / (g1 + g2 + g3) END, CASE WHEN stop THEN w2 ELSE g2 / (g1 + g2 + g3) END, CASE WHEN stop THEN w3 ELSE g3 / (g1 + g2 + g3) END, here, steps + CASE WHEN stop THEN 0 ELSE 1 END, stop
+FROM (SELECT *, steps >= 20 OR (steps > 0 AND abs(here - likelihood) < abs(here + likelihood) * 1e-6) AS stop FROM (SELECT e.item_id, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(likelihood) AS likelihood, any_value(steps) AS steps,
+sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * ln(w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS here, 0.1 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w1 * c1 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g1,
+0.0 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w2 * c2 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g2, 0.9 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w3 * c3 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g3
+FROM em e JOIN rows USING (item_id) WHERE NOT done GROUP BY 1))),
+ends AS (SELECT * FROM em WHERE done) SELECT item_id, (i - 1)::INT AS component, round(CASE i WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END, 6) + 0.0 AS weight, steps FROM ends, (VALUES (1), (2), (3)) v(i)"""
+
+
+@query(_EM)
 def em_mixing_weights(spark: SparkSession, d: str) -> DataFrame:
     w = em.mixing_weights(_em_rows(spark, d), "item_id")
     return w.select("item_id", F.posexplode("weights").alias("component", "weight"), "steps").withColumn("weight", r6("weight"))
@@ -492,17 +533,80 @@ def em_mixing_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def long_term_model(spark: SparkSession, d: str) -> DataFrame:
-    """Mix of the models of alike searches in other sessions, by likeness, beside the search's own model."""
-    t = lm.normalised(lm.term_counts(_turns(spark, d), "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob")
+    """Each turn's model with the one that EM makes of its neighbours' models: turns of its conversation, then alike ones of others."""
+    turns, docs = _turns(spark, d), _docs(spark, d)
+    probs, default = lm.collection_probs(docs)
+    own = lm.truncated(lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob"), "search_id")
     s = _similar(spark, d)
     both = s.select(F.col("a").alias("search_id"), F.col("b").alias("other"), "cosine").unionByName(s.select(F.col("b").alias("search_id"), F.col("a").alias("other"), "cosine"))
-    turns = _turns(spark, d)
     same = turns.select("search_id", "user_id").join(turns.select(F.col("search_id").alias("other"), "user_id"), "user_id").select("search_id", "other")
     near = models.neighbours(both, same, turns.select("search_id"), "search_id", "other")
-    weighted = near.join(both, ["search_id", "other"]).join(t.withColumnRenamed("search_id", "other"), "other").groupBy("search_id", "term").agg(F.sum(F.col("cosine") * F.col("prob")).alias("prob"))
-    long = lm.truncated(lm.normalised(weighted, "search_id", "prob"), "search_id")
+    long = models.history_model(own, own, near, own.withColumnRenamed("search_id", "other"), probs, default, "search_id", "other")
     clicks = turns.select("search_id", F.lit(1).alias("n"))
-    return models.combined_model(long, t, clicks, "search_id").withColumn("prob", r6("prob"))
+    return models.combined_model(long, own, clicks, "search_id").withColumn("prob", r6("prob"))
+
+
+@query(f"WITH {TURNS}, n AS (SELECT search_id, term, tf / sum(tf) OVER (PARTITION BY search_id) AS prob FROM t), g AS (SELECT search_id // 1000 AS user_id, term, sum(prob) AS prob FROM n GROUP BY 1, 2) SELECT user_id, term, round(prob, 6) AS prob, round(prob / sum(prob) OVER (PARTITION BY user_id), 6) AS share FROM g")
+def group_models(spark: SparkSession, d: str) -> DataFrame:
+    turns = _turns(spark, d)
+    m = lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob")
+    plain, share = (topics.group_models(m, turns, "search_id", "user_id", normal) for normal in (False, True))
+    return plain.select("user_id", "term", r6("prob").alias("prob")).join(share.select("user_id", "term", r6("prob").alias("share")), ["user_id", "term"])
+
+
+@query()
+def built_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of conversations: turns of one session or one text are joined, their summed models clustered, each topic's model its searches'."""
+    turns = _turns(spark, d)
+    found = sessions.min_labels(turns.select(F.col("search_id").alias("node")), _session_links(spark, d))
+    searches = turns.join(found.select(F.col("node").alias("search_id"), F.col("root").cast("string").alias("session_id")), "search_id").withColumnRenamed("text", "query")
+    m = lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob")
+    members, terms = topics.build_topics(searches, m)
+    return members.join(terms.groupBy("topic").agg(F.count(F.lit(1)).alias("terms")), "topic")
+
+
+@query("SELECT topic, criterion, CASE criterion WHEN 'click' THEN clicks WHEN 'query' THEN queries ELSE sessions END AS score, (row_number() OVER (PARTITION BY criterion ORDER BY CASE criterion WHEN 'click' THEN clicks WHEN 'query' THEN queries ELSE sessions END DESC, topic))::INT AS rank FROM (SELECT user_id % 20 AS topic, count(DISTINCT user_id) AS sessions, count(event_type) AS queries, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks FROM events GROUP BY 1 HAVING count(DISTINCT user_id) >= 3), (VALUES ('click'), ('query'), ('session')) c(criterion)")
+def listed_topics(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "events").select((F.col("user_id") % 20).alias("topic"), F.col("user_id").alias("session_id"), F.col("event_type").alias("query"), F.when(F.col("event_type") == "click", F.col("props")).alias("clicked_url"))
+    stats = topics.nontrivial(topics.topic_stats(m, "topic"))
+    each = [topics.listed(stats, c).select("topic", F.lit(c).alias("criterion"), "score", "rank") for c in ("click", "query", "session")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_ACTIVE = "ts + INTERVAL 1 SECOND * (event_id % 4 * 1200)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS c, epoch_us({_ACTIVE}) // 1000000 AS l, epoch_us(TIMESTAMP '2024-01-10 12:00:00') // 1000000 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT a.user_id, a.event_id AS x, b.event_id AS y, a.n AS na, b.n AS nb FROM e a JOIN e b ON a.user_id = b.user_id AND b.n > a.n AND b.c - a.l <= 1800 AND NOT (b.c > a.f AND a.f > a.c)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, y ORDER BY na DESC) AS k FROM p)
+SELECT user_id, event_id AS anchor, event_id FROM e UNION ALL SELECT user_id, x, y FROM p UNION ALL SELECT user_id, y, x FROM k WHERE nb - na = k""")
+def time_based_session(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumns({"last": F.expr("ts + make_dt_interval(0, 0, 0, event_id % 4 * 1200)"), "ended": F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")})
+    return events.time_based_session(e, "user_id", "event_id", "ts", "last", "ended")
+
+
+@query(f"SELECT event_id, user_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INT AS rank FROM events QUALIFY rank BETWEEN 11 AND 20")
+def reverse_history_page(spark: SparkSession, d: str) -> DataFrame:
+    return events.reverse_page(table(spark, d, "events"), "user_id", "ts", "event_id", start=11).select("event_id", "user_id", "rank")
+
+
+@query("SELECT l.doc_id, d.doc_id IS NOT NULL AS known FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') d ON l.doc_id = d.doc_id")
+def orphan_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows, docs = table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").where("lang = 'en'")
+    return events.known(rows, docs, "doc_id").withColumn("known", F.lit(True)).unionByName(events.orphans(rows, docs, "doc_id").withColumn("known", F.lit(False)))
+
+
+@query(f"{_HEAD} SELECT b.item_id, count(CASE WHEN clicked THEN 1 END) > 0 AS adaptive FROM benchmark b LEFT JOIN cl USING (item_id) GROUP BY 1")
+def adaptive_models(spark: SparkSession, d: str) -> DataFrame:
+    return models.adaptive(table(spark, d, "benchmark").select("item_id"), _clicked_hits(spark, d).where("clicked"), "item_id")
+
+
+@query("""WITH a AS (SELECT event_id, (user_id % 97 + 1) AS s, (event_id % 130 + 1) AS n FROM events), b AS (SELECT *, s // 10 * 10 + 1 AS low, s + n - (s // 10 * 10 + 1) AS need FROM a)
+SELECT event_id, low::INT AS bing_start, low::INT AS boss_start, CASE WHEN need > 100 THEN 100 ELSE (need + 9) // 10 * 10 END::INT AS boss_count, (low // (CASE WHEN need > 10 THEN 20 ELSE 10 END) * (CASE WHEN need > 10 THEN 20 ELSE 10 END) + 1)::INT AS aol_start, (CASE WHEN need > 10 THEN 20 ELSE 10 END)::INT AS aol_count FROM b""")
+def page_requests(spark: SparkSession, d: str) -> DataFrame:
+    s, n = F.col("user_id") % 97 + 1, F.col("event_id") % 130 + 1
+    e = table(spark, d, "events").select("event_id", *(rank.page_request(k, s, n).alias(k) for k in ("bing", "boss", "aol")))
+    return e.select("event_id", F.col("bing.start").alias("bing_start"), F.col("boss.start").alias("boss_start"), F.col("boss.count").alias("boss_count"), F.col("aol.start").alias("aol_start"), F.col("aol.count").alias("aol_count"))
 
 
 @query("WITH m AS (SELECT user_id % 20 AS topic, user_id AS session_id, event_type AS query, CASE WHEN event_type = 'click' THEN props END AS url FROM events), s AS (SELECT topic, count(DISTINCT session_id) AS sessions, count(query) AS queries, count(DISTINCT query) AS unique_queries, count(url) AS clicks, count(DISTINCT url) AS unique_clicks FROM m GROUP BY 1) SELECT *, clicks AS score FROM s WHERE sessions >= 3")
@@ -542,9 +646,10 @@ def result_page_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", T.result_page_url("bing", t, start).alias("bing"), T.result_page_url("aol", t, start).alias("aol"), T.search_link("http://other/?q=", t).alias("link"))
 
 
-@query(f"{_HEAD} SELECT item_id, count(DISTINCT CASE WHEN pos BETWEEN 2 AND 6 AND pos % 7 <> item_id % 7 THEN pos END) = 5 AS complete FROM hits WHERE pos % 7 <> item_id % 7 GROUP BY 1")
+@query(f"{_HEAD}, known AS (SELECT * FROM hits WHERE doc_id IN (SELECT doc_id FROM labels)) SELECT item_id, count(DISTINCT CASE WHEN pos BETWEEN 2 AND 6 THEN pos END) = 5 AS complete FROM known GROUP BY 1")
 def complete_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return rank.covered(_hits(spark, d).where("pos % 7 <> item_id % 7"), "item_id", 2, 5)
+    labelled = table(spark, d, "labels").select("doc_id")
+    return rank.covered(_hits(spark, d).join(labelled, "doc_id", "left_semi"), "item_id", 2, 5)
 
 
 @query(f"WITH old AS (SELECT user_id, {ITEM} AS item, min(event_id) AS event_id FROM events GROUP BY ALL), new AS (SELECT user_id, {ITEM} AS item, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT user_id, item, coalesce(new.event_id, old.event_id) AS event_id FROM old LEFT JOIN new USING (user_id, item)")
@@ -566,17 +671,19 @@ def commonest_terms(spark: SparkSession, d: str) -> DataFrame:
     return texts.commonest_terms(_docs(spark, d).groupBy("term").agg(F.sum("tf").alias("count")), 500)
 
 
-@query("SELECT user_id, min(event_id::VARCHAR) AS first_id, max(event_id::VARCHAR) AS last_id, max(CASE WHEN event_type = 'view' THEN event_id END) AS last_view FROM events GROUP BY 1")
+@query(f"SELECT user_id, min(event_id::VARCHAR) AS first_id, max(event_id::VARCHAR) AS last_id, last({ITEM} ORDER BY ts, event_id) FILTER (event_type = 'view') AS last_view FROM events GROUP BY 1")
 def first_last_ids(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("id", F.col("event_id").cast("string"))
-    return e.groupBy("user_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("last_view"))
+    e = _events(spark, d).withColumn("id", F.col("event_id").cast("string"))
+    ids = e.groupBy("user_id").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    views = events.last_start(e.withColumnsRenamed({"event_type": "type", "item": "start_pos"}), "user_id").withColumnRenamed("start_pos", "last_view")
+    return ids.join(views, "user_id", "left")
 
 
-@query("WITH s AS (SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'), l AS (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0) SELECT event_id, user_id, 'short' AS tier FROM s UNION ALL SELECT event_id, user_id, 'long' FROM l WHERE event_id NOT IN (SELECT event_id FROM s)")
+@query("SELECT event_id, user_id, CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN 'short' ELSE 'long' END AS tier FROM events")
 def two_tier_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The short tier is what is recent, the long one everything."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
-    short, long = e.where("ts >= timestamp_ntz '2024-01-15'").drop("ts"), e.where("event_id % 2 = 0").drop("ts")
-    return rank.first_tier(short, long, "event_id")
+    return rank.first_tier(e.where("ts >= timestamp_ntz '2024-01-15'").drop("ts"), e.drop("ts"), "event_id")
 
 
 @query("SELECT c.conv_id, c.turn, e.is_expired AS keep FROM conversations c JOIN (SELECT conv_id, max(turn) < 5 AS is_expired FROM conversations GROUP BY 1) e USING (conv_id) WHERE c.role = 'user'")

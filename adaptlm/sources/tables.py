@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the cluster's checkpoint folder (a temporary one where none is set, as in tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a temporary folder where it is unset and executors are in this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="adaptlm-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+_KEPT: dict[tuple[str, ...], str] = {}
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table that is written once for a session and the files it comes from, such as an index that many queries read."""
+    spark = df.sparkSession
+    at = (spark.sparkContext.applicationId, name, *sorted(df.inputFiles()))
+    if at not in _KEPT:
+        path = f"{shared_folder(spark)}/adaptlm/{name}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+        df.write.parquet(path)
+        _KEPT[at] = path
+    return spark.read.schema(df.schema).parquet(_KEPT[at])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the cluster's checkpoint folder (a temporary one where none is set, as in tests)."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -24,6 +24,7 @@ def commonest_terms(counts: DataFrame, most: int) -> DataFrame:
     return counts.orderBy(F.desc("count"), "term").limit(most).orderBy("term")
 
 
+#: Fixed value: a line of a search log.
 LOG_LINE = r"^(\d+)\t(?:query\t(.*)|click\t(\d+))$"
 
 
@@ -68,6 +69,29 @@ def result_entries(pages: DataFrame, key: str, column: str = "html") -> DataFram
     ).where("url <> '' and title <> ''")
 
 
+#: The forms of another service's result page.
+AOL = {
+    "item": r'(?s)<li about="r.*?</li>', "link": r'(?s)<a [^>]*href="([^>"]+)"[^>]* property="f:title"[^>]*>(.+?)</a>', "summary": r'(?s)<p [^>]*property="f:desc"[^>]*>(.*?)</p>',
+    "shown": r'<span [^>]*property="f:durl"[^>]*>([^<]+?)</span>', "start": r'<span id="lowerLimit">(\d+)</span>', "total": r'(?s)<span id="upperLimit">.*?</span>.*?<b>([\d,]+)</b>', "spelling": r"(?s)Did you mean:.*?<a [^>]*>(.+?)</a>",
+}
+
+
+def aol_entries(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
+    """key, pos, title, url, summary, shown_url, total, suggestion of such a page's items; ranks go on from the page's first one, items without address or title take none."""
+    page = F.col(column)
+    start = F.coalesce(F.regexp_extract(page, AOL["start"], 1).try_cast("int"), F.lit(0))
+    facts = (start.alias("_start"), F.replace(F.regexp_extract(page, AOL["total"], 1), F.lit(","), F.lit("")).try_cast("long").alias("total"), F.regexp_extract(page, AOL["spelling"], 1).alias("suggestion"))
+    part = lambda x, name, group=1: plain_text(F.regexp_extract(x, AOL[name], group))
+    item = lambda x: F.struct(part(x, "link").alias("url"), part(x, "link", 2).alias("title"), part(x, "summary").alias("summary"), part(x, "shown").alias("shown_url"))
+    good = F.filter(F.transform(F.regexp_extract_all(page, F.lit(AOL["item"]), F.lit(0)), item), lambda r: (r["url"] != "") & (r["title"] != ""))
+    return pages.select(key, *facts, F.posexplode(good).alias("_i", "_r")).select(key, (F.col("_start") + F.col("_i")).alias("pos"), "_r.title", "_r.url", "_r.summary", "_r.shown_url", "total", "suggestion")
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of files, each as one text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
 def feed_items(feeds: DataFrame, column: str = "xml") -> DataFrame:
     """doc_id, title, summary, url, date of a feed's items with a guid; markup in a description is stripped."""
     schema = "channel struct<item:array<struct<guid:string,title:string,description:string,link:string,pubDate:string>>>"
