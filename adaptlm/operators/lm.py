@@ -57,8 +57,8 @@ def normalised(rows: DataFrame, key: str, weight: str = "weight", squared: bool
 
 
 def truncated(rows: DataFrame, key: str, weight: str = "prob", most: int = 20, least: float = 0.001, mass: float = 1.0) -> DataFrame:
-    """The heaviest terms of a key: at most `most`, none below `least`, none after the mass is reached (the one that crosses it stays)."""
-    order = Window.partitionBy(key).orderBy(F.desc(weight), "term")
+    """The heaviest terms of a key: at most `most`, none below `least`, none after the mass is reached (the one that crosses it stays). Weights equal to twelve digits are ties, by term."""
+    order = Window.partitionBy(key).orderBy(F.desc(F.round(weight, 12)), "term")
     before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ranked = rows.withColumns({"_rank": F.row_number().over(order), "_before": before})
     return ranked.where((F.col("_rank") <= most) & (F.col(weight) >= least) & (F.col("_before") < mass)).drop("_rank", "_before")

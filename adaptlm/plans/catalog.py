@@ -67,8 +67,8 @@ mix AS (SELECT m.{key}, m.term, CASE WHEN stop = 0 THEN f / lam - p / ((1 - 0.9)
 
 
 def _cut(source: str, key: str, most: int = 20, least: float = 0.001, mass: float = 1.0, digits: int = 6) -> str:
-    return f"""(SELECT {key}, term, round(prob, {digits}) + 0.0 AS prob FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY prob DESC, term) AS rk,
-coalesce(sum(prob) OVER (PARTITION BY {key} ORDER BY prob DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE rk <= {most} AND prob >= {least} AND before < {mass})"""
+    return f"""(SELECT {key}, term, round(prob, {digits}) + 0.0 AS prob FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY round(prob, 12) DESC, term) AS rk,
+coalesce(sum(prob) OVER (PARTITION BY {key} ORDER BY round(prob, 12) DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE rk <= {most} AND prob >= {least} AND before < {mass})"""
 
 
 # --- Spark parts ---
@@ -241,7 +241,7 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", "term", r6("weight").alias("weight"))
 
 
-@query(f"WITH {ITEMS}, {DOCS}, a AS (SELECT item_id AS k, term, tf / sum(tf) OVER (PARTITION BY item_id) AS w FROM q), b AS (SELECT doc_id AS k, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM d) SELECT k, term, round(sum(w), 6) AS weight FROM (SELECT k, term, 0.7 * w AS w FROM a UNION ALL SELECT k, term, (1 - 0.7) * w FROM b) GROUP BY 1, 2")
+@query(f"WITH {ITEMS}, {DOCS}, a AS (SELECT item_id AS k, term, tf / sum(tf) OVER (PARTITION BY item_id) AS w FROM q), b AS (SELECT doc_id AS k, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM d) SELECT k, term, round(sum(w), 6) AS weight FROM (SELECT k, term, 0.7::DOUBLE * w AS w FROM a UNION ALL SELECT k, term, (1 - 0.7::DOUBLE) * w FROM b) GROUP BY 1, 2")
 def interpolate(spark: SparkSession, d: str) -> DataFrame:
     a = lm.normalised(_items(spark, d).select(F.col("item_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
     b = lm.normalised(_docs(spark, d).select(F.col("doc_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
