@@ -136,8 +136,8 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of keys that are sent to every executor at most (some 50 bytes each); more of them are joined by a shuffle.
-MOST_SENT = 250_000
+#: Rows of keys that are sent to every executor at most (some 90 bytes each, 2 MB in all); more of them are joined by a shuffle.
+MOST_SENT = 20_000
 
 
 def sent(keys: DataFrame) -> DataFrame:
