@@ -136,7 +136,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of keys that are sent to every executor at most (some 90 bytes each, 2 MB in all); more of them are joined by a shuffle.
+#: Rows of keys that are sent to every executor at most (a key and a few numbers each); more of them are joined by a shuffle.
 MOST_SENT = 20_000
 
 
