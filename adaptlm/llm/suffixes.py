@@ -3,7 +3,7 @@
 1. Anchors. Each window of `length` bytes is named after the least hash of its 32-byte
    grams; equal windows share it wherever they stand. Runs of windows with one
    name form a context (the bytes they cover). Windows whose name no other context has
-   cannot repeat. Equal contexts are counted before they are shuffled, so that
+   cannot repeat, and go before anything else is shuffled. Equal contexts are counted before they are shuffled, so that
    thousands of copies are one row; what such a context covers repeats.
 2. Suffix arrays. The different contexts of a name are brought together and their
    suffixes sorted by the difference-cover method: sampled triples get names, which
@@ -314,10 +314,24 @@ def _repeating(rows: DataFrame, parts: DataFrame, length: int) -> DataFrame:
     return written(whole.unionByName(partly), "verdicts", keep=True)
 
 
+def _met(rows: DataFrame, length: int) -> DataFrame:
+    """The members whose windows another may repeat: their name has more members than one, or its gram may occur twice.
+
+    Names alone are counted, combined before the shuffle; a name that many members have goes back
+    to them by a join that Spark splits.
+    """
+    spark = rows.sparkSession
+    with scratch(spark):
+        each = written(members(rows, length), "members")
+        met = written(each.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("inner")).where("k > 1 or inner").select("name"), "met-names")
+        release(spark)
+        return written(each.join(met, "name", "left_semi"), "met-members", keep=True)
+
+
 def _covers(rows: DataFrame, length: int) -> DataFrame:
     """rid and cover (lo, n, ranges of the repeating windows of its contexts) of the rows (rid, text) that have any."""
     spark = rows.sparkSession
-    parts = written(members(rows, length), "members")
+    parts = _met(rows, length)
     with scratch(spark):
         verdicts = _repeating(rows, parts, length)
     # 3. back to the documents
