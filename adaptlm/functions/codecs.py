@@ -18,26 +18,36 @@ def parse_doc_name(name: Column) -> Column:
     return F.struct(head.alias("search_id"), F.coalesce(tail.try_cast("int"), F.lit(0)).alias("pos"))
 
 
+#: The parts of a kind's tab-separated value in order, with their types. Other kinds: pass a larger table of the same form.
+EVENT_KINDS = {"click": (("pos", "int"), ("url", "string")), "rate": (("pos", "int"), ("rating", "string")), "view": (("view_id", "string"), ("start_pos", "int"), ("result_count", "int"))}
+
+
+def encode_kinds(kind: Column, parts: dict[str, Column], kinds: dict[str, tuple] = EVENT_KINDS) -> Column:
+    """The tab-separated value of an event; null for a kind that the table does not have."""
+    out = F.lit(None).cast("string")
+    for name, fields in kinds.items():
+        out = F.when(kind == name, F.concat_ws("\t", *(parts[f].cast("string") for f, _ in fields))).otherwise(out)
+    return out
+
+
+def decode_kinds(kind: Column, value: Column, kinds: dict[str, tuple] = EVENT_KINDS) -> Column:
+    """struct of all parts that the table names, in its order; null where the kind has no such part or it is damaged."""
+    found: dict[str, Column] = {}
+    for name, fields in kinds.items():
+        for i, (field, form) in enumerate(fields):
+            part = F.when(kind == name, F.get(F.split(value, "\t"), F.lit(i)).try_cast(form))
+            found[field] = F.coalesce(found[field], part) if field in found else part
+    return F.struct(*(c.alias(f) for f, c in found.items()))
+
+
 def encode_event(kind: Column, pos: Column, url: Column, rating: Column, view_id: Column, start_pos: Column, count: Column) -> Column:
     """The tab-separated value of a click, rate or view event."""
-    return (
-        F.when(kind == "click", F.concat_ws("\t", pos.cast("string"), url))
-        .when(kind == "rate", F.concat_ws("\t", pos.cast("string"), rating))
-        .when(kind == "view", F.concat_ws("\t", view_id, start_pos.cast("string"), count.cast("string")))
-    )
+    return encode_kinds(kind, {"pos": pos, "url": url, "rating": rating, "view_id": view_id, "start_pos": start_pos, "result_count": count})
 
 
 def decode_event(kind: Column, value: Column) -> Column:
-    """struct<pos, url, rating, view_id, start_pos, result_count>; null where the kind has no such part or it is damaged."""
-    part = [F.get(F.split(value, "\t"), F.lit(i)) for i in range(3)]
-    return F.struct(
-        F.when(kind.isin("click", "rate"), part[0].try_cast("int")).alias("pos"),
-        F.when(kind == "click", part[1]).alias("url"),
-        F.when(kind == "rate", part[1]).alias("rating"),
-        F.when(kind == "view", part[0]).alias("view_id"),
-        F.when(kind == "view", part[1].try_cast("int")).alias("start_pos"),
-        F.when(kind == "view", part[2].try_cast("int")).alias("result_count"),
-    )
+    """struct<pos, url, rating, view_id, start_pos, result_count> of a click, rate or view event, as decode_kinds()."""
+    return decode_kinds(kind, value)
 
 
 def encode_model(models: DataFrame, key: str, digits: int = 3) -> DataFrame:

@@ -518,7 +518,7 @@ rows AS (SELECT q.item_id, q.term, q.tf::DOUBLE AS n, coalesce(x.prob, 0) AS c1,
 LEFT JOIN (SELECT h.item_id, dp.term, dp.prob FROM hits h JOIN dp USING (doc_id) WHERE pos = 1) x ON x.item_id = q.item_id AND x.term = q.term LEFT JOIN (SELECT h.item_id, dp.term, dp.prob FROM hits h JOIN dp USING (doc_id) WHERE pos = 2) y ON y.item_id = q.item_id AND y.term = q.term),
 em AS (SELECT item_id, 1.0::DOUBLE / 3 AS w1, 1.0::DOUBLE / 3 AS w2, 1.0::DOUBLE / 3 AS w3, 0.0::DOUBLE AS likelihood, 0 AS steps, false AS done FROM (SELECT DISTINCT item_id FROM rows)
 UNION ALL SELECT item_id, CASE WHEN stop THEN w1 ELSE g1 / (g1 + g2 + g3) END, CASE WHEN stop THEN w2 ELSE g2 / (g1 + g2 + g3) END, CASE WHEN stop THEN w3 ELSE g3 / (g1 + g2 + g3) END, here, steps + CASE WHEN stop THEN 0 ELSE 1 END, stop
-FROM (SELECT *, steps >= 20 OR (steps > 0 AND abs(here - likelihood) < abs(here + likelihood) * 1e-6) AS stop FROM (SELECT e.item_id, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(likelihood) AS likelihood, any_value(steps) AS steps,
+FROM (SELECT *, steps >= 20 OR (steps > 1 AND abs(here - likelihood) < abs(here + likelihood) * 1e-6) AS stop FROM (SELECT e.item_id, any_value(w1) AS w1, any_value(w2) AS w2, any_value(w3) AS w3, any_value(likelihood) AS likelihood, any_value(steps) AS steps,
 sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * ln(w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS here, 0.1 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w1 * c1 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g1,
 0.0 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w2 * c2 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g2, 0.9 + sum(CASE WHEN w1 * c1 + w2 * c2 + w3 * c3 > 0 THEN n * w3 * c3 / (w1 * c1 + w2 * c2 + w3 * c3) ELSE 0 END) AS g3
 FROM em e JOIN rows USING (item_id) WHERE NOT done GROUP BY 1))),
