@@ -107,6 +107,8 @@ def test_near_duplicates_in_one_bucket_with_an_unlike_centre(spark):
 def test_near_duplicates_among_many_unlike_sets_of_a_bucket(spark):
     import random
 
+    from pyspark.sql import functions as F
+
     r = random.Random(5)
     base = [f"w{i}" for i in range(900)]
     texts = []
@@ -541,3 +543,22 @@ def test_scores_are_sums_of_table_entries():
         at = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges)]
         z = m.intercept + sum(t[i] for t, i in zip(m.tables, at)) + sum(t[at[i], at[j]] for (i, j), t in m.pairs.items())
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_only_members_with_a_name_that_no_other_has_go_before_the_shuffle(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, own = text(400), text(300)
+    texts = [text(900) + passage, passage + text(700), text(2000), text(500) + own + text(50) + own, "x" * 1500, "", None, text(199), text(200)]
+    rows = spark.createDataFrame([(k, t or "") for k, t in enumerate(texts)], "k long, text string").select(F.struct(F.lit(0).cast("long").alias("f"), F.col("k").alias("r")).alias("rid"), "text")
+    plain = lambda df: sorted((x.rid.r, x.lo, x.n, x.name, x.twice) for x in df.collect())
+    every = plain(suffixes.members(rows, 200))
+    many = collections.Counter(x[3] for x in every)
+    want = [x for x in every if many[x[3]] > 1 or any(y[4] for y in every if y[3] == x[3])]
+    assert plain(suffixes._met(rows, 200)) == want and 0 < len(want) < len(every)
+    assert {x[0] for x in want} >= {0, 1, 3, 4} and 2 not in {x[0] for x in want}
+    assert suffixes._met(rows.limit(0), 200).count() == 0
