@@ -84,6 +84,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), weights=CYCLE)
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.codes import code_digests
+
+    return code_digests(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.interpolation import scored_texts
+
+    return scored_texts(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from adaptlm.llm.whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffixes": op1_suffixes,
     "op2_mixing": op2_mixing,
@@ -95,11 +113,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_blocks": op9_blocks,
     "op10_packing": op10_packing,
+    "op11_codes": op11_codes,
+    "op12_interpolation": op12_interpolation,
+    "op13_whitening": op13_whitening,
 }
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Rounds of assignment and floored means as steps of a WITH list, a row for each component; vectors of the table's one width."""
+    steps = [f"""k AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+u AS (SELECT rid, unnest(e) AS c, generate_subscripts(e, 1) - 1 AS d, len(e) // {parts} AS w FROM k),
+x AS (SELECT rid, d // w AS p, d % w AS j, floor({scale} * c::DOUBLE)::BIGINT AS x FROM u),
+b0 AS (SELECT p, rid - 1 AS i, j, x AS c FROM x WHERE rid <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT rid, p, i, sum((x - c) * (x - c))::BIGINT AS far FROM x JOIN b{r} USING (p, j) GROUP BY ALL),
+a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY far, i) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, i, j, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (rid, p) GROUP BY ALL),
+b{r + 1} AS (SELECT p, i, j, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM b{r} LEFT JOIN m{r} USING (p, i, j))""")
+    return "WITH " + ",\n".join(steps) + f""",
+v AS (SELECT rid, string_agg(printf('%02x', i), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, i, j)) FROM b{rounds}) AS codebooks_sha256 FROM v JOIN k USING (rid)"""
+
+
 _W = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_codes": _codes_sql(),
     "op6_rules": rf"""
 WITH x AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_W}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_W}')) AS ls FROM x),
