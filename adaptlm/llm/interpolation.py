@@ -4,10 +4,10 @@ P(w | u, v) mixes 1 / (V + 1) and the maximum-likelihood estimates of one, two a
 depend on how often the longest known context was seen (a bucket for each power of two); expectation-maximisation learns them on
 held-out counts: every training document is scored with the counts of all the others, its own deleted.
 
-One pass over the texts writes chunks of about two million tokens as numbers into a list of their distinct words. For
+One pass over the texts writes chunks of about a million tokens as numbers into a list of their distinct words. For
 each order, a chunk asks for the totals of its distinct n-grams: sorted 64-bit hashes, packed for each range of
 hashes. A range (about a million entries) adds up what all chunks say of its n-grams and answers each, so a frequent n-gram is one entry a chunk.
-What comes back is laid beside the tokens; fitting and scoring then are scans. Words and n-grams are told
+What comes back meets the chunk twice: to gather the held-out counts, and to score. Words and n-grams are told
 apart by their 64-bit hashes.
 """
 
@@ -26,7 +26,7 @@ from adaptlm.llm.shared import release, scratch, slices, small_batches, tidy, wr
 from adaptlm.llm.words import BLOCK, LOWER, SPACE, mixed, text_bytes, word_bounds, word_hashes
 
 #: Tokens of a chunk, entries of a range of hashes, at most about.
-CHUNK_TOKENS, RANGE_ENTRIES = 1 << 21, 1 << 20
+CHUNK_TOKENS, RANGE_ENTRIES = 1 << 20, 1 << 20
 #: Words longer than this many bytes are hashed by BLAKE2b.
 LONG_WORD = 1 << 16
 ORDERS = 3
@@ -292,63 +292,65 @@ def _scored_texts(docs: DataFrame) -> DataFrame:
         answers = answer if answers is None else answers.unionByName(answer)
     classes = vocabulary + 1
 
-    def laid(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        c = Chunk(row)
+    def laid(left: pa.Table, right: pa.Table) -> tuple[Chunk, list[np.ndarray], list[np.ndarray]]:
+        """A chunk; of each of its tokens, for each order, how often training documents have its n-gram, and the number of the n-gram in the chunk."""
+        c = Chunk(left.to_pylist()[0])
         order_of, part_of, blocks = right.column("ngram").to_numpy(), right.column("part").to_numpy(), right.column("counts")
-        counts, own = [], []
+        counts, numbers = [], []
         for order in range(1, ORDERS + 1):
             mine = np.flatnonzero(order_of == order)
             found = np.concatenate([unpacked(blocks[int(i)].as_py()) for i in mine[np.argsort(part_of[mine])]]).astype(np.int64)
-            at = c.distinct(order)[1]
-            counts.append(found[at])
-            own.append(c.own(at))
-        contexts = [np.full(len(c.tokens), total), *(_shifted(counts[k], c.first, train_docs) for k in range(ORDERS - 1))]
-        # the same with each training document's own counts deleted
-        kept = c.weight
-        size = np.bincount(c.piece, c.scored).astype(np.int64)[c.piece]
-        less = [size, *(_shifted(own[k], c.first, 1) for k in range(ORDERS - 1))]
-        bucket, ml = _estimates([(n - d)[kept] for n, d in zip(counts, own)], [(n - d)[kept] for n, d in zip(contexts, less)])
-        with np.errstate(divide="ignore"):
-            bins = np.where(ml > 0, np.clip(np.rint(-BINS * np.log2(ml)), 0, 1022), 1023).astype(np.int64)
-        keys, n = np.unique(((bucket * 1024 + bins[0]) * 1024 + bins[1]) * 1024 + bins[2], return_counts=True)
-        scored = c.scored
-        columns = {"docs": pa.array([row["docs"]], pa.list_(pa.int64())), "ids": left.column("ids"), "train": left.column("train"), "lens": pa.array([(c.lens - c.skip).astype(np.int32)], pa.list_(pa.int32()))}
-        columns |= {f"c{k + 1}": pa.array([packed(x[scored])], pa.binary()) for k, x in enumerate(counts)}
-        columns |= {f"of{k + 1}": pa.array([packed(contexts[k][scored][np.cumsum(c.lens - c.skip) - (c.lens - c.skip)])], pa.binary()) for k in range(1, ORDERS)}
+            numbers.append(c.distinct(order)[1])
+            counts.append(found[numbers[-1]])
+        return c, counts, numbers
+
+    def contexts_of(c: Chunk, counts: list[np.ndarray], use: np.ndarray, everything: int | np.ndarray, start: int) -> list:
+        """How often the context of each used token is there: all tokens, the word before, the two before."""
+        return [everything, *(_shifted(counts[k], c.first, start)[use] for k in range(ORDERS - 1))]
+
+    def gathered(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        c, counts, numbers = laid(left, right)
+        use = c.weight
+        # the counts without the document's own
+        for k in range(ORDERS):
+            counts[k] -= c.own(numbers[k])
+            numbers[k] = None
+        size = np.bincount(c.piece, c.scored).astype(np.int64)[c.piece][use]
+        bucket, ml = _estimates([n[use] for n in counts], contexts_of(c, counts, use, total - size, train_docs - 1))
+        keys = bucket
+        for k in range(ORDERS):
+            with np.errstate(divide="ignore"):
+                bins = np.where(ml[k] > 0, np.clip(np.rint(-BINS * np.log2(ml[k])), 0, 1022), 1023).astype(np.int64)
+            keys = keys * 1024 + bins
+        keys, n = np.unique(keys, return_counts=True)
+        del c, counts, bucket, ml
         tidy()
-        return pa.table(columns | {"keys": pa.array([keys], pa.list_(pa.int64())), "n": pa.array([n], pa.list_(pa.int64()))})
+        return pa.table({"keys": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    laid_schema = f"docs array<long>, ids array<{kind}>, train array<boolean>, lens array<int>, c1 binary, c2 binary, c3 binary, of2 binary, of3 binary, keys array<long>, n array<long>"
-    beside = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(laid, laid_schema), "counts-by-token", keep=True)
+    beside = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    counted = written(beside.applyInArrow(gathered, "keys long, n long").groupBy("keys").agg(F.sum("n").alias("n")), "held-out-counts")
     release(spark)
-    counted = beside.select(F.explode(F.arrays_zip("keys", "n")).alias("x")).groupBy("x.keys").agg(F.sum("x.n").alias("n"))
     bins = [F.expr(f"shiftright(keys, {10 * (ORDERS - k)}) & 1023") for k in range(1, ORDERS + 1)]
-    histogram = written(counted.select(F.expr(f"CAST(shiftright(keys, {10 * ORDERS}) AS int)").alias("bucket"), *(F.when(b < 1023, F.pow(F.lit(2.0), -b / BINS)).otherwise(0.0).alias(f"ml{k}") for k, b in enumerate(bins, 1)), "n"), "held-out-counts")
+    histogram = counted.select(F.expr(f"CAST(shiftright(keys, {10 * ORDERS}) AS int)").alias("bucket"), *(F.when(b < 1023, F.pow(F.lit(2.0), -b / BINS)).otherwise(0.0).alias(f"ml{k}") for k, b in enumerate(bins, 1)), "n")
     weights = learned(histogram, classes, total > 0)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, row in enumerate(b.to_pylist()):
-                counts = [unpacked(row[f"c{k}"]).astype(np.int64) for k in range(1, ORDERS + 1)]
-                lens = np.array(row["lens"], np.int64)
-                first = np.cumsum(lens) - lens
-                contexts = [np.full(len(counts[0]), total)]
-                for k in range(1, ORDERS):
-                    before = _shifted(counts[k - 1], first, 0)
-                    before[first] = unpacked(row[f"of{k + 1}"])
-                    contexts.append(before)
-                bucket, ml = _estimates(counts, contexts)
-                w = weights[bucket]
-                score = np.log10(w[:, 0] / classes + (w[:, 1:] * ml.T).sum(1))
-                plain = np.log10((counts[0] + 0.1) / (total + 0.1 * classes))
-                known = (counts[0] > 0).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["docs"], pa.int64()), b.column(1).slice(i, 1).flatten(), b.column(2).slice(i, 1).flatten(), pa.array(lens), *(pa.array(np.add.reduceat(x, first)) for x in (known, plain, score))],
-                    names=["doc", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
-                )
+    def summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        c, counts, _ = laid(left, right)
+        use = c.scored
+        lens = c.lens - c.skip
+        first = np.cumsum(lens) - lens
+        bucket, ml = _estimates([n[use] for n in counts], contexts_of(c, counts, use, total, train_docs))
+        p = weights[bucket, 0] / classes
+        for k in range(ORDERS):
+            p += weights[bucket, k + 1] * ml[k]
+        one = counts[0][use]
+        sums = [np.add.reduceat(x, first) for x in ((one > 0).astype(np.int64), np.log10((one + 0.1) / (total + 0.1 * classes)), np.log10(p))]
+        docs, ids, train = (left.column(x).combine_chunks().flatten() for x in ("docs", "ids", "train"))
+        del c, counts, bucket, ml, p
         tidy()
+        return pa.table([docs, ids, train, pa.array(lens), *map(pa.array, sums)], names=["doc", "doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
-    scores = beside.drop("keys", "n").mapInArrow(summed, f"doc long, doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = beside.applyInArrow(summed, f"doc long, doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = written(scores, "scores", keep=True)
     scores = scores.groupBy("doc", "doc_id", "train").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))  # the pieces of a long document
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
