@@ -31,7 +31,7 @@ CHUNK_TOKENS, RANGE_ENTRIES = 1 << 20, 1 << 20
 LONG_WORD = 1 << 16
 ORDERS = 3
 #: Buckets of a kind of context (none, one word, two words), and bins of an estimate for each power of two when the weights are learned.
-KIND, BINS = 32, 4
+KIND, BINS = 32, 2
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,7 +217,11 @@ def _scored_texts(docs: DataFrame) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             nonlocal chunks
-            words, at = np.unique(np.concatenate([p[4] for p in pieces]), return_inverse=True)
+            words, at, often = np.unique(np.concatenate([p[4] for p in pieces]), return_inverse=True, return_counts=True)
+            by = np.argsort(-often, kind="stable")  # small numbers for frequent words
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            words, at = words[by], place[at]
             lens, skip, train = (np.array(x, np.int64) for x in ([len(p[4]) for p in pieces], [p[3] for p in pieces], [p[2] for p in pieces]))
             values = [[base + chunks], [[p[0] for p in pieces]], [[p[1] for p in pieces]], [train.astype(bool)], [skip.astype(np.int32)], [lens.astype(np.int32)],
                       [int(((lens - skip) * train).sum())], [int((train * (skip == 0)).sum())], [int(lens.sum())], [packed(words)], [packed(at)]]
