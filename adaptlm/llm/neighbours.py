@@ -2,7 +2,9 @@
 
 A node splits at the median of its sample along the difference of two of its vectors
 (scaled to length one). A query keeps one queue for all trees: the node that is least far on the
-wrong side of its splits is opened next, until the leaves opened hold enough rows.
+wrong side of its splits is opened next. That distance bounds what the node holds from below, so the queue stops where it
+passes a part (slack) of the distance to the k-th nearest of the sample: near neighbours in sight close the search early,
+vectors without structure keep it open, at every number of rows.
 The distinct candidates of those leaves are ranked by the exact cosine of the original vectors.
 The trees are fitted on a bounded sample; every row is indexed. Each vector lies in one block, with its leaf of every
 tree; a block meets the queries in parts, so a task holds a block and a part of the queries.
@@ -73,19 +75,17 @@ class Forest:
             out[:, t] = self.offsets[t] - 1 - at
         return out
 
-    def opened(self, q: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
-        """The leaves that the shared queue opens for a query of length one until they hold enough rows."""
-        queue, found, rows = [], [], 0
+    def opened(self, q: np.ndarray, bound: float) -> list[int]:
+        """The leaves that the shared queue opens for a query of length one, nearest first, until all that is left is farther than bound."""
+        queue, found = [], []
         margins = [normals @ q - cuts for normals, cuts, _, _ in self.trees]
         for t, tree in enumerate(self.trees):
             queue.append((-np.inf, t, 0 if len(tree[1]) else -1))
         heapq.heapify(queue)
-        while queue and rows < enough:
+        while queue and queue[0][0] <= bound:
             far, t, node = heapq.heappop(queue)
             if node < 0:
-                leaf = int(self.offsets[t]) - 1 - node
-                found.append(leaf)
-                rows += sizes[leaf]
+                found.append(int(self.offsets[t]) - 1 - node)
                 continue
             m, (left, right) = margins[t][node], self.trees[t][2][node]
             heapq.heappush(queue, (max(far, m), t, int(left)))
@@ -93,6 +93,13 @@ class Forest:
         return found
 
 
+def reach(sample: np.ndarray, q: np.ndarray, k: int) -> float:
+    """The distance from a query of length one to the k-th nearest other row of the sample, without end if it has fewer."""
+    if len(sample) <= k:
+        return np.inf
+    return float(np.sqrt(max(0.0, 2 - 2 * np.partition(sample @ q, len(sample) - 1 - k)[len(sample) - 1 - k])))
+
+
 def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
     """Rows of a column of packed vectors in double precision; components that a short one lacks are 0."""
     packed = column.to_pylist()
@@ -105,16 +112,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def shared_rows(n: int) -> float:
-    """The share of n rows that the leaves opened for a query hold: 0.8 up to 500 rows, less the more there are (0.44 of 51,000, 0.3 of a million)."""
-    return 0.8 * (500 / max(n, 500)) ** 0.13
-
-
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, share: float | None = None, leaf_rows: int = 64, sample_rows: int = 16_384, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, slack: float = 0.045, leaf_rows: int = 64, sample_rows: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by cosine, for each row of vectors (vec_id, embedding) whose id is divisible by every.
 
-    share: the leaves opened hold this share of all rows (a row counts once a tree), which sets
-    recall: the nearest of vectors without any structure need a large one; by default shared_rows(). sample_rows
+    slack: leaves nearer than this part of the distance to the k-th nearest row of the sample are opened, which sets
+    recall: 0.95 and more of vectors without any structure, at any number of rows. sample_rows
     bounds the sample that the trees are fitted on; leaf_rows is the most of it in a leaf (small samples: fewer). Vectors that are null, zero
     or hold null or non-finite components take no part, nor do null ids. Components that a vector
     lacks, compared with the longest, are 0. Equal
@@ -123,10 +125,10 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 24, sh
     Ties go to the smaller id. An empty table gives no rows; other columns are ignored.
     """
     with scratch(vectors.sparkSession):
-        return _nearest(vectors, every, k, trees, share, leaf_rows, sample_rows, seed)
+        return _nearest(vectors, every, k, trees, slack, leaf_rows, sample_rows, seed)
 
 
-def _nearest(vectors: DataFrame, every: int, k: int, trees: int, share: float | None, leaf_rows: int, sample_rows: int, seed: int) -> DataFrame:
+def _nearest(vectors: DataFrame, every: int, k: int, trees: int, slack: float, leaf_rows: int, sample_rows: int, seed: int) -> DataFrame:
     spark = vectors.sparkSession
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
     schema = "query_id long, rank int, vec_id long, score double"
@@ -148,7 +150,8 @@ def _nearest(vectors: DataFrame, every: int, k: int, trees: int, share: float |
     if not n:
         return spark.createDataFrame([], schema)
     sample = pa.array([r.vec for r in distinct.orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).select("vec").collect()], pa.binary())
-    forest = Forest(_unit(_matrix(sample, kind, width)), trees, max(8, min(leaf_rows, len(sample) // 64)), seed)
+    fitted = _unit(_matrix(sample, kind, width))
+    forest = Forest(fitted, trees, max(8, min(leaf_rows, len(sample) // 64)), seed)
     leaves_in_all = int(forest.offsets[-1])
     blocks = max(1, -(-n // min(BLOCK_ROWS, max(1024, n // (4 * max(spark.sparkContext.defaultParallelism, 1))))))
 
@@ -162,25 +165,12 @@ def _nearest(vectors: DataFrame, every: int, k: int, trees: int, share: float |
     block = F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("long").alias("block")
     index = written(distinct.select("vec", "ids", block).mapInArrow(placed, "vec binary, ids array<long>, block long, leaves binary"), "forest", keep=True)
 
-    def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(leaves_in_all, np.int64)
-        for b in batches:
-            if b.num_rows:
-                found += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i4"), minlength=leaves_in_all)
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], names=["leaf", "n"])
-
-    sizes = np.zeros(leaves_in_all, np.int64)
-    for r in index.select("leaves").mapInArrow(sizes_of, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a row for each leaf of the sample's trees
-        sizes[r.leaf] = r.n
-    enough = (shared_rows(n) if share is None else share) * n
-
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, 1, 64):
                 opened = np.zeros((part.num_rows, leaves_in_all), bool)
                 for i, q in enumerate(_unit(_matrix(part.column(1), kind, width))):
-                    opened[i, forest.opened(q, sizes, enough)] = True
+                    opened[i, forest.opened(q, slack * reach(fitted, q, k))] = True
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in np.packbits(opened, axis=1)], pa.binary())], names=["query_id", "vec", "opened"])
         tidy()
 
