@@ -211,15 +211,16 @@ def sql_literal(text: Column) -> Column:
 
 
 #: Result-page addresses of search services by name, with the text and start (or page number) to fill in.
-RESULT_PAGES = {"bing": "http://www.bing.com/search?q=%s&first=%d", "aol": "http://search.aol.com/aol/search?q=%s&page=%d", "boss": "http://boss.yahooapis.com/ysearch/web/v1/%s?start=%d&count=%d&format=xml"}
+RESULT_PAGES = {"bing": "http://www.bing.com/search?q=%s&first=%d", "aol": "http://search.aol.com/aol/search?q=%s&page=%d&count_override=%d", "boss": "http://boss.yahooapis.com/ysearch/web/v1/%s?start=%d&count=%d&format=xml"}
 
 
 def result_page_url(engine: str, text: Column, start: Column, size: int = 10) -> Column:
-    """The address of the result page that begins at start: by rank, by page number for aol, by the rank from 0 and the count for boss."""
+    """The address of the result page that begins at start: by rank, by page number and its size for aol, by the rank from 0 and the count for boss."""
     if engine == "boss":
         return F.format_string(RESULT_PAGES[engine], url_encode(text), start - 1, F.lit(size))
-    at = start if engine != "aol" else F.floor((start - 1) / size).cast("int") + 1
-    return F.format_string(RESULT_PAGES[engine], url_encode(text), at)
+    if engine == "aol":
+        return F.format_string(RESULT_PAGES[engine], url_encode(text), F.floor((start - 1) / size).cast("int") + 1, F.lit(size))
+    return F.format_string(RESULT_PAGES[engine], url_encode(text), start)
 
 
 def search_link(prefix: str, text: Column) -> Column:

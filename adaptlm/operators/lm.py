@@ -35,14 +35,18 @@ def lengths(counts: DataFrame, key: str, weight: str = "tf") -> DataFrame:
     return counts.groupBy(key).agg(F.sum(weight).alias("length"))
 
 
-def collection_probs(counts: DataFrame, weight: str = "tf") -> tuple[DataFrame, DataFrame]:
-    """(term, prob) with one count added to each term, and (default_prob), one row, for terms not in the collection."""
-    by_term = counts.groupBy("term").agg(F.sum(weight).alias("count"))
+def term_probs(by_term: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, count, prob) with one count added to each term (term, count), and (default_prob), one row, for terms not in the collection."""
     totals = by_term.agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("unique"))
     probs = by_term.crossJoin(F.broadcast(totals)).select("term", "count", ((F.col("count") + 1) / (F.col("total") + F.col("unique"))).alias("prob"))  # totals is one row
     return probs, totals.select((1 / (F.col("total") + F.col("unique"))).alias("default_prob"))
 
 
+def collection_probs(counts: DataFrame, weight: str = "tf") -> tuple[DataFrame, DataFrame]:
+    """term_probs() of term counts (term, weight)."""
+    return term_probs(counts.groupBy("term").agg(F.sum(weight).alias("count")))
+
+
 def with_background(rows: DataFrame, probs: DataFrame, default: DataFrame, name: str = "p") -> DataFrame:
     """rows with the background probability of their term, the default where there is none."""
     found = rows.join(probs.select("term", F.col("prob").alias("_known")), "term", "left").crossJoin(F.broadcast(default))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from adaptlm.config import Settings
 from adaptlm.operators.em import em_weights
 from adaptlm.operators.lm import mixture, normalised, term_counts, truncated, with_background
+from adaptlm.sources.store import Store
 
 DEFAULTS = Settings()
 
@@ -113,26 +116,107 @@ def combined_model(long_term: DataFrame, short_term: DataFrame, clicks: DataFram
     return truncated(normalised(parts.groupBy(key, "term").agg(F.sum("prob").alias("prob")).where("prob > 0"), key, "prob"), key, "prob", s.model_terms, s.model_min_prob)
 
 
-class ModelRegistry:
-    """Named model builders; a model is built once for the inputs it was given."""
+@dataclass(frozen=True)
+class Evidence:
+    """What models of searches are made of, all by the key column: queries (key, text), results (key, doc, clicked), ratings (key, doc, rating),
+    members of a search's session (key, other), likeness to past searches (key, other, cosine), models of past searches (other, term, prob),
+    and, of the collection, doc_counts (doc, term, tf), probs and default."""
 
-    def __init__(self) -> None:
-        self.builders: dict[str, Callable[..., DataFrame]] = {}
+    queries: DataFrame
+    results: DataFrame
+    ratings: DataFrame
+    members: DataFrame
+    likeness: DataFrame
+    past: DataFrame
+    doc_counts: DataFrame
+    probs: DataFrame
+    default: DataFrame
+    key: str = "search_id"
+    other: str = "other_id"
+    doc: str = "doc_id"
+    settings: Settings = DEFAULTS
 
-    def add(self, name: str, builder: Callable[..., DataFrame]) -> None:
-        self.builders[name] = builder
+    def only(self, keys: DataFrame) -> Evidence:
+        """The evidence of some searches (key); past searches and the collection stay."""
+        of = lambda rows: rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
+        return replace(self, **{n: of(getattr(self, n)) for n in ("queries", "results", "ratings", "members", "likeness")})
 
-    def build(self, name: str, *args, **options) -> DataFrame:
-        return self.builders[name](*args, **options).withColumn("model", F.lit(name))
 
-    def names(self) -> list[str]:
-        return sorted(self.builders)
+def _single(e: Evidence, **options) -> DataFrame:
+    return mixture_model(weighted_counts(e.queries, e.results, e.doc_counts, e.key, e.doc, e.settings, **options), e.probs, e.default, e.key, e.settings)
+
+
+def _pseudo(e: Evidence) -> DataFrame:
+    return _single(e, clicked=0.0, pseudo=True)
+
+
+def _with_history(e: Evidence, near: DataFrame) -> DataFrame:
+    clicks = e.results.where("clicked").groupBy(e.key).agg(F.count(F.lit(1)).alias("n"))
+    long = history_model(query_model(e.queries, e.key, s=e.settings), _pseudo(e), near, e.past, e.probs, e.default, e.key, e.other, e.settings)
+    return combined_model(long, _single(e), clicks, e.key, e.settings)
+
+
+def _session(e: Evidence) -> DataFrame:
+    return _with_history(e, e.members.join(e.past.select(e.other).distinct(), e.other, "left_semi"))
+
 
+def _long_term(e: Evidence) -> DataFrame:
+    return _with_history(e, neighbours(e.likeness, e.members, e.past.select(F.col(e.other).alias(e.key)).distinct(), e.key, e.other, e.settings))
 
-def default_registry() -> ModelRegistry:
-    r = ModelRegistry()
-    for name, f in (("query", query_model), ("rocchio", rocchio_model), ("single-search", mixture_model), ("explicit", feedback_model), ("combined", combined_model)):
-        r.add(name, f)
+
+class ModelRegistry:
+    """Models by name; each is built for a search once and kept until an event of a kind that it depends on is newer.
+
+    What is kept are tables of a Store: the models (key, model, term, prob) and when each was built, searches without a term of a model too.
+    """
+
+    def __init__(self, store: Store, key: str = "search_id", kind: str = "long"):
+        self.store, self.key = store, key
+        self.schemas = {"models": f"{key} {kind}, model string, term string, prob double", "built": f"{key} {kind}, model string, ts timestamp_ntz"}
+        self.builders: dict[str, tuple[Callable[[Evidence], DataFrame], tuple[str, ...]]] = {}
+
+    def add(self, name: str, builder: Callable[[Evidence], DataFrame], *kinds: str) -> None:
+        """A builder, and the kinds of events that outdate what it made."""
+        self.builders[name] = (builder, kinds)
+
+    def names(self) -> list[str]:
+        """All models, in the order they were added."""
+        return list(self.builders)
+
+    def build(self, name: str, keys: DataFrame, evidence: Evidence, events: DataFrame, now: datetime) -> DataFrame:
+        """key, term, prob of a model of the searches in keys (key); built are only those that are not kept or are outdated by events (key, type, ts)."""
+        builder, kinds = self.builders[name]
+        keys = keys.select(self.key).distinct()
+        state = self.store.state()[1]
+        built = self.store.table("built", self.schemas["built"], state).where(F.col("model") == name).groupBy(self.key).agg(F.max_by("ts", "_turn").alias("ts"))
+        holds = any_outdated(built, events, self.key, *kinds).where("NOT outdated") if kinds else built
+        needed = keys.join(holds, self.key, "left_anti")
+        if needed.take(1):
+            named = F.lit(name).alias("model")
+            done = self.store.write("built", needed.select(self.key, named, F.lit(now).cast("timestamp_ntz").alias("ts")))
+            needed = self.store.table("built", self.schemas["built"], {"parts": {"built": [[done, 0]]}})
+            made = self.store.write("models", builder(evidence.only(needed)).select(self.key, named, "term", "prob"))
+
+            def change(old: dict, turn: int) -> dict:
+                old["parts"].setdefault("built", []).append([done, turn])
+                old["parts"].setdefault("models", []).append([made, turn])
+                return old
+
+            self.store.commit(change)
+            state = self.store.state()[1]
+        last = self.store.table("built", self.schemas["built"], state).where(F.col("model") == name).groupBy(self.key).agg(F.max("_turn").alias("_last"))
+        rows = self.store.table("models", self.schemas["models"], state).where(F.col("model") == name).join(last, self.key).where("_turn = _last")
+        return rows.join(keys, self.key, "left_semi").select(self.key, "term", "prob")
+
+
+def default_registry(store: Store, key: str = "search_id", kind: str = "long") -> ModelRegistry:
+    r = ModelRegistry(store, key, kind)
+    r.add("query", lambda e: query_model(e.queries, e.key, s=e.settings))
+    r.add("pseudo", _pseudo, "view")
+    r.add("explicit", lambda e: feedback_model(e.ratings, e.doc_counts, e.probs, e.default, e.key, e.doc, e.settings), "rating")
+    r.add("single-search", _single, "click")
+    r.add("session", _session, "click")
+    r.add("long-term-history", _long_term, "click")
     return r
 
 

@@ -15,6 +15,8 @@ from adaptlm.operators.sessions import min_labels
 from adaptlm.sources.tables import checkpointed
 
 DEFAULTS = Settings()
+#: Pairs of a group that one task clusters (about 200 bytes each in its heap and maps).
+LOCAL_PAIRS = 500_000
 
 
 def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: float = 0.1, least: float = 0.01, sizes: dict[int, int] | None = None) -> dict[int, int]:
@@ -49,18 +51,89 @@ def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: fl
     return {i: min(m) for m in members.values() for i in m}
 
 
-def clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float = DEFAULTS.stop_similarity) -> DataFrame:
-    """group, item, cluster; items (group, item, and size if it is above one), pairs (group, a, b, sim). A group, such as a user, is one task's work."""
-    size = F.col("size").cast("double") if "size" in items.columns else F.lit(1.0)
-    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), size.alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
+def _heap_clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float, least: float) -> DataFrame:
+    """group, item, cluster by average_link(), a group in one task."""
+    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         linked, alone = pdf[pdf["b"].notna()], pdf[pdf["b"].isna()]
-        found = average_link([(int(a), int(b), float(s)) for a, b, s in zip(linked["a"], linked["b"], linked["sim"])], sorted(set(pdf["a"]) | {int(x) for x in linked["b"]}), stop, sizes={int(a): int(n) for a, n in zip(alone["a"], alone["sim"])})
+        found = average_link([(int(a), int(b), float(s)) for a, b, s in zip(linked["a"], linked["b"], linked["sim"])], sorted(set(pdf["a"]) | {int(x) for x in linked["b"]}), stop, least, sizes={int(a): int(n) for a, n in zip(alone["a"], alone["sim"])})
         return pd.DataFrame({group: pdf[group].iloc[0], "item": list(found), "cluster": list(found.values())})
 
-    kind = dict(items.dtypes)[group]
-    return rows.groupBy(group).applyInPandas(run, f"{group} {kind}, item long, cluster long")
+    return rows.groupBy(group).applyInPandas(run, f"{group} {dict(items.dtypes)[group]}, item long, cluster long")
+
+
+def _next_merges(edges: DataFrame, group: str, stop: float) -> DataFrame:
+    """group, a, b, na, nb: the edges (group, a, b, sim, na, nb) that come before all others of their ends and of their ends' neighbours.
+
+    An edge of at least stop comes before those of less sim and, of one sim, before those of larger ids. No two of these edges have ends
+    that are neighbours, so merging them all at once is what merging one by one, the first first, would do here.
+    """
+    turn = F.when(F.col("sim") >= stop, F.struct((-F.col("sim")).alias("far"), "a", "b", "na", "nb"))
+    ends = edges.select(group, F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("_e"), turn.alias("_turn")).select(group, "_e.x", "_e.y", "_turn")
+    best = ends.groupBy(group, "x").agg(F.min("_turn").alias("_best")).where("_best IS NOT NULL")
+    around = ends.select(group, "x", "y").join(best.withColumnRenamed("x", "y"), [group, "y"]).groupBy(group, "x").agg(F.min("_best").alias("_first"))
+    both = around.where("x = _first.a OR x = _first.b").groupBy(group, "_first").agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    return both.select(group, "_first.a", "_first.b", "_first.na", "_first.nb")
+
+
+def _merged_edges(edges: DataFrame, merges: DataFrame, group: str, least: float) -> DataFrame:
+    """The edges after merges: the sim to a merged cluster is the mean by size, a missing edge counts as 0, and what is below least goes."""
+    to = merges.select(group, F.explode(F.array(F.struct(F.col("a").alias("_old"), F.col("na").alias("_part")), F.struct(F.col("b").alias("_old"), F.col("nb").alias("_part")))).alias("_m"), F.col("a").alias("_new"), (F.col("na") + F.col("nb")).alias("_size")).select(group, "_m.*", "_new", "_size")
+    end = lambda at: to.select(group, *(F.col(c).alias(f"{c}_{at}") for c in ("_old", "_part", "_new", "_size"))).withColumnRenamed(f"_old_{at}", at)
+    moved = edges.join(end("a"), [group, "a"], "left").join(end("b"), [group, "b"], "left")
+    same = moved.where("_new_a IS NULL AND _new_b IS NULL").select(*edges.columns)
+    x, y = F.coalesce("_new_a", "a"), F.coalesce("_new_b", "b")
+    # an edge has one end in a merge at most, but for the edges that are merged, whose ends become one
+    touched = moved.where("_new_a IS NOT NULL OR _new_b IS NOT NULL").select(
+        group, F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col("sim") * F.coalesce("_part_a", "_part_b")).alias("_s"), F.coalesce("_size_a", "_size_b").alias("_n"),
+        F.when(x <= y, F.coalesce("_size_a", "na")).otherwise(F.coalesce("_size_b", "nb")).alias("na"), F.when(x <= y, F.coalesce("_size_b", "nb")).otherwise(F.coalesce("_size_a", "na")).alias("nb"),
+    ).where("a < b")
+    means = touched.groupBy(group, "a", "b", "na", "nb").agg((F.sum("_s") / F.max("_n")).alias("sim")).where(F.col("sim") >= least)
+    return same.unionByName(means.select(*edges.columns))
+
+
+def clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float = DEFAULTS.stop_similarity, least: float = 0.01, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """group, item, cluster as average_link() has them; items (group, item, and size if it is above one), pairs (group, a, b, sim), each pair once.
+
+    A group with at most local_pairs pairs is one task's work. The pairs of larger ones stay a table: each round merges, in all
+    groups at once, the pairs that come before everything near them, until few enough pairs are left for one task or none reaches stop. The
+    clusters do not depend on local_pairs.
+    """
+    size = F.col("size").cast("double") if "size" in items.columns else F.lit(1.0)
+    items = items.select(group, "item", size.alias("size"))
+    of_item = items.select(group, F.col("item").alias("_i"), F.col("size").alias("_z"))
+    edges = pairs.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    counts = edges.groupBy(group).agg(F.count(F.lit(1)).alias("_pairs")).where(F.col("_pairs") > local_pairs)
+    large = checkpointed(counts.select(group))
+    if not large.take(1):
+        return _heap_clusters(edges, items, group, stop, least)
+    found = _heap_clusters(edges.join(large, group, "left_anti"), items.join(large, group, "left_anti"), group, stop, least)
+    wide = edges.join(large, group, "left_semi")
+    for at in ("a", "b"):
+        wide = wide.join(of_item.withColumnsRenamed({"_i": at, "_z": f"n{at}"}), [group, at], "left").na.fill({f"n{at}": 1.0})
+    wide = checkpointed(wide.select(group, "a", "b", "sim", "na", "nb"))
+    nodes = items.join(large, group, "left_semi").select(group, "item").unionByName(wide.select(group, F.col("a").alias("item"))).unionByName(wide.select(group, F.col("b").alias("item"))).distinct()
+    joined = None
+    while wide.groupBy(group).count().where(F.col("count") > local_pairs).take(1):
+        merges = checkpointed(_next_merges(wide, group, stop))
+        if not merges.take(1):
+            break
+        joined = merges if joined is None else joined.unionByName(merges)
+        wide = checkpointed(_merged_edges(wide, merges, group, least))
+    node = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("i"))
+    if joined is None:
+        roots = nodes.select(group, "item", F.col("item").alias("root"))
+        sizes = items.join(large, group, "left_semi")
+    else:
+        labels = min_labels(nodes.select(node("item").alias("node")), joined.select(node("a").alias("a"), node("b").alias("b")))
+        roots = checkpointed(labels.select(F.col("node.g").alias(group), F.col("node.i").alias("item"), F.col("root.i").alias("root")))
+        sizes = roots.join(items, [group, "item"], "left").groupBy(group, F.col("root").alias("item")).agg(F.sum(F.coalesce("size", F.lit(1.0))).alias("size"))
+    # a group of which no pair reaches stop any more needs no task
+    open_groups = wide.where(F.col("sim") >= stop).select(group).distinct()
+    rest = _heap_clusters(wide.join(open_groups, group, "left_semi"), sizes.join(open_groups, group, "left_semi"), group, stop, least)
+    late = roots.join(rest.select(group, F.col("item").alias("root"), F.col("cluster").alias("_late")), [group, "root"], "left")
+    return found.unionByName(late.select(group, "item", F.coalesce("_late", "root").alias("cluster")))
 
 
 def group_models(models: DataFrame, members: DataFrame, item: str, group: str, normal: bool = False) -> DataFrame:
@@ -108,10 +181,19 @@ def nontrivial(stats: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return stats.where(F.col("sessions") >= s.topic_sessions)
 
 
-def listed(stats: DataFrame, criterion: str, topic: str = "topic") -> DataFrame:
-    """Topics with score and rank by a criterion, the highest first, ties by topic."""
+def listed(stats: DataFrame, criterion: str, topic: str = "topic", user: str | None = None) -> DataFrame:
+    """Topics with score and rank by a criterion, the highest first, ties by topic; ranks of each user's topics where the user column is named, else of all."""
     scored = stats.withColumn("score", sorting_score(F.lit(criterion)))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), topic)))
+    order = [F.desc("score"), F.asc(topic)]
+    if user:
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(*order)))
+    # a rank over all: the ranges of a sort are counted first, so no task holds more than one of them
+    ranges = scored.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranges = checkpointed(ranges)
+    before = ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranges.join(before, "_p").withColumn("rank", (inside + F.col("_before")).cast("int")).drop("_p", "_before")
 
 
 def counted(members: DataFrame, topic: str, what: str) -> DataFrame:

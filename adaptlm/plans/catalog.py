@@ -12,7 +12,8 @@ from adaptlm.functions import text as T
 from adaptlm.functions.porter import stemmed
 from adaptlm.operators import em, events, lm, models, rank, recommend, sessions, topics
 from adaptlm.sources import texts
-from adaptlm.sources.tables import kept, table
+from adaptlm.sources.segments import index_of
+from adaptlm.sources.tables import table
 from adaptlm.sources.texts import links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +76,12 @@ coalesce(sum(prob) OVER (PARTITION BY {key} ORDER BY round(prob, 12) DESC, term
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return kept(lm.term_counts(table(spark, d, "documents"), "doc_id"), "postings")
+    """Term counts of the documents, from an index that takes in what has changed."""
+    return index_of(spark, f"{d}/documents.parquet").postings()
+
+
+def _background(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return lm.term_probs(index_of(spark, f"{d}/documents.parquet").terms())
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +96,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str, most: int = 10) -> DataFrame:
     docs = _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     scores = lm.kl_scores(_items(spark, d).withColumnRenamed("tf", "weight"), docs, probs, default, "item_id", "doc_id", 100.0)
     return lm.top(scores, "item_id", "doc_id", most).select("item_id", "doc_id", r6("score").alias("score"), F.col("rank").alias("pos"))
 
@@ -210,7 +216,7 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DOCS}, {BACK} SELECT term, c::BIGINT AS count, round(p, 12) AS prob FROM bg JOIN bgc USING (term)")
 def collection_probs(spark: SparkSession, d: str) -> DataFrame:
-    return lm.collection_probs(_docs(spark, d))[0].select("term", "count", F.round("prob", 12).alias("prob"))
+    return _background(spark, d)[0].select("term", "count", F.round("prob", 12).alias("prob"))
 
 
 @query(f"WITH {DOCS} SELECT doc_id, sum(tf)::BIGINT AS length, count(*) AS terms FROM d GROUP BY 1")
@@ -251,7 +257,7 @@ def interpolate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {DOCS}, {BACK}, fp AS (SELECT doc_id, term, tf::DOUBLE AS f, p FROM d JOIN bg USING (term)), {_mix('fp', 'doc_id')} SELECT doc_id, term, round(prob, 6) + 0.0 AS prob FROM mix")
 def mixture_model(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     rows = lm.with_background(docs.withColumn("f", F.col("tf").cast("double")), probs, default)
     return lm.mixture(rows, "doc_id").select("doc_id", "term", r6("prob").alias("prob"))
 
@@ -278,7 +284,7 @@ def _feedback_counts(spark: SparkSession, d: str, **options) -> DataFrame:
 
 
 def _feedback(spark: SparkSession, d: str, **options) -> DataFrame:
-    probs, default = lm.collection_probs(_docs(spark, d))
+    probs, default = _background(spark, d)
     return models.mixture_model(_feedback_counts(spark, d, **options), probs, default, "item_id").select("item_id", "term", r6("prob").alias("prob"))
 
 
@@ -295,7 +301,7 @@ def click_feedback_model(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_HEAD}, wc AS (SELECT item_id, term, sum(tf)::DOUBLE AS f FROM cl JOIN d USING (doc_id) WHERE clicked GROUP BY 1, 2), {_FP}, {_mix('fp', 'item_id')}, pos_only AS (SELECT * FROM mix WHERE prob > 0) SELECT * FROM {_cut('pos_only', 'item_id')}")
 def explicit_feedback_model(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     ratings = _clicked_hits(spark, d).select("item_id", "doc_id", F.when(F.col("clicked"), "Y").otherwise("N").alias("rating"))
     return models.feedback_model(ratings, docs, probs, default, "item_id", "doc_id").select("item_id", "term", r6("prob").alias("prob"))
 
@@ -317,7 +323,7 @@ parts AS (SELECT item_id, pos, 0 AS part, seq FROM viewed UNION ALL SELECT item_
 firsts AS (SELECT item_id, pos, min(part * 1000 + seq) AS o FROM parts GROUP BY 1, 2) SELECT item_id, pos::INT AS pos, (row_number() OVER (PARTITION BY item_id ORDER BY o))::INT AS rank FROM firsts""")
 def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
     hits, docs, items = _clicked_hits(spark, d), _docs(spark, d), table(spark, d, "benchmark")
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     clicked = hits.where("clicked")
     viewed = clicked.withColumn("seq", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")))
     flags = models.adaptive(items.select("item_id"), clicked, "item_id")
@@ -486,14 +492,25 @@ def session_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DOCS}, {BACK}, {TURNS}, qt AS (SELECT t.search_id, t.term, t.tf AS w, coalesce(bg.p, p0) AS p FROM t LEFT JOIN bg USING (term), dflt), qf AS (SELECT search_id, sum(w) AS qlen, sum(w * ln(p)) AS base FROM qt GROUP BY 1), {ITEMS}, m AS (SELECT item_id, term, tf / sum(tf) OVER (PARTITION BY item_id) AS prob FROM q), ml AS (SELECT item_id, sum(prob) AS len FROM m GROUP BY 1), ov AS (SELECT search_id, item_id, sum(w * ln(1 + prob / 1.0 / p)) AS gain FROM qt JOIN m USING (term) GROUP BY 1, 2) SELECT search_id, item_id, round((gain + base) / qlen + ln(1.0 / (len + 1.0)), 5) + 0.0 AS score FROM ov JOIN qf USING (search_id) JOIN ml USING (item_id) WHERE gain > 0")
 def history_search(spark: SparkSession, d: str) -> DataFrame:
-    probs, default = lm.collection_probs(_docs(spark, d))
+    probs, default = _background(spark, d)
     m = lm.normalised(_items(spark, d).withColumnRenamed("tf", "prob"), "item_id", "prob")
     q = lm.term_counts(_turns(spark, d), "search_id").withColumnRenamed("tf", "weight")
     s = lm.kl_scores(q, m, probs, default, "search_id", "item_id", 1.0, d_weight="prob")
     return s.select("search_id", "item_id", (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
-@query()
+_LINKED = """g AS (SELECT a // 1000 AS user_id, a, b, cosine AS sim FROM sim WHERE cosine > 0.01 AND a // 1000 = b // 1000),
+r AS (SELECT * FROM (SELECT search_id // 1000 AS user_id, 0 AS step, search_id AS a, search_id AS b, NULL::DOUBLE AS sim, 1.0::DOUBLE AS na, 1.0::DOUBLE AS nb FROM turns UNION ALL SELECT user_id, 0, a, b, sim, 1.0, 1.0 FROM g)
+UNION ALL SELECT user_id, step, a, b, sim, na, nb FROM (
+SELECT user_id, step + 1 AS step, CASE WHEN sim IS NULL THEN a ELSE least(x, y) END AS a, CASE WHEN sim IS NULL THEN y ELSE greatest(x, y) END AS b, sum(CASE WHEN sim IS NULL THEN NULL WHEN part > 0 THEN sim * part / (k.na + k.nb) ELSE sim END) AS sim, bool_or(sim IS NULL) AS node,
+CASE WHEN x <= y THEN nx ELSE ny END AS na, CASE WHEN x <= y THEN ny ELSE nx END AS nb FROM (
+SELECT *, CASE WHEN a = k.b THEN k.a ELSE a END AS x, CASE WHEN b = k.b THEN k.a ELSE b END AS y, CASE WHEN a IN (k.a, k.b) THEN k.na + k.nb ELSE na END AS nx, CASE WHEN b IN (k.a, k.b) THEN k.na + k.nb ELSE nb END AS ny, CASE WHEN a IN (k.a, k.b) THEN na WHEN b IN (k.a, k.b) THEN nb ELSE 0 END AS part
+FROM (SELECT *, min(CASE WHEN sim >= 0.1 THEN {'far': -sim, 'a': a, 'b': b, 'na': na, 'nb': nb} END) OVER (PARTITION BY user_id) AS k FROM r) WHERE k IS NOT NULL)
+WHERE sim IS NULL OR x <> y GROUP BY user_id, step, k, CASE WHEN sim IS NULL THEN a ELSE least(x, y) END, CASE WHEN sim IS NULL THEN y ELSE greatest(x, y) END, CASE WHEN x <= y THEN nx ELSE ny END, CASE WHEN x <= y THEN ny ELSE nx END, sim IS NULL)
+WHERE node OR sim >= 0.01)"""
+
+
+@query(f"WITH RECURSIVE {TURNS}, {_PAIRS}, turns AS (SELECT conv_id * 1000 + turn AS search_id FROM conversations WHERE role = 'user'), {_LINKED} SELECT user_id, a AS item, arg_max(b, step) AS cluster FROM r WHERE sim IS NULL GROUP BY 1, 2")
 def agglomerative_clusters(spark: SparkSession, d: str) -> DataFrame:
     pairs = _similar(spark, d).where("cosine > 0.01 AND a DIV 1000 = b DIV 1000").select((F.col("a") / 1000).cast("long").alias("user_id"), "a", "b", F.col("cosine").alias("sim"))
     items = _turns(spark, d).select("user_id", F.col("search_id").alias("item"))
@@ -503,7 +520,7 @@ def agglomerative_clusters(spark: SparkSession, d: str) -> DataFrame:
 def _em_rows(spark: SparkSession, d: str) -> DataFrame:
     """For each item: its terms' counts; components: its best hit, its second hit, the background."""
     docs = _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     q = lm.with_background(_items(spark, d), probs, default)
     p = lm.normalised(docs.withColumnRenamed("tf", "prob"), "doc_id", "prob")
     for k in (1, 2):
@@ -535,7 +552,7 @@ def em_mixing_weights(spark: SparkSession, d: str) -> DataFrame:
 def long_term_model(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's model with the one that EM makes of its neighbours' models: turns of its conversation, then alike ones of others."""
     turns, docs = _turns(spark, d), _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     own = lm.truncated(lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob"), "search_id")
     s = _similar(spark, d)
     both = s.select(F.col("a").alias("search_id"), F.col("b").alias("other"), "cosine").unionByName(s.select(F.col("b").alias("search_id"), F.col("a").alias("other"), "cosine"))
@@ -622,7 +639,7 @@ dots AS (SELECT doc_id, tc.source, sum(dm.prob * tc.prob) AS dot FROM dm JOIN tc
 SELECT doc_id, source, sim, sim > 0.2 AS recommended FROM sims QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, source) = 1""")
 def recommend_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    probs, default = lm.collection_probs(docs)
+    probs, default = _background(spark, d)
     by_source = docs.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "term").agg(F.sum("tf").cast("double").alias("prob"))
     return recommend.recommend(docs, by_source, probs, default, "doc_id", "source")
 
@@ -640,7 +657,7 @@ def date_headers(spark: SparkSession, d: str) -> DataFrame:
     return events.date_headers(table(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id", "shown")
 
 
-@query("SELECT item_id, 'http://www.bing.com/search?q=' || replace(url_encode(text), '%20', '+') || '&first=' || (item_id % 5 * 10 + 1) AS bing, 'http://search.aol.com/aol/search?q=' || replace(url_encode(text), '%20', '+') || '&page=' || (item_id % 5 + 1) AS aol, 'http://other/?q=' || replace(url_encode(text), '%20', '+') AS link FROM benchmark")
+@query("SELECT item_id, 'http://www.bing.com/search?q=' || replace(url_encode(text), '%20', '+') || '&first=' || (item_id % 5 * 10 + 1) AS bing, 'http://search.aol.com/aol/search?q=' || replace(url_encode(text), '%20', '+') || '&page=' || (item_id % 5 + 1) || '&count_override=10' AS aol, 'http://other/?q=' || replace(url_encode(text), '%20', '+') AS link FROM benchmark")
 def result_page_urls(spark: SparkSession, d: str) -> DataFrame:
     start, t = (F.col("item_id") % 5 * 10 + 1).cast("int"), F.col("text")
     return table(spark, d, "benchmark").select("item_id", T.result_page_url("bing", t, start).alias("bing"), T.result_page_url("aol", t, start).alias("aol"), T.search_link("http://other/?q=", t).alias("link"))
@@ -668,7 +685,7 @@ def outdated_models(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DOCS} SELECT term, sum(tf)::BIGINT AS count FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500")
 def commonest_terms(spark: SparkSession, d: str) -> DataFrame:
-    return texts.commonest_terms(_docs(spark, d).groupBy("term").agg(F.sum("tf").alias("count")), 500)
+    return texts.commonest_terms(index_of(spark, f"{d}/documents.parquet").terms(), 500)
 
 
 @query(f"SELECT user_id, min(event_id::VARCHAR) AS first_id, max(event_id::VARCHAR) AS last_id, last({ITEM} ORDER BY ts, event_id) FILTER (event_type = 'view') AS last_view FROM events GROUP BY 1")

@@ -7,10 +7,10 @@ are dealt to tasks. Register it with spark.dataSource.register() and read it by
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 
 @dataclass
@@ -37,6 +37,8 @@ class ResultSource(DataSource):
     Options: queries (a JSON array of texts; search_id counts them from 0), start (first rank, 1 unless given), count
     (ranks of each query). Each page is a task; pages are aligned to the source's page size. A source may give
     other ranks than it was asked for; ranks outside the range are left out, and a page that it cannot give has no rows.
+    With the option pushdown=true, which asks for spark.sql.python.filterPushdown.enabled, filters that compare search_id or
+    pos with numbers choose the pages: no others are asked for.
     """
 
     #: Results that the source gives at once.
@@ -54,7 +56,7 @@ class ResultSource(DataSource):
         raise NotImplementedError("a source gives results")
 
     def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self)
+        return (_ChosenPageReader if self.options.get("pushdown", "false").lower() == "true" else _PageReader)(self)
 
 
 class _PageReader(DataSourceReader):
@@ -64,21 +66,42 @@ class _PageReader(DataSourceReader):
         self.start, self.count = int(o.get("start", 1)), int(o.get("count", source.page_size))
         if self.start < 1:
             raise ValueError("ranks start at 1")
+        self.low, self.end = self.start, self.start + self.count
+        self.ids: set[int] | None = None
 
     def partitions(self) -> Sequence[InputPartition]:
-        size, end = self.source.page_size, self.start + self.count
-        first = (self.start - 1) // size * size + 1
-        return [Page(i, q, at, size) for i, q in enumerate(self.queries) if q for at in range(first, end, size)] or [Page(0, "", 1, 0)]
+        size = self.source.page_size
+        first = (self.low - 1) // size * size + 1
+        wanted = [(i, q) for i, q in enumerate(self.queries) if q and (self.ids is None or i in self.ids)]
+        return [Page(i, q, at, size) for i, q in wanted for at in range(first, self.end, size)] or [Page(0, "", 1, 0)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         if not partition.count:
             return
-        low, end = max(partition.start, self.start), min(partition.start + partition.count, self.start + self.count)
+        low, end = max(partition.start, self.low), min(partition.start + partition.count, self.end)
         for pos, title, url, summary in self.source.results(partition.query, partition.start, partition.count):
             if low <= pos < end:
                 yield partition.search_id, pos, title, url, summary
 
 
+class _ChosenPageReader(_PageReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Take the comparisons of search_id and pos; the others are left to Spark."""
+        for f in filters:
+            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            whole = isinstance(value, int) and not isinstance(value, bool)
+            if name == ("search_id",) and (isinstance(f, In) or isinstance(f, EqualTo) and whole):
+                some = {v for v in f.value if v is not None} if isinstance(f, In) else {value}
+                self.ids = some if self.ids is None else self.ids & some
+            elif name == ("pos",) and whole and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+                self.end = min(self.end, value + 1) if isinstance(f, EqualTo) else self.end
+            elif name == ("pos",) and whole and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.end = min(self.end, value + isinstance(f, LessThanOrEqual))
+            else:
+                yield f
+
+
 class DocumentProducer(DataSource):
     """number, doc_id, title, summary, url, date of a producer's documents, as a stream.
 

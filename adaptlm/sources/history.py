@@ -1,8 +1,8 @@
-"""A user history as Parquet tables in a folder: searches, results, events, attributes and topics.
+"""A user history as tables in a folder: searches, results, events, attributes and topics.
 
-Rows are appended in units: each row carries its unit's name, and a unit counts only once its
-name is in the table of commits, which is written last. A unit is thus whole in all tables or in none,
-and a job that is run again under the same name adds nothing.
+Rows are added in units, and a unit counts in all its tables or in none: what a unit has written is published by one manifest (see
+Store). A job that is killed in between leaves the old state whole; one that is run again under the same name adds nothing; of two
+writers of one unit the first counts. Nothing is rewritten in place: session ids and topics hold as the last unit says that names the search or user.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from adaptlm.functions.codecs import decode_event, decode_model, encode_model
 from adaptlm.operators.events import expired, known, orphans
-from adaptlm.sources.tables import checkpointed
+from adaptlm.sources.store import Store
 
-#: Columns of the tables; attributes hold encoded models under the name model.
+#: Columns of the tables; attributes hold encoded models under the name model. A row of topic_users says that a unit replaces all topics of the user.
 TABLES = {
     "searches": "search_id string, user_id string, session_id string, query string, ts timestamp_ntz",
     "results": "search_id string, pos int, title string, summary string, url string",
@@ -22,53 +22,46 @@ TABLES = {
     "attributes": "search_id string, name string, value string",
     "topics": "topic_id long, name string, value string, user_id string",
     "topic_searches": "topic_id long, search_id string, weight double, user_id string",
+    "topic_attrs": "topic_id long, name string, value string, user_id string",
+    "topic_users": "user_id string",
 }
-APPENDED = ("searches", "results", "events", "attributes")
+OF_TOPICS = ("topics", "topic_searches", "topic_attrs")
 
 
 class History:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.store = spark, Store(spark, folder)
 
     def has(self, name: str) -> bool:
         """Whether a table is there."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return name in self.store.state()[1]["parts"]
 
     def create(self) -> None:
         """Make the tables that are not there, empty."""
-        for name, schema in {**{n: f"{s}, unit string" if n in APPENDED else s for n, s in TABLES.items()}, "commits": "unit string"}.items():
-            if not self.has(name):
-                empty = self.spark.createDataFrame([], schema).write
-                (empty if name in APPENDED or name == "commits" else empty.partitionBy("user_id")).parquet(f"{self.folder}/{name}")
+        self.store.commit(lambda state, _: None if set(TABLES) <= set(state["parts"]) else state | {"parts": {n: [] for n in TABLES} | state["parts"]})
 
-    def _raw(self, name: str) -> DataFrame:
-        extra = ", unit string" if name in APPENDED else ""
-        return self.spark.read.schema("unit string" if name == "commits" else TABLES[name] + extra).parquet(f"{self.folder}/{name}")
+    def _at(self, name: str, state: dict | None = None) -> DataFrame:
+        return self.store.table(name, TABLES[name], state)
 
     def table(self, name: str) -> DataFrame:
-        """Rows of committed units; for searches with the session ids set last."""
-        if name not in APPENDED:
-            return self._raw(name)
-        rows = self._raw(name).join(self._raw("commits").distinct(), "unit", "left_semi").drop("unit")
+        """Rows of committed units at one version; searches with the session ids set last, topics as their users have them now."""
+        state = self.store.state()[1]
+        rows = self._at(name, state)
+        if name in OF_TOPICS:
+            now = self._at("topic_users", state).groupBy("user_id").agg(F.max("_turn").alias("_now"))
+            return rows.join(now, "user_id").where("_turn = _now").select(*rows.drop("_turn").columns)
         if name != "searches":
-            return rows
-        ids = self.table("attributes").where("name like 'session:%'").groupBy("search_id").agg(F.max(F.struct("name", "value")).alias("_x"))
-        return rows.join(ids, "search_id", "left").withColumn("session_id", F.coalesce("_x.value", "session_id")).select(*rows.columns)
-
-    def append(self, unit: str, **tables: DataFrame) -> None:
-        """Add rows to tables as one unit; a committed unit is not added again. Rows that a failed run of the unit has left do not count twice."""
-        if self._raw("commits").where(F.col("unit") == unit).take(1):
-            return
-        attempt = f"{unit}#{self._raw('commits').count()}" if any(self._raw(n).where(F.col("unit") == unit).take(1) for n in tables) else unit
-        for name, rows in tables.items():
-            columns = [c.split()[0] for c in TABLES[name].split(", ")]
-            rows.select(*columns).withColumn("unit", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/{name}")
-        self.spark.createDataFrame([(u,) for u in {unit, attempt}] if attempt == unit else [(attempt,)], "unit string").write.mode("append").parquet(f"{self.folder}/commits")
-
-    def users(self) -> list[str]:
-        """All users, in order."""
-        return [r.user_id for r in self.table("searches").select("user_id").distinct().orderBy("user_id").collect()]
+            return rows.drop("_turn")
+        ids = self._at("attributes", state).where("name = 'session'").groupBy("search_id").agg(F.max_by("value", "_turn").alias("_now"))
+        return rows.join(ids, "search_id", "left").withColumn("session_id", F.coalesce("_now", "session_id")).select(*rows.drop("_turn").columns)
+
+    def append(self, unit: str, **tables: DataFrame) -> bool:
+        """Add rows to tables as one unit; false if the unit is there already."""
+        return self.store.add(unit, **{name: rows.select(*(c.split()[0] for c in TABLES[name].split(", "))) for name, rows in tables.items()}) is not None
+
+    def users(self) -> DataFrame:
+        """user_id of all users."""
+        return self.table("searches").select("user_id").distinct()
 
     def with_user(self, rows: DataFrame) -> DataFrame:
         """Rows (search_id) with the user of their search; rows of unknown searches go."""
@@ -92,28 +85,36 @@ class History:
         done = self.table("attributes").where("name = 'model'").select("search_id")
         over = last.where(F.lit(final) | expired(F.col("last"), F.lit(now).cast("timestamp_ntz"), F.lit(False))).join(done, "search_id", "left_anti")
         rows = encode_model(models.join(over, "search_id", "left_semi"), "search_id").select("search_id", F.lit("model").alias("name"), "value")
-        self.append(unit, attributes=checkpointed(rows))
+        self.append(unit, attributes=rows)
 
     def set_sessions(self, unit: str, sessions: DataFrame) -> None:
         """Give searches (search_id, session_id) new session ids; the latest of all units holds."""
-        turn = self._raw("commits").select("unit").distinct().count()
         changed = sessions.join(self.table("searches").select("search_id", F.col("session_id").alias("_old")), "search_id").where(~F.col("session_id").eqNullSafe(F.col("_old")))
-        rows = changed.select("search_id", F.lit(f"session:{turn:012d}").alias("name"), F.col("session_id").alias("value"))
-        self.append(unit, attributes=checkpointed(rows))
+        self.append(unit, attributes=changed.select("search_id", F.lit("session").alias("name"), F.col("session_id").alias("value")))
 
-    def replace_topics(self, topics: DataFrame, members: DataFrame, stats: DataFrame, least: int = 3) -> None:
-        """Write the topics (topic_id, name, value, user_id) and their searches (topic_id, search_id, weight, user_id) of users in place of what these users had; only topics with enough sessions (stats: topic_id, sessions)."""
-        good = stats.where(F.col("sessions") >= least).select("topic_id")
-        for name, rows in (("topics", topics), ("topic_searches", members)):
-            columns = [c.split()[0] for c in TABLES[name].split(", ")]
-            rows = checkpointed(rows.join(good, "topic_id", "left_semi").select(*columns))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(f"{self.folder}/{name}")
+    def replace_topics(self, unit: str, topics: DataFrame, members: DataFrame, stats: DataFrame, users: DataFrame | None = None, attrs: DataFrame | None = None, least: int = 3) -> bool:
+        """As one unit, put topics (topic_id, name, value, user_id), their searches (topic_id, search_id, weight, user_id) and their attributes (as topics) in place of all that their users had.
+
+        Only topics with enough sessions (stats: topic_id, sessions) stay. users (user_id): whose topics are replaced, by default all that are named by
+        a topic, trivial or not; one without a topic that stays has none afterwards.
+        """
+        users = topics.select("user_id").unionByName(members.select("user_id")) if users is None else users.select("user_id")
+        good = stats.where(F.col("sessions") >= least).select("topic_id").distinct()
+        tables = {"topics": topics, "topic_searches": members} | ({} if attrs is None else {"topic_attrs": attrs})
+        return self.append(unit, topic_users=users.distinct(), **{name: rows.join(good, "topic_id", "left_semi").join(users.distinct(), "user_id", "left_semi") for name, rows in tables.items()})
 
     def topics(self, user: str) -> DataFrame:
         """topic_id, name, value, search_id, weight of a user's topics."""
         mine = lambda n: self.table(n).where(F.col("user_id") == user).drop("user_id")
         return mine("topics").join(mine("topic_searches"), "topic_id")
 
+    def compact(self) -> None:
+        """Write each table as one part; rows of topics that were replaced go."""
+        state = self.store.state()[1]
+        now = self._at("topic_users", state).groupBy("user_id").agg(F.max("_turn").alias("_now"))
+        left = lambda name, rows: rows.join(now, "user_id").where("_turn = _now").drop("_now") if name in (*OF_TOPICS, "topic_users") else rows
+        self.store.compact(TABLES, left)
+
 
 def import_log(history: History, unit: str, searches: DataFrame, results: DataFrame, events: DataFrame, models: DataFrame) -> None:
     """Imported searches with their results, events and models (search_id, term, prob) as one unit."""

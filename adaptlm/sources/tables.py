@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,22 +23,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_KEPT: dict[tuple[str, ...], str] = {}
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that is written once for a session and the files it comes from, such as an index that many queries read."""
-    spark = df.sparkSession
-    at = (spark.sparkContext.applicationId, name, *sorted(df.inputFiles()))
-    if at not in _KEPT:
-        path = f"{shared_folder(spark)}/adaptlm/{name}-{uuid.uuid4().hex}"
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-        df.write.parquet(path)
-        _KEPT[at] = path
-    return spark.read.schema(df.schema).parquet(_KEPT[at])
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the cluster's checkpoint folder (a temporary one where none is set, as in tests)."""
     spark = df.sparkSession

@@ -29,26 +29,44 @@ LOG_LINE = r"^(\d+)\t(?:query\t(.*)|click\t(\d+))$"
 
 
 def read_search_log(spark: SparkSession, path: str) -> DataFrame:
-    """ts (seconds), kind (query or click), query, pos of each line; blank lines and # comments are skipped.
+    """ts (seconds), kind (query or click), query, pos of each line, and its place as file, block, line; blank lines and # comments are skipped.
 
-    A line of another form fails the job. A click belongs to the query before it.
+    A line of another form fails the job. A click belongs to the query on the lines before it.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))  # a block is read by one task, in order
+    lines = spark.read.text(path).select("value", *place).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     good = F.col("value").rlike(LOG_LINE)
     lines = lines.withColumn("value", F.when(good, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("bad log line: "), F.col("value"))).cast("string")))
     clicked = F.regexp_extract("value", LOG_LINE, 3)
     return lines.select(
         F.regexp_extract("value", LOG_LINE, 1).cast("long").alias("ts"), F.when(clicked == "", "query").otherwise("click").alias("kind"),
-        F.when(clicked == "", F.regexp_extract("value", LOG_LINE, 2)).alias("query"), F.when(clicked != "", clicked.cast("int")).alias("pos"),
+        F.when(clicked == "", F.regexp_extract("value", LOG_LINE, 2)).alias("query"), F.when(clicked != "", clicked.cast("int")).alias("pos"), "file", "block", "line",
     )
 
 
-def imported_searches(log: DataFrame, user: str) -> DataFrame:
-    """The log of one user with search_id: `<seconds of the query>.<its number>`, the same for its clicks."""
-    w = Window.partitionBy("user_id").orderBy("ts", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum((F.col("kind") == "query").cast("int")).over(w)
-    began = F.last(F.when(F.col("kind") == "query", F.col("ts")), ignorenulls=True).over(w)
-    return log.withColumn("user_id", F.lit(user)).withColumn("search_id", F.when(began.isNotNull(), F.concat_ws(".", began.cast("string"), n.cast("string")))).where("search_id is not null")
+def imported_searches(log: DataFrame, user: str, results: DataFrame | None = None) -> DataFrame:
+    """The log of one user, in the order of its lines (files by path), with search_id: `<seconds of the query>.<its number>`, the same for its clicks; clicks before any query go.
+
+    results (ts, pos, url): the results of the saved pages, by the second of their query. With them, a query without a page is
+    skipped, so its clicks go to the query before it, and a click has the url of its rank, empty if there is none. Lines are numbered within
+    their block of a file; what a block starts with comes from a row for each block.
+    """
+    log = log.withColumn("user_id", F.lit(user))
+    if results is not None:
+        log = log.join(results.select("ts", F.lit(True).alias("_page")).distinct(), "ts", "left").where("kind = 'click' OR _page").drop("_page")
+    asked = F.col("kind") == "query"
+    blocks = log.groupBy("user_id", "file", "block").agg(F.count_if(asked).alias("_n"), F.max_by(F.when(asked, F.col("ts")), F.when(asked, F.col("line"))).alias("_began"))
+    before = Window.partitionBy("user_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("user_id", "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.last("_began", ignorenulls=True).over(before).alias("_began0"))
+    here = Window.partitionBy("user_id", "file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, began = F.sum(asked.cast("int")).over(here), F.last(F.when(asked, F.col("ts")), ignorenulls=True).over(here)
+    rows = log.withColumns({"_n": n, "_began": began}).join(blocks, ["user_id", "file", "block"])
+    rows = rows.withColumns({"_n": F.col("_n") + F.col("_n0"), "_began": F.coalesce("_began", "_began0")}).where("_began IS NOT NULL")
+    rows = rows.withColumn("search_id", F.concat_ws(".", F.col("_began").cast("string"), F.col("_n").cast("string"))).drop("_n", "_n0", "_began0")
+    if results is None:
+        return rows.drop("_began")
+    of = results.select(F.col("ts").alias("_began"), "pos", F.col("url").alias("_url")).groupBy("_began", "pos").agg(F.first("_url").alias("_url"))
+    return rows.join(of, ["_began", "pos"], "left").withColumn("url", F.when(~asked, F.coalesce("_url", F.lit("")))).drop("_began", "_url")
 
 
 def links(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
@@ -59,32 +77,42 @@ def links(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataF
     return out.where((F.col("url") != "") & (F.col("title") != ""))
 
 
-def result_entries(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
-    """key, pos, title, url, summary, shown_url of a result page's list items of the class sa_wr."""
-    item = r'(?s)<li class="sa_wr">(.*?)</li>'
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(item), F.lit(1))).alias("_i", "_x"))
-    return found.select(
-        key, (F.col("_i") + 1).alias("pos"), plain_text(F.regexp_extract("_x", r'(?s)<h3><a [^>]*>(.*?)</a>', 1)).alias("title"),
-        F.regexp_extract("_x", r'<h3><a href="([^"]*)"', 1).alias("url"), plain_text(F.regexp_extract("_x", r"(?s)<p>(.*?)</p>", 1)).alias("summary"), plain_text(F.regexp_extract("_x", r"<cite>(.*?)</cite>", 1)).alias("shown_url"),
-    ).where("url <> '' and title <> ''")
-
-
-#: The forms of another service's result page.
-AOL = {
-    "item": r'(?s)<li about="r.*?</li>', "link": r'(?s)<a [^>]*href="([^>"]+)"[^>]* property="f:title"[^>]*>(.+?)</a>', "summary": r'(?s)<p [^>]*property="f:desc"[^>]*>(.*?)</p>',
-    "shown": r'<span [^>]*property="f:durl"[^>]*>([^<]+?)</span>', "start": r'<span id="lowerLimit">(\d+)</span>', "total": r'(?s)<span id="upperLimit">.*?</span>.*?<b>([\d,]+)</b>', "spelling": r"(?s)Did you mean:.*?<a [^>]*>(.+?)</a>",
+#: The forms of two services' result pages.
+PAGES = {
+    "bing": {
+        "item": r'(?s)<li class="sa_wr">.*?</li>', "link": r'(?s)<h3><a [^>]*?href="([^">]*)"[^>]*>(.*?)</a>', "summary": r"(?s)<p>(.*?)</p>", "shown": r"(?s)<cite>(.*?)</cite>", "mime": r"(?!)()",
+        "start": r'(?s)<span [^>]*?id="count">(\d+).*? of [\d,]+ results</span>', "total": r'(?s)<span [^>]*?id="count">\d+.*? of ([\d,]+) results</span>', "spelling": r"(?s)Including results for.*?<a [^>]*>(.*?)</a>",
+    },
+    "aol": {
+        "item": r'(?s)<li about="r.*?</li>', "link": r'(?s)<a [^>]*href="([^>"]+)"[^>]* property="f:title"[^>]*>(.+?)</a>', "summary": r'(?s)<p [^>]*property="f:desc"[^>]*>(.*?)</p>',
+        "shown": r'<span [^>]*property="f:durl"[^>]*>([^<]+?)</span>', "mime": r'<span class="mimetype">\[(.+?)\]</span>',
+        "start": r'<span id="lowerLimit">(\d+)</span>', "total": r'(?s)<span id="upperLimit">.*?</span>.*?<b>([\d,]+)</b>', "spelling": r"(?s)Did you mean:.*?<a [^>]*>(.+?)</a>",
+    },
 }
 
 
+def page_entries(pages: DataFrame, key: str, form: str, column: str = "html") -> DataFrame:
+    """key, pos, title, url, summary, shown_url, mime_type, total, suggestion of the items of result pages of a form.
+
+    Ranks go on from the page's first one (0 where it names none); items without address or title take none. What a page lacks is empty, its total null.
+    """
+    page, of = F.col(column), PAGES[form]
+    start = F.coalesce(F.regexp_extract(page, of["start"], 1).try_cast("int"), F.lit(0))
+    facts = (start.alias("_start"), F.replace(F.regexp_extract(page, of["total"], 1), F.lit(","), F.lit("")).try_cast("long").alias("total"), plain_text(F.regexp_extract(page, of["spelling"], 1)).alias("suggestion"))
+    part = lambda x, name, group=1: plain_text(F.regexp_extract(x, of[name], group))
+    item = lambda x: F.struct(part(x, "link").alias("url"), part(x, "link", 2).alias("title"), part(x, "summary").alias("summary"), part(x, "shown").alias("shown_url"), part(x, "mime").alias("mime_type"))
+    good = F.filter(F.transform(F.regexp_extract_all(page, F.lit(of["item"]), F.lit(0)), item), lambda r: (r["url"] != "") & (r["title"] != ""))
+    return pages.select(key, *facts, F.posexplode(good).alias("_i", "_r")).select(key, (F.col("_start") + F.col("_i")).alias("pos"), "_r.title", "_r.url", "_r.summary", "_r.shown_url", "_r.mime_type", "total", "suggestion")
+
+
+def result_entries(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
+    """page_entries() of pages whose items are of the class sa_wr."""
+    return page_entries(pages, key, "bing", column)
+
+
 def aol_entries(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
-    """key, pos, title, url, summary, shown_url, total, suggestion of such a page's items; ranks go on from the page's first one, items without address or title take none."""
-    page = F.col(column)
-    start = F.coalesce(F.regexp_extract(page, AOL["start"], 1).try_cast("int"), F.lit(0))
-    facts = (start.alias("_start"), F.replace(F.regexp_extract(page, AOL["total"], 1), F.lit(","), F.lit("")).try_cast("long").alias("total"), F.regexp_extract(page, AOL["spelling"], 1).alias("suggestion"))
-    part = lambda x, name, group=1: plain_text(F.regexp_extract(x, AOL[name], group))
-    item = lambda x: F.struct(part(x, "link").alias("url"), part(x, "link", 2).alias("title"), part(x, "summary").alias("summary"), part(x, "shown").alias("shown_url"))
-    good = F.filter(F.transform(F.regexp_extract_all(page, F.lit(AOL["item"]), F.lit(0)), item), lambda r: (r["url"] != "") & (r["title"] != ""))
-    return pages.select(key, *facts, F.posexplode(good).alias("_i", "_r")).select(key, (F.col("_start") + F.col("_i")).alias("pos"), "_r.title", "_r.url", "_r.summary", "_r.shown_url", "total", "suggestion")
+    """page_entries() of pages whose items are about r and a number."""
+    return page_entries(pages, key, "aol", column)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:

@@ -28,6 +28,16 @@ def test_result_source_asks_for_aligned_pages(spark):
     assert [(r.search_id, r.pos) for r in got] == [(i, p) for i in (0, 2) for p in range(4, 14)]
     assert got[0].title == "a 4" and got[0].url == "http://a/4" and got[0].summary is None
     assert read([]).count() == 0
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        chosen = lambda where, queries=("a", "b", "c"): (df := read(list(queries), start=1, count=30, pushdown=True).where(where), [(r.search_id, r.pos) for r in df.orderBy("search_id", "pos").collect()])
+        df, rows = chosen("search_id = 1 AND pos > 5 AND pos <= 9 AND title LIKE 'b%'")
+        assert rows == [(1, p) for p in range(6, 10)] and df.rdd.getNumPartitions() == 1  # one page of one query
+        df, rows = chosen("search_id IN (0, 2) AND pos = 11")
+        assert rows == [(0, 11), (2, 11)] and df.rdd.getNumPartitions() == 2
+        assert chosen("pos < 1")[1] == [] and chosen("search_id = 9")[1] == [] and len(chosen("pos >= 3")[1]) == 33
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
 def test_producer_streams_every_document_once(spark, tmp_path):

@@ -158,6 +158,25 @@ def test_readers(spark, tmp_path):
     (tmp_path / "log").write_text("# c\n\n100\tquery\tspark streaming\n130\tclick\t2\n200\tquery\tx\n")
     log = S.imported_searches(S.read_search_log(spark, str(tmp_path / "log")), "u").orderBy("ts").collect()
     assert [(r.kind, r.query, r.pos, r.search_id) for r in log] == [("query", "spark streaming", None, "100.1"), ("click", None, 2, "100.1"), ("query", "x", None, "200.2")]
+    # the order of lines holds, not that of seconds: a click in the second of a later query goes to the query before it
+    (tmp_path / "log2").write_text("5\tclick\t1\n100\tquery\ta\n200\tclick\t1\n200\tquery\tb\n201\tclick\t2\n300\tquery\tno page\n301\tclick\t9\n")
+    log = S.read_search_log(spark, str(tmp_path / "log2"))
+    got = S.imported_searches(log, "u").orderBy("file", "block", "line").collect()
+    assert [(r.ts, r.kind, r.search_id) for r in got] == [(100, "query", "100.1"), (200, "click", "100.1"), (200, "query", "200.2"), (201, "click", "200.2"), (300, "query", "300.3"), (301, "click", "300.3")]
+    results = spark.createDataFrame([(100, 1, "http://a"), (200, 1, "http://b"), (200, 2, "http://c")], "ts long, pos int, url string")
+    got = S.imported_searches(log, "u", results).orderBy("file", "block", "line").collect()
+    assert [(r.ts, r.search_id, r.url) for r in got] == [(100, "100.1", None), (200, "100.1", "http://a"), (200, "200.2", None), (201, "200.2", "http://c"), (301, "200.2", "")]
+    lines = [f"{10 * i}\tquery\tq{i}" if i % 7 == 0 else f"{10 * i}\tclick\t{i}" for i in range(4000)]
+    for part in range(2):
+        (tmp_path / f"many{part}").write_text("\n".join(lines[part * 2000 : part * 2000 + 2000]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # files in many blocks
+    try:
+        log = S.read_search_log(spark, str(tmp_path / "many*"))
+        got = S.imported_searches(log, "u").collect()
+        assert log.rdd.getNumPartitions() > 10 and len({r.block for r in got}) > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.ts: r.search_id for r in got} == {10 * i: f"{10 * (i - i % 7)}.{i // 7 + 1}" for i in range(4000)}
     (tmp_path / "bad").write_text("100\tother\n")
     with pytest.raises(Exception, match="bad log line"):
         S.read_search_log(spark, str(tmp_path / "bad")).collect()
@@ -168,5 +187,9 @@ def test_readers(spark, tmp_path):
     assert [(r.doc_id, r.summary, str(r.date)) for r in S.feed_items(feed).collect()] == [("g", "x y", "1994-11-06 08:49:37")]
     answer = spark.createDataFrame([('<r><resultset_web totalhits="9" start="10"><result><title>A</title><abstract>B</abstract><url>u</url><clickurl>c</clickurl></result></resultset_web></r>',)], "xml string")
     assert [tuple(r) for r in S.web_results(answer).collect()] == [(11, "A", "B", "u", "c")]
-    page = spark.createDataFrame([(1, '<ol><li class="sa_wr"><h3><a href="http://x/">T <b>i</b></a></h3><p>S &amp; s</p><cite>x</cite></li></ol>')], "page_id int, html string")
-    assert [tuple(r) for r in S.result_entries(page, "page_id").collect()] == [(1, 1, "T i", "http://x/", "S & s", "x")]
+    item = lambda attrs, title, rest="": f'<li class="sa_wr"><h3><a {attrs}>{title}</a></h3>{rest}</li>'
+    html = '<span class="x" id="count">11-20 of 1,234 results</span>Including results for <a href="s">sp<b>ar</b>k</a><ol>' + item('class="t" href="http://x/?a&amp;b"', "T <b>i</b>", "<p>S &amp; s</p><cite>x</cite>") + item('class="u"', "no address") + item('href="http://y/" onmousedown="z"', "U") + item('href="http://z/"', "") + "</ol>"
+    page = spark.createDataFrame([(1, html), (2, item('href="h"', "t")), (3, "nothing"), (4, None)], "page_id int, html string")
+    assert sorted(tuple(r) for r in S.result_entries(page, "page_id").collect()) == [
+        (1, 11, "T i", "http://x/?a&b", "S & s", "x", "", 1234, "spark"), (1, 12, "U", "http://y/", "", "", "", 1234, "spark"), (2, 0, "t", "h", "", "", "", None, ""),
+    ]
