@@ -1,6 +1,6 @@
-"""Embedding whitening: covariance from one aggregation of generated SQL sums, components from LAPACK.
+"""Embedding whitening: covariance from aggregations of generated SQL sums, components from LAPACK.
 
-The centred products of every pair of dimensions (the upper triangle) are summed by generated Spark SQL expressions in one aggregation; the
+The centred products of every pair of dimensions (the upper triangle) are summed by generated Spark SQL expressions, PAIRS in an aggregation; the
 driver assembles the covariance (dimensions squared numbers) and decomposes it. Vectors are then
 projected by generated expressions too, so no Python runs on the executors.
 """
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adaptlm.llm.codes import finite
-from adaptlm.llm.shared import scratch, written
+from adaptlm.llm.shared import release, scratch, written
 
-#: Sums of one aggregation at most; a triangle with more pairs (over 90 dimensions) takes several.
-PAIRS = 4096
+#: Sums of one aggregation at most; a triangle with more pairs takes several, as the driver plans and compiles each sum
+#: (2,080 sums of 64 dimensions in one took over 1.5 GB of the driver's memory).
+PAIRS = 256
 
 
 def covariance(rows: DataFrame, centred: list[str], n: int) -> np.ndarray:
@@ -29,6 +30,7 @@ def covariance(rows: DataFrame, centred: list[str], n: int) -> np.ndarray:
         sums = columns.selectExpr(*(f"sum(c{i} * c{j})" for i, j in some)).first()
         for (i, j), s in zip(some, sums):
             out[i, j] = out[j, i] = s / n
+        release(rows.sparkSession)  # plans of so many sums are large
     return out
 
 
