@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adaptlm.sources.tables import checkpointed
+
 NODES = "pre int, last int, parent int, depth int, kind string, name string, value string, attrs map<string,string>"
 
 
@@ -67,7 +69,7 @@ def parsed(text: str | None) -> list[list]:
 
 
 def nodes(texts: DataFrame, key: str, column: str = "xml") -> DataFrame:
-    """key and NODES of each text; a text that is null or not well formed has none."""
+    """key and NODES of each text; a text that is null or not well formed has none. They are written once, as searches and edits read them many times."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [key, *(c.split()[0] for c in NODES.split(", "))]
@@ -78,7 +80,7 @@ def nodes(texts: DataFrame, key: str, column: str = "xml") -> DataFrame:
                     yield pd.DataFrame([[k, *r] for r in found], columns=names)
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, F.col(column).cast("string").alias(column)).mapInPandas(run, f"{key} {kind}, {NODES}")
+    return checkpointed(texts.select(key, F.col(column).cast("string").alias(column)).mapInPandas(run, f"{key} {kind}, {NODES}"))
 
 
 def walked(start: DataFrame, tree: DataFrame, key: str, mode: str = "descend") -> DataFrame:

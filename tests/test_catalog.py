@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from adaptlm.plans import rounds  # noqa: F401
 from adaptlm.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
