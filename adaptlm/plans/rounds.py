@@ -221,7 +221,7 @@ def streamed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {TURNS}, tn AS (SELECT search_id, sqrt(sum(tf * tf)) AS n FROM t GROUP BY 1),
-e AS (SELECT a.search_id AS a, b.search_id AS b FROM t a JOIN t b ON a.term = b.term AND a.search_id < b.search_id AND a.search_id // 1000 = b.search_id // 1000 JOIN tn x ON x.search_id = a.search_id JOIN tn y ON y.search_id = b.search_id WHERE abs(a.search_id - b.search_id) * 600 <= 1800 GROUP BY 1, 2 HAVING sum(a.tf * b.tf) / any_value(x.n * y.n) >= 0.05),
+e AS (SELECT a.search_id AS a, b.search_id AS b FROM t a JOIN t b ON a.term = b.term AND a.search_id < b.search_id AND a.search_id // 1000 = b.search_id // 1000 JOIN tn x ON x.search_id = a.search_id JOIN tn y ON y.search_id = b.search_id WHERE abs(a.search_id - b.search_id) * 600 <= 1800 GROUP BY 1, 2 HAVING round(sum(a.tf * b.tf) / any_value(x.n * y.n), 12) >= 0.05),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT conv_id * 1000 + turn AS node, conv_id * 1000 + turn AS other FROM conversations WHERE role = 'user' UNION SELECT r.node, u.b FROM reach r JOIN u ON r.other = u.a)
 SELECT node AS search_id, min(other::VARCHAR) AS session_id FROM reach GROUP BY 1""")
 def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +233,7 @@ def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
     stream = None
     for k in range(3):
         rows.where(F.pmod(F.xxhash64("search_id"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/in")
-        stream = stream or keyed.session_log(streams.file_stream(spark, f"{folder}/in", rows.schema), 1800, 0.05 - 1e-12, "2 days")
+        stream = stream or keyed.session_log(streams.file_stream(spark, f"{folder}/in", rows.schema), 1800, 0.05, "2 days")
         streams.to_table(stream, f"{folder}/out", f"{folder}/c").awaitTermination()
     return keyed.sessions_of(spark.read.parquet(f"{folder}/out"))
 

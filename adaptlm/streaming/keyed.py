@@ -56,7 +56,7 @@ class _Sessions(StatefulProcessor):
         changed = set(fresh)
         for i in sorted(fresh):
             ts, _, terms = fresh[i]
-            near = [s for s in known.values() if abs(s[0] - ts) <= self.gap_s and not any(min(s[0], ts) < e < max(s[0], ts) for e in ends) and _cosine(terms, s[2]) >= self.least]
+            near = [s for s in known.values() if abs(s[0] - ts) <= self.gap_s and not any(min(s[0], ts) < e < max(s[0], ts) for e in ends) and round(_cosine(terms, s[2]), 12) >= self.least]
             names = {s[1] for s in near} | {str(i)}
             root = min(names)
             known[i] = fresh[i]
@@ -102,7 +102,7 @@ def session_log(stream: DataFrame, gap_s: int = DEFAULTS.session_gap_s, least: f
     """search_id, session_id, root of a stream of searches (user_id, search_id, ts, terms map<string,double>), as they come.
 
     A search begins as a session of its own name (its id as text). It joins the sessions of its user's searches that are at most gap_s seconds
-    before or after it, whose terms' cosine reaches least, and that no forced end (a row with search_id null and the time of the end) parts
+    before or after it, whose terms' cosine, to twelve digits, reaches least, and that no forced end (a row with search_id null and the time of the end) parts
     from it; then all of them are one session, of the smallest name. Each row says which session a session is part of from now on: a search's
     own, or (search_id null) an earlier one. sessions_of() reads them together. Rows may come in any order within the
     lateness; what is later than the watermark is dropped. A search that comes again changes nothing. Forced ends part only searches that come with them or later.
