@@ -16,7 +16,14 @@ from adaptlm.llm.shared import release, scratch, written
 
 #: Sums of one aggregation at most; a triangle with more pairs takes several, as the driver plans and compiles each sum
 #: (2,080 sums of 64 dimensions in one took over 1.5 GB of the driver's memory).
-PAIRS = 256
+PAIRS = 128
+
+
+def balanced(terms: list[str], joined: str) -> str:
+    """Terms joined two by two (joined has places for both), so that an expression of many is not deep."""
+    while len(terms) > 1:
+        terms = [joined.format(*terms[i : i + 2]) if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def covariance(rows: DataFrame, centred: list[str], n: int) -> np.ndarray:
@@ -27,7 +34,7 @@ def covariance(rows: DataFrame, centred: list[str], n: int) -> np.ndarray:
     out = np.zeros((size, size))
     for at in range(0, len(pairs), PAIRS):
         some = pairs[at : at + PAIRS]
-        sums = columns.selectExpr(*(f"sum(c{i} * c{j})" for i, j in some)).first()
+        sums = columns.selectExpr(f"array({', '.join(f'sum(c{i} * c{j})' for i, j in some)})").first()[0]
         for (i, j), s in zip(some, sums):
             out[i, j] = out[j, i] = s / n
         release(rows.sparkSession)  # plans of so many sums are large
@@ -72,7 +79,7 @@ def whitened(vectors: DataFrame, components: int = 16, scale: int = 64, shift: i
         centred = [f"(x{i} - {b}L - {r / n!r}D)" for i, (b, r) in enumerate(zip(base, rest))]
         v = covariance(fit, centred, n)
         axes, values = components_of(v, components)
-        of = [" + ".join(f"c{i} * {w!r}D" for i, w in enumerate((a / np.sqrt(s)).tolist())) if s else "CAST(NULL AS double)" for a, s in zip(axes, values)]
+        of = [balanced([f"c{i} * {w!r}D" for i, w in enumerate((a / np.sqrt(s)).tolist())], "({} + {})") if s else "CAST(NULL AS double)" for a, s in zip(axes, values)]
         alive = [k for k, s in enumerate(values) if s]
         error = None
         if alive:
@@ -82,9 +89,7 @@ def whitened(vectors: DataFrame, components: int = 16, scale: int = 64, shift: i
     trace = float(np.trace(v))
     # n * x - S in whole numbers, from the part of x that is left of the mean's whole part
     away = [f"try_subtract(try_multiply({n}L, x{i} - {b}L), {r}L) AS t{i}" for i, (b, r) in enumerate(zip(base, rest))]
-    squares = "try_multiply(t0, t0)"
-    for i in range(1, width):
-        squares = f"try_add({squares}, try_multiply(t{i}, t{i}))"
+    squares = balanced([f"try_multiply(t{i}, t{i})" for i in range(width)], "try_add({}, {})")
     out = rows.select("vec_id", *flat).selectExpr("vec_id", *(f"{c} AS c{i}" for i, c in enumerate(centred)), *away)
     out = out.selectExpr("vec_id", f"{squares} AS deviation", f"posexplode(array({', '.join(of)})) AS (at, whitened)")
     explained = F.element_at(F.array(*(F.lit(float(s / trace) if trace else None).cast("double") for s in values)), F.col("at") + 1)
