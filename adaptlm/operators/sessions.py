@@ -72,10 +72,3 @@ def session_view(sessions: DataFrame, time_based: DataFrame) -> DataFrame:
     same = sessions.select(F.col("search_id").alias("anchor"), "session_id").join(sessions.select("search_id", "session_id"), "session_id").select("anchor", "search_id", F.lit(True).alias("related"))
     both = same.unionByName(time_based.select("anchor", "search_id", F.lit(False).alias("related")))
     return both.groupBy("anchor", "search_id").agg(F.max("related").alias("related"))
-
-
-def session_links(searches: DataFrame, similar: DataFrame, ts: str, s: Settings = DEFAULTS) -> DataFrame:
-    """a, b of one user's searches within the time limit whose cosine reaches the limit. similar: a, b, cosine."""
-    x, y = searches.select(F.col("search_id").alias("a"), F.col("user_id").alias("ua"), F.col(ts).alias("ta")), searches.select(F.col("search_id").alias("b"), F.col("user_id").alias("ub"), F.col(ts).alias("tb"))
-    near = similar.where(F.col("cosine") >= s.session_similarity).join(x, "a").join(y, "b")
-    return near.where((F.col("ua") == F.col("ub")) & (F.abs(F.col("tb") - F.col("ta")) <= s.session_gap_s)).select("a", "b")

@@ -145,10 +145,12 @@ electriciti electr electrical electr hopeful hope goodness good revival reviv al
 adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll""".split()
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}')" for w, x in zip(STEMS[::2], STEMS[1::2])) + ") v(term, stem)")
+@query("WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{w}', '{x}')" for i, (w, x) in enumerate(zip(STEMS[::2], STEMS[1::2]))) + f") v(i, term, stem)) SELECT term, stem, count(*) AS docs FROM documents JOIN v ON doc_id % {len(STEMS) // 2} = i GROUP BY 1, 2")
 def porter_stems(spark: SparkSession, d: str) -> DataFrame:
-    words = spark.createDataFrame([(w,) for w in STEMS[::2]], "term string")
-    return stemmed(words.withColumn("stem", F.col("term")), "stem").select("term", "stem")
+    """The published examples, dealt to the documents by their ids, and how many documents have each."""
+    word = F.element_at(F.array(*map(F.lit, STEMS[::2])), (F.col("doc_id") % (len(STEMS) // 2) + 1).cast("int"))
+    terms = table(spark, d, "documents").where("doc_id IS NOT NULL").groupBy(word.alias("term")).agg(F.count(F.lit(1)).alias("docs"))
+    return stemmed(terms.withColumn("stem", F.col("term")), "stem").select("term", "stem", "docs")
 
 
 @query()

@@ -13,6 +13,7 @@ from adaptlm.operators.events import session_windows
 from adaptlm.operators.lm import term_counts
 from adaptlm.operators.recommend import recommend
 from adaptlm.operators.sessions import assign_sessions
+from adaptlm.sources.connectors import DocumentProducer
 
 
 def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -95,7 +96,7 @@ class IndexState:
 
 
 class StreamRegistry:
-    """Named streams."""
+    """Named streams, and the producers that some of them come from."""
 
     def __init__(self) -> None:
         self.streams: dict[str, DataFrame] = {}
@@ -103,5 +104,14 @@ class StreamRegistry:
     def add(self, name: str, stream: DataFrame) -> None:
         self.streams.setdefault(name, stream)
 
+    def produce(self, spark: SparkSession, name: str, producer: type[DocumentProducer], **options: object) -> None:
+        """Add the stream of a producer's documents; the producer becomes a data source of the session."""
+        spark.dataSource.register(producer)
+        self.add(name, spark.readStream.format(producer.name()).options(**{k: str(v) for k, v in options.items()}).load())
+
     def get(self, name: str) -> DataFrame | None:
         return self.streams.get(name)
+
+    def names(self) -> list[str]:
+        """All streams, in the order they were added."""
+        return list(self.streams)

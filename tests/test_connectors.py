@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from adaptlm.functions.codecs import EVENT_KINDS, decode_kinds, encode_kinds
 from adaptlm.operators import em
 from adaptlm.sources.connectors import DocumentProducer, ResultSource
-from adaptlm.streaming.streams import to_table
+from adaptlm.streaming.streams import StreamRegistry, to_table
 
 
 def test_result_source_asks_for_aligned_pages(spark):
@@ -60,8 +60,10 @@ def test_producer_streams_every_document_once(spark, tmp_path):
                 with open(f"{self.options['path']}/{k}") as f:
                     yield f"d{k}", f.read(), None, f"http://x/{k}", day
 
-    spark.dataSource.register(Files)
-    stream = lambda: spark.readStream.format("made_files").option("path", str(folder)).option("stretch", 3).load()
+    registry = StreamRegistry()
+    registry.produce(spark, "made", Files, path=folder, stretch=3)
+    assert registry.names() == ["made"]
+    stream = lambda: registry.get("made")
     for made in (7, 7, 12):
         for k in range(made):
             (folder / str(k)).write_text(f"text {k}")
