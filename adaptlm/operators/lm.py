@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from adaptlm.functions.porter import stemmed
 from adaptlm.functions.text import is_ascii, plain_tokens
+from adaptlm.sources.tables import sent
+
+#: Pairs of a query and a document that one task adds up (about 400 bytes each with their sort).
+TASK_PAIRS = 500_000
 
 
 def first_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -111,14 +115,26 @@ def mixture(rows: DataFrame, key: str, freq: str = "f", background: str = "p", s
     return r.select(key, "term", q.alias("prob"))
 
 
-def kl_scores(query: DataFrame, docs: DataFrame, probs: DataFrame, default: DataFrame, q_key: str, d_key: str, prior: float, q_weight: str = "weight", d_weight: str = "tf") -> DataFrame:
-    """q_key, d_key, score of documents that share a term with the query: log likelihood under Dirichlet smoothing, per query term."""
-    q = with_background(query.select(q_key, "term", F.col(q_weight).alias("_w")), probs, default, "_p")
+def kl_scores(query: DataFrame, docs: DataFrame, probs: DataFrame, default: DataFrame, q_key: str, d_key: str, prior: float, q_weight: str = "weight", d_weight: str = "tf", d_lengths: DataFrame | None = None, most_sent: int | None = None) -> DataFrame:
+    """q_key, d_key, score of documents that share a term with the query: log likelihood under Dirichlet smoothing, per query term.
+
+    d_lengths (d_key, length): the sums of the documents' weights, where they are known. Queries within the bound of sent rows go to all tasks: then only the rows of
+    terms that a query has are shuffled, once and by document, and pairs of a query and a document are made and added up where the document is.
+    """
+    q, few = sent(with_background(query.select(q_key, "term", F.col(q_weight).alias("_w")), probs, default, "_p"), most_sent)
     q_facts = q.groupBy(q_key).agg(F.sum("_w").alias("_qlen"), F.sum(F.col("_w") * F.ln("_p")).alias("_base"))
-    d_len = docs.groupBy(d_key).agg(F.sum(d_weight).alias("_dlen"))
-    overlap = q.join(docs.select(d_key, "term", F.col(d_weight).alias("_tf")), "term").groupBy(q_key, d_key).agg(F.sum(F.col("_w") * F.ln(1 + F.col("_tf") / prior / F.col("_p"))).alias("_gain"))
+    d_len = (lengths(docs, d_key, d_weight) if d_lengths is None else d_lengths).select(d_key, F.col("length").alias("_dlen"))
+    rows = docs.select(d_key, "term", F.col(d_weight).alias("_tf"))
+    gain = F.sum(F.col("_w") * F.ln(1 + F.col("_tf") / prior / F.col("_p"))).alias("_gain")
     score = (F.col("_gain") + F.col("_base")) / F.col("_qlen") + F.ln(F.lit(prior) / (F.col("_dlen") + prior))
-    return overlap.where("_gain > 0").join(q_facts, q_key).join(d_len, d_key).select(q_key, d_key, score.alias("score"))
+    if not few:
+        overlap = q.join(rows, "term").groupBy(q_key, d_key).agg(gain)
+        return overlap.where("_gain > 0").join(q_facts, q_key).join(d_len, d_key).select(q_key, d_key, score.alias("score"))
+    # a merge by document, which leaves the rows dealt by document, so that adding up a document's pairs needs no shuffle of them; the parts do not grow with the table
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-d_len.count() * q_facts.count() // TASK_PAIRS))
+    here = rows.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").repartition(parts, d_key).join(d_len.hint("merge"), d_key)
+    overlap = here.join(q, "term").groupBy(d_key, "_dlen", q_key).agg(gain).where("_gain > 0")
+    return overlap.join(F.broadcast(q_facts), q_key).select(q_key, d_key, score.alias("score"))
 
 
 def top(rows: DataFrame, key: str, tie: str, most: int, score: str = "score", digits: int = 6) -> DataFrame:

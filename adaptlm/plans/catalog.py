@@ -13,7 +13,7 @@ from adaptlm.functions.porter import stemmed
 from adaptlm.operators import em, events, lm, models, rank, recommend, sessions, topics
 from adaptlm.sources import texts
 from adaptlm.sources.segments import index_of
-from adaptlm.sources.tables import table
+from adaptlm.sources.tables import sent, table
 from adaptlm.sources.texts import links
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,15 +95,18 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str, most: int = 10) -> DataFrame:
-    docs = _docs(spark, d)
-    probs, default = _background(spark, d)
-    scores = lm.kl_scores(_items(spark, d).withColumnRenamed("tf", "weight"), docs, probs, default, "item_id", "doc_id", 100.0)
-    return lm.top(scores, "item_id", "doc_id", most).select("item_id", "doc_id", r6("score").alias("score"), F.col("rank").alias("pos"))
+    """The best documents of each item; made once, however often they are read."""
+    index = index_of(spark, f"{d}/documents.parquet")
+    probs, default = lm.term_probs(index.terms())
+    scores = lm.kl_scores(_items(spark, d).withColumnRenamed("tf", "weight"), index.postings(), probs, default, "item_id", "doc_id", 100.0, d_lengths=index.lengths())
+    return sent(lm.top(scores, "item_id", "doc_id", most).select("item_id", "doc_id", r6("score").alias("score"), F.col("rank").alias("pos")))[0]
 
 
 def _clicked_hits(spark: SparkSession, d: str) -> DataFrame:
     good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("clicked"))
-    return _hits(spark, d).join(good, "doc_id", "left").withColumn("clicked", F.coalesce("clicked", F.lit(False)))
+    hits = _hits(spark, d)
+    good = good.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    return sent(hits.join(good, "doc_id", "left").withColumn("clicked", F.coalesce("clicked", F.lit(False))))[0]
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -281,8 +284,8 @@ _FP = "fp AS (SELECT item_id, term, f, coalesce(p, p0) AS p FROM wc LEFT JOIN bg
 _HEAD = f"WITH {DOCS}, {ITEMS}, {BACK}, {KL}, {_CLICKS}"
 
 
-def _feedback_counts(spark: SparkSession, d: str, **options) -> DataFrame:
-    return models.weighted_counts(table(spark, d, "benchmark"), _clicked_hits(spark, d), _docs(spark, d), "item_id", "doc_id", **options)
+def _feedback_counts(spark: SparkSession, d: str, hits: DataFrame | None = None, **options) -> DataFrame:
+    return models.weighted_counts(table(spark, d, "benchmark"), _clicked_hits(spark, d) if hits is None else hits, _docs(spark, d), "item_id", "doc_id", **options)
 
 
 def _feedback(spark: SparkSession, d: str, **options) -> DataFrame:
@@ -330,7 +333,7 @@ def rerank_merge(spark: SparkSession, d: str) -> DataFrame:
     viewed = clicked.withColumn("seq", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")))
     flags = models.adaptive(items.select("item_id"), clicked, "item_id")
     results = hits.join(docs, "doc_id").select("item_id", "pos", "term", "tf")
-    return rank.rerank_by_model(items, results, viewed, _feedback(spark, d), flags, probs, default, "item_id")
+    return rank.rerank_by_model(items, results, viewed, _feedback(spark, d, hits=hits), flags, probs, default, "item_id")
 
 
 @query(f"WITH {ITEMS}, {TURNS}, tn AS (SELECT search_id, sqrt(sum(tf * tf)) AS n FROM t GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(tf * tf)) AS n FROM q GROUP BY 1), dots AS (SELECT search_id, item_id, sum(t.tf * q.tf) AS dot FROM t JOIN q USING (term) GROUP BY 1, 2) SELECT search_id, item_id, round(dot / (tn.n * qn.n), 6) AS cosine FROM dots JOIN tn USING (search_id) JOIN qn USING (item_id)")
@@ -524,9 +527,10 @@ def _em_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     probs, default = _background(spark, d)
     q = lm.with_background(_items(spark, d), probs, default)
-    p = lm.normalised(docs.withColumnRenamed("tf", "prob"), "doc_id", "prob")
+    hits = _hits(spark, d, 2)
+    p = lm.normalised(docs.join(sent(hits.select("doc_id").distinct())[0], "doc_id", "left_semi").withColumnRenamed("tf", "prob"), "doc_id", "prob")
     for k in (1, 2):
-        hit = _hits(spark, d, 2).where(F.col("pos") == k).select("item_id", "doc_id").join(p, "doc_id").select("item_id", "term", F.col("prob").alias(f"c{k}"))
+        hit = hits.where(F.col("pos") == k).select("item_id", "doc_id").join(p, "doc_id").select("item_id", "term", F.col("prob").alias(f"c{k}"))
         q = q.join(hit, ["item_id", "term"], "left").na.fill({f"c{k}": 0.0})
     rows = q.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"), "c1", "c2", "p"))).alias("x"))
     return rows.select("item_id", F.col("x.tf").alias("target"), F.array("x.c1", "x.c2", "x.p").alias("components"), F.array(F.lit(0.1), F.lit(0.0), F.lit(0.9)).alias("priors"))

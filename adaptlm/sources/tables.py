@@ -6,6 +6,10 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that are sent to every executor at most (a key, a term and a few numbers each).
+MOST_SENT = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, bool]:
+    """rows cut from their lineage, so that they are made once, and whether they are within the bound and marked for broadcast; more of them are joined by a shuffle."""
+    rows = checkpointed(rows)
+    few = rows.count() <= (MOST_SENT if most is None else most)
+    return (F.broadcast(rows) if few else rows), few
+
+
 def replace_partition(df: DataFrame, path: str, column: str) -> None:
     """Write df by the column's values; other values' rows in the table stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)

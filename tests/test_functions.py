@@ -1,5 +1,7 @@
 """Worked cases of the functions and operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +195,14 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in S.result_entries(page, "page_id").collect()) == [
         (1, 11, "T i", "http://x/?a&b", "S & s", "x", "", 1234, "spark"), (1, 12, "U", "http://y/", "", "", "", 1234, "spark"), (2, 0, "t", "h", "", "", "", None, ""),
     ]
+
+
+def test_scores_do_not_shuffle_pairs(spark):
+    q = spark.createDataFrame([(k, f"t{k * i % 7}", 1 + i % 3) for k in range(9) for i in range(4)], "q long, term string, weight long").groupBy("q", "term").agg(F.sum("weight").alias("weight"))
+    d = spark.createDataFrame([(k, f"t{i}", 1 + k % 3) for k in range(40) for i in range(k % 8)] + [(None, "t1", 1)], "d long, term string, tf long")
+    bg, default = lm.collection_probs(d)
+    few = lm.kl_scores(q, d, bg, default, "q", "d", 100.0)
+    assert not re.search(r"hashpartitioning\((q#\w+, d#|d#\w+, q#|term)", few._jdf.queryExecution().executedPlan().toString())
+    many = lm.kl_scores(q, d, bg, default, "q", "d", 100.0, most_sent=0)
+    rows = lambda df: sorted((r.q, r.d, round(r.score, 9)) for r in df.collect())
+    assert len(rows(few)) > 50 and rows(few) == rows(many) == rows(lm.kl_scores(q, d, bg, default, "q", "d", 100.0, d_lengths=lm.lengths(d, "d")))
