@@ -13,6 +13,7 @@ from adaptlm.config import Settings
 from adaptlm.operators.em import em_weights
 from adaptlm.operators.lm import mixture, normalised, term_counts, truncated, with_background
 from adaptlm.sources.store import Store
+from adaptlm.sources.tables import sent
 
 DEFAULTS = Settings()
 
@@ -33,7 +34,7 @@ def weighted_counts(queries: DataFrame, results: DataFrame, doc_counts: DataFram
     shown = results.select(key, doc, weight.alias("_w"), F.col("clicked"))
     if not pseudo:
         shown = shown.join(shown.where("clicked").select(key).distinct(), key, "left_semi")
-    seen = shown.join(doc_counts, doc).select(key, "term", (F.col("tf") * F.col("_w")).alias("f"))
+    seen = sent(shown)[0].join(doc_counts, doc).select(key, "term", (F.col("tf") * F.col("_w")).alias("f"))
     return own.unionByName(seen).groupBy(key, "term").agg(F.sum("f").alias("f")).where("f > 0")
 
 
@@ -51,7 +52,7 @@ def mixture_model(counts: DataFrame, probs: DataFrame, default: DataFrame, key:
 def feedback_model(ratings: DataFrame, doc_counts: DataFrame, probs: DataFrame, default: DataFrame, key: str, doc: str, s: Settings = DEFAULTS) -> DataFrame:
     """From the documents of ratings (key, doc, rating) that are rated Y; query terms take no part."""
     good = ratings.where(F.upper("rating") == "Y").select(key, doc)
-    counts = good.join(doc_counts, doc).groupBy(key, "term").agg(F.sum("tf").alias("f"))
+    counts = sent(good)[0].join(doc_counts, doc).groupBy(key, "term").agg(F.sum("tf").alias("f"))
     return mixture_model(counts, probs, default, key, s)
 
 
