@@ -11,6 +11,8 @@ from adaptlm.sources.tables import sent
 
 #: Pairs of a query and a document that one task adds up (about 400 bytes each with their sort).
 TASK_PAIRS = 500_000
+#: Keys of a block of pair_cosines(), about; a task holds the pairs of two blocks.
+BLOCK_KEYS = 700
 
 
 def first_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -88,6 +90,29 @@ def cosines(a: DataFrame, b: DataFrame, a_key: str, b_key: str, weight: str = "w
     return dots.join(na, a_key).join(nb, b_key).where("_na > 0 and _nb > 0").select(a_key, b_key, (F.col("_dot") / F.sqrt(F.col("_na") * F.col("_nb"))).alias("cosine"))
 
 
+def pair_cosines(rows: DataFrame, key: str, weight: str = "weight", block: int | None = None) -> DataFrame:
+    """a, b, cosine of all pairs a < b of keys that share a term.
+
+    Keys are dealt to blocks; a pair of blocks is one task's work, so pairs are made, added up and divided where they are, and what is shuffled
+    are the rows, once for each block. The result grows with the square of the keys, what a task holds does not.
+    """
+    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_n"))
+    x = rows.join(norm, key)
+    blocks = max(1, -(-norm.count() // (block or BLOCK_KEYS)))
+    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    x = x.select(F.col(key).alias("k"), "term", F.col(weight).alias("w"), F.col("_n").alias("n"), mine.alias("_m"), F.explode(others).alias("_o"))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
+    dealt = x.withColumns({"_i": F.least("_m", "_o"), "_j": F.greatest("_m", "_o")}).repartition(parts, "_i", "_j")
+    # grouping by the term and by the pair keeps the rows of a pair of blocks in their task, as a join by the term would not
+    side = lambda at: F.collect_list(F.when(F.col("_m") == F.col(at), F.struct("k", "w", "n")))
+    by_term = dealt.groupBy("_i", "_j", "term").agg(side("_i").alias("_x"), side("_j").alias("_y"))
+    both = by_term.select("_i", "_j", "_y", F.explode("_x").alias("x")).select("_i", "_j", "x", F.explode("_y").alias("y")).where("_i < _j OR x.k < y.k")
+    both = both.select("_i", "_j", *(F.col(f"{t}.{c}").alias(f"{c}{n}") for t, n in (("x", 1), ("y", 2)) for c in ("k", "w", "n")))
+    dots = both.groupBy("_i", "_j", "k1", "k2").agg(F.sum(F.col("w1") * F.col("w2")).alias("_dot"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    return dots.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), (F.col("_dot") / (F.col("n1") * F.col("n2"))).alias("cosine"))
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 where one is empty or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

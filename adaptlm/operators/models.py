@@ -13,7 +13,7 @@ from adaptlm.config import Settings
 from adaptlm.operators.em import em_weights
 from adaptlm.operators.lm import mixture, normalised, term_counts, truncated, with_background
 from adaptlm.sources.store import Store
-from adaptlm.sources.tables import sent
+from adaptlm.sources.tables import checkpointed, sent
 
 DEFAULTS = Settings()
 
@@ -56,15 +56,18 @@ def feedback_model(ratings: DataFrame, doc_counts: DataFrame, probs: DataFrame,
     return mixture_model(counts, probs, default, key, s)
 
 
-def neighbours(scores: DataFrame, session: DataFrame, clicked: DataFrame, key: str, other: str, s: Settings = DEFAULTS) -> DataFrame:
-    """key, other: members of the same session with clicks, then history (key, other, cosine) with clicks until the cap.
+def neighbours(scores: DataFrame, session: DataFrame, clicked: DataFrame | None, key: str, other: str, s: Settings = DEFAULTS) -> DataFrame:
+    """key, other: members of the same session with clicks, then history (key, other, cosine) with clicks until the cap. Without clicked all searches have clicks.
 
     The cap is looked at after each history neighbour, so one is taken even beside a full session.
     """
-    members = session.join(clicked.select(F.col(key).alias(other)).distinct(), other, "left_semi").where(F.col(key) != F.col(other)).select(key, other).distinct()
+    some = lambda rows: rows if clicked is None else rows.join(clicked.select(F.col(key).alias(other)).distinct(), other, "left_semi")
+    members = checkpointed(some(session).where(F.col(key) != F.col(other)).select(key, other).distinct())
     n = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    past = scores.where(F.col("cosine") >= s.min_cosine).join(clicked.select(F.col(key).alias(other)).distinct(), other, "left_semi").join(members, [key, other], "left_anti")
     w = Window.partitionBy(key).orderBy(F.desc(F.round("cosine", 6)), other)
+    # so many of the likest hold the cap's even if all members are among them; they are found before anything is shuffled
+    most = (n.agg(F.max("_n")).first()[0] or 0) + max(s.max_neighbours, 1)
+    past = some(scores.where(F.col("cosine") >= s.min_cosine)).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k").join(members, [key, other], "left_anti")
     past = past.withColumn("_k", F.row_number().over(w)).join(n, key, "left").where(F.col("_k") <= F.greatest(s.max_neighbours - F.coalesce("_n", F.lit(0)), F.lit(1)))
     return members.unionByName(past.select(key, other))
 

@@ -465,11 +465,7 @@ _PAIRS = "tn AS (SELECT search_id, sqrt(sum(tf * tf)) AS n FROM t GROUP BY 1), s
 
 def _similar(spark: SparkSession, d: str) -> DataFrame:
     t = lm.term_counts(_turns(spark, d), "search_id").withColumnRenamed("tf", "weight")
-    a, b = t.withColumnRenamed("search_id", "a"), t.withColumnRenamed("search_id", "b")
-    left, right = a.withColumnRenamed("weight", "_a"), b.withColumnRenamed("weight", "_b")
-    dots = left.join(right, (left["term"] == right["term"]) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
-    norm = t.groupBy("search_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("n"))
-    return dots.join(norm.select(F.col("search_id").alias("a"), F.col("n").alias("na")), "a").join(norm.select(F.col("search_id").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", r6(F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    return lm.pair_cosines(t, "search_id").withColumn("cosine", r6("cosine"))
 
 
 def _session_links(spark: SparkSession, d: str) -> DataFrame:
@@ -560,10 +556,10 @@ def long_term_model(spark: SparkSession, d: str) -> DataFrame:
     turns, docs = _turns(spark, d), _docs(spark, d)
     probs, default = _background(spark, d)
     own = lm.truncated(lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob"), "search_id")
-    s = _similar(spark, d)
-    both = s.select(F.col("a").alias("search_id"), F.col("b").alias("other"), "cosine").unionByName(s.select(F.col("b").alias("search_id"), F.col("a").alias("other"), "cosine"))
+    ends = F.array(F.struct(F.col("a").alias("search_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("search_id"), F.col("a").alias("other")))
+    both = _similar(spark, d).select(F.explode(ends).alias("e"), "cosine").select("e.*", "cosine")
     same = turns.select("search_id", "user_id").join(turns.select(F.col("search_id").alias("other"), "user_id"), "user_id").select("search_id", "other")
-    near = models.neighbours(both, same, turns.select("search_id"), "search_id", "other")
+    near = models.neighbours(both, same, None, "search_id", "other")
     long = models.history_model(own, own, near, own.withColumnRenamed("search_id", "other"), probs, default, "search_id", "other")
     clicks = turns.select("search_id", F.lit(1).alias("n"))
     return models.combined_model(long, own, clicks, "search_id").withColumn("prob", r6("prob"))

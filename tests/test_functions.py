@@ -202,7 +202,16 @@ def test_scores_do_not_shuffle_pairs(spark):
     d = spark.createDataFrame([(k, f"t{i}", 1 + k % 3) for k in range(40) for i in range(k % 8)] + [(None, "t1", 1)], "d long, term string, tf long")
     bg, default = lm.collection_probs(d)
     few = lm.kl_scores(q, d, bg, default, "q", "d", 100.0)
-    assert not re.search(r"hashpartitioning\((q#\w+, d#|d#\w+, q#|term)", few._jdf.queryExecution().executedPlan().toString())
+    assert not re.search(r"hashpartitioning\((q#\w+, d#|d#\w+, q#)", few._jdf.queryExecution().executedPlan().toString())
     many = lm.kl_scores(q, d, bg, default, "q", "d", 100.0, most_sent=0)
     rows = lambda df: sorted((r.q, r.d, round(r.score, 9)) for r in df.collect())
     assert len(rows(few)) > 50 and rows(few) == rows(many) == rows(lm.kl_scores(q, d, bg, default, "q", "d", 100.0, d_lengths=lm.lengths(d, "d")))
+
+
+def test_pair_cosines_by_blocks(spark):
+    t = spark.createDataFrame([(k, f"t{k * i % 11}") for k in range(1, 40) for i in range(k % 7)], "k long, term string").groupBy("k", "term").agg(F.count(F.lit(1)).alias("weight"))
+    rows = lambda df: sorted((r.a, r.b, round(r.cosine, 9)) for r in df.collect())
+    want = rows(lm.cosines(t, t.withColumnRenamed("k", "l"), "k", "l").where("k < l").selectExpr("k AS a", "l AS b", "cosine"))
+    split = lm.pair_cosines(t, "k", block=5)
+    assert len(want) > 100 and rows(split) == want == rows(lm.pair_cosines(t, "k"))
+    assert not re.search(r"hashpartitioning\((_i#\w+, _j#\w+, k1#|k1#|k2#)", split._jdf.queryExecution().executedPlan().toString())
