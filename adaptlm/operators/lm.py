@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from adaptlm.functions.porter import stemmed
 from adaptlm.functions.text import is_ascii, plain_tokens
-from adaptlm.sources.tables import sent
+from adaptlm.sources.tables import MOST_SENT, checkpointed, sent
 
 #: Pairs of a query and a document that one task adds up (about 400 bytes each with their sort).
 TASK_PAIRS = 500_000
 #: Keys of a block of pair_cosines(), about; a task holds the pairs of two blocks.
 BLOCK_KEYS = 700
+#: Keys in the array of a term at most.
+MOST_ARRAY = 256
 
 
 def first_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -55,8 +57,32 @@ def collection_probs(counts: DataFrame, weight: str = "tf") -> tuple[DataFrame,
 
 def with_background(rows: DataFrame, probs: DataFrame, default: DataFrame, name: str = "p") -> DataFrame:
     """rows with the background probability of their term, the default where there is none."""
-    found = rows.join(probs.select("term", F.col("prob").alias("_known")), "term", "left").crossJoin(F.broadcast(default))
-    return found.withColumn(name, F.coalesce("_known", "default_prob")).drop("_known", "default_prob")
+    return _background_of(rows.join(probs.select("term", F.col("prob").alias("_known")), "term", "left"), default, name)
+
+
+def _background_of(rows: DataFrame, default: DataFrame, name: str) -> DataFrame:
+    return rows.crossJoin(F.broadcast(default)).withColumn(name, F.coalesce("_known", "default_prob")).drop("_known", "default_prob")
+
+
+def commonest(terms: DataFrame, size: Column | None = None, most: int | None = None, most_size: int = 2_000_000) -> DataFrame:
+    """The terms (term, prob) that are likeliest, by quarters of powers of two: at most MOST_SENT, and of at most so much size in all."""
+    size = F.lit(1) if size is None else size
+    step = F.floor(F.log2("prob") * 4)
+    bins = terms.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).orderBy(F.desc("step")).collect()  # a row for each quarter of a power of two
+    n, total, least = 0, 0, None
+    for b in bins:
+        n, total = n + b["n"], total + b["size"]
+        if b["step"] is None or n > (MOST_SENT if most is None else most) or total > most_size:
+            break
+        least = b["step"]
+    return terms.where(F.lit(False) if least is None else step >= least)
+
+
+def with_background_of_all(rows: DataFrame, probs: DataFrame, default: DataFrame, name: str = "p", most: int | None = None) -> DataFrame:
+    """with_background() of many rows: the commonest terms of probs go to all tasks, and only the rows of the others are shuffled by their term."""
+    head, _ = sent(commonest(probs, most=most).select("term", F.col("prob").alias("_known")), most)
+    rare = rows.join(head, "term", "left_anti").join(probs.select("term", F.col("prob").alias("_known")), "term", "left")
+    return _background_of(rows.join(head, "term").unionByName(rare), default, name)
 
 
 def normalised(rows: DataFrame, key: str, weight: str = "weight", squared: bool = False) -> DataFrame:
@@ -74,10 +100,20 @@ def truncated(rows: DataFrame, key: str, weight: str = "prob", most: int = 20, l
     return ranked.where((F.col("_rank") <= most) & (F.col(weight) >= least) & (F.col("_before") < mass)).drop("_rank", "_before")
 
 
-def interpolated(a: DataFrame, b: DataFrame, key: str, share: float, weight: str = "weight") -> DataFrame:
-    """key, term, share * a + (1 - share) * b."""
-    both = a.select(key, "term", (F.col(weight) * share).alias(weight)).unionByName(b.select(key, "term", (F.col(weight) * (1 - share)).alias(weight)))
-    return both.groupBy(key, "term").agg(F.sum(weight).alias(weight))
+def interpolated(a: DataFrame, b: DataFrame, key: str, share: float, weight: str = "weight", b_once: bool = False) -> DataFrame:
+    """key, term, share * a + (1 - share) * b.
+
+    b_once: b has each key and term once. If a then has few keys, the rows of all other keys stay where they are, and only those of a's keys are added up.
+    """
+    a, b = a.select(key, "term", (F.col(weight) * share).alias(weight)), b.select(key, "term", (F.col(weight) * (1 - share)).alias(weight))
+    added = lambda x: x.groupBy(key, "term").agg(F.sum(weight).alias(weight))
+    if not b_once:
+        return added(a.unionByName(b))
+    keys, few = sent(a.select(F.col(key).alias("_key")).distinct())
+    if not few:
+        return added(a.unionByName(b))
+    here = F.col(key).eqNullSafe(F.col("_key"))
+    return added(a.unionByName(b.join(keys, here, "left_semi"))).unionByName(b.join(keys, here, "left_anti"))
 
 
 def cosines(a: DataFrame, b: DataFrame, a_key: str, b_key: str, weight: str = "weight") -> DataFrame:
@@ -90,6 +126,35 @@ def cosines(a: DataFrame, b: DataFrame, a_key: str, b_key: str, weight: str = "w
     return dots.join(na, a_key).join(nb, b_key).where("_na > 0 and _nb > 0").select(a_key, b_key, (F.col("_dot") / F.sqrt(F.col("_na") * F.col("_nb"))).alias("cosine"))
 
 
+def mixture_cosines(rows: DataFrame, b: DataFrame, probs: DataFrame, default: DataFrame, a_key: str, b_key: str, share: float = 0.9, freq: str = "f", weight: str = "weight", most: int | None = None) -> DataFrame:
+    """cosines() of the mixture() models of rows (a_key, term, freq) with b (b_key, term, weight).
+
+    What b has of a term is one array, made once. Those of the commonest terms go to all tasks; the rows of other terms get theirs with their
+    background, before the shuffle by a_key that the models take. So products are made and added up where a model is, and none of them is shuffled.
+    With more than MOST_ARRAY keys in b the arrays would be long, and the two sides are joined by term.
+    """
+    weights = b.select(b_key, "term", F.col(weight).cast("double").alias("_b"))
+    norms, few = sent(weights.groupBy(b_key).agg(F.sqrt(F.sum(F.col("_b") * F.col("_b"))).alias("_nb")).where("_nb > 0"), MOST_ARRAY)
+    if not few:
+        model = mixture(with_background_of_all(rows, probs, default, most=most), a_key, freq, share=share).where("prob > 0")
+        return cosines(model.withColumnRenamed("prob", "_b"), weights, a_key, b_key, "_b")
+    of_term = weights.join(norms, b_key).groupBy("term").agg(F.collect_list(F.struct(F.col(b_key).alias("k"), (F.col("_b") / F.col("_nb")).alias("w"))).alias("_of"))
+    # two arrays, as they take half of the room of one of pairs
+    facts = checkpointed(probs.select("term", "prob").join(of_term, "term", "full").select("term", "prob", F.col("_of.k").alias("_keys"), F.col("_of.w").alias("_ws")))
+    head, _ = sent(commonest(facts.where("prob > 0"), F.coalesce(F.size("_keys"), F.lit(0)) + 1, most), most)
+    known = F.col("prob").alias("_known")
+    none = [F.lit(None).cast(dict(facts.dtypes)[c]).alias(c) for c in ("_keys", "_ws")]
+    rows = rows.select(a_key, "term", freq)
+    common = rows.join(head.select("term", known), "term").select(a_key, "term", freq, "_known", *none)
+    rare = rows.join(head.select("term"), "term", "left_anti").join(facts, "term", "left").select(a_key, "term", freq, known, "_keys", "_ws")
+    model = mixture(_background_of(common.unionByName(rare), default, "p"), a_key, freq, share=share, also=("_keys", "_ws")).where("prob > 0")
+    model = model.withColumn("_na", F.sum(F.col("prob") * F.col("prob")).over(Window.partitionBy(a_key)))
+    found = model.join(head.select("term", F.col("_keys").alias("_hk"), F.col("_ws").alias("_hw")), "term", "left")
+    each = found.select(a_key, "_na", "prob", F.explode(F.arrays_zip(F.coalesce("_keys", "_hk").alias("k"), F.coalesce("_ws", "_hw").alias("w"))).alias("_e"))
+    dots = each.groupBy(a_key, F.col("_e.k").alias(b_key)).agg(F.sum(F.col("prob") * F.col("_e.w")).alias("_dot"), F.max("_na").alias("_na"))
+    return dots.select(a_key, b_key, (F.col("_dot") / F.sqrt("_na")).alias("cosine"))
+
+
 def pair_cosines(rows: DataFrame, key: str, weight: str = "weight", block: int | None = None) -> DataFrame:
     """a, b, cosine of all pairs a < b of keys that share a term.
 
@@ -120,8 +185,8 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
-def mixture(rows: DataFrame, key: str, freq: str = "f", background: str = "p", share: float = 0.9) -> DataFrame:
-    """key, term, prob: the model that with the background (of the given share) makes the frequencies likeliest.
+def mixture(rows: DataFrame, key: str, freq: str = "f", background: str = "p", share: float = 0.9, also: tuple[str, ...] = ()) -> DataFrame:
+    """key, term, prob (and columns to be kept): the model that with the background (of the given share) makes the frequencies likeliest.
 
     In closed form: by rising background/frequency ratio, terms are taken while their
     ratio is below what the terms so far support; the rest get 0.
@@ -137,7 +202,7 @@ def mixture(rows: DataFrame, key: str, freq: str = "f", background: str = "p", s
     scale = F.sum(F.when(kept, F.col(freq))).over(whole) / (1 + F.sum(F.when(kept, F.col(background))).over(whole) / ratio)
     r = r.withColumn("_scale", scale)
     q = F.when(kept, F.col(freq) / F.col("_scale") - F.col(background) / ratio).otherwise(0.0)
-    return r.select(key, "term", q.alias("prob"))
+    return r.select(key, "term", q.alias("prob"), *also)
 
 
 def kl_scores(query: DataFrame, docs: DataFrame, probs: DataFrame, default: DataFrame, q_key: str, d_key: str, prior: float, q_weight: str = "weight", d_weight: str = "tf", d_lengths: DataFrame | None = None, most_sent: int | None = None) -> DataFrame:

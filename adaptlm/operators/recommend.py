@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adaptlm.config import Settings
-from adaptlm.operators.lm import cosines, mixture, with_background
+from adaptlm.operators.lm import mixture_cosines
 
 DEFAULTS = Settings()
 
@@ -17,7 +17,6 @@ def recommend(doc_counts: DataFrame, topics: DataFrame, probs: DataFrame, defaul
     A document is its term counts (doc, term, tf) without what the background explains; topics: topic, term, prob.
     """
     counts = doc_counts.select(doc, "term", F.col("tf").cast("double").alias("f"))
-    model = mixture(with_background(counts, probs, default), doc, share=s.background_share).where("prob > 0")
-    sims = cosines(model.withColumnRenamed("prob", "weight"), topics.withColumnRenamed("prob", "weight"), doc, topic)
+    sims = mixture_cosines(counts, topics, probs, default, doc, topic, s.background_share, weight="prob")
     best = sims.groupBy(doc).agg(F.min(F.struct((-F.round("cosine", 6)).alias("s"), F.col(topic).alias("t"))).alias("b"))
     return best.select(doc, F.col("b.t").alias(topic), (-F.col("b.s")).alias("sim"), (-F.col("b.s") > s.recommend_similarity).alias("recommended"))

@@ -255,15 +255,15 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ITEMS}, {DOCS}, a AS (SELECT item_id AS k, term, tf / sum(tf) OVER (PARTITION BY item_id) AS w FROM q), b AS (SELECT doc_id AS k, term, tf / sum(tf) OVER (PARTITION BY doc_id) AS w FROM d) SELECT k, term, round(sum(w), 6) AS weight FROM (SELECT k, term, 0.7::DOUBLE * w AS w FROM a UNION ALL SELECT k, term, (1 - 0.7::DOUBLE) * w FROM b) GROUP BY 1, 2")
 def interpolate(spark: SparkSession, d: str) -> DataFrame:
     a = lm.normalised(_items(spark, d).select(F.col("item_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
-    b = lm.normalised(_docs(spark, d).select(F.col("doc_id").alias("k"), "term", F.col("tf").alias("weight")), "k")
-    return lm.interpolated(a, b, "k", 0.7).select("k", "term", r6("weight").alias("weight"))
+    b = index_of(spark, f"{d}/documents.parquet").shares().withColumnRenamed("doc_id", "k")
+    return lm.interpolated(a, b, "k", 0.7, b_once=True).select("k", "term", r6("weight").alias("weight"))
 
 
 @query(f"WITH {DOCS}, {BACK}, fp AS (SELECT doc_id, term, tf::DOUBLE AS f, p FROM d JOIN bg USING (term)), {_mix('fp', 'doc_id')} SELECT doc_id, term, round(prob, 6) + 0.0 AS prob FROM mix")
 def mixture_model(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     probs, default = _background(spark, d)
-    rows = lm.with_background(docs.withColumn("f", F.col("tf").cast("double")), probs, default)
+    rows = lm.with_background_of_all(docs.select("doc_id", "term", F.col("tf").cast("double").alias("f")), probs, default)
     return lm.mixture(rows, "doc_id").select("doc_id", "term", r6("prob").alias("prob"))
 
 

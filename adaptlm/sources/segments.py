@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adaptlm.operators.lm import term_counts
+from adaptlm.operators.lm import normalised, term_counts
 from adaptlm.sources.store import Store
 from adaptlm.sources.tables import shared_folder
 
+#: Bytes of source files whose texts one task counts, about.
+PART_BYTES = 4 << 20
+
 
 def _file(path: Column, length: Column, changed: Column) -> Column:
     """The number of a file as it is now: another length or time is another file."""
@@ -28,12 +31,12 @@ class InvertedIndex:
         self.spark, self.source, self.key, self.text = spark, source, key, text
         self.store = Store(spark, folder)
         self.kind = dict(spark.read.parquet(source).dtypes)[key]
-        self.schemas = {"postings": f"{key} {self.kind}, term string, tf long, file long", "docs": f"{key} {self.kind}, file long, length long", "terms": "term string, count long", "files": "path string, file long", "gone": "file long"}
+        self.schemas = {"postings": f"{key} {self.kind}, term string, tf long, file long, length long", "docs": f"{key} {self.kind}, file long, length long", "terms": "term string, count long", "files": "path string, file long", "gone": "file long"}
 
     def _files(self) -> DataFrame:
         """path, file of the source, listed by Spark; contents are not read."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.source)
-        return found.select("path", _file(F.col("path"), F.col("length"), F.col("modificationTime")).alias("file"))
+        return found.select("path", "length", _file(F.col("path"), F.col("length"), F.col("modificationTime")).alias("file"))
 
     def refresh(self, few: int = 16) -> str:
         """Take in what has changed: "same", "built", or "changed". More than so many segments are merged."""
@@ -42,7 +45,8 @@ class InvertedIndex:
         number, state = self.store.state()
         if state.get("mark") == mark:
             return "same"
-        now, known = self._files(), self._alive("files", state)
+        listed, known = self._files(), self._alive("files", state)
+        now = listed.drop("length")
         new = [r.path for r in now.join(known, "file", "left_anti").select("path").collect()] if number else None  # the names of what was added since
         lost = known.join(now, "file", "left_anti").select("file")
         parts: dict[str, DataFrame] = {}
@@ -52,8 +56,11 @@ class InvertedIndex:
             rows = whole if new is None else self.spark.read.schema(whole.schema).parquet(*new)
             path = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
             file = _file(path, F.col("_metadata.file_size"), F.col("_metadata.file_modification_time"))
-            counts = term_counts(rows.select(F.struct(self.key, file.alias("file")).alias("_k"), self.text), "_k", self.text)
-            attempts["postings"] = self.store.write("postings", counts.select(f"_k.{self.key}", "term", "tf", "_k.file"))
+            # texts are shuffled, which are smaller than their term counts; these are then made, and added up to lengths, where the text is
+            size = listed.join(known, "file", "left_anti").agg(F.sum("length")).first()[0] or 0
+            dealt = rows.select(F.struct(self.key, file.alias("file")).alias("_k"), self.text).repartition(max(self.spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)), "_k")
+            counts = term_counts(dealt, "_k", self.text).withColumn("length", F.sum("tf").over(Window.partitionBy("_k")))
+            attempts["postings"] = self.store.write("postings", counts.select(f"_k.{self.key}", "term", "tf", "_k.file", "length"))
             fresh = self.store.table("postings", self.schemas["postings"], {"parts": {"postings": [[attempts["postings"], 0]]}})
             parts = {"terms": fresh.groupBy("term").agg(F.sum("tf").alias("count")), "docs": fresh.groupBy(self.key, "file").agg(F.sum("tf").alias("length")), "files": now.join(known, "file", "left_anti")}
         if number and lost.take(1):
@@ -82,9 +89,16 @@ class InvertedIndex:
     def postings(self) -> DataFrame:
         """key, term, tf of the files as they were at the last refresh."""
         state = self.store.state()[1]
-        rows = self._alive("postings", state).drop("file")
+        rows = self._alive("postings", state).drop("file", "length")
         return rows.groupBy(self.key, "term").agg(F.sum("tf").alias("tf")) if state["overlap"] else rows
 
+    def shares(self) -> DataFrame:
+        """key, term, weight: the term's share of the key's tokens; not shuffled where no key is in several files."""
+        state = self.store.state()[1]
+        if state["overlap"]:
+            return normalised(self.postings().withColumnRenamed("tf", "weight"), self.key)
+        return self._alive("postings", state).select(self.key, "term", (F.col("tf") / F.col("length")).alias("weight"))
+
     def lengths(self) -> DataFrame:
         """key, length of the files as they were at the last refresh."""
         return self._alive("docs", self.store.state()[1]).groupBy(self.key).agg(F.sum("length").alias("length"))

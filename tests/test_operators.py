@@ -391,3 +391,47 @@ def test_ranks_over_all(spark):
     assert {r.topic: r["rank"] for r in topics.listed(stats.repartition(5), "session").collect()} == want
     mine = {r.topic: r["rank"] for r in topics.listed(stats, "session", user="user").collect()}
     assert all(mine[t] == 1 + sum(want[x] < want[t] for x, u, _ in rows if u == user) for t, user, _ in rows)
+
+
+def test_index_shuffles_texts_and_knows_shares(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    put = lambda rows, name: rows.coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/docs/{name}")
+    put(docs.where("doc_id % 4 = 0").unionByName(docs.where("doc_id < 9")), "a")
+    index = InvertedIndex(spark, f"file://{tmp_path}/docs/*", f"file://{tmp_path}/index")
+    plans, write = [], index.store.write
+    index.store.write = lambda name, rows: plans.append((name, rows._jdf.queryExecution().executedPlan().toString())) or write(name, rows)
+    index.refresh()
+    assert [plan.count("Exchange") for name, plan in plans if name == "postings"] == [1]  # of the texts
+    wanted = lambda rows: lm.normalised(lm.term_counts(rows, "doc_id").withColumnRenamed("tf", "weight"), "doc_id")
+    assert "Exchange hashpartitioning" not in index.shares()._jdf.queryExecution().executedPlan().toString()
+    assert _same(index.shares(), wanted(spark.read.parquet(f"file://{tmp_path}/docs/*")))
+    put(docs.where("doc_id % 8 < 3"), "b")  # some of the keys again
+    index.refresh()
+    assert _same(index.shares(), wanted(spark.read.parquet(f"file://{tmp_path}/docs/*")))
+
+
+def test_rows_of_keys_that_one_side_has_alone_stay(spark):
+    a = spark.createDataFrame([(1, "x", 0.5), (None, "y", 1.0)], "k long, term string, weight double")
+    b = spark.createDataFrame([(1, "x", 0.25), (1, "z", 0.5), (2, "x", 1.0), (None, "y", 0.5), (None, "w", 0.5)], "k long, term string, weight double")
+    once = lm.interpolated(a, b, "k", 0.5, b_once=True)
+    exchanged = [x for x in once._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert _same(once, lm.interpolated(a, b, "k", 0.5))
+    assert len(exchanged) == 1 and once.count() == 5
+
+
+@pytest.mark.parametrize("most", [0, 3, 100])
+def test_background_of_all_and_cosines_in_place(spark, monkeypatch, most):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    counts = lm.term_counts(docs, "doc_id")
+    probs, default = lm.collection_probs(counts)
+    rows = counts.select("doc_id", "term", F.col("tf").cast("double").alias("f")).unionByName(spark.createDataFrame([(1, "unheardof", 2.0)], "doc_id long, term string, f double"))
+    assert lm.commonest(probs, most=most).count() <= most
+    assert _same(lm.with_background_of_all(rows, probs, default, most=most), lm.with_background(rows, probs, default))
+    topics = counts.withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 7)).groupBy("topic", "term").agg(F.sum("tf").alias("w"))
+    topics = topics.unionByName(spark.createDataFrame([("alone", "unheardof", 3), ("far", "nowhere", 1)], "topic string, term string, w long"))
+    model = lm.mixture(lm.with_background(rows, probs, default), "doc_id").where("prob > 0")
+    six = lambda x: x.select("doc_id", "topic", F.round("cosine", 6).alias("cosine"))
+    wanted = six(lm.cosines(model, topics.withColumnRenamed("w", "prob"), "doc_id", "topic", "prob"))
+    assert _same(six(lm.mixture_cosines(rows, topics, probs, default, "doc_id", "topic", weight="w", most=most)), wanted) and wanted.count() > 300
+    monkeypatch.setattr(lm, "MOST_ARRAY", 3)  # more topics than an array takes
+    assert _same(six(lm.mixture_cosines(rows, topics, probs, default, "doc_id", "topic", weight="w", most=most)), wanted)
