@@ -14,7 +14,7 @@ TASK_PAIRS = 500_000
 #: Keys of a block of pair_cosines(), about; a task holds the pairs of two blocks.
 BLOCK_KEYS = 700
 #: Keys in the array of a term at most.
-MOST_ARRAY = 256
+MOST_ARRAY = 64
 
 
 def first_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -129,30 +129,32 @@ def cosines(a: DataFrame, b: DataFrame, a_key: str, b_key: str, weight: str = "w
 def mixture_cosines(rows: DataFrame, b: DataFrame, probs: DataFrame, default: DataFrame, a_key: str, b_key: str, share: float = 0.9, freq: str = "f", weight: str = "weight", most: int | None = None) -> DataFrame:
     """cosines() of the mixture() models of rows (a_key, term, freq) with b (b_key, term, weight).
 
-    What b has of a term is one array, made once. Those of the commonest terms go to all tasks; the rows of other terms get theirs with their
-    background, before the shuffle by a_key that the models take. So products are made and added up where a model is, and none of them is shuffled.
-    With more than MOST_ARRAY keys in b the arrays would be long, and the two sides are joined by term.
+    What b's keys have of a term is one array with a place for each key. Those of the commonest terms go to all tasks; the rows of other terms get
+    theirs with their background, before the shuffle by a_key that the models take. So products are made and added up where a model is, and none
+    of them is a row. With more than MOST_ARRAY keys in b the arrays would be long, and the two sides are joined by term.
     """
-    weights = b.select(b_key, "term", F.col(weight).cast("double").alias("_b"))
+    weights = b.where(F.col(b_key).isNotNull()).select(b_key, "term", F.col(weight).cast("double").alias("_b"))
     norms, few = sent(weights.groupBy(b_key).agg(F.sqrt(F.sum(F.col("_b") * F.col("_b"))).alias("_nb")).where("_nb > 0"), MOST_ARRAY)
     if not few:
         model = mixture(with_background_of_all(rows, probs, default, most=most), a_key, freq, share=share).where("prob > 0")
         return cosines(model.withColumnRenamed("prob", "_b"), weights, a_key, b_key, "_b")
-    of_term = weights.join(norms, b_key).groupBy("term").agg(F.collect_list(F.struct(F.col(b_key).alias("k"), (F.col("_b") / F.col("_nb")).alias("w"))).alias("_of"))
-    # two arrays, as they take half of the room of one of pairs
-    facts = checkpointed(probs.select("term", "prob").join(of_term, "term", "full").select("term", "prob", F.col("_of.k").alias("_keys"), F.col("_of.w").alias("_ws")))
-    head, _ = sent(commonest(facts.where("prob > 0"), F.coalesce(F.size("_keys"), F.lit(0)) + 1, most), most)
+    places = norms.select(b_key, "_nb", (F.row_number().over(Window.orderBy(b_key)) - 1).alias("_i"))  # a row for each key, of which there are few
+    places, _ = sent(places, MOST_ARRAY)
+    n = max(1, places.count())
+    # null where a key lacks the term, so that pairs that share no term have no sum
+    of_term = weights.join(places, b_key).groupBy("term").agg(F.array(*(F.sum(F.when(F.col("_i") == i, F.col("_b") / F.col("_nb"))) for i in range(n))).alias("_of"))
+    facts = checkpointed(probs.select("term", "prob").join(of_term, "term", "full"))
+    head, _ = sent(commonest(facts.where("prob > 0"), F.lit(n), most), most)
     known = F.col("prob").alias("_known")
-    none = [F.lit(None).cast(dict(facts.dtypes)[c]).alias(c) for c in ("_keys", "_ws")]
     rows = rows.select(a_key, "term", freq)
-    common = rows.join(head.select("term", known), "term").select(a_key, "term", freq, "_known", *none)
-    rare = rows.join(head.select("term"), "term", "left_anti").join(facts, "term", "left").select(a_key, "term", freq, known, "_keys", "_ws")
-    model = mixture(_background_of(common.unionByName(rare), default, "p"), a_key, freq, share=share, also=("_keys", "_ws")).where("prob > 0")
-    model = model.withColumn("_na", F.sum(F.col("prob") * F.col("prob")).over(Window.partitionBy(a_key)))
-    found = model.join(head.select("term", F.col("_keys").alias("_hk"), F.col("_ws").alias("_hw")), "term", "left")
-    each = found.select(a_key, "_na", "prob", F.explode(F.arrays_zip(F.coalesce("_keys", "_hk").alias("k"), F.coalesce("_ws", "_hw").alias("w"))).alias("_e"))
-    dots = each.groupBy(a_key, F.col("_e.k").alias(b_key)).agg(F.sum(F.col("prob") * F.col("_e.w")).alias("_dot"), F.max("_na").alias("_na"))
-    return dots.select(a_key, b_key, (F.col("_dot") / F.sqrt("_na")).alias("cosine"))
+    common = rows.join(head.select("term", known), "term").select(a_key, "term", freq, "_known", F.lit(None).cast("array<double>").alias("_of"))
+    rare = rows.join(head.select("term"), "term", "left_anti").join(facts, "term", "left").select(a_key, "term", freq, known, "_of")
+    model = mixture(_background_of(common.unionByName(rare), default, "p"), a_key, freq, share=share, also=("_of",)).where("prob > 0")
+    found = model.join(head.select("term", F.col("_of").alias("_head")), "term", "left").withColumn("_of", F.coalesce("_of", "_head"))
+    sums = [F.sum(F.col("prob") * F.get("_of", F.lit(i))).alias(f"_{i}") for i in range(n)]
+    dots = found.groupBy(a_key).agg(F.sum(F.col("prob") * F.col("prob")).alias("_na"), *sums)
+    each = dots.select(a_key, "_na", F.posexplode(F.array(*(f"_{i}" for i in range(n)))).alias("_i", "_dot")).where("_dot IS NOT NULL")
+    return each.join(places, "_i").select(a_key, b_key, (F.col("_dot") / F.sqrt("_na")).alias("cosine"))
 
 
 def pair_cosines(rows: DataFrame, key: str, weight: str = "weight", block: int | None = None) -> DataFrame:

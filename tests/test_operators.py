@@ -430,8 +430,11 @@ def test_background_of_all_and_cosines_in_place(spark, monkeypatch, most):
     topics = counts.withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 7)).groupBy("topic", "term").agg(F.sum("tf").alias("w"))
     topics = topics.unionByName(spark.createDataFrame([("alone", "unheardof", 3), ("far", "nowhere", 1)], "topic string, term string, w long"))
     model = lm.mixture(lm.with_background(rows, probs, default), "doc_id").where("prob > 0")
+    plans = []
+    monkeypatch.setattr(lm, "cosines", lambda *x, f=lm.cosines: plans.append(x) or f(*x))
     six = lambda x: x.select("doc_id", "topic", F.round("cosine", 6).alias("cosine"))
     wanted = six(lm.cosines(model, topics.withColumnRenamed("w", "prob"), "doc_id", "topic", "prob"))
     assert _same(six(lm.mixture_cosines(rows, topics, probs, default, "doc_id", "topic", weight="w", most=most)), wanted) and wanted.count() > 300
+    assert len(plans) == 1  # only that of what is wanted: products of terms are no rows
     monkeypatch.setattr(lm, "MOST_ARRAY", 3)  # more topics than an array takes
     assert _same(six(lm.mixture_cosines(rows, topics, probs, default, "doc_id", "topic", weight="w", most=most)), wanted)
