@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import functools
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from adaptlm.sources.tables import checkpointed
 DEFAULTS = Settings()
 #: Pairs of a group that one task clusters (about 200 bytes each in its heap and maps).
 LOCAL_PAIRS = 500_000
+#: Items and pairs that a task clusters, about; rows of a batch of its results, about.
+TASK_ROWS, OUT_ROWS = 20_000, 10_000
 
 
 def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: float = 0.1, least: float = 0.01, sizes: dict[int, int] | None = None) -> dict[int, int]:
@@ -52,15 +55,44 @@ def average_link(pairs: list[tuple[int, int, float]], items: list[int], stop: fl
 
 
 def _heap_clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float, least: float) -> DataFrame:
-    """group, item, cluster by average_link(), a group in one task."""
-    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        linked, alone = pdf[pdf["b"].notna()], pdf[pdf["b"].isna()]
-        found = average_link([(int(a), int(b), float(s)) for a, b, s in zip(linked["a"], linked["b"], linked["sim"])], sorted(set(pdf["a"]) | {int(x) for x in linked["b"]}), stop, least, sizes={int(a): int(n) for a, n in zip(alone["a"], alone["sim"])})
-        return pd.DataFrame({group: pdf[group].iloc[0], "item": list(found), "cluster": list(found.values())})
+    """group, item, cluster by average_link(), a group in one task.
 
-    return rows.groupBy(group).applyInPandas(run, f"{group} {dict(items.dtypes)[group]}, item long, cluster long")
+    Rows are dealt to a number of tasks that grows with them, as few bytes may be much work; a task reads one group after another.
+    """
+    rows = items.select(group, F.col("item").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").alias("sim")).unionByName(pairs.select(group, "a", "b", "sim"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kind = [group, "item", "cluster"], None
+        out: tuple[list, list, list] = ([], [], [])
+        now, linked, sizes = None, [], {}
+
+        def settle() -> None:
+            found = average_link(linked, sorted(sizes.keys() | {x for p in linked for x in p[:2]}), stop, least, sizes=sizes)
+            out[0].extend([now] * len(found)), out[1].extend(found), out[2].extend(found.values())
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for g, a, b, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != now and (linked or sizes):
+                    settle()
+                    linked, sizes = [], {}
+                    if len(out[0]) >= OUT_ROWS:
+                        yield batch_of()
+                        out = ([], [], [])
+                now = g
+                if b is None:
+                    sizes[a] = int(s)
+                else:
+                    linked.append((a, b, s))
+        if linked or sizes:
+            settle()
+            yield batch_of()
+
+    return rows.repartition(tasks, group).sortWithinPartitions(group).mapInArrow(run, f"{group} {dict(items.dtypes)[group]}, item long, cluster long")
 
 
 def _next_merges(edges: DataFrame, group: str, stop: float) -> DataFrame:
@@ -103,7 +135,8 @@ def clusters(pairs: DataFrame, items: DataFrame, group: str, stop: float = DEFAU
     size = F.col("size").cast("double") if "size" in items.columns else F.lit(1.0)
     items = items.select(group, "item", size.alias("size"))
     of_item = items.select(group, F.col("item").alias("_i"), F.col("size").alias("_z"))
-    edges = pairs.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    # read more than once below
+    edges = checkpointed(pairs.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim"))
     counts = edges.groupBy(group).agg(F.count(F.lit(1)).alias("_pairs")).where(F.col("_pairs") > local_pairs)
     large = checkpointed(counts.select(group))
     if not large.take(1):

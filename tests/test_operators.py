@@ -193,6 +193,22 @@ def test_built_topics(spark):
     assert [(r.query, r.n) for r in topics.counted(members.join(searches.drop("user_id"), "search_id"), "topic", "query").where("topic = 1").orderBy("rank").collect()] == [("a", 2), ("b", 1), ("c", 1)]
 
 
+def test_clusters_of_many_groups(spark, monkeypatch):
+    r = random.Random(5)
+    monkeypatch.setattr(topics, "TASK_ROWS", 400)
+    monkeypatch.setattr(topics, "OUT_ROWS", 25)
+    items = [(None if g == 7 else f"g{g}", 10 * g + i, r.randint(1, 3)) for g in range(600) for i in range(1 + g % 4)]
+    pairs = [(x[0], x[1], y[1], round(r.random() * 0.4, 3)) for x in items for y in items[items.index(x) + 1 :][:3] if x[0] == y[0]]
+    got = topics.clusters(spark.createDataFrame(pairs, "g string, a long, b long, sim double"), spark.createDataFrame(items, "g string, item long, size long"), "g").withColumn("task", F.spark_partition_id()).collect()
+    want = {}
+    for g in {x[0] for x in items}:
+        mine = {x[1]: x[2] for x in items if x[0] == g}
+        want |= {(g, i): c for i, c in topics.average_link([p[1:] for p in pairs if p[0] == g], sorted(mine), sizes=mine).items()}
+    assert len(got) == len(items) and {(x.g, x.item): x.cluster for x in got} == want and any(c != i for (_, i), c in want.items())
+    # few bytes are dealt to tasks by their rows, 400 a task here
+    assert len({x.task for x in got}) == -(-(len(items) + len(pairs)) // 400) > 4 and len({(x.g, x.task) for x in got}) == 600
+
+
 def test_memory_of_models(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "s long, term string, prob double")
     fresh = spark.createDataFrame([(1, "x", 1.0), (2, "y", 1.0), (3, "z", 1.0)], "s long, term string, prob double")
