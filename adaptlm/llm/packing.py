@@ -32,6 +32,8 @@ from adaptlm.llm.shared import shared_dir, slices, tidy, written
 
 #: Words whose ids a task remembers; they are forgotten when it ends, as a worker process outlives it.
 CACHED_WORDS = 100_000
+#: Longest run of white space for the rank table, whose regular expression ends with an error at about a million.
+MOST_SPACE = 100_000
 #: Sources of a schedule at most, and cells of a table of windows by sources.
 MOST_SOURCES, CELLS = 4096, 400_000
 
@@ -53,7 +55,7 @@ class Encoder:
     A single space between two characters that are not white space always starts a new
     pre-token of a byte-level BPE, so the text can be cut there; words seen
     before come from a bounded cache, others from a rank table where the vocabulary
-    lists its merges in order of ids, else from the tokenizer itself. ordinary: the
+    lists its merges in order of ids, else (and with very long white space) from the tokenizer itself. ordinary: the
     strings of special tokens are ordinary text.
     """
 
@@ -67,6 +69,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.rare = re.compile("[\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.spaces = re.compile(r"\s+").findall
         spec = json.loads(self.tokenizer.to_str())
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.byte_level = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"]["add_prefix_space"] and not spec["normalizer"]
@@ -89,9 +92,13 @@ class Encoder:
             self.known[w] = self._ids(" " + w)
 
     def _ids(self, text: str) -> bytes:
-        ids = self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.ranked.encode_ordinary(text) if self.ranked and not self._far(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, self.dtype).tobytes()
 
+    def _far(self, text: str) -> bool:
+        """Whether white space runs on for more than the rank table takes."""
+        return len(text) > MOST_SPACE and max(map(len, self.spaces(text)), default=0) > MOST_SPACE
+
     def _even(self, text: str) -> bool:
         """Whether each space stands alone between characters that are not white space."""
         return not (text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or " \t" in text or "\t " in text or self.rare(text))

@@ -323,6 +323,16 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(e(t), e.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_takes_a_million_spaces():
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(3)
+    tok, e = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    # no 200 of them repeat in the second, so that the stage repeated_passages would leave it
+    for t in ("a b" + " " * 1_100_000 + "c d", "a b" + "".join(np.array(list(" \t\n\r"))[r.integers(0, 4, 1_100_000)]) + "c d"):
+        assert np.frombuffer(e(t), e.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_quality(spark):
     import random
 
