@@ -141,5 +141,5 @@ MOST_SENT = 20_000
 
 
 def sent(keys: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it is within the bound."""
-    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+    """A written table of narrow rows, marked for broadcast if it is within the bound, else for a shuffle: Spark itself would send what is few bytes in files."""
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys.hint("merge")

@@ -315,6 +315,20 @@ def test_pack(spark):
     assert packing.pack(documents(spark, []), TOKENIZER).count() == 0
 
 
+def test_more_rows_than_the_bound_are_not_sent(spark, tmp_path, monkeypatch):
+    from adaptlm.llm import shared
+
+    path = f"file://{tmp_path}/keys"
+    spark.range(50).selectExpr("struct(id as f, id as r) as rid").write.parquet(path)
+    keys = spark.read.parquet(path)
+    rows = spark.range(200).selectExpr("struct(id as f, id as r) as rid", "id")
+    for most, how in ((50, "BroadcastHashJoin"), (49, "SortMergeJoin")):
+        monkeypatch.setattr(shared, "MOST_SENT", most)
+        for kind, n in (("inner", 50), ("left_anti", 150)):
+            joined = rows.join(shared.sent(keys), "rid", kind)
+            assert joined.count() == n and how in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
