@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adaptlm.llm.quality import AdditiveModel, features
-from adaptlm.llm.shared import WORD, keyed, scratch, sent, slices, tidy, written
+from adaptlm.llm.shared import WORD, keyed, marked, scratch, sent, slices, tidy, written
 from adaptlm.llm.words import text_bytes, word_bounds
 
 #: Rows of a range, about.
@@ -125,11 +125,13 @@ def mixed_documents(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text
     rows = keyed(docs, *dict.fromkeys(("doc_id", "source", "text", *columns)))
     with scratch(docs.sparkSession):
         taken = written(_mix_rows(rows, model, **options).where("taken > 0").select("rid", "size", "epochs", "rest"), "mix-taken", keep=True)
-    # names that no column of docs has
-    plan = taken.select(F.col("rid").alias("_rid"), *(F.col(c).alias(f"_{c}") for c in ("size", "epochs", "rest")))
-    m = rows.join(sent(plan), F.col("rid") == F.col("_rid"))
-    whole = F.col("_epochs") + (F.col("_rest") == F.col("_size")).cast("int")
-    parts = (F.col("_rest") > 0) & (F.col("_rest") < F.col("_size"))
+    # names that no column of docs has; a source has one document at the edge at most
+    whole = (F.col("epochs") + (F.col("rest") == F.col("size")).cast("long")).alias("_whole")
+    edge = (F.col("rest") > 0) & (F.col("rest") < F.col("size"))
+    cuts = written(taken.where(edge).select(F.col("rid").alias("_rid"), F.col("rest").alias("_rest")), "mix-edges", keep=True)
+    m = marked(rows, taken.select("rid", whole), "_whole").join(sent(cuts), F.col("rid") == F.col("_rid"), "left")
+    whole, parts = F.col("_whole").cast("int"), F.col("_rest").isNotNull()
+    m = m.where((whole > 0) | parts)
     copies = m.withColumn("_copy", F.explode(F.sequence(F.lit(1), whole + parts.cast("int"))))
     # each word with the white space before it
     words, gaps = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)

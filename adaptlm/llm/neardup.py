@@ -18,14 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adaptlm.llm.components import components
-from adaptlm.llm.shared import keyed, release, scratch, sent, slices, tidy, written
+from adaptlm.llm.shared import keyed, marked, release, scratch, sent, slices, tidy, written
 from adaptlm.llm.words import mixed, shingle_hashes, text_bytes, word_hashes
 
 BINS, ROWS = 128, 4
+#: Bits of a set's id that are the row's number in its file.
+FILE_BITS = 40
 _TRIES = 64
 #: For each bin the bins that it asks in turn when it is empty.
 _ASKED = (mixed(np.arange(BINS * _TRIES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, _TRIES)
@@ -245,17 +247,19 @@ def _near_rows(rows: DataFrame, width: int = 5, percent: int = 75, rounds: int =
 def _linked(rows: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
     rows = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     facts = written(signed(rows, width), "signatures", keep=True)
-    # a set's id is given here and read from the written table ever after
-    sets = written(
-        facts.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("rid", "bands")).alias("x"), F.min("doc_id").alias("doc_id"))
-        .select("fp1", "fp2", F.col("x.rid").alias("rid"), F.col("x.bands").alias("bands"), "doc_id", F.monotonically_increasing_id().alias("sid")), "sets")
+    # a set's id is the place of its first row: the number of the file and the row's in it
+    files = written(facts.select(F.col("rid.f").alias("file")).distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")).cast("long")), "files")  # a row for each file
+    firsts = facts.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("rid", "bands")).alias("x"), F.min("doc_id").alias("doc_id")).join(sent(files), F.col("x.rid.f") == F.col("file"))
+    place = F.shiftleft("file_no", FILE_BITS).bitwiseOR(F.col("x.rid.r"))
+    sets = written(firsts.select("fp1", "fp2", F.col("x.rid").alias("rid"), F.col("x.bands").alias("bands"), "doc_id", "file_no", place.alias("sid")), "sets")
     members = sets.select("sid", F.explode("bands").alias("bucket"))
     # tables that go back to the members of a bucket are written first, so that the join's skew can be split
     crowded = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "buckets")
     members = written(members.join(crowded, "bucket"), "members")
     release(rows.sparkSession)
-    some = written(sets.join(members.select("sid").distinct(), "sid").select("rid", "sid"), "bucketed-sets")
-    hashes = written(hashed(rows.join(sent(some), "rid").select("sid", "text"), width), "hashes")
+    some = written(sets.join(members.select("sid").distinct(), "sid").select("rid", "file_no", F.lit(1).cast("long").alias("mark")), "bucketed-sets")
+    texts = marked(rows.select("rid", "text"), some, "mark", "file_no").where("mark > 0")
+    hashes = written(hashed(texts.select(F.shiftleft("file_no", FILE_BITS).bitwiseOR(F.col("rid.r")).alias("sid"), "text"), width), "hashes")
     release(rows.sparkSession)
     links = roots = tried = None
 
@@ -337,5 +341,5 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "
     with scratch(docs.sparkSession):
         found = written(_near_rows(rows, **options).select("rid", "doc_id", "root"), "components")
         first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("x")).select(F.col("x.rid").alias("rid"))
-        gone = written(found.join(first, "rid", "left_anti").select("rid"), "near-copies", keep=True)
-    return rows.join(sent(gone), "rid", "left_anti").select(*columns)
+        gone = written(found.join(first, "rid", "left_anti").select("rid", F.lit(1).cast("long").alias("_gone")), "near-copies", keep=True)
+    return marked(rows, gone, "_gone").where("_gone = 0").select(*columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import re
 import tempfile
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and the controls 0x09 to 0x0D.
@@ -143,3 +144,40 @@ MOST_SENT = 20_000
 def sent(keys: DataFrame) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it is within the bound, else for a shuffle: Spark itself would send what is few bytes in files."""
     return F.broadcast(keys) if keys.count() <= MOST_SENT else keys.hint("merge")
+
+
+#: Bytes of marks() that are sent to every executor at most; more of them are joined by a shuffle.
+MOST_MARKS = 32 << 20
+#: Rows of a file that are one row of marks.
+MARKED_ROWS = 1 << 16
+
+
+def _held_word(digit: str, k: Column) -> Column:
+    return F.coalesce(F.try_element_at("_held", k)[digit], F.lit(0).cast("long"))
+
+
+def marked(rows: DataFrame, keys: DataFrame, value: str, of_file: str | None = None) -> DataFrame:
+    """rows (with rid as keyed() gives it) and what keys (rid, value: a whole number from 0 on) has for them, 0 where it has no such rid.
+
+    keys is a written table of different rids. Its values are sent as bits, one for each row of their files and binary digit, so rows with texts stay
+    where they are, and what is sent is about an eighth of a byte a row; beyond MOST_MARKS bytes the two are joined by a shuffle.
+    of_file: a column of keys that is the same for all rows of a file; rows get it too (null where value is 0).
+    """
+    also = [of_file] if of_file else []
+    digits = max(int(keys.agg(F.max(value)).first()[0] or 0).bit_length(), 1)
+    bit = lambda i: F.bit_or(F.expr(f"shiftleft(shiftright(`{value}`, {i}) & 1L, int(rid.r & 63))")).alias(f"_{i}")
+    word = [bit(i) for i in range(digits)]
+    words = keys.where(F.col(value) > 0).groupBy(F.col("rid.f").alias("_f"), F.shiftright("rid.r", 6).alias("_w")).agg(*word, *(F.max(c).alias(c) for c in also))
+    at = F.col("_w").bitwiseAND(MARKED_ROWS // 64 - 1)
+    held = F.map_from_entries(F.collect_list(F.struct(at.alias("k"), F.struct(*(f"_{i}" for i in range(digits))).alias("v"))))
+    chunks = words.groupBy("_f", F.shiftright("_w", (MARKED_ROWS // 64).bit_length() - 1).alias("_c")).agg(held.alias("_held"), F.max(at).alias("_last"), *(F.max(c).alias(c) for c in also))
+    places = F.sequence(F.lit(0).cast("long"), F.col("_last"))
+    dense = [F.transform(places, functools.partial(_held_word, f"_{i}")).alias(f"_{i}") for i in range(digits)]
+    marks = written(chunks.select("_f", "_c", *dense, *also), "marks", keep=True)
+    size = marks.agg(F.sum(F.size("_0") * (8 * digits) + 64)).first()[0] or 0
+    if size > MOST_MARKS:
+        return rows.join(keys.where(F.col(value) > 0).select("rid", value, *also).hint("merge"), "rid", "left").na.fill({value: 0})
+    chunk = F.shiftright("rid.r", MARKED_ROWS.bit_length() - 1)
+    found = rows.join(F.broadcast(marks), (F.col("rid.f") == F.col("_f")) & (chunk == F.col("_c")), "left")
+    sums = " + ".join(f"shiftleft(coalesce(shiftright(get(_{i}, int(shiftright(rid.r, 6) & {MARKED_ROWS // 64 - 1})), int(rid.r & 63)) & 1L, 0L), {i})" for i in range(digits))
+    return found.select(*(rows[c] for c in rows.columns), F.expr(sums).alias(value), *also)

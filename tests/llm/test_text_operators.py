@@ -586,3 +586,35 @@ def test_only_members_with_a_name_that_no_other_has_go_before_the_shuffle(spark)
     assert plain(suffixes._met(rows, 200)) == want and 0 < len(want) < len(every)
     assert {x[0] for x in want} >= {0, 1, 3, 4} and 2 not in {x[0] for x in want}
     assert suffixes._met(rows.limit(0), 200).count() == 0
+
+
+def test_values_of_rows_are_sent_as_bits(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from adaptlm.llm import shared
+
+    path = f"file://{tmp_path}/rows"
+    spark.range(200_000).selectExpr("id", "concat('t', id) as text").repartition(3).write.parquet(path)
+    rows = shared.keyed(spark.read.parquet(path), "id", "text")
+    value = "CASE WHEN id % 7 = 0 THEN id % 6 WHEN id IN (0, 63, 64, 65535, 65536, 199999) THEN 1 ELSE 0 END"
+    with shared.scratch(spark):
+        keys = shared.written(rows.selectExpr("rid", f"{value} AS v", "rid.f % 100 AS file").where("v > 0 OR id % 5 = 0"), "keys", keep=True)
+        for most, how in ((1 << 20, "BroadcastHashJoin"), (10, "SortMergeJoin")):
+            monkeypatch.setattr(shared, "MOST_MARKS", most)
+            found = shared.marked(rows, keys, "v", "file")
+            assert found.where(f"v <> {value}").count() == 0 and found.count() == 200_000 and how in found._jdf.queryExecution().executedPlan().toString()
+            assert found.where("v > 0").where(F.col("file") != F.col("rid.f") % 100).count() == 0
+        assert shared.marked(rows, keys.limit(0), "v").agg(F.sum("v")).first()[0] == 0
+
+
+def test_texts_of_near_copies_and_of_the_mix_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from adaptlm.llm import shared
+
+    monkeypatch.setattr(shared, "MOST_SENT", 5)
+    path = f"file://{tmp_path}/docs"
+    documents(spark, [(i, f"{'same words of a copy' if i % 2 else 'own ' + str(i)} and more words to be shingles of {i // 4 if i % 2 else i}", "en", f"s{i % 3}", 9, 0, 0, "h", 0.5) for i in range(60)]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    for made in (neardup.one_of_each(docs), mixing.mixed_documents(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert 0 < made.count() and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert neardup.one_of_each(docs).count() == 31  # the odd ones differ in the last word alone
