@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +16,10 @@ from adaptlm.sources.tables import MOST_SENT, checkpointed, sent
 
 #: Pairs of a query and a document that one task adds up (about 400 bytes each with their sort).
 TASK_PAIRS = 500_000
-#: Keys of a block of pair_cosines(), about; a task holds the pairs of two blocks.
-BLOCK_KEYS = 700
+#: Keys of a block of pair_cosines(), about, and blocks that few keys are cut to; a task holds the pairs of two blocks.
+BLOCK_KEYS, LEAST_BLOCKS = 2000, 8
+#: A term is a column of a matrix if at least one of so many pairs of two blocks shares it; columns of a matrix and products that are made at once.
+DENSE, COLUMNS, PRODUCTS = 64, 512, 2_000_000
 #: Keys in the array of a term at most.
 MOST_ARRAY = 64
 
@@ -157,27 +164,109 @@ def mixture_cosines(rows: DataFrame, b: DataFrame, probs: DataFrame, default: Da
     return each.join(places, "_i").select(a_key, b_key, (F.col("_dot") / F.sqrt("_na")).alias("cosine"))
 
 
+def _dots(x: tuple, y: tuple, terms: int) -> np.ndarray:
+    """[key of x, key of y]: sums of products of weights by term; x, y: number of keys, place of the key, term and weight of each entry.
+
+    Terms that many keys have are products of narrow matrices, the entries of the others are multiplied one by one, a bounded number at a time.
+    """
+    (n, x_key, x_term, x_w), (m, y_key, y_term, y_w) = x, y
+    out = np.zeros((n, m))
+    x_many, y_many = np.bincount(x_term, minlength=terms), np.bincount(y_term, minlength=terms)
+    pairs = x_many * y_many
+    common = np.flatnonzero(pairs * DENSE >= n * m)
+    for some in np.array_split(common, max(1, -(-len(common) // COLUMNS))):
+        place = np.full(terms, -1)
+        place[some] = np.arange(len(some))
+        flat = lambda k, t, w, size: np.bincount((k * len(some) + place[t])[place[t] >= 0], w[place[t] >= 0], size * len(some)).reshape(size, len(some))
+        if len(some):
+            out += flat(x_key, x_term, x_w, n) @ flat(y_key, y_term, y_w, m).T
+    rare = pairs > 0
+    rare[common] = False
+    kx, ky = np.flatnonzero(rare[x_term]), np.flatnonzero(rare[y_term])
+    ky = ky[np.argsort(y_term[ky], kind="stable")]
+    start = np.searchsorted(y_term[ky], np.arange(terms))
+    many = y_many[x_term[kx]]
+    ends = np.cumsum(many)
+    for some in np.split(kx, np.searchsorted(ends, np.arange(PRODUCTS, ends[-1] if len(ends) else 0, PRODUCTS))):
+        each = y_many[x_term[some]]
+        left = np.repeat(some, each)
+        right = ky[np.repeat(start[x_term[some]], each) + np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)]
+        np.add.at(out.reshape(-1), x_key[left] * m + y_key[right], x_w[left] * y_w[right])
+    return out
+
+
+def _block_pairs(rows: DataFrame, key: str, weight: str, block: int | None, found: Callable, names: tuple[str, str]) -> DataFrame:
+    """What found makes of the cosines of each pair of blocks of keys, as rows (two keys, named so, and cosine).
+
+    found(x, y, cosine, shared, same): keys of two blocks, [x, y] their cosines and whether they share a term, and whether both are one block.
+    A key with its vector is one row, shuffled once for each block; a pair of blocks is one task's work.
+    """
+    kind = dict(rows.dtypes)[key]
+    w = F.col(weight).cast("double")
+    x = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.sqrt(F.sum(w * w)).alias("n"), F.collect_list(F.struct("term", w.alias("w"))).alias("v"))
+    x = checkpointed(x.select("k", "n", F.col("v.term").alias("terms"), F.col("v.w").alias("w")))
+    n = x.count()
+    blocks = max(1, -(-n // (block or BLOCK_KEYS)), 0 if block else min(LEAST_BLOCKS, -(-n // 250)))
+    mine, others = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    x = x.select("*", mine.alias("_m"), F.explode(others).alias("_o"))
+    dealt = x.select(F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), (F.col("_m") > F.col("_o")).cast("int").alias("side"), "k", "n", "terms", "w")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
+    dealt = dealt.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "side")
+
+    def entries(t: pa.Table, terms: np.ndarray, lo: int, hi: int, ends: np.ndarray, w: np.ndarray) -> tuple:
+        a, b = ends[lo], ends[hi]
+        return hi - lo, np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), terms[a:b], w[a:b]
+
+    def of_pair(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(group).combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(t.column("terms")).to_numpy())])
+        coded = pc.dictionary_encode(pc.list_flatten(t.column("terms")).combine_chunks(), null_encoding="encode")
+        codes, w = coded.indices.to_numpy().astype(np.int64), pc.list_flatten(t.column("w")).to_numpy()
+        same = t.column("i")[0] == t.column("j")[0]
+        cut = t.num_rows if same else int((t.column("side").to_numpy() == 0).sum())
+        lo = (0, cut), (0, cut) if same else (cut, t.num_rows)
+        if 0 in (lo[0][1] - lo[0][0], lo[1][1] - lo[1][0]):
+            return
+        x, y = (entries(t, codes, *e, ends, w) for e in lo)
+        dots, size = _dots(x, y, len(coded.dictionary)), t.column("n").to_numpy()
+        ones = lambda e: (*e[:3], np.ones(len(e[3])))
+        shared = dots > 0 if (w > 0).all() else _dots(ones(x), ones(y), len(coded.dictionary)) > 0
+        dots /= size[lo[0][0] : lo[0][1], None] * size[None, lo[1][0] : lo[1][1]]
+        keys = t.column("k").combine_chunks()
+        yield from (pa.RecordBatch.from_arrays(list(c), names=[*names, "cosine"]) for c in found(keys[lo[0][0] : lo[0][1]], keys[lo[1][0] : lo[1][1]], dots, shared, same))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = np.stack([batch.column(k).to_numpy() for k in range(2)], 1)
+            cuts = [0, *(np.flatnonzero((here[1:] != here[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if group and at != here[a].tolist():
+                    yield from of_pair(group)
+                    group = []
+                at = here[a].tolist()
+                group.append(batch.slice(a, b - a))
+        if group:
+            yield from of_pair(group)
+
+    return dealt.mapInArrow(run, f"{names[0]} {kind}, {names[1]} {kind}, cosine double")
+
+
 def pair_cosines(rows: DataFrame, key: str, weight: str = "weight", block: int | None = None) -> DataFrame:
     """a, b, cosine of all pairs a < b of keys that share a term.
 
     Keys are dealt to blocks; a pair of blocks is one task's work, so pairs are made, added up and divided where they are, and what is shuffled
-    are the rows, once for each block. The result grows with the square of the keys, what a task holds does not.
+    are the keys' vectors, once for each block. The result grows with the square of the keys, what a task holds does not.
     """
-    norm = rows.groupBy(key).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_n"))
-    x = rows.join(norm, key)
-    blocks = max(1, -(-norm.count() // (block or BLOCK_KEYS)))
-    mine = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    x = x.select(F.col(key).alias("k"), "term", F.col(weight).alias("w"), F.col("_n").alias("n"), mine.alias("_m"), F.explode(others).alias("_o"))
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, blocks * (blocks + 1) // 2)
-    dealt = x.withColumns({"_i": F.least("_m", "_o"), "_j": F.greatest("_m", "_o")}).repartition(parts, "_i", "_j")
-    # grouping by the term and by the pair keeps the rows of a pair of blocks in their task, as a join by the term would not
-    side = lambda at: F.collect_list(F.when(F.col("_m") == F.col(at), F.struct("k", "w", "n")))
-    by_term = dealt.groupBy("_i", "_j", "term").agg(side("_i").alias("_x"), side("_j").alias("_y"))
-    both = by_term.select("_i", "_j", "_y", F.explode("_x").alias("x")).select("_i", "_j", "x", F.explode("_y").alias("y")).where("_i < _j OR x.k < y.k")
-    both = both.select("_i", "_j", *(F.col(f"{t}.{c}").alias(f"{c}{n}") for t, n in (("x", 1), ("y", 2)) for c in ("k", "w", "n")))
-    dots = both.groupBy("_i", "_j", "k1", "k2").agg(F.sum(F.col("w1") * F.col("w2")).alias("_dot"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
-    return dots.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), (F.col("_dot") / (F.col("n1") * F.col("n2"))).alias("cosine"))
+
+    def found(x: pa.Array, y: pa.Array, cosine: np.ndarray, shared: np.ndarray, same: bool) -> Iterator[tuple]:
+        for lo in range(0, len(x), 64):
+            i, j = np.nonzero(np.triu(shared[lo : lo + 64], lo + 1) if same else shared[lo : lo + 64])
+            yield x.take(pa.array(i + lo)), y.take(pa.array(j)), pa.array(cosine[i + lo, j])
+
+    return _block_pairs(rows, key, weight, block, found, ("k1", "k2")).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "cosine")
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

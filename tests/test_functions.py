@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,24 @@ def test_pair_cosines_by_blocks(spark):
     split = lm.pair_cosines(t, "k", block=5)
     assert len(want) > 100 and rows(split) == want == rows(lm.pair_cosines(t, "k"))
     assert not re.search(r"hashpartitioning\((_i#\w+, _j#\w+, k1#|k1#|k2#)", split._jdf.queryExecution().executedPlan().toString())
+
+
+def test_vectors_are_shuffled_and_not_their_terms(spark):
+    t = spark.createDataFrame([(f"k{k}", f"t{k * i % 11}", float(i % 3 - 1)) for k in range(1, 30) for i in range(1, 6)], "k string, term string, weight double").groupBy("k", "term").agg(F.max("weight").alias("weight"))
+    t = t.unionByName(spark.createDataFrame([(f"k{k}", "own", 2.0) for k in range(1, 30)], "k string, term string, weight double"))
+    rows = lambda df: sorted((r.a, r.b, round(r.cosine, 9) + 0.0) for r in df.collect())
+    want = rows(lm.cosines(t, t.withColumnRenamed("k", "l"), "k", "l").where("k < l").selectExpr("k AS a", "l AS b", "cosine"))
+    split = lm.pair_cosines(t, "k", block=4)
+    assert len(want) == 29 * 14 and rows(split) == want
+    assert not re.search(r"keys=\[_?i#\w+, _?j#\w+, term#", split._jdf.queryExecution().executedPlan().toString())
+    assert lm.pair_cosines(t.limit(0), "k").count() == 0
+
+
+def test_common_and_rare_terms_give_the_same_products(monkeypatch):
+    rng = np.random.default_rng(4)
+    side = lambda n: (n, np.repeat(np.arange(n), 6), rng.integers(0, 40, n * 6) ** 2 // 40, rng.integers(1, 5, n * 6).astype(float))
+    x, y = side(23), side(17)
+    whole = lambda e: np.bincount(e[1] * 40 + e[2], e[3], e[0] * 40).reshape(e[0], 40)
+    for dense, columns, products in ((0, 512, 9), (10**9, 3, 9), (20, 3, 10**6), (20, 512, 7)):
+        monkeypatch.setattr(lm, "DENSE", dense), monkeypatch.setattr(lm, "COLUMNS", columns), monkeypatch.setattr(lm, "PRODUCTS", products)
+        assert (lm._dots(x, y, 40) == whole(x) @ whole(y).T).all()
