@@ -269,6 +269,17 @@ def pair_cosines(rows: DataFrame, key: str, weight: str = "weight", block: int |
     return _block_pairs(rows, key, weight, block, found, ("k1", "k2")).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "cosine")
 
 
+def pair_cosines_within(rows: DataFrame, group: str, key: str, weight: str = "weight") -> DataFrame:
+    """group, a, b, cosine of the pairs a < b of keys of one group that share a term: rows (group, key, term, weight) meet by group and term, so no pair of two groups is made."""
+    w = F.col(weight).cast("double")
+    norm = rows.groupBy(group, key).agg(F.sqrt(F.sum(w * w)).alias("_n"))
+    x = rows.join(norm, [group, key]).select(group, "term", F.col(key).alias("a"), w.alias("_a"), F.col("_n").alias("_na"))
+    x = checkpointed(x)
+    y = x.select(group, "term", F.col("a").alias("b"), F.col("_a").alias("_b"), F.col("_na").alias("_nb"))
+    dots = x.join(y, [group, "term"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"), F.max("_na").alias("_na"), F.max("_nb").alias("_nb"))
+    return dots.select(group, "a", "b", (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("cosine"))
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 where one is empty or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

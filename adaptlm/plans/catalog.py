@@ -513,9 +513,10 @@ WHERE node OR sim >= 0.01)"""
 
 @query(f"WITH RECURSIVE {TURNS}, {_PAIRS}, turns AS (SELECT conv_id * 1000 + turn AS search_id FROM conversations WHERE role = 'user'), {_LINKED} SELECT user_id, a AS item, arg_max(b, step) AS cluster FROM r WHERE sim IS NULL GROUP BY 1, 2")
 def agglomerative_clusters(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _similar(spark, d).where("cosine > 0.01 AND a DIV 1000 = b DIV 1000").select((F.col("a") / 1000).cast("long").alias("user_id"), "a", "b", F.col("cosine").alias("sim"))
-    items = _turns(spark, d).select("user_id", F.col("search_id").alias("item"))
-    return topics.clusters(pairs, items, "user_id")
+    turns = _turns(spark, d)
+    t = lm.term_counts(turns, "search_id").select((F.col("search_id") / 1000).cast("long").alias("user_id"), "search_id", "term", F.col("tf").alias("weight"))
+    sims = lm.pair_cosines_within(t, "user_id", "search_id").select("user_id", "a", "b", r6("cosine").alias("sim")).where("sim > 0.01")
+    return topics.clusters(sims, turns.select("user_id", F.col("search_id").alias("item")), "user_id")
 
 
 def _em_rows(spark: SparkSession, d: str) -> DataFrame:

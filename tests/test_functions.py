@@ -237,3 +237,12 @@ def test_common_and_rare_terms_give_the_same_products(monkeypatch):
     for dense, columns, products in ((0, 512, 9), (10**9, 3, 9), (20, 3, 10**6), (20, 512, 7)):
         monkeypatch.setattr(lm, "DENSE", dense), monkeypatch.setattr(lm, "COLUMNS", columns), monkeypatch.setattr(lm, "PRODUCTS", products)
         assert (lm._dots(x, y, 40) == whole(x) @ whole(y).T).all()
+
+
+
+def test_pairs_of_a_group_alone(spark):
+    t = spark.createDataFrame([(k // 8, k, f"t{k * i % 11}", i) for k in range(1, 40) for i in range(1, 5)], "g long, k long, term string, weight long").groupBy("g", "k", "term").agg(F.sum("weight").alias("weight"))
+    every = lm.pair_cosines(t, "k", block=5).where("a DIV 8 = b DIV 8")
+    rows = lambda df: sorted((r.a, r.b, round(r.cosine, 9)) for r in df.collect())
+    own = lm.pair_cosines_within(t, "g", "k")
+    assert rows(own) == rows(every) and len(rows(own)) > 50 and own.where("g <> a DIV 8 OR g <> b DIV 8").count() == 0
