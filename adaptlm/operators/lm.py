@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -280,6 +281,40 @@ def pair_cosines_within(rows: DataFrame, group: str, key: str, weight: str = "we
     return dots.select(group, "a", "b", (F.col("_dot") / (F.col("_na") * F.col("_nb"))).alias("cosine"))
 
 
+def _millionths(v: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in millionths, halves up, as round() to six digits gives them: by their decimal digits where those are near a half."""
+    out = np.floor(v * 1e6 + 0.5)
+    for at in zip(*np.nonzero(np.abs(v * 1e6 + 0.5 - np.rint(v * 1e6 + 0.5)) < 1e-6)):
+        out[at] = int(Decimal(repr(float(v[at]))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return out.astype(np.int64)
+
+
+def likest(rows: DataFrame, key: str, other: str, most: int, least: float, weight: str = "weight", block: int | None = None) -> DataFrame:
+    """key, other, cosine (to six digits): of each key the others of the highest such cosines, ties by the smaller other, none below least.
+
+    These are at most `most` for each pair of a key and a block (see pair_cosines()), among which the key's own `most` are, so all pairs are looked at and few become rows. Weights are above 0.
+    """
+    def best(x: pa.Array, y: pa.Array, near: np.ndarray) -> tuple:
+        rank = np.empty(len(y), np.int64)
+        rank[pc.sort_indices(y).to_numpy()] = np.arange(len(y))
+        turn = np.where(near >= max(least * 1e6, 0), near * len(y) + (len(y) - 1 - rank), -1)
+        top = np.argpartition(turn, len(y) - most, 1)[:, len(y) - most :] if most < len(y) else np.broadcast_to(np.arange(len(y)), turn.shape)
+        i, k = np.nonzero(np.take_along_axis(turn, top, 1) >= 0)
+        j = top[i, k]
+        return x.take(pa.array(i)), y.take(pa.array(j)), pa.array(near[i, j] / 1e6)
+
+    def found(x: pa.Array, y: pa.Array, cosine: np.ndarray, shared: np.ndarray, same: bool) -> Iterator[tuple]:
+        near = _millionths(cosine)
+        near[~shared] = -1
+        if same:
+            np.fill_diagonal(near, -1)
+        yield best(x, y, near)
+        if not same:
+            yield best(y, x, near.T)
+
+    return _block_pairs(rows, key, weight, block, found, (key, other))
+
+
 def dense_cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 where one is empty or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

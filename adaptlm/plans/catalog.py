@@ -557,9 +557,9 @@ def long_term_model(spark: SparkSession, d: str) -> DataFrame:
     turns, docs = _turns(spark, d), _docs(spark, d)
     probs, default = _background(spark, d)
     own = lm.truncated(lm.normalised(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "prob"), "search_id", "prob"), "search_id")
-    ends = F.array(F.struct(F.col("a").alias("search_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("search_id"), F.col("a").alias("other")))
-    both = _similar(spark, d).select(F.explode(ends).alias("e"), "cosine").select("e.*", "cosine")
     same = turns.select("search_id", "user_id").join(turns.select(F.col("search_id").alias("other"), "user_id"), "user_id").select("search_id", "other")
+    most = (turns.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0) + models.DEFAULTS.max_neighbours
+    both = lm.likest(lm.term_counts(turns, "search_id").withColumnRenamed("tf", "weight"), "search_id", "other", most, models.DEFAULTS.min_cosine)
     near = models.neighbours(both, same, None, "search_id", "other")
     long = models.history_model(own, own, near, own.withColumnRenamed("search_id", "other"), probs, default, "search_id", "other")
     clicks = turns.select("search_id", F.lit(1).alias("n"))

@@ -246,3 +246,21 @@ def test_pairs_of_a_group_alone(spark):
     rows = lambda df: sorted((r.a, r.b, round(r.cosine, 9)) for r in df.collect())
     own = lm.pair_cosines_within(t, "g", "k")
     assert rows(own) == rows(every) and len(rows(own)) > 50 and own.where("g <> a DIV 8 OR g <> b DIV 8").count() == 0
+
+
+
+def test_likest_are_the_first_of_all_pairs(spark):
+    t = spark.createDataFrame([(k, f"t{k * i % 9 if k % 4 else i}") for k in range(1, 60) for i in range(k % 4 + 2)], "k long, term string").groupBy("k", "term").agg(F.count(F.lit(1)).alias("weight"))
+    ends = F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("other")), F.struct(F.col("b").alias("k"), F.col("a").alias("other")))
+    every = lm.pair_cosines(t, "k").select(F.explode(ends).alias("e"), F.round("cosine", 6).alias("cosine")).select("e.*", "cosine").where("cosine >= 0.3")
+    first = lambda df: sorted(map(tuple, df.withColumn("n", F.expr("row_number() OVER (PARTITION BY k ORDER BY cosine DESC, other)")).where("n <= 3").collect()))
+    few = lm.likest(t, "k", "other", 3, 0.3, block=7)
+    assert first(few) == first(every) and len(first(few)) > 100 and few.count() < every.count()
+    assert first(lm.likest(t, "k", "other", 3, 0.3)) == first(every)
+
+
+def test_millionths_are_those_of_round(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.random(3000), (rng.integers(0, 10**6, 3000) + 0.5) / 1e6, [0.0, 1.0, 0.0000005, 0.9999995, 2 / 3]])
+    want = [r.x for r in spark.createDataFrame([(float(x),) for x in v], "v double").select(F.round("v", 6).alias("x")).collect()]
+    assert (lm._millionths(v) / 1e6).tolist() == want
